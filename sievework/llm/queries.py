@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import simhash
+from sievework.llm import mixing, simhash, substrings, suffixes
 from sievework.llm.common import read
 
 
@@ -12,8 +12,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(read(spark, sf_dir, "documents")).drop("text")
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op6_mixing": op6_mixing,
+    "op8_suffixes": op8_suffixes,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLES: dict[str, str] = {}
