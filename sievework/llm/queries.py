@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import mixing, simhash, substrings, suffixes
+from sievework.llm import mixing, simhash, substrings, suffixes, toxicity
 from sievework.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -27,6 +32,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_suffixes": op8_suffixes,
     "op10_substrings": op10_substrings,
 }
