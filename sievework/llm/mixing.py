@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sievework.llm.common import WORD, materialise
 
@@ -29,16 +30,22 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     rows = rows.withColumn("caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     rows = rows.withColumn("weights", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     rows = rows.withColumn("own_level", (share * F.col("all_size") - F.col("caps")) / F.col("weights"))
-    level = F.min(F.when(F.col("own_level") <= F.col("full"), F.col("own_level"))).over(Window.partitionBy(F.lit(0)))
-    rows = rows.withColumn("level", level)
+    # past the first source that isn't full the levels only fall
+    level = rows.agg(F.max(F.when(F.col("own_level") <= F.col("full"), F.col("own_level"))).alias("level"))
+    rows = rows.crossJoin(F.broadcast(level))  # one row
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = SEED
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    epochs: float = 2.0,
+    seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) of every document.
+    """(doc_id, source, size, source_size, target, times, taken) of every document, and a struct `row` of the columns to carry.
 
     Sources in order of code points, null last, weigh `weights`, repeating. A document is taken floor(target / source_size)
     whole times, and once more if its draw for the rest falls to it. Draws are made in groups of about `GROUP_ROWS`
@@ -49,7 +56,8 @@ def mix_sources(
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = materialise(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw")), "sizes")
+    row = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = materialise(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), row.alias("row")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     order = Window.orderBy(F.col("source").isNull(), "source")
     nth = (F.row_number().over(order) - 1) % len(weights)
@@ -62,7 +70,7 @@ def mix_sources(
         .select(F.col("source").alias("s"), "source_size", "target", "groups"),
         "targets",
     )
-    names = ["doc_id", "source", "size", "source_size", "target", "times", "taken"]
+    names = ["doc_id", "source", "size", "source_size", "target", "row", "times", "taken"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by source, group, falling size and draw; a group may reach over several batches."""
@@ -81,10 +89,11 @@ def mix_sources(
                 times.append(whole + once)
             times = pa.array(times, pa.int64())
             taken = pa.array(times.to_numpy() * np.array(size, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), times, taken], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), times, taken], names)
 
     dealt = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))) if plan.count() <= 100_000 else rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    dealt = dealt.select(*names[:5], F.lit(0).alias("unused"), "draw", F.pmod(F.xxhash64("draw"), F.col("groups")).alias("group"))
+    dealt = dealt.select(*names[:6], "draw", F.pmod(F.xxhash64("draw"), F.col("groups")).alias("group"))
     dealt = dealt.repartition("source", "group").sortWithinPartitions("source", "group", F.desc("size"), "draw", "doc_id")
-    out = ", ".join(f"{n} {t}" for n, t in zip(names, (docs.schema["doc_id"].dataType.simpleString(), "string", "bigint", "bigint", "double", "bigint", "bigint")))
-    return dealt.mapInArrow(take, out)
+    schema = StructType([*dealt.select(*names[:6]).schema, StructField("times", LongType()), StructField("taken", LongType())])
+    out = dealt.mapInArrow(take, schema)
+    return out if carry else out.drop("row")

@@ -154,11 +154,14 @@ def cells(anchor: np.ndarray, count: int) -> list[np.ndarray]:
     return [mix(anchor) & half, (mix(anchor ^ BASE) & half) + np.uint64(count // 2)]
 
 
+def keys() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(d, k, t): doc_id, null after all others; a hash that tells rows of one doc_id apart; the text's bytes."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("k"), utf8("text").alias("t")
-    )
+    d, k = keys()
+    return docs.select(d.alias("d"), k.alias("k"), utf8("text").alias("t"))
 
 
 def sketch(rows: DataFrame, kind: Kind, per_document: bool, max_cells: int) -> np.ndarray:
@@ -297,13 +300,17 @@ def verdicts(found: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     return hits.groupBy("d", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
-def repeated(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
-    """keyed(docs) with spans: its windows that repeat, or null."""
+def marks(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
+    """(d, k, spans) of the documents with windows that repeat; d and k as in keyed()."""
     rows = keyed(docs)
     bits = sketch(rows, kind, earlier, max_cells)
     found = materialise(runs(rows, kind, bits), "runs")
-    marks = materialise(verdicts(found, kind, earlier), "marks")
-    return rows.join(marks, ["d", "k"], "left")
+    return materialise(verdicts(found, kind, earlier), "marks")
+
+
+def repeated(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
+    """keyed(docs) with spans: its windows that repeat, or null."""
+    return keyed(docs).join(marks(docs, kind, earlier, max_cells), ["d", "k"], "left")
 
 
 def removed(spans, size: int, length: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialise, mix, ranges, starts, utf8
@@ -249,3 +249,93 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+TABLES, BANDS, WIDE, SIMILARITY = 6, 3, 8, 0.8
+
+
+def expected_bits(similarity: float) -> int:
+    """Of WIDE x 64 bits, how many differ on average at this Jaccard similarity of sets of equal size."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(np.arccos(cosine) / np.pi * WIDE * 64)
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """(rid, words, wide): TABLES fingerprints of the set of words, and WIDE of the set of `size`-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(1, max(TABLES, WIDE) + 1, dtype=np.uint64))
+        for batch in batches:
+            out = []
+            for length, count in ((1, TABLES), (size, WIDE)):
+                rows = []
+                for at in range(0, batch.num_rows, 256):
+                    part = [set(shingle_hashes(t.as_py(), length)) for t in batch.column(1)[at : at + 256]]
+                    flat = np.fromiter(itertools.chain.from_iterable(part), np.uint64)
+                    sizes = np.fromiter(map(len, part), np.int64, len(part))
+                    rows.append(np.stack([majority_bits(mix(flat ^ s), sizes) for s in seeds[:count]], 1))
+                out.append(pa.array([r.tobytes() for r in np.concatenate(rows)] if rows else [], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["rid", "words", "wide"])
+
+    return docs.select("rid", utf8("text").alias("t")).mapInArrow(run, "rid long, words binary, wide binary")
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes (rep, words, wide) -> (a, b): links between texts at least this similar, enough to join each bucket's components.
+
+    Candidates agree in a band of one word fingerprint; the Gray-order index of the band's bucket drops what is far apart
+    in that fingerprint, the wide fingerprint decides. A bucket returns a spanning star for each component.
+    """
+    # about two deviations past what pairs at the bound show, so that few of these are missed
+    most = expected_bits(similarity) + 8
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, TABLES)
+            for t in range(TABLES):
+                for j in range(BANDS):
+                    value = words[:, t] >> np.uint64(64 // BANDS * j) & np.uint64((1 << 64 // BANDS) - 1)
+                    key = mix(value | np.uint64(t * BANDS + j + 1) << np.uint64(32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(words[:, t].view(np.int64)), batch.column(0), batch.column(2)], ["bucket", "fp", "rep", "wide"]
+                    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [x for x in batches if x.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        bucket, fp, rep = (table.column(k).to_numpy() for k in range(3))
+        order = np.argsort(bucket, kind="stable")
+        _, sizes = np.unique(bucket, return_counts=True)
+        order = order[np.repeat(sizes, sizes) > 1]
+        if not len(order):
+            return
+        wide = np.frombuffer(b"".join(table.column(3).take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, WIDE)
+
+        def same(i, j):
+            return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= most
+
+        a, b = bucket_stars(fp[order].view(np.uint64), rep[order], sizes[sizes > 1], 16, same)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = nodes.select("rep", "words", "wide").mapInArrow(bands, "bucket long, fp long, rep long, wide binary")
+    return dealt.repartition("bucket").mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without all but one document, the one with the smallest doc_id, of each group of near-duplicates.
+
+    Texts are near when their sets of `size`-word shingles (lower-cased) have about this Jaccard similarity or more, as
+    estimated by the wide SimHash; chains of near texts make a group. Texts without words make one group. A null doc_id
+    comes after all others; rows that agree in doc_id and text count as one document. All columns are returned.
+    """
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.withColumn("rid", F.coalesce(id_, F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))))
+    found = materialise(signatures(rows, size), "signatures")
+    nodes = materialise(found.groupBy("wide").agg(F.min("rid").alias("rep"), F.min("words").alias("words")), "nodes")
+    joined = components(materialise(similar_links(nodes, similarity), "links"))
+    kept = nodes.join(joined, nodes.rep == joined.node, "left_anti").select(F.col("rep").alias("rid"))
+    once = Window.partitionBy("rid").orderBy(F.xxhash64("text"))
+    stay = rows.join(kept, "rid", "left_semi").withColumn("nth_", F.row_number().over(once))
+    return stay.where("nth_ = 1").select(docs.columns)

@@ -11,12 +11,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.repeats import Kind, removed, repeated
+from sievework.llm.repeats import Kind, keys, marks, removed, repeated
 
 WINDOW = 35
+#: A word and the white space after it.
 _SPACED = regex.compile(rb"[^\x20\x09-\x0d]+[\x20\x09-\x0d]*")
 
 
+def window_kind(window: int) -> Kind:
+    return Kind(True, window, max(1, window // 4), 5.0)
+
+
+def cut(text: bytes, out: np.ndarray) -> bytes:
+    """text without the words that out marks and the white space after them."""
+    return b"".join(w for w, gone in zip(_SPACED.findall(text), out.tolist()) if not gone)
+
+
+def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the words cut out of `text` that substring_dedup() removes, and n_chars set anew; all columns are returned.
+
+    No row goes: a text of which nothing is left comes back empty.
+    """
+    place = docs.columns.index("text")
+    found = marks(docs, window_kind(window), earlier=False).withColumnsRenamed({"d": "d_", "k": "k_", "spans": "spans_"})
+    d, k = keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(place), batch.column(batch.num_columns - 1)):
+                text, spans = text.as_py(), spans.as_py()
+                if spans:
+                    raw = text.encode()
+                    text = cut(raw, removed(spans, len(raw.split()), window)).decode()
+                texts.append(text)
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    joined = docs.withColumns({"d_": d, "k_": k}).join(found, ["d_", "k_"], "left").select(*docs.columns, "spans_")
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Remove each word that a `window`-word sequence covers which also starts anywhere else, in any document.
 
@@ -25,7 +63,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     comes back with zero counts and an empty text. Rows with equal doc_id each come back; a null doc_id takes part like any
     other. Other columns of docs, whatever their names, are ignored.
     """
-    kind = Kind(True, window, max(1, window // 4), 5.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +74,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if out.any():
                     keep = (~out).tolist()
                     kept = [w for w, k in zip(words, keep) if k]
-                    text = b"".join(w for w, k in zip(_SPACED.findall(text), keep) if k)
+                    text = cut(text, out)
                 else:
                     kept = words
                 counts.append(len(words))
@@ -49,6 +86,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["d", "n_words", "n_removed", "text", "kept_sha256"],
             )
 
-    out = repeated(docs, kind, earlier=False).select("d", "t", "spans")
+    out = repeated(docs, window_kind(window), earlier=False).select("d", "t", "spans")
     out = out.mapInArrow(run, "d long, n_words long, n_removed long, text string, kept_sha256 string")
     return out.select(F.nullif("d", F.lit(2**63 - 1)).alias("doc_id"), "n_words", "n_removed", "text", "kept_sha256")

@@ -252,3 +252,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     out = _with_features(rows, model.terms, "held_out", model.weights).withColumnRenamed("out", "score")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose score() reaches threshold; all columns are returned and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, weights = Kinds(Automaton(shared.value.terms)), shared.value.weights
+        for batch in batches:
+            x = np.array([features(t.as_py() or "", kinds) for t in batch.column(place)]).reshape(-1, len(PRIOR) - 1)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -41,6 +41,20 @@ def test_targets_and_draws(spark):
         assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 30
 
 
+@pytest.mark.parametrize("weights", [(3, 1, 2), (1,), (9, 1)])
+def test_many_sources(spark, weights):
+    docs = [(i, "w " * (1 + (s * s * 7) % 90), f"s{s:02}") for s in range(25) for i in range(s * 100, s * 100 + 4 + s)]
+    out = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights).collect()
+    target = brute_targets({r.source: r.source_size for r in out}, weights)
+    assert {r.source: r.target for r in out} == pytest.approx(target)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(r.size for r in out))
+
+
+def test_carried_columns(spark):
+    out = mix_sources(rows(spark), carry=("text", "size")).where("doc_id = 8").first()
+    assert out.row.text == "w " * 65 and out.row.size == 1 and out.size == 65
+
+
 def test_reruns_agree(spark):
     one = sorted((r.doc_id, r.taken) for r in mix_sources(rows(spark)).collect())
     assert one == sorted((r.doc_id, r.taken) for r in mix_sources(rows(spark).repartition(7)).collect())

@@ -92,3 +92,24 @@ def test_components_on_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     out = {r.node: r.component for r in components(edges.withColumn("c", F.lit(1))).collect()}
     assert out == {i: 0 for i in range(1, 201)} | {501: 500}
+
+
+def test_near_duplicates_leave_one(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    docs, group = [], {}
+    for g in range(40):
+        base = list(rng.choice(vocabulary, 250))
+        for copy in range(3):
+            text = list(base)
+            for _ in range(2 * copy):
+                text[int(rng.integers(250))] = "changed" + str(int(rng.integers(1000)))
+            docs.append((len(docs), " ".join(text)))
+            group.setdefault(g, []).append(len(docs) - 1)
+    docs += [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (None, "a b"), (504, "c d"), (504, "c d")]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, rid string, wide int")
+    out = simhash.drop_near_duplicates(frame)
+    assert out.columns == frame.columns
+    kept = sorted(r.doc_id for r in out.collect())
+    assert kept == [g[0] for g in group.values()] + [500, 502, 504]
+    assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0
