@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontaminate, mixing, simhash, substrings, suffixes, toxicity
+from sievework.llm import decontaminate, language, licenses, mixing, neighbours, simhash, substrings, suffixes, tokens, toxicity
 from sievework.llm.common import read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,17 +42,26 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(read(spark, sf_dir, "documents")).drop("text")
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
+    "op3_tokens": op3_tokens,
     "op4_simhash": op4_simhash,
+    "op5_neighbours": op5_neighbours,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_suffixes": op8_suffixes,
+    "op9_licenses": op9_licenses,
     "op10_substrings": op10_substrings,
 }
 
+#: These operators hash, learn or search; SQL has no equal of them, so their tests compare with brute force instead.
 ORACLES: dict[str, str] = {}
