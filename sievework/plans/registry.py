@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sievework.plans import case_queries, table_queries
+
+QUERIES = {**table_queries.QUERIES, **case_queries.QUERIES}
+ORACLES = {**table_queries.ORACLES, **case_queries.ORACLES}
