@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from sievework.functions.facts import has
 
@@ -49,7 +50,7 @@ def specialised(requirement: Column, evidence: Column) -> Column:
     return F.when(has(requirement, r"\bstart-?ups?\b") & ~has(text, r"\bstart-?ups?\b"), "STARTUP").when(has(requirement, r"\bdirect\b") & ~has(text, r"\bdirect\b"), "DIRECT")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def cited(narrative: pd.Series, catalog: pd.Series) -> pd.Series:
     """Replaces [id] and bare ids like jd-3 by their references; null where an id isn't in the catalog."""
     import re
