@@ -24,7 +24,7 @@ from sievework.llm.common import held_out, materialise, utf8
 STEMS = (4, 5, 6, 7)
 MIN_TOXIC_DOCS, MIN_LOG_ODDS, MAX_TERMS = 4, 2.5, 2000
 SURE = 2.0  # a term's surprise must exceed the logarithm of the number of candidates by this
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000  # labelled documents that a model is learned from, about, at most; chosen by a hash of doc_id
 THRESHOLD = 0.3
 REACH = 8  # words to either side of a hit that are read as its context
 REPORTING = frozenset(
@@ -62,12 +62,19 @@ class Automaton:
                 node = nxt
                 self.budget[node] = max(self.budget[node], most)
             self.ends[node] = (stem, most)
-        self.steps: dict = {}
-        self.start = self._close({(0, 0)})
+        self._reset()
+
+    def _reset(self):
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[str, int]] = []  # by state and letter
+        self.stems: list[int] = []  # by state: kind of a stem that ends here
+        self.last: list[int] = []  # by state: kind of a word that ends here
+        self.start = self._number(self._close({(0, 0)}))
 
     def _close(self, state: set) -> tuple:
         """With letters that the word leaves out; only the fewest edits for each node."""
-        todo, best = list(state), dict.fromkeys((), 0)
+        todo, best = sorted(state), {}
         while todo:
             node, used = todo.pop()
             if used > self.budget[node] or best.get(node, 9) <= used:
@@ -76,45 +83,46 @@ class Automaton:
             todo += [(child, used + 1) for child in self.children[node].values()]
         return tuple(sorted(best.items()))
 
-    def _step(self, state: tuple, ch: str) -> tuple[tuple, int]:
-        """(next state, kind of a stem that ends here)."""
+    def _number(self, state: tuple) -> int:
+        if (found := self.ids.get(state)) is None:
+            found = self.ids[state] = len(self.states)
+            ends = [(*self.ends[node], used) for node, used in state if self.ends[node] and used <= self.ends[node][1]]
+            self.states.append(state)
+            self.steps.append({})
+            self.stems.append(min((FUZZY if used else STEM for stem, _, used in ends if stem), default=0))
+            self.last.append(min((FUZZY if used else EXACT for _, _, used in ends), default=0))
+        return found
+
+    def _step(self, state: int, ch: str) -> int:
         out = set()
-        for node, used in state:
-            for letter, child in self.children[node].items():
-                out.add((child, used + (letter != ch)))
+        for node, used in self.states[state]:
+            out.update((child, used + (letter != ch)) for letter, child in self.children[node].items())
             out.add((node, used + 1))
-        after = self._close(out)
-        kinds = [STEM if not used else FUZZY for node, used in after if self.ends[node] and self.ends[node][0] and used <= self.ends[node][1]]
-        return after, min(kinds, default=0)
+        found = self.steps[state][ch] = self._number(self._close(out))
+        return found
 
     def kind(self, word: str) -> int:
         """EXACT, STEM, FUZZY, or 0 for a word that no term explains."""
-        state, found = self.start, 0
+        if len(self.states) > 50_000:
+            self._reset()
+        steps, stems, state, found = self.steps, self.stems, self.start, 0
         for ch in word:
-            step = self.steps.get((state, ch))
-            if step is None:
-                if len(self.steps) > 200_000:
-                    self.steps.clear()
-                step = self.steps[state, ch] = self._step(state, ch)
-            state, stem = step
-            if stem == STEM:
-                return STEM
-            found = found or stem
-            if not state:
+            after = steps[state].get(ch)
+            state = self._step(state, ch) if after is None else after
+            if stems[state]:
+                found = min(found or 9, stems[state])
+                if found == STEM:
+                    return STEM
+            if not self.states[state]:
                 return found
-        for node, used in state:
-            end = self.ends[node]
-            if end and used <= end[1]:
-                if not used:
-                    return EXACT
-                found = FUZZY
-        return found
+        end = self.last[state]
+        return min(found, end) if found and end else found or end
 
 
 def features(text: str, kinds: dict) -> list[float]:
     """One document's numbers in the order of PRIOR (without the bias); kinds maps words to what the automaton says."""
     text = text.lower()
-    words = _WORDS.findall(text)
+    words = text.split()
     if not any(map(kinds.__getitem__, words)):
         return [0.0] * (len(PRIOR) - 1)
     parts = _PARTS.findall(text)
@@ -134,7 +142,7 @@ def features(text: str, kinds: dict) -> list[float]:
 
 
 class Kinds(dict):
-    """A task's memo of the automaton's answers."""
+    """A task's memo of the automaton's answers: the first kind of the words in a string without white space."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
@@ -143,7 +151,8 @@ class Kinds(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        found = self[word] = self.automaton.kind(word)
+        parts = [word] if word.isalnum() else _WORDS.findall(word)
+        found = self[word] = next(filter(None, map(self.automaton.kind, parts)), 0)
         return found
 
 
@@ -153,13 +162,17 @@ class Model:
     weights: np.ndarray
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").where("text is not null").join(marked.where(~held_out()), "doc_id")
+def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(doc_id, text, toxic) of about fit_rows labelled documents at most; the chosen labels are broadcast, no text is shuffled."""
+    marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
+    marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    share = int(1_000_000 * min(1.0, fit_rows / max(1, marked.count())))
+    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
 def learn_terms(rows: DataFrame) -> dict[str, bool]:
-    """The lexicon from (text, toxic); counts cover all rows, MAX_TERMS bounds what is kept as the model."""
+    """The lexicon from (text, toxic); counts cover all these rows, MAX_TERMS bounds what is kept as the model."""
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)")))).alias("word"))
     words = materialise(words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("docs")), "words")
     stems = [F.when(F.length("word") > n, F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("stem"))) for n in STEMS]
@@ -232,15 +245,13 @@ def _with_features(rows: DataFrame, terms: dict[str, bool], last: str, weights:
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the labelled documents that may be learned from; the weights are fitted on about fit_rows of them at most."""
-    rows = _labelled(docs, labels)
+    """A model from labelled documents that are not held out. Several labels of a document count as toxic if one is."""
+    rows = materialise(_labelled(docs, labels, fit_rows), "labelled")
     terms = learn_terms(rows)
-    count = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_rows / max(1, count)))))
-    found = _with_features(chosen, terms, "toxic", None).select("out", "toxic").collect()
+    found = _with_features(rows, terms, "toxic", None).select("out", "toxic").collect()
     if not found:
         return Model(terms, PRIOR)
-    return Model(terms, fit(np.array([r.out for r in found]), np.array([float(r.toxic > 0) for r in found])))
+    return Model(terms, fit(np.array([r.out for r in found]), np.array([float(r.toxic) for r in found])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
