@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontaminate, language, licenses, mixing, neighbours, simhash, substrings, suffixes, tokens, toxicity
+from sievework.llm import decontaminate, language, licenses, mixing, neighbours, oracles, simhash, substrings, suffixes, tokens, toxicity
 from sievework.llm.common import read
 
 
@@ -63,5 +63,5 @@ QUERIES = {
     "op10_substrings": op10_substrings,
 }
 
-#: These operators hash, learn or search; SQL has no equal of them, so their tests compare with brute force instead.
-ORACLES: dict[str, str] = {}
+#: The others hash, learn, draw or search; SQL has no equal of them, so their tests compare with brute force instead.
+ORACLES: dict[str, str] = {"op8_suffixes": oracles.OP8, "op10_substrings": oracles.OP10}
