@@ -44,7 +44,7 @@ def test_bad_definitions_are_refused(ids):
 
 def test_submissions_and_raw_records(spark, tmp_path):
     rows = [
-        {"rawText": "Lead", "postingDate": "2026-02-28", "domain": "customer-success"}, {"rawText": "  "}, {"rawText": "x", "postingDate": "2026-02-30"},
+        {"rawText": "Lead", "postingDate": "2026-02-28", "domain": "field-service"}, {"rawText": "  "}, {"rawText": "x", "postingDate": "2026-02-30"},
         {"rawText": "x", "postingDate": "08/12/2026"}, {"rawText": "x", "other": 1}, {"rawText": "x", "sourceUrl": "nope"}, {"rawText": "x", "domain": "Bad Slug"},
     ]
     (tmp_path / "in.json").write_text("\n".join(map(json.dumps, rows)) + "\nnot json")
