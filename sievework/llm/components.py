@@ -14,7 +14,8 @@ from sievework.llm.common import materialise, release
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join's sides are plain shuffles, which Spark can split at a node with many neighbours
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     if large:
         return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     pushed = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,7 +36,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        after = materialise(_star(_star(now, large=True), large=False), "edges")
+        larger = materialise(_star(now, large=True), "edges")
+        after = materialise(_star(larger, large=False), "edges")
+        release(larger)
         release(now)
         now = after
     else:

@@ -8,10 +8,13 @@ Consecutive windows with the same anchor form a run; there are about 2 runs for
    merged, segment by segment, in Spark. Counts saturate at two, all that is asked of them, so a merged cell is one bit.
    A window occurs at most as often as its anchor, so the sketch never underestimates a window. Its size follows the
    input up to `max_cells`, which bounds what is broadcast (one bit a cell); a full sketch only lets more runs through.
-2. runs(): a second pass writes the runs whose anchor may repeat, with the text they span. Nothing that repeats is lost.
-3. verdicts(): runs are grouped exactly, by anchor and a 128-bit hash of their text. Where all runs of an anchor span the
-   same text, all their windows repeat together and need no look at single windows. Only where one anchor has different
-   texts is one run of each text split into its windows, and these are grouped by their 128-bit hashes.
+2. runs(): a second pass writes the runs whose anchor may repeat, with a hash of the text they span. Nothing that repeats
+   is lost.
+3. verdicts(): runs are grouped exactly, by anchor and text (two 64-bit hashes together). Where all runs of an anchor span
+   the same text, all their windows repeat together and need no look at single windows: the text's name settles the tie.
+   Only where one anchor has different texts is one run of each text split into its windows. An anchor is a bucket: tasks
+   sort the windows of one block of buckets after another. An anchor with more texts than a task should hold has its
+   windows grouped by Spark instead.
 
 No group is gathered in a task: groupings are aggregates with map-side combination, joins can be split where a key is hot.
 """
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialise, mix, starts, utf8
+from sievework.llm.common import materialise, mix, release, starts, utf8
 
 SEGMENT = 1 << 16
 CHUNK, PIECE = 1 << 19, 1 << 22
@@ -223,89 +226,187 @@ def may_repeat(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def runs(rows: DataFrame, kind: Kind, bits: np.ndarray) -> DataFrame:
-    """(d, k, lo, n, anchor, c1, c2, payload) of the runs whose anchor may repeat; c1 and c2 hash what they span."""
+    """(d, k, at, anchor, c) of the runs whose anchor may repeat; c hashes what a run spans, at holds its place (see place())."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    names = ["d", "k", "lo", "n", "anchor", "c1", "c2", "payload"]
+    names = ["d", "k", "at", "anchor", "c"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = Tokens(kind)
-
-        def emit(out):
-            row, lo, n, anchor, payload = zip(*out)
-            hashes = np.array([xxhash.xxh3_128_digest(p) for p in payload]).view(np.int64).reshape(-1, 2) if payload else None
-            columns = [d.take(pa.array(row)), k.take(pa.array(row)), *map(pa.array, (lo, n)), pa.array(np.array(anchor, np.uint64).view(np.int64)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(payload, pa.binary())]
-            return pa.RecordBatch.from_arrays([c.cast(pa.int32()) if i in (2, 3) else c for i, c in enumerate(columns)], names)
-
         for batch in batches:
-            d, k, out = batch.column(0), batch.column(1), []
+            row_of, ats, anchors, contexts = [], [], [], []
             for row, tokens, at, count, anchor in documents_runs(batch.column(2), parse):
-                keep = np.flatnonzero(may_repeat(anchor, shared.value))
-                for i, lo, n, a in zip(keep, at[keep].tolist(), count[keep].tolist(), anchor[keep].tolist()):
-                    out.append((row, lo, n, a, parse.payload(tokens, lo, lo + n + kind.length - 1)))
-                if len(out) > 20_000:
-                    yield emit(out)
-                    out = []
-            if out:
-                yield emit(out)
-
-    return rows.select("d", "k", "t").mapInArrow(scan, "d long, k long, lo int, n int, anchor long, c1 long, c2 long, payload binary")
-
-
-CONTEXT = ["anchor", "c1", "c2"]
+                keep = may_repeat(anchor, shared.value)
+                at, count = at[keep], count[keep]
+                spans = zip(at.tolist(), (at + count + kind.length - 1).tolist())
+                contexts += [xxhash.xxh3_64_intdigest(parse.payload(tokens, i, j)) for i, j in spans]
+                row_of.append(np.full(len(at), row))
+                ats.append(at << PLACE_BITS | count)
+                anchors.append(anchor[keep])
+            if contexts:
+                row = pa.array(np.concatenate(row_of))
+                longs = (np.concatenate(ats), np.concatenate(anchors).view(np.int64), np.array(contexts, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, longs)], names)
+
+    return rows.select("d", "k", "t").mapInArrow(scan, "d long, k long, at long, anchor long, c long")
+
+
+#: A run's first window is at >> PLACE_BITS, the number of its windows the bits below.
+PLACE_BITS = 20
+#: Texts that one anchor may have to be sorted in one task; anchors with more go another, equally exact way.
+BUCKET_TEXTS = 4096
+BLOCK_WINDOWS = 200_000
+CONTEXT = ["anchor", "c"]
+OFFS = "anchor long, c long, offs array<int>"
+
+
+def sort_keys(windows: list[bytes], words: bool) -> list[np.ndarray]:
+    """Columns that order windows: byte strings by their bytes, eight at a time; word windows by a 128-bit hash."""
+    if words:
+        return list(np.array([xxhash.xxh3_128_digest(w) for w in windows]).view(np.uint64).reshape(-1, 2).T)
+    size = len(windows[0])
+    rows = np.zeros((len(windows), -(-size // 8) * 8), np.uint8)
+    rows[:, :size] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, size)
+    return list(rows.view(">u8").astype(np.uint64).T)
+
+
+def resolve(table: pa.Table, kind: Kind, earlier: bool) -> pa.RecordBatch | None:
+    """Sort the windows of whole buckets (anchors) and tell which repeat: (anchor, c, offs) of texts with any."""
+    parse = Tokens(kind)
+    parts = [parse.windows(p) for p in table.column("payload").to_pylist()]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    anchor, times, first = (table.column(c).to_numpy() for c in ("anchor", "times", "first"))
+    keys = sort_keys([w for p in parts for w in p], kind.words)
+    order = np.lexsort((*keys[::-1], anchor[owner]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (anchor[owner], *keys)], axis=0)
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    if earlier:
+        hit = np.minimum.reduceat(first[owner][order], begin)[group] < first[owner][order]
+    else:
+        hit = (np.add.reduceat(times[owner][order], begin)[group] > 1) & (times[owner][order] == 1)
+    hit = np.sort(order[hit])
+    if not len(hit):
+        return None
+    off = (np.arange(len(owner)) - starts(sizes)[owner])[hit].astype(np.int32)
+    own, count = np.unique(owner[hit], return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts(count), len(hit)).astype(np.int32)), pa.array(off))
+    return pa.RecordBatch.from_arrays([pa.array(anchor[own]), table.column("c").take(pa.array(own)).combine_chunks(), lists], ["anchor", "c", "offs"])
+
+
+def _sorted_in_tasks(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
+    """One bucket after another, in blocks of about BLOCK_WINDOWS windows, which bounds what a task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows * (kind.length - kind.gram + 1)
+            if size > BLOCK_WINDOWS:
+                table = pa.Table.from_batches(held)
+                last = table.column("anchor").to_numpy()
+                cut = int(np.searchsorted(last, last[-1]))  # the last bucket may go on
+                if cut and (out := resolve(table.slice(0, cut), kind, earlier)):
+                    yield out
+                held = table.slice(cut).to_batches()
+                size = sum(x.num_rows for x in held) * (kind.length - kind.gram + 1)
+        if held and sum(x.num_rows for x in held) and (out := resolve(pa.Table.from_batches(held), kind, earlier)):
+            yield out
 
+    return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, OFFS)
 
-def verdicts(found: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
-    """(d, k, spans array of (start, windows)): the windows that repeat, of each document that has any.
 
-    earlier: whether a window must also start in a document with a smaller d; else anywhere else.
-    """
-    contexts = found.groupBy(CONTEXT).agg(F.count("*").alias("times"), F.min("d").alias("first"), F.max("d").alias("last"))
-    contexts = materialise(contexts, "contexts")
-    anchors = contexts.groupBy("anchor").agg(
-        F.count("*").alias("texts"), F.sum("times").alias("runs"), F.min("first").alias("a"), F.max("last").alias("b")
-    )
-    anchors = anchors.where("a < b" if earlier else "runs > 1").select("anchor", (F.col("texts") > 1).alias("mixed"))
-    contexts = materialise(contexts.join(anchors, "anchor"), "contexts")
+def _grouped(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
+    """The same for anchors with very many texts: windows grouped by Spark, with no bucket in one place."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = Tokens(kind)
         for batch in batches:
-            parts = [parse.windows(p) for p in batch.column(5).to_pylist()]
+            parts = [parse.windows(p) for p in batch.column("payload").to_pylist()]
             sizes = np.array([len(p) for p in parts], np.int64)
             if not sizes.sum():
                 continue
             owner = np.repeat(np.arange(len(parts)), sizes)
-            hashes = np.array([xxhash.xxh3_128_digest(w) for p in parts for w in p]).view(np.int64).reshape(-1, 2)
+            h = np.array([xxhash.xxh3_64_intdigest(w) for p in parts for w in p], np.uint64).view(np.int64)
             off = (np.arange(len(owner)) - starts(sizes)[owner]).astype(np.int32)
-            columns = [*(batch.column(i).take(pa.array(owner)) for i in range(5)), pa.array(off), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "c1", "c2", "times", "first", "off", "h1", "h2"])
-
-    mixed = contexts.where("mixed").select(*CONTEXT, "times", "first")
-    texts = found.select(*CONTEXT, "d", "k", "lo", "payload").join(mixed, CONTEXT).where("d = first")
-    one = texts.groupBy(CONTEXT).agg(*(F.first(c).alias(c) for c in ("times", "first", "payload")))
-    schema = "anchor long, c1 long, c2 long, times long, first long, off int, h1 long, h2 long"
-    windows = materialise(one.select(*CONTEXT, "times", "first", "payload").mapInArrow(expand, schema), "windows")
-    groups = windows.groupBy("h1", "h2").agg(F.sum("times").alias("in_all"), F.min("first").alias("least"))
-    again = windows.where("true" if earlier else "times = 1").join(groups.where("true" if earlier else "in_all > 1"), ["h1", "h2"])
-    again = again.where("least < first") if earlier else again
-    single = again.groupBy(CONTEXT).agg(F.collect_set("off").alias("offs"))
-    context = contexts.join(single, CONTEXT, "left").where(F.col("offs").isNotNull() | (F.lit(earlier) & F.expr("first < last")) | (~F.lit(earlier) & F.expr("times > 1")))
-    context = materialise(context.select(*CONTEXT, "times", "first", "offs"), "verdicts")
+            columns = [*(batch.column(c).take(pa.array(owner)) for c in ("anchor", "c", "times", "first")), pa.array(off), pa.array(h)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "c", "times", "first", "off", "h"])
 
-    whole = F.col("d") > F.col("first") if earlier else F.col("times") > 1
-    spans = F.when(whole, F.array(F.struct(F.col("lo").alias("start"), F.col("n").alias("windows")))).otherwise(
-        F.transform("offs", lambda o: F.struct((F.col("lo") + o).alias("start"), F.lit(1).alias("windows")))
+    schema = "anchor long, c long, times long, first long, off int, h long"
+    windows = materialise(texts.select("anchor", "c", "times", "first", "payload").mapInArrow(expand, schema), "windows")
+    groups = windows.groupBy("anchor", "h").agg(F.sum("times").alias("in_all"), F.min("first").alias("least"))
+    hits = windows.join(groups, ["anchor", "h"]).where("least < first" if earlier else "times = 1 and in_all > 1")
+    return hits.groupBy(CONTEXT).agg(F.collect_set("off").alias("offs"))
+
+
+def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, earlier: bool, bucket_texts: int = BUCKET_TEXTS, scratch: list | None = None) -> DataFrame:
+    """(d, k, spans array of (start, windows)): the windows that repeat, of each document that has any.
+
+    earlier: whether a window must also start in a document with a smaller d; else anywhere else. Tables written on the way
+    are added to scratch. They are written so that the sides of the next join are plain shuffles, which Spark can split
+    where an anchor or a text is hot.
+    """
+    scratch = [] if scratch is None else scratch
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialise(df, name))
+        return scratch[-1]
+
+    anchors = found.groupBy("anchor").agg(
+        F.min("d").alias("a"), F.max("d").alias("b"), F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("runs")
     )
-    hits = found.select("d", "k", "lo", "n", *CONTEXT).join(context, CONTEXT).select("d", "k", spans.alias("s")).where("s is not null")
-    return hits.groupBy("d", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    anchors = written(anchors.where("a < b" if earlier else "runs > 1").select("anchor", "a", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
+    # of an anchor with one text every run repeats, but for the first document's
+    placed = written(found.join(anchors, "anchor").where("mixed or d > a" if earlier else "true").select("d", "k", "at", *CONTEXT, "mixed"), "placed")
+    mixed = placed.where("mixed").drop("mixed")
+    contexts = written(mixed.groupBy(CONTEXT).agg(F.count("*").alias("times"), F.min("d").alias("first")), "contexts")
+    sized = written(contexts.groupBy("anchor").agg(F.count("*").alias("texts")), "sized")
+    contexts = written(contexts.join(sized, "anchor"), "contexts")
+    told = written(mixed.join(contexts, CONTEXT), "told")
+    whole = F.col("d") > F.col("first") if earlier else F.col("times") > 1
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = Tokens(kind)
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column(0), batch.column(1)):
+                tokens = parse.split(text.as_py() or b"")
+                for r in own.as_py():
+                    lo, n = r["at"] >> PLACE_BITS, r["at"] & (1 << PLACE_BITS) - 1
+                    out.append((r["anchor"], r["c"], r["times"], r["first"], r["texts"], parse.payload(tokens, lo, lo + n + kind.length - 1)))
+            if out:
+                columns = [pa.array(x, pa.binary() if i == 5 else pa.int64()) for i, x in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "c", "times", "first", "texts", "payload"])
+
+    asked = told.where("d = first").select("d", "k", F.struct("at", "anchor", "c", "times", "first", "texts").alias("r"))
+    asked = written(asked.groupBy("d", "k").agg(F.collect_list("r").alias("own")), "asked")  # at most a document's runs
+    texts = rows.join(asked, ["d", "k"]).select("t", "own")  # a text that comes twice changes nothing
+    texts = written(texts.mapInArrow(pick, "anchor long, c long, times long, first long, texts long, payload binary"), "texts")
+    small = _sorted_in_tasks(texts.where(F.col("texts") <= bucket_texts), kind, earlier)
+    single = written(small.unionByName(_grouped(texts.where(F.col("texts") > bucket_texts), kind, earlier)), "single")
+
+    lo, n = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    every = F.array(F.struct(lo.alias("start"), n.alias("windows")))
+    some = F.transform("offs", lambda o: F.struct((lo + o).alias("start"), F.lit(1).cast("long").alias("windows")))
+    parts = [
+        placed.where("not mixed").select("d", "k", every.alias("s")),
+        told.where(whole).select("d", "k", every.alias("s")),
+        told.where(~whole).join(single, CONTEXT).select("d", "k", some.alias("s")),
+    ]
+    spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return spans.groupBy("d", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def marks(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
     """(d, k, spans) of the documents with windows that repeat; d and k as in keyed()."""
     rows = keyed(docs)
     bits = sketch(rows, kind, earlier, max_cells)
-    found = materialise(runs(rows, kind, bits), "runs")
-    return materialise(verdicts(found, kind, earlier), "marks")
+    scratch = [materialise(runs(rows, kind, bits), "runs")]
+    out = materialise(verdicts(rows, scratch[0], kind, earlier, scratch=scratch), "marks")
+    for table in scratch:
+        release(table)
+    return out
 
 
 def repeated(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:

@@ -80,9 +80,16 @@ def test_full_sketch_loses_nothing(spark, monkeypatch):
     gone = {r.d: int(repeats.removed(r.spans, len((r.t or b"").split()), 10).sum()) for r in out}
     assert gone == {i: n for i, _, n, _ in brute_words(rows, 10)}
     monkeypatch.setattr(repeats, "may_repeat", lambda anchor, bits: np.ones(len(anchor), bool))
-    found = repeats.runs(repeats.keyed(frame(spark, rows)), kind, np.zeros(16, np.uint8))
-    marks = {r.d: r.spans for r in repeats.verdicts(found, kind, earlier=False).collect()}
-    assert {i: int(repeats.removed(marks.get(i), len((t or "").split()), 10).sum()) for i, t in rows} == gone
+    rows_ = repeats.keyed(frame(spark, rows))
+    for bucket_texts in (1, 4096):  # 1: all anchors with several texts go through Spark's grouping
+        found = repeats.runs(rows_, kind, np.zeros(16, np.uint8)).cache()
+        marks = {r.d: r.spans for r in repeats.verdicts(rows_, found, kind, False, bucket_texts).collect()}
+        assert {i: int(repeats.removed(marks.get(i), len((t or "").split()), 10).sum()) for i, t in rows} == gone
+
+
+def test_small_blocks_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_WINDOWS", 50)
+    test_bytes_match_brute_force(spark)
 
 
 def test_long_rows_are_taken_in_pieces(monkeypatch):
