@@ -414,11 +414,23 @@ def repeated(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 2
     return keyed(docs).join(marks(docs, kind, earlier, max_cells), ["d", "k"], "left")
 
 
-def removed(spans, size: int, length: int) -> np.ndarray:
+def span_arrays(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Each row's spans as (starts, windows), or None for a row without; no span becomes a Python object."""
+    begin, windows = (column.values.field(name).to_numpy() for name in ("start", "windows"))
+    edges = column.offsets.to_numpy()
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield (begin[a:b], windows[a:b]) if b > a else None
+
+
+def covered(spans: tuple[np.ndarray, np.ndarray] | None, size: int, length: int) -> np.ndarray:
     """Which of a document's tokens some repeated window covers."""
-    if not spans:
+    if spans is None:
         return np.zeros(size, bool)
-    begin = np.array([s["start"] for s in spans], np.int64)
-    end = begin + np.array([s["windows"] for s in spans], np.int64) + length - 1
-    edge = np.bincount(begin, minlength=size + 1).astype(np.int64) - np.bincount(end, minlength=size + 1)
+    begin, end = spans[0], spans[0] + spans[1] + length - 1
+    edge = np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)
     return np.cumsum(edge[:size]) > 0
+
+
+def removed(spans, size: int, length: int) -> np.ndarray:
+    """covered() for spans that were collected."""
+    return covered((np.array([s["start"] for s in spans], np.int64), np.array([s["windows"] for s in spans], np.int64)) if spans else None, size, length)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.repeats import Kind, keys, marks, removed, repeated
+from sievework.llm.repeats import Kind, covered, keys, marks, repeated, span_arrays
 
 WINDOW = 35
 #: A word and the white space after it.
@@ -39,11 +39,11 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(place), batch.column(batch.num_columns - 1)):
-                text, spans = text.as_py(), spans.as_py()
-                if spans:
+            for text, spans in zip(batch.column(place), span_arrays(batch.column(batch.num_columns - 1))):
+                text = text.as_py()
+                if spans is not None:
                     raw = text.encode()
-                    text = cut(raw, removed(spans, len(raw.split()), window)).decode()
+                    text = cut(raw, covered(spans, len(raw.split()), window)).decode()
                 texts.append(text)
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, pa.string())
@@ -67,10 +67,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, texts, shas = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
+            for text, spans in zip(batch.column(1), span_arrays(batch.column(2))):
                 text = text.as_py() or b""
                 words = text.split()
-                out = removed(spans.as_py(), len(words), window)
+                out = covered(spans, len(words), window)
                 if out.any():
                     keep = (~out).tolist()
                     kept = [w for w, k in zip(words, keep) if k]
