@@ -317,8 +317,8 @@ def _sorted_in_tasks(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, OFFS)
 
 
-def _grouped(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
-    """The same for anchors with very many texts: windows grouped by Spark, with no bucket in one place."""
+def _expanded(texts: DataFrame, kind: Kind) -> DataFrame:
+    """(anchor, c, times, first, off, h): a hash of every window of the texts, for _grouped()."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = Tokens(kind)
@@ -334,7 +334,11 @@ def _grouped(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "c", "times", "first", "off", "h"])
 
     schema = "anchor long, c long, times long, first long, off int, h long"
-    windows = materialise(texts.select("anchor", "c", "times", "first", "payload").mapInArrow(expand, schema), "windows")
+    return texts.select("anchor", "c", "times", "first", "payload").mapInArrow(expand, schema)
+
+
+def _grouped(windows: DataFrame, earlier: bool) -> DataFrame:
+    """What _sorted_in_tasks() gives, for anchors with very many texts: grouped by Spark, with no bucket in one place."""
     groups = windows.groupBy("anchor", "h").agg(F.sum("times").alias("in_all"), F.min("first").alias("least"))
     hits = windows.join(groups, ["anchor", "h"]).where("least < first" if earlier else "times = 1 and in_all > 1")
     return hits.groupBy(CONTEXT).agg(F.collect_set("off").alias("offs"))
@@ -353,17 +357,27 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, earlier: bool, bucke
         scratch.append(materialise(df, name))
         return scratch[-1]
 
+    def done(*tables: DataFrame) -> None:
+        """Delete those of the tables that are ours, before the next large one is written."""
+        for table in tables:
+            if any(table is own for own in scratch):
+                release(table)
+                scratch[:] = [own for own in scratch if own is not table]
+
     anchors = found.groupBy("anchor").agg(
         F.min("d").alias("a"), F.max("d").alias("b"), F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("runs")
     )
     anchors = written(anchors.where("a < b" if earlier else "runs > 1").select("anchor", "a", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
     # of an anchor with one text every run repeats, but for the first document's
     placed = written(found.join(anchors, "anchor").where("mixed or d > a" if earlier else "true").select("d", "k", "at", *CONTEXT, "mixed"), "placed")
+    done(found, anchors)
     mixed = placed.where("mixed").drop("mixed")
-    contexts = written(mixed.groupBy(CONTEXT).agg(F.count("*").alias("times"), F.min("d").alias("first")), "contexts")
-    sized = written(contexts.groupBy("anchor").agg(F.count("*").alias("texts")), "sized")
-    contexts = written(contexts.join(sized, "anchor"), "contexts")
+    plain = written(mixed.groupBy(CONTEXT).agg(F.count("*").alias("times"), F.min("d").alias("first")), "plain")
+    sized = written(plain.groupBy("anchor").agg(F.count("*").alias("texts")), "sized")
+    contexts = written(plain.join(sized, "anchor"), "contexts")
+    done(plain, sized)
     told = written(mixed.join(contexts, CONTEXT), "told")
+    done(contexts)
     whole = F.col("d") > F.col("first") if earlier else F.col("times") > 1
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,8 +397,11 @@ def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, earlier: bool, bucke
     asked = written(asked.groupBy("d", "k").agg(F.collect_list("r").alias("own")), "asked")  # at most a document's runs
     texts = rows.join(asked, ["d", "k"]).select("t", "own")  # a text that comes twice changes nothing
     texts = written(texts.mapInArrow(pick, "anchor long, c long, times long, first long, texts long, payload binary"), "texts")
+    done(asked)
     small = _sorted_in_tasks(texts.where(F.col("texts") <= bucket_texts), kind, earlier)
-    single = written(small.unionByName(_grouped(texts.where(F.col("texts") > bucket_texts), kind, earlier)), "single")
+    windows = written(_expanded(texts.where(F.col("texts") > bucket_texts), kind), "windows")
+    single = written(small.unionByName(_grouped(windows, earlier)), "single")
+    done(texts, windows)
 
     lo, n = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     every = F.array(F.struct(lo.alias("start"), n.alias("windows")))
