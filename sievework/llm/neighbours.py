@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import materialise
 
-SAMPLE, CENTROIDS, ROUNDS = 20_000, (4, 512), 12
-PROBED = 0.3, 2500  # of all vectors, and at least; the walk ends when its cells hold as many
+SAMPLE, CENTROIDS, ROUNDS = 20_000, (4, 128), 12
+PROBED = 0.4, 2500  # of all vectors, and at least; the walk ends when its cells hold as many
 UNIT_ROWS = 4096
 
 
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
     half = max(1, sample.shape[1] // 2)
     cells = int(min(CENTROIDS[1], max(CENTROIDS[0], 1 << max(0, round(np.log2(max(1, count) ** 0.5 * 2))))))
     left, right = k_means(sample[:, :half], cells, 1), k_means(sample[:, half:], cells, 2)
-    shared = spark.sparkContext.broadcast((left, right))  # at most 2 x 512 half vectors
+    shared = spark.sparkContext.broadcast((left, right))  # at most 2 x 128 half vectors
     across = len(right)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
 
     placed = materialise(index.select("h1", "h2", "v").mapInArrow(assign, "h1 long, h2 long, v array<double>, cell long"), "placed")
     sizes = np.zeros(len(left) * across, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most 512 x 512 cells
+    for r in placed.groupBy("cell").count().collect():  # at most 128 x 128 cells
         sizes[r["cell"]] = r["count"]
     wanted = max(probed[1], int(probed[0] * count))
     pieces = np.maximum(1, -(-sizes // unit_rows))
