@@ -310,7 +310,7 @@ def _stages(spark, folder):
 
 
 def stage_context(spark, folder):
-    """What each stage sees: the completed stages before it, in order (here the last 20)."""
+    """The completed ones among the 20 stages before each, as its SQL has it; stage_context_whole has all that a stage sees."""
     before = Window.partitionBy("evaluation_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.collect_list(F.when(F.col("completed"), F.col("stage_id"))).over(before.rowsBetween(-20, -1))
     return _stages(spark, folder).select("evaluation_id", "position", F.count("*").over(before).alias("before"), F.array_join(seen, ">").alias("context"))
@@ -321,6 +321,19 @@ SELECT user_id AS evaluation_id, event_id AS position, count(*) OVER (PARTITION
   coalesce(string_agg(CASE WHEN value >= 10 THEN event_type END, '>') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS context FROM events"""
 
 
+def stage_context_whole(spark, folder):
+    """What each stage sees: all completed stages before it, in order."""
+    before = Window.partitionBy("evaluation_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.collect_list(F.when(F.col("completed"), F.col("stage_id"))).over(before)
+    return _stages(spark, folder).select("evaluation_id", "position", F.count("*").over(before).alias("before"), F.array_join(seen, ">").alias("context"))
+
+
+STAGE_CONTEXT_WHOLE = """
+SELECT user_id AS evaluation_id, event_id AS position, count(*) OVER before AS before,
+  coalesce(string_agg(CASE WHEN value >= 10 THEN event_type END, '>') OVER before, '') AS context
+FROM events WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
 def stage_pivot(spark, folder):
     ids = ["click", "error", "purchase", "signup", "view"]
     return _stages(spark, folder).groupBy("evaluation_id").pivot("stage_id", ids).agg(F.max("position"))
@@ -391,7 +404,7 @@ FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS
 NAMES = (
     "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
-    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes"
+    "posting_ages score_bands sentence_split first_sentence stage_context stage_context_whole stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

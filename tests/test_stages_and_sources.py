@@ -69,3 +69,13 @@ def test_stream_prices_each_file_once(spark, tmp_path):
         assert found.count() == 4 * times and found.where("cost is null").count() == 0
     batch = accounting.priced(accounting.attempts_of_events(events), prices)
     assert round(batch.agg(F.sum("cost")).first()[0] * 2, 12) == round(found.select(F.sum(F.col("cost").cast("decimal(30,12)"))).first()[0], 12)
+
+
+def test_a_stage_sees_all_completed_stages_before_it(spark, tmp_path):
+    from sievework.plans.registry import QUERIES
+
+    rows = [(1, i, ["view", "click"][i % 2], 5.0 if i % 10 == 9 else 50.0) for i in range(60)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.position: r for r in QUERIES["stage_context_whole"](spark, str(tmp_path)).collect()}
+    for _, i, *_ in rows:
+        assert found[i].before == i and found[i].context == ">".join(t for _, j, t, v in rows if j < i and v >= 10)
