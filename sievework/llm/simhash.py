@@ -251,91 +251,140 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
     )
 
 
-TABLES, BANDS, WIDE, SIMILARITY = 6, 3, 8, 0.8
+#: Candidates agree in one of BANDS bands of BAND_ROWS minimum hashes each: at similarity s a pair is missed with the chance
+#: (1 - s ** BAND_ROWS) ** BANDS, 7e-5 at 0.8, however the texts were edited.
+BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
+#: Rounds of leaders before the remaining pairs of a bucket are all compared, and how many pairs a row make another round worth it.
+ROUNDS, PAIRS_A_ROW = 3, 4
 
 
-def expected_bits(similarity: float) -> int:
-    """Of WIDE x 64 bits, how many differ on average at this Jaccard similarity of sets of equal size."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(np.arccos(cosine) / np.pi * WIDE * 64)
+def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of the texts' shingle hashes, one after another, and their sizes."""
+    sets = [np.unique(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in texts]
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each set; equal sets have equal ones."""
+    first = starts(sizes)
+    return np.array([xxhash.xxh3_64_intdigest(flat[f : f + n].tobytes()) for f, n in zip(first.tolist(), sizes.tolist())], np.uint64)
+
+
+def band_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BANDS keys a set; two sets agree in each with the chance similarity ** BAND_ROWS. All zero for an empty set."""
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    first = starts(sizes[full])
+    seeds = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(-1, 2)
+    for band in range(BANDS):
+        key = np.full(len(full), band + 1, np.uint64)
+        for flip, factor in seeds[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            key = mix(key ^ np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), first))
+        out[full, band] = key
+    return out
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(rid, words, wide): TABLES fingerprints of the set of words, and WIDE of the set of `size`-word shingles."""
+    """(rid, node, n, bands): a hash of the set of `size`-word shingles, its size and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(1, max(TABLES, WIDE) + 1, dtype=np.uint64))
         for batch in batches:
-            out = []
-            for length, count in ((1, TABLES), (size, WIDE)):
-                rows = []
-                for at in range(0, batch.num_rows, 256):
-                    part = [set(shingle_hashes(t.as_py(), length)) for t in batch.column(1)[at : at + 256]]
-                    flat = np.fromiter(itertools.chain.from_iterable(part), np.uint64)
-                    sizes = np.fromiter(map(len, part), np.int64, len(part))
-                    rows.append(np.stack([majority_bits(mix(flat ^ s), sizes) for s in seeds[:count]], 1))
-                out.append(pa.array([r.tobytes() for r in np.concatenate(rows)] if rows else [], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["rid", "words", "wide"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, sizes = shingle_sets(part.column(1), size)
+                bands = pa.array([r.tobytes() for r in band_keys(flat, sizes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_keys(flat, sizes).view(np.int64)), pa.array(sizes), bands], ["rid", "node", "n", "bands"])
 
-    return docs.select("rid", utf8("text").alias("t")).mapInArrow(run, "rid long, words binary, wide binary")
+    return docs.select("rid", utf8("text").alias("t")).mapInArrow(run, "rid long, node long, n long, bands binary")
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes (rep, words, wide) -> (a, b): links between texts at least this similar, enough to join each bucket's components.
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles: array of their hashes) of the given nodes (node, rep), computed again from the texts."""
 
-    Candidates agree in a band of one word fingerprint; the Gray-order index of the band's bucket drops what is far apart
-    in that fingerprint, the wide fingerprint decides. A bucket returns a spanning star for each component.
-    """
-    # about two deviations past what pairs at the bound show, so that few of these are missed
-    most = expected_bits(similarity) + 8
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, TABLES)
-            for t in range(TABLES):
-                for j in range(BANDS):
-                    value = words[:, t] >> np.uint64(64 // BANDS * j) & np.uint64((1 << 64 // BANDS) - 1)
-                    key = mix(value | np.uint64(t * BANDS + j + 1) << np.uint64(32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(words[:, t].view(np.int64)), batch.column(0), batch.column(2)], ["bucket", "fp", "rep", "wide"]
-                    )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, sizes = shingle_sets(part.column(1), size)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(flat, sizes).view(np.int64)), lists], ["node", "shingles"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [x for x in batches if x.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        bucket, fp, rep = (table.column(k).to_numpy() for k in range(3))
-        order = np.argsort(bucket, kind="stable")
-        _, sizes = np.unique(bucket, return_counts=True)
-        order = order[np.repeat(sizes, sizes) > 1]
-        if not len(order):
-            return
-        wide = np.frombuffer(b"".join(table.column(3).take(pa.array(order)).to_pylist()), np.uint64).reshape(-1, WIDE)
+    own = docs.join(nodes.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
+    found = own.select(utf8("text").alias("t")).select(F.lit(0), "t").mapInArrow(run, "node long, shingles array<long>")
+    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this Jaccard similarity, exactly."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
 
-        def same(i, j):
-            return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= most
 
-        a, b = bucket_stars(fp[order].view(np.uint64), rep[order], sizes[sizes > 1], 16, same)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def similar_links(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """nodes (node, rep, n, bands) -> (a, b): enough links to join every two nodes of a bucket that chains of near sets join.
 
-    dealt = nodes.select("rep", "words", "wide").mapInArrow(bands, "bucket long, fp long, rep long, wide binary")
-    return dealt.repartition("bucket").mapInArrow(run, "a long, b long")
+    The members of a bucket (those that agree in a band) are compared with a leader first; only members that are in
+    different components afterwards need comparing, after some rounds each with each. All of it are joins and grouped
+    minima on plain tables, so that no task holds a bucket.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(owner), batch.column(1).take(owner)], ["bucket", "node", "n"])
+
+    dealt = nodes.where("n > 0").select("node", "n", "bands").mapInArrow(deal, "bucket long, node long, n long")
+    shared = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket"), "buckets")
+    rest = members = materialise(dealt.join(shared, "bucket", "left_semi").withColumn("component", F.col("node")), "members")
+    of = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep")
+    sets = materialise(sets_of(docs, of, size), "sets")
+    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    found, k, last = None, 0, False
+    while True:
+        if last:
+            leads = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+        else:
+            lead = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c")))
+            leads = materialise(rest.groupBy("bucket").agg(lead.alias("lead")).select("bucket", "lead.b", "lead.m", "lead.c"), "leads")
+        pairs = rest.join(leads, "bucket").where(F.col("component") < F.col("c") if last else F.col("component") != F.col("c"))
+        pairs = pairs.where(near(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        edges = materialise(similar_pairs(materialise(pairs, "pairs"), sets, similarity), "links")
+        found = edges if found is None else found.unionByName(edges)
+        if last:
+            return found
+        joined = components(found).select("node", F.col("component").alias("joined"))
+        now = rest.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("joined", "node").alias("component"))
+        now = materialise(now, "labelled")
+        parts = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("part"))
+        mixed = parts.groupBy("bucket").agg(F.sum("part").alias("rows"), F.sum(F.col("part") * F.col("part")).alias("within"), F.count("*").alias("parts"))
+        mixed = materialise(mixed.where("parts > 1"), "mixed")
+        rows, cross = mixed.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows") - F.col("within")) / 2).first()
+        if not rows:
+            return found
+        rest = materialise(now.join(mixed.select("bucket"), "bucket", "left_semi"), "rest")
+        k += 1
+        last = k == ROUNDS or cross <= PAIRS_A_ROW * rows
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document, the one with the smallest doc_id, of each group of near-duplicates.
 
-    Texts are near when their sets of `size`-word shingles (lower-cased) have about this Jaccard similarity or more, as
-    estimated by the wide SimHash; chains of near texts make a group. Texts without words make one group. A null doc_id
-    comes after all others; rows that agree in doc_id and text count as one document. All columns are returned.
+    Texts are near when their sets of `size`-word shingles (lower-cased) have at least this Jaccard similarity; chains of
+    near texts make a group. Texts without words make one group. A null doc_id comes after all others; rows that agree in
+    doc_id and text count as one document. All columns are returned.
     """
     id_ = F.col("doc_id").cast("long")
     rows = docs.withColumn("rid", F.coalesce(id_, F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))))
     found = materialise(signatures(rows, size), "signatures")
-    nodes = materialise(found.groupBy("wide").agg(F.min("rid").alias("rep"), F.min("words").alias("words")), "nodes")
-    joined = components(materialise(similar_links(nodes, similarity), "links"))
-    kept = nodes.join(joined, nodes.rep == joined.node, "left_anti").select(F.col("rep").alias("rid"))
+    nodes = materialise(found.groupBy("node").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.min("bands").alias("bands")), "nodes")
+    joined = components(similar_links(nodes, rows, size, similarity)).select("node", F.col("component").alias("joined"))
+    classes = nodes.select("node", "rep").join(joined, "node", "left")
+    kept = classes.groupBy(F.coalesce("joined", "node")).agg(F.min("rep").alias("rid")).select("rid")
     once = Window.partitionBy("rid").orderBy(F.xxhash64("text"))
     stay = rows.join(kept, "rid", "left_semi").withColumn("nth_", F.row_number().over(once))
     return stay.where("nth_ = 1").select(docs.columns)

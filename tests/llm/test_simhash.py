@@ -113,3 +113,53 @@ def test_near_duplicates_leave_one(spark):
     kept = sorted(r.doc_id for r in out.collect())
     assert kept == [g[0] for g in group.values()] + [500, 502, 504]
     assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0
+
+
+def edited(rng, base, vocabulary, kind):
+    """A copy of base whose five-word shingles have a Jaccard similarity of about 0.82."""
+    n, cut = len(base), max(2, len(base) * 18 // 100)
+    if kind == "truncated":
+        return base[: n - cut]
+    if kind == "appended":
+        return base + list(rng.choice(vocabulary, cut))
+    at = int(rng.integers(10, n - cut // 2 - 10))
+    return base[:at] + list(rng.choice(vocabulary, max(1, cut // 2 - 4))) + base[at + max(1, cut // 2 - 4) :]
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_are_found_and_exact_similarity_decides(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    docs, near = [], []
+    for g in range(240):
+        base = list(rng.choice(vocabulary, int(rng.integers(100, 500))))
+        copy = edited(rng, base, vocabulary, ("truncated", "appended", "replaced")[g % 3])
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        near.append(jaccard(base, copy) >= 0.8)
+    for g in range(60):  # just below the bound: these must stay
+        base = list(rng.choice(vocabulary, 300))
+        docs += [(1000 + 2 * g, " ".join(base)), (1001 + 2 * g, " ".join(base[:232]))]
+        near.append(False)
+    assert sum(near) > 200
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    firsts = [d for d, _ in docs[::2]]
+    assert kept == set(firsts) | {d + 1 for d, n in zip(firsts, near) if not n}
+
+
+def test_one_large_group_of_variants_and_a_chain(spark):
+    rng = np.random.default_rng(22)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    base = list(rng.choice(vocabulary, 200))
+    docs = []
+    for i in range(300):
+        text = list(base)
+        text[int(rng.integers(200))] = f"v{i}"
+        docs.append((i, " ".join(text)))
+    slide = list(rng.choice(vocabulary, 400))  # neighbours are near, the ends have nothing in common
+    docs += [(500 + i, " ".join(slide[10 * i : 10 * i + 150])) for i in range(20)]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == [0, 500]
