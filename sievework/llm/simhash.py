@@ -255,7 +255,7 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
 #: (1 - s ** BAND_ROWS) ** BANDS, 7e-5 at 0.8, however the texts were edited.
 BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
 #: Rounds of leaders before the remaining pairs of a bucket are all compared, and how many pairs a row make another round worth it.
-ROUNDS, PAIRS_A_ROW = 3, 4
+ROUNDS, PAIRS_A_ROW = 3, 100
 
 
 def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
