@@ -1,22 +1,22 @@
 """Exact repeats of fixed-length windows across a corpus; the engine of operators 8 (bytes) and 10 (words).
 
-A window is `length` consecutive tokens. Its anchor is the grams-long piece in it with the smallest hash, leftmost first:
-a function of the window's content, so equal windows have equal anchors at equal places (a string synchronising set).
-Consecutive windows with the same anchor form a run; there are about 2 runs for every (length - gram + 2) tokens.
-
-1. sketch(): every partition counts its runs' anchors in a count-min sketch of two rows; the partition sketches are
-   merged, segment by segment, in Spark. Counts saturate at two, all that is asked of them, so a merged cell is one bit.
-   A window occurs at most as often as its anchor, so the sketch never underestimates a window. Its size follows the
-   input up to `max_cells`, which bounds what is broadcast (one bit a cell); a full sketch only lets more runs through.
-2. runs(): a second pass writes the runs whose anchor may repeat, with a hash of the text they span. Nothing that repeats
-   is lost.
-3. verdicts(): runs are grouped exactly, by anchor and text (two 64-bit hashes together). Where all runs of an anchor span
-   the same text, all their windows repeat together and need no look at single windows: the text's name settles the tie.
-   Only where one anchor has different texts is one run of each text split into its windows. An anchor is a bucket: tasks
-   sort the windows of one block of buckets after another. An anchor with more texts than a task should hold has its
-   windows grouped by Spark instead.
-
-No group is gathered in a task: groupings are aggregates with map-side combination, joins can be split where a key is hot.
+A window is `length` consecutive tokens. Texts are gathered into blocks of a few MB. Blocks ask about keys, sorted and each
+once a block however often it comes; a key's place in the hash order gives the segment (one suffix bucket) that answers, and
+a task sorts one segment after another. Segments are as many as the keys need, so that none grows with the input, and a
+string that a third of all rows hold reaches its segment at most once from each block. Two rounds of asking tell all:
+
+1. Words (estimates): the keys are cells of a count-min sketch, one row with 2^32 cells a segment, kept sparse. Blocks send
+   their partition sketches, segments merge them and answer which cells count two or more. Counts are never too low, so no
+   window that repeats is lost.
+   Bytes (cover): a window's sample is the `gram`-long piece in it with the smallest hash, leftmost first, so that equal
+   windows have equal samples at equal places (a string synchronising set, the content-defined kin of a difference cover).
+   Consecutive windows with one sample form a run. Segments name each sample by the text of its run. A name that an earlier
+   document has too settles all windows of the run at once, however long the tie; a run needs a closer look only if an
+   earlier document has its sample within another text.
+2. Windows that round 1 leaves open (words: estimated as repeated; bytes: of runs that need the closer look) are grouped
+   exactly by 128-bit hashes.
+
+Between the rounds a block is read twice, never in more than one task, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialise, mix, release, starts, utf8
+from sievework.llm.common import materialise, mix, ranges, release, starts, utf8
 
-SEGMENT = 1 << 16
-CHUNK, PIECE = 1 << 19, 1 << 22
+CHUNK = 1 << 19  # tokens that are hashed at a time
+BLOCK_BYTES, SEGMENT_KEYS = 1 << 22, 1 << 20  # text in a block; keys in a segment, about
 BASE = np.uint64(0x9E3779B97F4A7C15)
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -75,10 +76,6 @@ class Tokens:
     def payload(self, tokens, begin: int, end: int) -> bytes:
         return b" ".join(tokens[begin:end]) if self.kind.words else tokens[begin:end]
 
-    def windows(self, payload: bytes) -> list[bytes]:
-        tokens, size = self.split(payload), self.kind.length
-        return [self.payload(tokens, i, i + size) for i in range(len(tokens) - size + 1)]
-
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every `width` neighbours, by doubling."""
@@ -106,8 +103,8 @@ def gram_hashes(tokens: np.ndarray, gram: int) -> np.ndarray:
             power, size = power * power, size * 2
 
 
-def anchor_runs(tokens: np.ndarray, sizes: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor) of every run; tokens: those of all documents, each at least a window long."""
+def sample_runs(tokens: np.ndarray, sizes: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """(document, first window, windows, sample) of every run; tokens: those of all documents, each at least a window long."""
     begin = starts(sizes)
     grams = gram_hashes(tokens, kind.gram)
     packed = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
@@ -126,37 +123,29 @@ def anchor_runs(tokens: np.ndarray, sizes: np.ndarray, kind: Kind) -> tuple[np.n
 
 
 def documents_runs(texts, parse: Tokens) -> Iterator[tuple]:
-    """(row, tokens, first windows, windows, anchors) for the rows of a batch, some rows at a time; a very long row in pieces."""
+    """(row, tokens, first windows, windows, samples) for the rows of a block, some rows at a time."""
     kind, held, size = parse.kind, [], 0
 
     def flush():
         if held:
-            doc, at, count, anchor = anchor_runs(np.concatenate([h for *_, h in held]), np.array([len(h) for *_, h in held]), kind)
+            doc, at, count, sample = sample_runs(np.concatenate([h for *_, h in held]), np.array([len(h) for *_, h in held]), kind)
             cut = np.searchsorted(doc, np.arange(len(held) + 1))
-            for k, (row, tokens, offset, _) in enumerate(held):
-                a, b = cut[k], cut[k + 1]
-                yield row, tokens, at[a:b] + offset, count[a:b], anchor[a:b]
+            for k, (row, tokens, _) in enumerate(held):
+                own = slice(cut[k], cut[k + 1])
+                yield row, tokens, at[own], count[own], sample[own]
             held.clear()
 
     for row, text in enumerate(texts):
-        tokens = parse.split(text.as_py() or b"")
-        for offset in range(0, max(1, len(tokens) - kind.length + 1), PIECE):
-            part = tokens[offset : offset + PIECE + kind.length - 1] if len(tokens) > PIECE else tokens
-            if len(part) >= kind.length:
-                held.append((row, tokens, offset, parse.hashes(part)))
-                size += len(part)
-            if size >= CHUNK:
-                yield from flush()
-                size = 0
+        tokens = parse.split(text.as_py())
+        if len(tokens) >= kind.length:
+            held.append((row, tokens, parse.hashes(tokens)))
+            size += len(tokens)
+        if size >= CHUNK:
+            yield from flush()
+            size = 0
     yield from flush()
 
 
-def cells(anchor: np.ndarray, count: int) -> list[np.ndarray]:
-    """The anchors' cells in the two rows of a sketch of `count` cells (a power of two)."""
-    half = np.uint64(count // 2 - 1)
-    return [mix(anchor) & half, (mix(anchor ^ BASE) & half) + np.uint64(count // 2)]
-
-
 def keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")]
 
@@ -167,268 +156,350 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(d.alias("d"), k.alias("k"), utf8("text").alias("t"))
 
 
-def sketch(rows: DataFrame, kind: Kind, per_document: bool, max_cells: int) -> np.ndarray:
-    """One bit a cell, packed: whether at least two runs (per_document: documents) fall into it."""
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    wanted = 4 * 2 * size / kind.bytes_per_token / (kind.length - kind.gram + 2)
-    count = int(min(max_cells, 1 << max(17, int(np.ceil(np.log2(wanted + 1))))))
+def blocks(rows: DataFrame, kind: Kind) -> DataFrame:
+    """keyed() rows, about BLOCK_BYTES of text in each block: (block, size, d, k, off, t), the last four arrays.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse, held, n = Tokens(kind), [], 0
+    A longer text is cut into pieces that overlap by a window less a token, so that every window lies in one of them; off
+    is the place of a piece's first token.
+    """
 
-        def flush():
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.flatnonzero(np.diff(found // SEGMENT, prepend=-1))
-            for a, b in zip(cut, np.append(cut[1:], len(found))):
-                low = (found[a:b] % SEGMENT).astype(np.uint16)
-                yield int(found[a]) // SEGMENT, low.tobytes(), low[times[a:b] > 1].tobytes()
+    def pieces(d: int, k: int, text: bytes) -> Iterator[tuple]:
+        parse = Tokens(kind)
+        tokens = parse.split(text)
+        step = max(1, int(BLOCK_BYTES / kind.bytes_per_token))
+        for at in range(0, max(1, len(tokens) - kind.length + 1), step):
+            yield d, k, at, parse.payload(tokens, at, at + step + kind.length - 1)
 
-        def emit(parts):
-            parts = list(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], ["seg", "once", "twice"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            types = (pa.list_(pa.int64()),) * 3 + (pa.list_(pa.binary()),)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size]), *(pa.array([c], t) for c, t in zip(zip(*held), types))], ["block", "size", "d", "k", "off", "t"])
 
         for batch in batches:
-            for *_, anchor in documents_runs(batch.column(0), parse):
-                anchor = np.unique(anchor) if per_document else anchor
-                held += [c.astype(np.uint32) for c in cells(anchor, count)]
-                n += 2 * len(anchor)
-                if n > 4_000_000:
-                    yield from emit(flush())
-                    held, n = [], 0
-        if n:
-            yield from emit(flush())
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for seg, once, twice in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = seen.setdefault(seg, np.zeros(SEGMENT, np.uint8))
-                own[np.frombuffer(once, np.uint16)] += 1
-                own[np.frombuffer(twice, np.uint16)] += 1
-                np.minimum(own, 2, out=own)
-        for seg, own in seen.items():
-            bits = np.packbits(own > 1, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([bits], pa.binary())], ["seg", "bits"])
-
-    partial = rows.select("t").mapInArrow(scan, "seg int, once binary, twice binary")
-    merged = partial.repartition("seg").mapInArrow(merge, "seg int, bits binary")
-    out = np.zeros(count // 8, np.uint8)
-    for row in merged.toLocalIterator():  # at most max_cells / 8 bytes in all
-        out[row.seg * SEGMENT // 8 : (row.seg + 1) * SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
+            for d, k, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                text = text or b""
+                for row in pieces(d, k, text) if len(text) > BLOCK_BYTES else [(d, k, 0, text)]:
+                    held.append(row)
+                    size += len(row[3])
+                    if size >= BLOCK_BYTES:
+                        yield flush()
+                        block, held, size = block + 1, [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(pack, "block long, size long, d array<long>, k array<long>, off array<long>, t array<binary>")
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """64-bit columns as bytes, those of like weight together, which Spark's compression makes good use of."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), 8).T).tobytes() for c in columns)
+
+
+def unpacked(data: bytes, *sizes: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel())
+        at += 8 * n
     return out
 
 
-def may_repeat(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    found = np.ones(len(anchor), bool)
-    for cell in cells(anchor, len(bits) * 8):
-        found &= (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-    return found
+def segment_of(key: np.ndarray, count: int) -> np.ndarray:
+    """The segment of a hash: its place in the order of all hashes, so segments of sorted keys come in order."""
+    return ((key >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def runs(rows: DataFrame, kind: Kind, bits: np.ndarray) -> DataFrame:
-    """(d, k, at, anchor, c) of the runs whose anchor may repeat; c hashes what a run spans, at holds its place (see place())."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    names = ["d", "k", "at", "anchor", "c"]
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns begin a new group."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def asked(segment: np.ndarray, block: int, columns: list[np.ndarray]) -> Iterator[tuple]:
+    """(seg, block, n, data) of sorted keys, a row a segment."""
+    cut = np.flatnonzero(firsts(segment))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(segment)).tolist()):
+        yield int(segment[a]), block, b - a, packed(*(c[a:b] for c in columns))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = Tokens(kind)
-        for batch in batches:
-            row_of, ats, anchors, contexts = [], [], [], []
-            for row, tokens, at, count, anchor in documents_runs(batch.column(2), parse):
-                keep = may_repeat(anchor, shared.value)
-                at, count = at[keep], count[keep]
-                spans = zip(at.tolist(), (at + count + kind.length - 1).tolist())
-                contexts += [xxhash.xxh3_64_intdigest(parse.payload(tokens, i, j)) for i, j in spans]
-                row_of.append(np.full(len(at), row))
-                ats.append(at << PLACE_BITS | count)
-                anchors.append(anchor[keep])
-            if contexts:
-                row = pa.array(np.concatenate(row_of))
-                longs = (np.concatenate(ats), np.concatenate(anchors).view(np.int64), np.array(contexts, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, longs)], names)
-
-    return rows.select("d", "k", "t").mapInArrow(scan, "d long, k long, at long, anchor long, c long")
-
-
-#: A run's first window is at >> PLACE_BITS, the number of its windows the bits below.
-PLACE_BITS = 20
-#: Texts that one anchor may have to be sorted in one task; anchors with more go another, equally exact way.
-BUCKET_TEXTS = 4096
-BLOCK_WINDOWS = 200_000
-CONTEXT = ["anchor", "c"]
-OFFS = "anchor long, c long, offs array<int>"
-
-
-def sort_keys(windows: list[bytes], words: bool) -> list[np.ndarray]:
-    """Columns that order windows: byte strings by their bytes, eight at a time; word windows by a 128-bit hash."""
-    if words:
-        return list(np.array([xxhash.xxh3_128_digest(w) for w in windows]).view(np.uint64).reshape(-1, 2).T)
-    size = len(windows[0])
-    rows = np.zeros((len(windows), -(-size // 8) * 8), np.uint8)
-    rows[:, :size] = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, size)
-    return list(rows.view(">u8").astype(np.uint64).T)
-
-
-def resolve(table: pa.Table, kind: Kind, earlier: bool) -> pa.RecordBatch | None:
-    """Sort the windows of whole buckets (anchors) and tell which repeat: (anchor, c, offs) of texts with any."""
-    parse = Tokens(kind)
-    parts = [parse.windows(p) for p in table.column("payload").to_pylist()]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    anchor, times, first = (table.column(c).to_numpy() for c in ("anchor", "times", "first"))
-    keys = sort_keys([w for p in parts for w in p], kind.words)
-    order = np.lexsort((*keys[::-1], anchor[owner]))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (anchor[owner], *keys)], axis=0)
-    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    if earlier:
-        hit = np.minimum.reduceat(first[owner][order], begin)[group] < first[owner][order]
-    else:
-        hit = (np.add.reduceat(times[owner][order], begin)[group] > 1) & (times[owner][order] == 1)
-    hit = np.sort(order[hit])
-    if not len(hit):
-        return None
-    off = (np.arange(len(owner)) - starts(sizes)[owner])[hit].astype(np.int32)
-    own, count = np.unique(owner[hit], return_counts=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts(count), len(hit)).astype(np.int32)), pa.array(off))
-    return pa.RecordBatch.from_arrays([pa.array(anchor[own]), table.column("c").take(pa.array(own)).combine_chunks(), lists], ["anchor", "c", "offs"])
-
-
-def _sorted_in_tasks(texts: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
-    """One bucket after another, in blocks of about BLOCK_WINDOWS windows, which bounds what a task holds."""
+
+ASKED = "seg int, block long, n int, data binary"
+
+
+def emit(rows: list[tuple], schema: tuple = (("seg", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary()))) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)], [n for n, _ in schema])
+
+
+def answered(questions: DataFrame, width: int, answer) -> DataFrame:
+    """(block, replies): for each block the answers of its segments, one byte a key; answer(columns) judges a whole segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows * (kind.length - kind.gram + 1)
-            if size > BLOCK_WINDOWS:
-                table = pa.Table.from_batches(held)
-                last = table.column("anchor").to_numpy()
-                cut = int(np.searchsorted(last, last[-1]))  # the last bucket may go on
-                if cut and (out := resolve(table.slice(0, cut), kind, earlier)):
-                    yield out
-                held = table.slice(cut).to_batches()
-                size = sum(x.num_rows for x in held) * (kind.length - kind.gram + 1)
-        if held and sum(x.num_rows for x in held) and (out := resolve(pa.Table.from_batches(held), kind, earlier)):
-            yield out
-
-    return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, OFFS)
-
-
-def _expanded(texts: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, c, times, first, off, h): a hash of every window of the texts, for _grouped()."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = Tokens(kind)
+        now, held = None, []
+
+        def flush():
+            columns = [np.concatenate(c) for c in zip(*(unpacked(data, *[n] * width) for _, n, data in held))]
+            out, at = answer(columns), 0
+            for block, n, _ in held:
+                yield block, now, out[at : at + n].tobytes()
+                at += n
+
+        def send(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "seg", "reply"])
+
         for batch in batches:
-            parts = [parse.windows(p) for p in batch.column("payload").to_pylist()]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            if not sizes.sum():
-                continue
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            h = np.array([xxhash.xxh3_64_intdigest(w) for p in parts for w in p], np.uint64).view(np.int64)
-            off = (np.arange(len(owner)) - starts(sizes)[owner]).astype(np.int32)
-            columns = [*(batch.column(c).take(pa.array(owner)) for c in ("anchor", "c", "times", "first")), pa.array(off), pa.array(h)]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "c", "times", "first", "off", "h"])
+            for seg, block, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if seg != now and held:
+                    yield send(list(flush()))
+                    held = []
+                now = seg
+                held.append((block, n, data))
+        if held:
+            yield send(list(flush()))
+
+    replies = questions.repartition("seg").sortWithinPartitions("seg").mapInArrow(run, "block long, seg int, reply binary")
+    return replies.groupBy("block").agg(F.collect_list(F.struct("seg", "reply")).alias("replies"))  # at most a block's keys
+
+
+def joined_replies(replies) -> np.ndarray:
+    """A block's answers in the order of its keys."""
+    return np.concatenate([np.frombuffer(r["reply"], np.uint8) for r in sorted(replies or [], key=lambda r: r["seg"])] or [np.zeros(0, np.uint8)])
+
+
+@dataclass
+class Runs:
+    """Runs of a block's windows: document (its place in the block), first window, number of windows."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
 
-    schema = "anchor long, c long, times long, first long, off int, h long"
-    return texts.select("anchor", "c", "times", "first", "payload").mapInArrow(expand, schema)
 
+class Cover:
+    """Round 1 for bytes: runs of windows that share a sample; keys are samples with the text of their run."""
 
-def _grouped(windows: DataFrame, earlier: bool) -> DataFrame:
-    """What _sorted_in_tasks() gives, for anchors with very many texts: grouped by Spark, with no bucket in one place."""
-    groups = windows.groupBy("anchor", "h").agg(F.sum("times").alias("in_all"), F.min("first").alias("least"))
-    hits = windows.join(groups, ["anchor", "h"]).where("least < first" if earlier else "times = 1 and in_all > 1")
-    return hits.groupBy(CONTEXT).agg(F.collect_set("off").alias("offs"))
+    width = 3
 
+    def __init__(self, kind: Kind):
+        self.kind = kind
+
+    def keys_of(self, size: int) -> float:
+        return 2 * size / self.kind.bytes_per_token / (self.kind.length - self.kind.gram + 2)
+
+    def read(self, d: np.ndarray, texts, segments: int) -> None:
+        """Set runs, the sorted distinct keys with their segments, and which key each run has."""
+        kind, parse, parts, names = self.kind, Tokens(self.kind), [], []
+        for row, tokens, at, count, sample in documents_runs(texts, parse):
+            parts.append((np.full(len(at), row), at, count, sample))
+            spans = zip(at.tolist(), (at + count + kind.length - 1).tolist())
+            names += [xxhash.xxh3_64_intdigest(parse.payload(tokens, i, j)) for i, j in spans]
+        doc, at, count, sample = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(4))
+        name, first = np.array(names, np.uint64), d[doc.astype(np.int64)]
+        sample = sample.astype(np.uint64)
+        order = np.lexsort((first, name, sample))
+        new = firsts(sample[order], name[order])
+        self.runs, self.key = Runs(doc.astype(np.int64), at.astype(np.int64), count.astype(np.int64)), np.empty(len(order), np.int64)
+        self.key[order] = np.cumsum(new) - 1
+        lead = order[new]
+        self.columns = [sample[lead], name[lead], first[lead].view(np.uint64)]
+        self.segment = segment_of(self.columns[0], segments)
+        self.later = first > first[lead][self.key] if len(order) else np.zeros(0, bool)
+
+    @staticmethod
+    def answer(columns: list[np.ndarray]) -> np.ndarray:
+        """1: an earlier document has the sample in the same text; 2: the windows need comparing one by one."""
+        sample, name, first = columns[0], columns[1], columns[2].view(np.int64)
+        order = np.lexsort((first, name, sample))
+        s, f = sample[order], first[order]
+        by_sample, by_text = firsts(s), firsts(s, name[order])
+        of_sample, begin = np.cumsum(by_sample) - 1, np.flatnonzero(by_sample)
+        whole = f > f[by_text][np.cumsum(by_text) - 1]
+        open_ = ~whole & (f > np.minimum.reduceat(f, begin)[of_sample])
+        closer = np.logical_or.reduceat(open_, begin)[of_sample] & ~whole
+        out = np.empty(len(order), np.uint8)
+        out[order] = whole + 2 * closer
+        return out
+
+    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run: whether all its windows repeat, whether they need comparing."""
+        own = told[self.key]
+        whole = (own == 1) | self.later
+        return whole, (own == 2) & ~whole
+
+
+class Sketch:
+    """Round 1 for words: a count-min sketch of all windows; keys are cells, with how often a block counts them (2: or more)."""
+
+    width = 2
+
+    def __init__(self, kind: Kind):
+        self.kind = kind
+
+    def keys_of(self, size: int) -> float:
+        return size / self.kind.bytes_per_token
+
+    def read(self, d: np.ndarray, texts, segments: int) -> None:
+        parse, length, rows, tokens = Tokens(self.kind), self.kind.length, [], []
+        for row, text in enumerate(texts):
+            words = parse.split(text.as_py())
+            if len(words) >= length:
+                rows.append(row)
+                tokens.append(parse.hashes(words))
+        sizes = np.array([len(h) for h in tokens], np.int64)
+        begin, owner = ranges(starts(sizes), sizes - length + 1) if rows else (np.zeros(0, np.int64),) * 2
+        self.tokens, self.place = np.concatenate(tokens or [np.zeros(0, np.uint64)]), begin
+        self.runs = Runs(np.array(rows, np.int64)[owner], begin - starts(sizes)[owner] if rows else begin, np.ones(len(begin), np.int64))
+        window = gram_hashes(self.tokens, length)[begin] if rows else self.tokens
+        cell = segment_of(window, segments).view(np.uint64) << np.uint64(32) | window & np.uint64(0xFFFFFFFF)
+        order = np.argsort(cell)
+        new = firsts(cell[order])
+        self.key = np.empty(len(order), np.int64)
+        self.key[order] = np.cumsum(new) - 1
+        cells = cell[order][new]
+        self.segment = (cells >> np.uint64(32)).astype(np.int64)
+        self.columns = [cells & np.uint64(0xFFFFFFFF), np.minimum(np.bincount(self.key), 2).astype(np.uint64)]
+
+    @staticmethod
+    def answer(columns: list[np.ndarray]) -> np.ndarray:
+        return repeated_keys(columns[:1], columns[1])
+
+    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = told[self.key] > 0
+        return np.zeros(len(own), bool), own
+
+
+def repeated_keys(columns: list[np.ndarray], times: np.ndarray) -> np.ndarray:
+    """1 for keys that come at least twice in all."""
+    order = np.lexsort(columns[::-1])
+    new = firsts(*(c[order] for c in columns))
+    out = np.empty(len(order), np.uint8)
+    out[order] = (np.add.reduceat(times[order], np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
+    return out
+
+
+def earlier_keys(columns: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """1 for keys that an earlier document has too."""
+    first = first.view(np.int64)
+    order = np.lexsort(columns[::-1])
+    new = firsts(*(c[order] for c in columns))
+    out = np.empty(len(order), np.uint8)
+    out[order] = first[order] > np.minimum.reduceat(first[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
-def verdicts(rows: DataFrame, found: DataFrame, kind: Kind, earlier: bool, bucket_texts: int = BUCKET_TEXTS, scratch: list | None = None) -> DataFrame:
-    """(d, k, spans array of (start, windows)): the windows that repeat, of each document that has any.
 
-    earlier: whether a window must also start in a document with a smaller d; else anywhere else. Tables written on the way
-    are added to scratch. They are written so that the sides of the next join are plain shuffles, which Spark can split
-    where an anchor or a text is hot.
+def window_keys(reader: Cover | Sketch, texts, which: np.ndarray) -> list[np.ndarray]:
+    """128 bits, as two columns, of each window of the reader's runs `which`, one run after another."""
+    kind, runs = reader.kind, reader.runs
+    if kind.words:
+        other = mix(reader.tokens ^ BASE)
+        return [gram_hashes(x, kind.length)[reader.place[which]] if len(which) else np.zeros(0, np.uint64) for x in (reader.tokens, other)]
+    out, text, last = [], b"", -1
+    for row, at, count in zip(runs.doc[which].tolist(), runs.at[which].tolist(), runs.count[which].tolist()):
+        if row != last:
+            text, last = texts[row].as_py(), row
+        out += [xxhash.xxh3_128_digest(text[i : i + kind.length]) for i in range(at, at + count)]
+    return list(np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2).T)
+
+
+def merged(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that touch or overlap joined: (document, first window, windows), sorted."""
+    order = np.lexsort((at, doc))
+    doc, at, end = doc[order], at[order], (at + count)[order]
+    if not len(doc):
+        return doc, at, end
+    base = (doc - doc[0]) * (int(end.max()) + 2)  # so that a document's ends lie below the next one's starts
+    reach = np.maximum.accumulate(end + base)
+    new = np.append(True, (at + base)[1:] > reach[:-1])
+    lead = np.flatnonzero(new)
+    last = np.append(lead[1:], len(doc)) - 1
+    return doc[lead], at[lead], reach[last] - base[lead] - at[lead]
+
+
+def marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
+    """(d, k, spans array of (start, windows)) of the documents with windows that repeat; d and k as in keyed().
+
+    earlier: whether a window must also start in a document with a smaller d; else anywhere else.
     """
-    scratch = [] if scratch is None else scratch
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(materialise(df, name))
-        return scratch[-1]
-
-    def done(*tables: DataFrame) -> None:
-        """Delete those of the tables that are ours, before the next large one is written."""
-        for table in tables:
-            if any(table is own for own in scratch):
-                release(table)
-                scratch[:] = [own for own in scratch if own is not table]
-
-    anchors = found.groupBy("anchor").agg(
-        F.min("d").alias("a"), F.max("d").alias("b"), F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("runs")
-    )
-    anchors = written(anchors.where("a < b" if earlier else "runs > 1").select("anchor", "a", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
-    # of an anchor with one text every run repeats, but for the first document's
-    placed = written(found.join(anchors, "anchor").where("mixed or d > a" if earlier else "true").select("d", "k", "at", *CONTEXT, "mixed"), "placed")
-    done(found, anchors)
-    mixed = placed.where("mixed").drop("mixed")
-    plain = written(mixed.groupBy(CONTEXT).agg(F.count("*").alias("times"), F.min("d").alias("first")), "plain")
-    sized = written(plain.groupBy("anchor").agg(F.count("*").alias("texts")), "sized")
-    contexts = written(plain.join(sized, "anchor"), "contexts")
-    done(plain, sized)
-    told = written(mixed.join(contexts, CONTEXT), "told")
-    done(contexts)
-    whole = F.col("d") > F.col("first") if earlier else F.col("times") > 1
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = Tokens(kind)
+    if earlier == kind.words:
+        raise ValueError("words are compared with all other places, bytes with earlier documents")
+    reader = Cover if earlier else Sketch
+    stored = materialise(blocks(keyed(docs), kind), "blocks")
+    size = stored.agg(F.sum("size")).first()[0] or 0
+    segments = int(reader(kind).keys_of(size) / SEGMENT_KEYS) + 1
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = reader(kind)
+                own.read(batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values, segments)
+                if len(own.segment):
+                    yield emit(list(asked(own.segment, batch.column(0)[i].as_py(), own.columns)))
+
+    first = materialise(answered(stored.select("block", "d", "t").mapInArrow(first_round, ASKED), reader.width, reader.answer), "first")
+
+    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a segment ask about windows; the row without one, of segment -1, keeps what the block must remember."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, (d, k, off), texts = batch.column(0)[i].as_py(), (batch.column(c)[i].values.to_numpy() for c in (1, 2, 3)), batch.column(4)[i].values
+                own = reader(kind)
+                own.read(d, texts, segments)
+                whole, closer = own.settle(joined_replies(batch.column(5)[i].as_py()))
+                which = np.flatnonzero(closer)
+                columns = window_keys(own, texts, which)
+                at, run = ranges(own.runs.at[which], own.runs.count[which])
+                doc = own.runs.doc[which][run]
+                value = d[doc]
+                order = np.lexsort((value, columns[1], columns[0]))
+                new = firsts(*(c[order] for c in columns))
+                key = np.empty(len(order), np.int64)
+                key[order] = np.cumsum(new) - 1
+                lead = order[new]
+                later = value > value[lead][key] if earlier else np.zeros(len(key), bool)
+                value = value[lead] if earlier else np.minimum(np.bincount(key), 2)
+                done = merged(*(np.concatenate(x) for x in zip((own.runs.doc[whole], own.runs.at[whole], own.runs.count[whole]), (doc[later], at[later], np.ones(later.sum(), np.int64)))))
+                doc, at, key = doc[~later], at[~later], key[~later]
+                if len(done[0]) or len(doc):
+                    columns = [c[lead] for c in columns]
+                    state = packed(np.array([len(d), len(done[0]), len(doc)]), d, k, off, *done, doc, at, key)
+                    yield emit([(-1, block, 0, state), *asked(segment_of(columns[0], parts), block, [*columns, value])])
+
+    # about half of what comes here at most repeats (measured); a segment more or less changes nothing else
+    parts = int(size / kind.bytes_per_token / (8 if earlier else 2) / SEGMENT_KEYS) + 1
+    told = stored.join(first, "block", "left").select("block", "d", "k", "off", "t", "replies")
+    second = materialise(told.mapInArrow(second_round, ASKED), "second")
+    release(first)
+    release(stored)
+    closer = answered(second.where("seg >= 0"), 3, lambda c: (earlier_keys if earlier else repeated_keys)(c[:2], c[2]))
+
+    def conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column(0), batch.column(1)):
-                tokens = parse.split(text.as_py() or b"")
-                for r in own.as_py():
-                    lo, n = r["at"] >> PLACE_BITS, r["at"] & (1 << PLACE_BITS) - 1
-                    out.append((r["anchor"], r["c"], r["times"], r["first"], r["texts"], parse.payload(tokens, lo, lo + n + kind.length - 1)))
-            if out:
-                columns = [pa.array(x, pa.binary() if i == 5 else pa.int64()) for i, x in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "c", "times", "first", "texts", "payload"])
-
-    asked = told.where("d = first").select("d", "k", F.struct("at", "anchor", "c", "times", "first", "texts").alias("r"))
-    asked = written(asked.groupBy("d", "k").agg(F.collect_list("r").alias("own")), "asked")  # at most a document's runs
-    texts = rows.join(asked, ["d", "k"]).select("t", "own")  # a text that comes twice changes nothing
-    texts = written(texts.mapInArrow(pick, "anchor long, c long, times long, first long, texts long, payload binary"), "texts")
-    done(asked)
-    small = _sorted_in_tasks(texts.where(F.col("texts") <= bucket_texts), kind, earlier)
-    windows = written(_expanded(texts.where(F.col("texts") > bucket_texts), kind), "windows")
-    single = written(small.unionByName(_grouped(windows, earlier)), "single")
-    done(texts, windows)
-
-    lo, n = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    every = F.array(F.struct(lo.alias("start"), n.alias("windows")))
-    some = F.transform("offs", lambda o: F.struct((lo + o).alias("start"), F.lit(1).cast("long").alias("windows")))
-    parts = [
-        placed.where("not mixed").select("d", "k", every.alias("s")),
-        told.where(whole).select("d", "k", every.alias("s")),
-        told.where(~whole).join(single, CONTEXT).select("d", "k", some.alias("s")),
-    ]
-    spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return spans.groupBy("d", "k").agg(F.flatten(F.collect_list("s")).alias("spans"))
-
-
-def marks(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
-    """(d, k, spans) of the documents with windows that repeat; d and k as in keyed()."""
-    rows = keyed(docs)
-    bits = sketch(rows, kind, earlier, max_cells)
-    scratch = [materialise(runs(rows, kind, bits), "runs")]
-    out = materialise(verdicts(rows, scratch[0], kind, earlier, scratch=scratch), "marks")
-    for table in scratch:
-        release(table)
+            for data, replies in zip(batch.column(0), batch.column(1)):
+                data = data.as_py()
+                docs_, done, open_ = unpacked(data, 3)[0].view(np.int64).tolist()
+                d, k, off, *parts = (x.view(np.int64) for x in unpacked(data, 3, *[docs_] * 3, *[done] * 3, *[open_] * 3)[1:])
+                hit = joined_replies(replies.as_py())[parts[5]] > 0
+                doc, at, count = merged(*(np.concatenate(x) for x in zip(parts[:3], (parts[3][hit], parts[4][hit], np.ones(hit.sum(), np.int64)))))
+                if len(doc):
+                    lead = np.flatnonzero(firsts(doc))
+                    own = doc[lead]
+                    spans = pa.StructArray.from_arrays([pa.array(at + off[doc]), pa.array(count)], ["start", "windows"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(doc)).astype(np.int32)), spans)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(k[own]), pa.array(off[own]), lists], ["d", "k", "off", "spans"])
+
+    kept = second.where("seg = -1").select("block", "data").join(closer, "block", "left").select("data", "replies")
+    found = kept.mapInArrow(conclude, "d long, k long, off long, spans array<struct<start: long, windows: long>>")
+    # rows that agree in doc_id and text have the same spans; pieces of one text are put together
+    once = found.groupBy("d", "k", "off").agg(F.first("spans").alias("spans"))
+    out = materialise(once.groupBy("d", "k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "marks")
+    release(second)
     return out
 
 
-def repeated(docs: DataFrame, kind: Kind, earlier: bool, max_cells: int = 1 << 29) -> DataFrame:
+def repeated(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     """keyed(docs) with spans: its windows that repeat, or null."""
-    return keyed(docs).join(marks(docs, kind, earlier, max_cells), ["d", "k"], "left")
+    return keyed(docs).join(marks(docs, kind, earlier), ["d", "k"], "left")
 
 
 def span_arrays(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:

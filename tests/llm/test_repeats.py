@@ -73,37 +73,31 @@ def test_bytes_match_brute_force(spark):
     assert out == sorted(brute_bytes(rows, 50))
 
 
-def test_full_sketch_loses_nothing(spark, monkeypatch):
-    rows = corpus()
-    kind = repeats.Kind(True, 10, 3, 5.0)
-    out = repeats.repeated(frame(spark, rows), kind, earlier=False, max_cells=1 << 17).collect()
-    gone = {r.d: int(repeats.removed(r.spans, len((r.t or b"").split()), 10).sum()) for r in out}
-    assert gone == {i: n for i, _, n, _ in brute_words(rows, 10)}
-    monkeypatch.setattr(repeats, "may_repeat", lambda anchor, bits: np.ones(len(anchor), bool))
-    rows_ = repeats.keyed(frame(spark, rows))
-    for bucket_texts in (1, 4096):  # 1: all anchors with several texts go through Spark's grouping
-        found = repeats.runs(rows_, kind, np.zeros(16, np.uint8)).cache()
-        marks = {r.d: r.spans for r in repeats.verdicts(rows_, found, kind, False, bucket_texts).collect()}
-        assert {i: int(repeats.removed(marks.get(i), len((t or "").split()), 10).sum()) for i, t in rows} == gone
-
-
-def test_small_blocks_give_the_same_rows(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOCK_WINDOWS", 50)
+@pytest.mark.parametrize("block, segment", [(64, 8), (2000, 100), (1 << 22, 16)])
+def test_small_blocks_and_segments_give_the_same_rows(spark, monkeypatch, block, segment):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)  # 64: every longer text comes in pieces
+    monkeypatch.setattr(repeats, "SEGMENT_KEYS", segment)
+    test_words_match_brute_force(spark)
     test_bytes_match_brute_force(spark)
 
 
-def test_long_rows_are_taken_in_pieces(monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE", 64)
-    import pyarrow as pa
+def test_crowded_sketch_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(repeats.Sketch, "answer", staticmethod(lambda c: np.ones(len(c[0]), np.uint8)))  # all estimated as repeated
+    test_words_match_brute_force(spark)
+
+
+@pytest.mark.parametrize("operator, brute", [(substring_dedup, brute_words), (suffix_dedup, brute_bytes)])
+def test_very_long_text(spark, operator, brute):
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{x}" for x in rng.integers(3000, size=60_000))
+    rows = [(1, long[:2000]), (2, long), (3, long[150_000:200_000] + " tail"), (4, "other words")]
+    out = sorted(tuple(r) for r in operator(frame(spark, rows)).drop("kept", "text").collect())
+    assert out == sorted(brute(rows, 35 if operator is substring_dedup else 50))
+
 
-    kind = repeats.Kind(True, 10, 3, 5.0)
-    text = " ".join(f"w{i % 90}" for i in range(500)).encode()
-    windows = [0] * 491
-    for _, _, at, count, _ in repeats.documents_runs(pa.array([text]), repeats.Tokens(kind)):
-        for a, n in zip(at, count):
-            for i in range(a, a + n):
-                windows[i] += 1
-    assert windows == [1] * 491
+def test_merged_runs():
+    doc, at, count = (np.array(x) for x in ([1, 1, 1, 2, 2], [0, 3, 9, 0, 1], [3, 2, 1, 5, 1]))
+    assert [x.tolist() for x in repeats.merged(doc, at, count)] == [[1, 1, 2], [0, 9, 0], [5, 1, 5]]
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
