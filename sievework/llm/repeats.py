@@ -31,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialise, mix, ranges, release, starts, utf8
+from sievework.llm.common import materialise, mix, ranges, release, settings, starts, utf8
 
 CHUNK = 1 << 19  # tokens that are hashed at a time
-BLOCK_BYTES, SEGMENT_KEYS = 1 << 22, 1 << 20  # text in a block; keys in a segment, about
+BLOCK_BYTES, SEGMENT_KEYS = 1 << 22, 1 << 19  # text in a block; keys in a segment, about
+#: A block is one row: so many of them at a time would fill an executor.
+LIGHT = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "8"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -249,12 +251,12 @@ def answered(questions: DataFrame, width: int, answer) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "seg", "reply"])
 
         for batch in batches:
-            for seg, block, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for i, (seg, block, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 if seg != now and held:
                     yield send(list(flush()))
                     held = []
                 now = seg
-                held.append((block, n, data))
+                held.append((block, n, batch.column(3)[i].as_py()))
         if held:
             yield send(list(flush()))
 
@@ -423,6 +425,11 @@ def marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     """
     if earlier == kind.words:
         raise ValueError("words are compared with all other places, bytes with earlier documents")
+    with settings(docs.sparkSession, LIGHT):
+        return _marks(docs, kind, earlier)
+
+
+def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     reader = Cover if earlier else Sketch
     stored = materialise(blocks(keyed(docs), kind), "blocks")
     size = stored.agg(F.sum("size")).first()[0] or 0
