@@ -60,7 +60,7 @@ def strict_sum(x: Column) -> Column:
 
 
 #: Days since posting, and score cuts with their labels.
-AGE_CLASSES = [(3, "VERY_FRESH"), (7, "FRESH"), (14, "RECENT"), (21, "AGING")]
+AGE_CLASSES = [(3, "HIGHEST_PRIORITY"), (7, "STRONG_PRIORITY"), (14, "GOOD_OPPORTUNITY"), (21, "REVIEW")]
 AGE_LAST = "CAUTION"
 BAND_CUTS = [19, 39, 59, 79]
 BANDS = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import patterns as p
@@ -23,7 +23,7 @@ def choose(x: Column, options: list[tuple[str, str]], default: str) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in options:
         out = out.when(has(x, pattern), name)
-    return out.otherwise(default)
+    return out.otherwise(F.lit(default).cast("string"))
 
 
 def sentences(text: Column) -> Column:
@@ -92,8 +92,9 @@ def travel(sentence: Column) -> Column:
 
 
 def requirements(text: Column) -> Column:
-    """Candidate sentences, without their bullets."""
-    bare = F.transform(sentences(text), lambda s: F.regexp_replace(s, f"^[-*•]\\s*|[{SPACES}]+$", ""))
+    """Candidate sentences; a bullet goes only where it begins the line, before white space is trimmed."""
+    parts = F.split(text, r"\r?\n|(?<=[.!?])\s+")
+    bare = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, f"^[-*•][{SPACES}]*", ""), f"^[{SPACES}]+|[{SPACES}]+$", ""))
     return F.filter(bare, lambda s: (F.length(s) >= 8) & has(s, p.REQUIREMENT))
 
 
@@ -101,10 +102,48 @@ def requirement(x: Column) -> list[Column]:
     """The columns that describe one candidate sentence."""
     ranged = part(x, p.YEARS_RANGE, 0).isNotNull()
     plus = F.coalesce(F.when(ranged, part(x, p.YEARS_RANGE, 3)), part(x, p.YEARS, 2))
+    strength = choose(x, p.STRENGTHS, "AMBIGUOUS")
     return [
         choose(x, p.CATEGORIES, "CAPABILITY").alias("category"),
-        choose(x, p.STRENGTHS, "AMBIGUOUS").alias("strength"),
+        strength.alias("strength"),
+        choose(x, [("Customer Success", "customer success"), ("Experience area stated in source text", "experience")], None).alias("specificity"),
+        (strength == "AMBIGUOUS").alias("ambiguous"),
+        F.when(strength == "AMBIGUOUS", "The source states experience but does not label its strength.").alias("ambiguity"),
         F.coalesce(part(x, p.YEARS_RANGE), part(x, p.YEARS)).cast("int").alias("years"),
         part(x, p.YEARS_RANGE, 2).cast("int").alias("years_most"),
         plus.isNotNull().alias("open_ended"),
     ]
+
+
+def evidence_rows(postings: DataFrame, description: str = "description") -> DataFrame:
+    """postings (id, salary_text, place, description, low) -> one row for each fact that a posting states, in order.
+
+    (id, reference_id, criterion, claim, source_field, source_text); an amount that was given as a number is told as such.
+    """
+    text = F.col(description)
+    pay = salary(F.col("salary_text"), text, F.col("low"), F.lit(None).cast("bigint"), F.lit(None).cast("string"))
+    given = F.col("salary_text").isNotNull()
+    of = F.when(given, "salaryText").otherwise("jobDescription")
+    named = part(F.coalesce("salary_text", text), p.MONEY_RANGE, 0)
+    rows = postings.withColumns({
+        "pay_": pay,
+        "place_": first_matching_sentence(F.concat(F.coalesce("place", F.lit("")), F.lit("\n"), text), p.PLACE),
+        "travel_": first_matching_sentence(text, p.TRAVEL),
+    })
+
+    def row(reference, criterion, claim, field, source):
+        return F.struct(*(x.alias(n) for n, x in zip(("reference_id", "criterion", "claim", "source_field", "source_text"), (reference, F.lit(criterion), claim, field, source))))
+
+    jd = F.lit("jobDescription")
+    disclosed = F.col("pay_.disclosure") == "DISCLOSED"
+    facts_ = F.array(
+        F.when(F.col("pay_.disclosure") == "COMPETITIVE", row(F.lit("salary-competitive"), "salary", F.lit("The job describes compensation only as competitive."), of, F.coalesce("salary_text", F.lit("Competitive salary")))),
+        F.when(disclosed, row(F.lit("salary-disclosed"), "salary", F.concat(F.lit("The disclosed salary range begins at "), "pay_.minimum", F.lit(".")), of, F.coalesce("salary_text", named, F.concat(F.lit("$"), "pay_.minimum")))),
+        F.when(F.col("place_").isNotNull(), row(F.lit("location-facts"), "location", F.lit("The job states location or work-arrangement information."), jd, F.col("place_"))),
+        F.when(F.col("travel_").isNotNull(), row(F.lit("travel-facts"), "travel", F.lit("The job states a travel expectation."), jd, F.col("travel_"))),
+    )
+    asked = F.transform(
+        requirements(text), lambda s, i: row(F.concat(F.lit("requirement-"), i + 1), "candidate-requirement", F.lit("The job states a candidate requirement."), jd, s)
+    )
+    every = F.concat(F.filter(facts_, lambda x: x.isNotNull()), asked)
+    return rows.select("id", F.posexplode(every).alias("pos", "fact")).select("id", "pos", "fact.*")

@@ -18,6 +18,7 @@ RELOCATION_YES = r"relocation (?:is )?(?:available|provided)"
 RELOCATION_MUST = r"relocation required"
 RELOCATION_NO = r"no relocation"
 EMPLOYER_OF_RECORD = r"employer of record|\bEOR\b|\bDeel\b|\bOyster\b"
+PLACE = r"remote|hybrid|on[- ]site|resid|country|time\s*zone|visa|relocat|employer of record|\bEOR\b|Deel|Oyster"
 TRAVEL = r"travel|on[- ]site|onsite|conference|retreat|kickoff"
 PERCENT = r"(\d{1,3})\s*%"
 NO_TRAVEL = r"\b(?:no travel|travel (?:is )?not required|zero travel)\b"
@@ -44,4 +45,5 @@ CATEGORIES = [
     ("INDUSTRY", r"industry|saas|fintech|healthcare"),
     ("EXPERIENCE", r"experience|years?"),
 ]
+EXPLICIT_ABSENCE = r"\b(?:does not|do not|will not|not responsible|not own|no responsibility|excluded|excluding|handled by|owned by|outside (?:the )?role|not part of)\b"
 RECURRING = r"weekly|monthly|frequent|recurring"

@@ -68,12 +68,30 @@ def decision(skip: Column, review: Column) -> Column:
 
 
 def confidence(levels: Column, conflicting: Column) -> Column:
+    """From the set of evidence levels that support a result; POSSIBLE only if one of them is."""
     strong = F.exists(levels, lambda x: x.isin("CONFIRMED", "STRONG_EVIDENCE"))
-    return F.when(conflicting, "CONFLICTING").when(strong, "STRONG").when(F.size(levels) > 0, "POSSIBLE").otherwise("UNKNOWN")
-
-
-def preference(x: Column, preferred: list[str], also: list[str]) -> Column:
-    return F.when(x.isNull() | (x == "UNKNOWN"), "UNKNOWN").when(x.isin(preferred), "PREFERRED").when(x.isin(also), "ALSO_ALIGNED").otherwise("OUTSIDE")
+    return F.when(conflicting, "CONFLICTING").when(strong, "STRONG_EVIDENCE").when(F.array_contains(levels, "POSSIBLE"), "POSSIBLE").otherwise("UNKNOWN")
+
+
+def preference_findings(business: Column, product: Column, customer: Column, segment: Column, wanted: dict[str, list[str]]) -> Column:
+    """One sentence for each of four dimensions; wanted: business, also_business, product, customer, segment."""
+
+    def told(name, x, *options, default):
+        out = F.when(x.isNull() | (x == "UNKNOWN"), f"Configured {name} alignment remains Unknown.")
+        for values, text in options:
+            out = out.when(x.isin(values), F.concat(x, F.lit(text)))
+        return out.otherwise(F.concat(x, F.lit(default)))
+
+    here, out = " is represented in the configured customer-{} preferences.", " is outside the configured customer-{} preferences."
+    return F.array(
+        told(
+            "business-model", business, (wanted["business"], " is a configured preferred business model."), (wanted["also_business"], " is a configured also-aligned business model."),
+            default=" is not listed as a preferred or also-aligned business model.",
+        ),
+        told("product-type", product, (wanted["product"], " is a configured preferred product type."), default=" requires contextual alignment evaluation."),
+        told("customer-type", customer, (wanted["customer"], here.format("type")), default=out.format("type")),
+        told("customer-segment", segment, (wanted["segment"], here.format("segment")), default=out.format("segment")),
+    )
 
 
 def first_error(checks: list[tuple[str, Column]]) -> Column:

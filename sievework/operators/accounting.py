@@ -32,20 +32,29 @@ def attempts_of_events(events: DataFrame) -> DataFrame:
         "event_id", "ts", F.col("user_id").alias("evaluation_id"), F.col("event_type").alias("model"),
         F.when(F.col("event_id") % 2 == 0, "v1").otherwise("v2").alias("version"),
         sent.alias("tokens_in"), F.when(sent % 16 != 0, F.floor(sent / 4)).alias("cached"), F.floor("value").alias("out"),
+        F.floor(F.col("value") / 3).alias("reasoning"), (sent + F.floor("value")).alias("total"),
     )
 
 
 def usage_summary(attempts: DataFrame) -> DataFrame:
-    """A row an evaluation: strict sums, a cost only in one currency, and versions in the order they were first seen."""
-    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "version"))), lambda x: x["version"]))
-    one = F.count_distinct("currency") == 1
-    return attempts.groupBy("evaluation_id").agg(
-        F.count("*").alias("attempts"),
-        strict_sum(F.col("tokens_in")).alias("tokens_in"),
-        strict_sum(F.col("cached")).alias("cached"),
-        strict_sum(F.col("out")).alias("tokens_out"),
+    """A row an evaluation: strict sums, a cost only in one currency, and versions in the order they were first seen.
+
+    Attempts are summed up a version first, so that an evaluation's attempts are never gathered; a sum is known only if every
+    part of it is.
+    """
+    counts = ["tokens_in", "cached", "out", "reasoning", "total"]
+    sums = [(c, strict_sum(F.col(c))) for c in [*counts, "cost"]]
+    parts = attempts.groupBy("evaluation_id", "version").agg(
+        F.count("*").alias("attempts"), *(s.alias(c) for c, s in sums), F.min(F.struct("ts", "event_id")).alias("seen"), F.min("currency").alias("least"), F.max("currency").alias("most"),
+    )
+    one = F.min("least") == F.max("most")
+    versions = F.transform(F.array_sort(F.collect_list(F.struct("seen", "version"))), lambda x: x["version"])
+    return parts.groupBy("evaluation_id").agg(
+        F.sum("attempts").alias("attempts"),
+        *(s.alias({"out": "tokens_out"}.get(c, c)) for c, s in sums[:-1]),
         F.when(one, strict_sum(F.col("cost"))).cast("double").alias("cost"),
-        F.array_join(seen, ",").alias("versions"),
+        F.when(one & strict_sum(F.col("cost")).isNotNull(), F.min("least")).alias("currency"),
+        F.array_join(versions, ",").alias("versions"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from sievework.functions.columns import normal_text
 
@@ -49,6 +50,28 @@ def issues(found: Column, most: int = 8) -> Column:
     return F.concat(F.array_join(F.slice(found, 1, most), "; "), F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))
 
 
-def content_hash(*fields: Column) -> Column:
-    """sha256 of the fields as JSON in a fixed order."""
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+def first_issues(found: DataFrame, key: str, issue: str, most: int = 8) -> DataFrame:
+    """issues() of rows: each key's first `most` issues in order; the others are only counted, never gathered."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(issue))
+    first = found.withColumn("nth_", nth).where(F.col("nth_") <= most).groupBy(key).agg(F.array_sort(F.collect_list(issue)).alias("first_"))
+    more = found.groupBy(key).agg((F.count("*") - most).alias("more_"))
+    message = F.concat(F.array_join("first_", "; "), F.when(F.col("more_") > 0, F.concat(F.lit(" (+"), "more_", F.lit(" more)"))).otherwise(""))
+    return first.join(more, key).select(key, message.alias("message"))
+
+
+def canonical(x: Column, kind: DataType) -> Column:
+    """The same value with the keys of all objects in order, however deep; lists keep theirs."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(x.isNotNull(), F.struct(*(canonical(x[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.array_sort(F.map_entries(x)), lambda e: F.struct(e["key"], canonical(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: canonical(e, kind.elementType))
+    return x
+
+
+def content_hash(x: Column, kind: DataType) -> Column:
+    """sha256 of a struct as JSON with sorted keys; nulls are written."""
+    return F.sha2(F.to_json(canonical(x, kind), {"ignoreNullFields": "false"}), 256)

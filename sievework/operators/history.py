@@ -38,8 +38,9 @@ def last_wins(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
 def ordered_union(groups: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """The distinct values of each key in the order they first come."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(value)))), lambda x: x[value])
-    return groups.groupBy(key).agg(F.array_join(F.array_distinct(items), ",").alias("items"), F.size(F.array_distinct(items)).alias("n_items"))
+    first = groups.groupBy(key, value).agg(F.min(pos).alias("pos_"))  # so that a key's repeated values are never gathered
+    items = F.transform(F.array_sort(F.collect_list(F.struct("pos_", F.col(value)))), lambda x: x[value])
+    return first.groupBy(key).agg(F.array_join(items, ",").alias("items"), F.count("*").cast("int").alias("n_items"))
 
 
 CLAIMABLE = "attempt < max_attempts and ((status = 'PENDING' and available_at <= now) or (status = 'RUNNING' and lease_expires_at < now))"

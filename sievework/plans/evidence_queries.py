@@ -111,8 +111,8 @@ SELECT id, coalesce(array_to_string(list_transform(r, lambda x: CASE x WHEN 'a'
 
 def issue_list(spark, folder):
     """Every user's distinct event values as issues: the first eight and how many more."""
-    found = table(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.floor("value").cast("string"))).alias("found"))
-    return found.select("user_id", evidence.issues(F.col("found")).alias("message"))
+    found = table(spark, folder, "events").select("user_id", F.floor("value").cast("string").alias("issue")).distinct()
+    return evidence.first_issues(found, "user_id", "issue").select("user_id", "message")
 
 
 ISSUE_LIST = """
@@ -132,10 +132,18 @@ TOKEN_VALIDITY = f"SELECT id, {_VALID('$.usage.input')} AS tokens_in, {_VALID('$
 
 
 def canonical_hash(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", evidence.content_hash(F.col("p_brand"), F.col("p_name"), F.col("p_size")).alias("content_hash"))
+    """A profile with nested objects, lists, maps and nulls, whose keys come in any order."""
+    some = F.when(F.col("p_size") > 25, F.col("p_size"))
+    content = F.struct(
+        F.col("p_name").alias("name"), F.struct(some.alias("size"), F.col("p_brand").alias("brand")).alias("details"), F.array(F.struct(F.lit(2).alias("b"), some.alias("a"))).alias("list"),
+        F.create_map(F.lit("z"), "p_name", F.lit("k"), "p_brand").alias("by_key"),
+    )
+    rows = table(spark, folder, "part").select("p_partkey", content.alias("content"))
+    return rows.select("p_partkey", evidence.content_hash(F.col("content"), rows.schema["content"].dataType).alias("content_hash"))
 
 
-CANONICAL_HASH = "SELECT p_partkey, sha256(CAST(to_json({'p_brand': p_brand, 'p_name': p_name, 'p_size': p_size}) AS VARCHAR)) AS content_hash FROM part"
+CANONICAL_HASH = """SELECT p_partkey, sha256(CAST(to_json({'by_key': {'k': p_brand, 'z': p_name}, 'details': {'brand': p_brand, 'size': large}, 'list': [{'a': large, 'b': 2}], 'name': p_name}) AS VARCHAR)) AS content_hash
+FROM (SELECT *, CASE WHEN p_size > 25 THEN p_size END AS large FROM part)"""
 
 AREAS = "(VALUES (1, 'RENEWAL', 'PRIMARY', 2), (1, 'SUPPORT', 'NONE', 0), (2, 'RENEWAL', 'SUBSTANTIAL', 0), (3, 'RENEWAL', 'MINOR', 3)) AS t(id, area, share, n_refs)"
 
@@ -149,17 +157,18 @@ def renewal_support(spark, folder):
 
 RENEWAL_SUPPORT = f"SELECT id, CAST(count(*) AS INTEGER) AS n_areas, bool_or(area = 'RENEWAL' AND share IN ('PRIMARY', 'SUBSTANTIAL') AND n_refs > 0) AS supported FROM {AREAS} GROUP BY 1"
 
-ERRORS = "(VALUES (1, 'P2002 unique', 'weird id!/x'), (2, 'P1001', 'ok_id'), (3, 'P2034', ''), (4, 'other', 'é')) AS t(id, code, name)"
-ERROR_CLASSES = [("P2", "CONSTRAINT"), ("P1", "CONNECTION")]
+ERRORS = "(VALUES (1, 'P2002', 'weird id!/x'), (2, 'P1001', 'ok_id'), (3, 'P2034', ''), (4, 'other', 'é'), (5, 'P2003', 'a'), (6, 'P2011', 'b'), (7, 'P2000', 'c'), (8, 'P2028', 'd'), (9, 'P2002x', 'e'), (10, CAST(NULL AS VARCHAR(9)), 'f')) AS t(id, code, name)"
+# Exact codes, then a prefix.
+ERROR_CLASSES = [("P2002", "UNIQUE_CONSTRAINT"), ("P2003", "FOREIGN_KEY_CONSTRAINT"), ("P2011", "NULL_CONSTRAINT"), ("P2000", "VALUE_CONSTRAINT"), ("P2028", "TRANSACTION_FAILURE")]
 
 
 def error_classes(spark, folder):
     code = F.col("code")
-    named = rules.first_error([(name, code.startswith(prefix)) for prefix, name in ERROR_CLASSES])
-    return cases(spark, ERRORS).select("id", F.coalesce(named, F.lit("UNKNOWN")).alias("category"), c.identifier(F.col("name")).alias("name"))
+    named = rules.first_error([*((name, code == own) for own, name in ERROR_CLASSES), ("DATABASE_UNAVAILABLE", code.startswith("P1"))])
+    return cases(spark, ERRORS).select("id", F.coalesce(named, F.lit("UNKNOWN_DATABASE_ERROR")).alias("category"), c.identifier(F.col("name")).alias("name"))
 
 
-ERROR_CLASSES_SQL = f"SELECT id, CASE WHEN starts_with(code, 'P2') THEN 'CONSTRAINT' WHEN starts_with(code, 'P1') THEN 'CONNECTION' ELSE 'UNKNOWN' END AS category, substring(regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g'), 1, 64) AS name FROM {ERRORS}"
+ERROR_CLASSES_SQL = f"SELECT id, CASE code WHEN 'P2002' THEN 'UNIQUE_CONSTRAINT' WHEN 'P2003' THEN 'FOREIGN_KEY_CONSTRAINT' WHEN 'P2011' THEN 'NULL_CONSTRAINT' WHEN 'P2000' THEN 'VALUE_CONSTRAINT' WHEN 'P2028' THEN 'TRANSACTION_FAILURE' ELSE CASE WHEN starts_with(code, 'P1') THEN 'DATABASE_UNAVAILABLE' ELSE 'UNKNOWN_DATABASE_ERROR' END END AS category, substring(regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g'), 1, 64) AS name FROM {ERRORS}"
 
 STAGE_ROWS = "(VALUES (1, 'RUNNING', 1, 3, true), (2, 'FAILED', 1, 3, true), (3, 'FAILED', 3, 3, true), (4, 'FAILED', 1, 3, false), (5, 'COMPLETED', 1, 3, true), (6, 'PENDING', 0, 3, true)) AS t(id, status, attempt, max_attempts, retryable)"
 

@@ -21,7 +21,8 @@ PRICES = """(VALUES
 
 ATTEMPTS = """(SELECT *, CASE WHEN tokens_in % 16 <> 0 THEN CAST(floor(tokens_in / 4) AS BIGINT) END AS cached FROM (
   SELECT event_id, ts, user_id AS evaluation_id, event_type AS model, CASE WHEN event_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS version,
-    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(floor(value) AS BIGINT) AS out FROM events))"""
+    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(floor(value) AS BIGINT) AS out,
+    CAST(floor(value / 3) AS BIGINT) AS reasoning, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) + CAST(floor(value) AS BIGINT) AS total FROM events))"""
 
 
 def cost_sql(tokens_in: str, cached: str, out: str) -> str:
@@ -50,8 +51,9 @@ listed AS (SELECT evaluation_id, string_agg(version, ',' ORDER BY first_ts) AS v
 SELECT p.evaluation_id, count(*) AS attempts,
   CASE WHEN count(tokens_in) = count(*) THEN CAST(sum(tokens_in) AS BIGINT) END AS tokens_in,
   CASE WHEN count(cached) = count(*) THEN CAST(sum(cached) AS BIGINT) END AS cached,
-  CASE WHEN count(out) = count(*) THEN CAST(sum(out) AS BIGINT) END AS tokens_out,
-  CASE WHEN count(cost) = count(*) AND count(DISTINCT currency) = 1 THEN CAST(sum(cost) AS DOUBLE) END AS cost,
+  CASE WHEN count(out) = count(*) THEN CAST(sum(out) AS BIGINT) END AS tokens_out, CASE WHEN count(reasoning) = count(*) THEN CAST(sum(reasoning) AS BIGINT) END AS reasoning,
+  CASE WHEN count(total) = count(*) THEN CAST(sum(total) AS BIGINT) END AS total,
+  CASE WHEN count(cost) = count(*) AND count(DISTINCT currency) = 1 THEN CAST(sum(cost) AS DOUBLE) END AS cost, CASE WHEN count(cost) = count(*) AND count(DISTINCT currency) = 1 THEN min(currency) END AS currency,
   any_value(versions) AS versions
 FROM priced p JOIN listed l ON p.evaluation_id = l.evaluation_id GROUP BY p.evaluation_id"""
 
@@ -173,15 +175,15 @@ OWNERSHIP_CHECK = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderke
 
 
 def resolvable_links(spark, folder):
-    """Of each order's parts, in line order, those that can be resolved (brand 1 to 3), each once."""
+    """Of each order's parts, in line order, those that can be resolved (size up to 25), each once."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     parts = table(spark, folder, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
-    known = lines.join(parts, "l_partkey").withColumn("pos", F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey"))
+    known = lines.join(parts, "l_partkey").withColumn("pos", F.struct("l_linenumber", "l_suppkey"))
     return history.ordered_union(known, "l_orderkey", "pos", "l_partkey")
 
 
 RESOLVABLE_LINKS = """
-WITH known AS (SELECT l_orderkey, l_partkey, min(l_linenumber * 1000000 + l_suppkey) AS pos FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1, 2)
+WITH known AS (SELECT l_orderkey, l_partkey, min({'n': l_linenumber, 's': l_suppkey}) AS pos FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1, 2)
 SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY pos, l_partkey) AS items, CAST(count(*) AS INTEGER) AS n_items FROM known GROUP BY 1"""
 
 
@@ -221,12 +223,13 @@ FIRST_WINS = "SELECT user_id, event_type, event_id, value FROM events QUALIFY ro
 def last_wins_union(spark, folder):
     """Two sources of values by reference; the later source's last value holds at the first position."""
     events = table(spark, folder, "events").select("user_id", "event_id", "value")
-    first = events.where("event_id % 2 = 0").select("user_id", F.col("event_id").alias("pos"), "value")
-    second = events.where("event_id % 2 = 1").select("user_id", (F.col("event_id") + 1_000_000_000).alias("pos"), "value")
-    return history.last_wins(first.unionByName(second), "user_id", "pos", "value")
+    first = events.where("event_id % 2 = 0").select("user_id", F.struct(F.lit(1).alias("source"), "event_id").alias("pos"), "value")
+    second = events.where("event_id % 2 = 1").select("user_id", F.struct(F.lit(2).alias("source"), "event_id").alias("pos"), "value")
+    return history.last_wins(first.unionByName(second), "user_id", "pos", "value").select("user_id", "pos.*", "value")
 
 
-LAST_WINS_UNION = "SELECT user_id, min(pos) AS pos, arg_max(value, pos) AS value FROM (SELECT user_id, event_id + CASE WHEN event_id % 2 = 1 THEN 1000000000 ELSE 0 END AS pos, value FROM events) GROUP BY 1"
+LAST_WINS_UNION = """SELECT user_id, CAST(pos.source AS INTEGER) AS source, pos.event_id AS event_id, value FROM (SELECT user_id, min(pos) AS pos, arg_max(value, pos) AS value
+FROM (SELECT user_id, {'source': 1 + event_id % 2, 'event_id': event_id} AS pos, value FROM events) GROUP BY 1)"""
 
 
 def ordered_union(spark, folder):
@@ -271,8 +274,8 @@ def posting_ages(spark, folder):
 
 
 POSTING_AGES = """
-SELECT o_orderkey, age_days, CASE WHEN age_days IS NULL THEN 'UNKNOWN' WHEN age_days <= 3 THEN 'VERY_FRESH' WHEN age_days <= 7 THEN 'FRESH'
-  WHEN age_days <= 14 THEN 'RECENT' WHEN age_days <= 21 THEN 'AGING' ELSE 'CAUTION' END AS age_class
+SELECT o_orderkey, age_days, CASE WHEN age_days IS NULL THEN 'UNKNOWN' WHEN age_days <= 3 THEN 'HIGHEST_PRIORITY' WHEN age_days <= 7 THEN 'STRONG_PRIORITY'
+  WHEN age_days <= 14 THEN 'GOOD_OPPORTUNITY' WHEN age_days <= 21 THEN 'REVIEW' ELSE 'CAUTION' END AS age_class
 FROM (SELECT o_orderkey, CASE WHEN d >= 0 THEN CAST(d AS INTEGER) END AS age_days FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-07-20') AS d FROM orders))"""
 
 
@@ -287,8 +290,9 @@ SCORE_BANDS = "SELECT event_id, " + ", ".join(
 
 
 def sentence_split(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    return docs.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"), F.sum(F.length("sentence")).alias("chars"))
+    docs = table(spark, folder, "documents").select("doc_id", F.transform(sentences(F.col("text")), F.length).alias("sizes")).where(F.size("sizes") > 0)
+    chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return docs.select("doc_id", F.size("sizes").cast("long").alias("n_sentences"), F.array_max("sizes").alias("longest"), chars.alias("chars"))
 
 
 _SPLIT = r"list_transform(string_split(regexp_replace(regexp_replace(text, '\r?\n', chr(1), 'g'), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
@@ -310,25 +314,13 @@ def _stages(spark, folder):
 
 
 def stage_context(spark, folder):
-    """The completed ones among the 20 stages before each, as its SQL has it; stage_context_whole has all that a stage sees."""
-    before = Window.partitionBy("evaluation_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.when(F.col("completed"), F.col("stage_id"))).over(before.rowsBetween(-20, -1))
-    return _stages(spark, folder).select("evaluation_id", "position", F.count("*").over(before).alias("before"), F.array_join(seen, ">").alias("context"))
-
-
-STAGE_CONTEXT = """
-SELECT user_id AS evaluation_id, event_id AS position, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-  coalesce(string_agg(CASE WHEN value >= 10 THEN event_type END, '>') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS context FROM events"""
-
-
-def stage_context_whole(spark, folder):
     """What each stage sees: all completed stages before it, in order."""
     before = Window.partitionBy("evaluation_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.collect_list(F.when(F.col("completed"), F.col("stage_id"))).over(before)
     return _stages(spark, folder).select("evaluation_id", "position", F.count("*").over(before).alias("before"), F.array_join(seen, ">").alias("context"))
 
 
-STAGE_CONTEXT_WHOLE = """
+STAGE_CONTEXT = """
 SELECT user_id AS evaluation_id, event_id AS position, count(*) OVER before AS before,
   coalesce(string_agg(CASE WHEN value >= 10 THEN event_type END, '>') OVER before, '') AS context
 FROM events WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
@@ -404,7 +396,7 @@ FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS
 NAMES = (
     "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
-    "posting_ages score_bands sentence_split first_sentence stage_context stage_context_whole stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes"
+    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

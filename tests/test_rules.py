@@ -13,7 +13,7 @@ def value(spark, column):
 
 @pytest.mark.parametrize(
     ("days", "name"),
-    [(0, "VERY_FRESH"), (3, "VERY_FRESH"), (4, "FRESH"), (7, "FRESH"), (8, "RECENT"), (14, "RECENT"), (15, "AGING"), (21, "AGING"), (22, "CAUTION"), (90, "CAUTION"), (None, "UNKNOWN")],
+    [(0, "HIGHEST_PRIORITY"), (3, "HIGHEST_PRIORITY"), (4, "STRONG_PRIORITY"), (7, "STRONG_PRIORITY"), (8, "GOOD_OPPORTUNITY"), (14, "GOOD_OPPORTUNITY"), (15, "REVIEW"), (21, "REVIEW"), (22, "CAUTION"), (90, "CAUTION"), (None, "UNKNOWN")],
 )
 def test_age_classes(spark, days, name):
     assert value(spark, c.age_class(F.lit(days).cast("int"))) == name
@@ -55,6 +55,16 @@ def test_text_without_anything_visible_is_null(spark):
 
 
 def test_citations(spark):
-    from sievework.plans.case_queries import citation_rewrite
+    from sievework.operators.matching import cited
+    from sievework.plans.case_queries import NARRATIVES
 
-    assert {r.id: r.narrative for r in citation_rewrite(spark, "").collect()} == {1: "See ev-9 and ev-2.", 2: None, 3: "None."}
+    names = F.create_map(F.lit("jd-1"), "jd_1", F.lit("profile-0"), "profile_0")
+    rows = spark.sql(f"SELECT * FROM {NARRATIVES}").select("id", cited(F.col("narrative"), names).alias("c")).select("id", "c.*").collect()
+    assert {r.id: (r.text, r.violation) for r in rows} == {
+        1: ("See [ev-9] and ev-2.", None), 2: (None, "unknown_evidence"), 3: ("None.", None), 4: (None, "malformed_citation"), 5: ("xjd-1 jd-1x ev-9, (ev-2)ev-9 [ev-2][ev-9]", None), 6: (None, "unknown_evidence"), 7: (None, None),
+    }
+
+
+def test_an_indented_bullet_stays(spark):
+    text = F.lit("First.\n  - Indented is required\n- Bare is required")
+    assert value(spark, facts.requirements(text)) == ["- Indented is required", "Bare is required"]

@@ -76,6 +76,6 @@ def test_a_stage_sees_all_completed_stages_before_it(spark, tmp_path):
 
     rows = [(1, i, ["view", "click"][i % 2], 5.0 if i % 10 == 9 else 50.0) for i in range(60)]
     spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
-    found = {r.position: r for r in QUERIES["stage_context_whole"](spark, str(tmp_path)).collect()}
+    found = {r.position: r for r in QUERIES["stage_context"](spark, str(tmp_path)).collect()}
     for _, i, *_ in rows:
         assert found[i].before == i and found[i].context == ">".join(t for _, j, t, v in rows if j < i and v >= 10)
