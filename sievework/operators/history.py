@@ -70,6 +70,40 @@ def finished(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", after.alias("status_after"))
 
 
+def worked(tasks: DataFrame, outcomes: DataFrame, lease_seconds: int) -> DataFrame:
+    """One step of a worker over a batch of tasks: those that can be claimed are, and end by their outcome.
+
+    outcomes (task_id, succeeded, retryable) of what was processed; a claimed task without one keeps its lease, and an outcome
+    whose kind isn't known may not be tried again. The result is a whole task table for a single writer to put in place.
+    """
+    can = F.coalesce(F.expr(CLAIMABLE), F.lit(False))
+    taken = tasks.withColumns({"claimed_": can, "attempt": F.col("attempt") + can.cast("int")}).join(outcomes, "task_id", "left")
+    again = F.coalesce("retryable", F.lit(False)) & (F.col("attempt") < F.col("max_attempts"))
+    ended = F.when(F.col("succeeded").isNull(), "RUNNING").when(F.col("succeeded"), "COMPLETED").when(again, "PENDING").otherwise("FAILED")
+    status = F.when(F.col("claimed_"), ended).otherwise(F.col("status"))
+    lease = F.when(status == "RUNNING", F.when(F.col("claimed_"), F.col("now") + F.make_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_expires_at")))
+    return taken.select("task_id", status.alias("status"), "attempt", lease.alias("lease_expires_at"))
+
+
+def call_outcomes(attempts: DataFrame, limit: int) -> DataFrame:
+    """(call_id, attempts, code, retryable) of calls: the first attempt that succeeds or may not be repeated ends a call, limit + 1 at most are made.
+
+    attempts (call_id, nth, status, http): status is SUCCESS, TIMEOUT, PROVIDER_FAILURE or VALIDATION_FAILURE. Output that
+    stays invalid has used up its repeats, so the stage may not repeat the call either.
+    """
+    invalid, timeout = F.col("status") == "VALIDATION_FAILURE", F.col("status") == "TIMEOUT"
+    again = invalid | timeout | ((F.col("status") == "PROVIDER_FAILURE") & F.coalesce(F.col("http").isin(408, 429) | (F.col("http") >= 500), F.lit(False)))
+    code = F.when(invalid, "STRUCTURED_OUTPUT_INVALID").when(timeout, "PROVIDER_TIMEOUT").when(F.col("status") == "PROVIDER_FAILURE", "PROVIDER_REQUEST_FAILED")
+    made = attempts.where(F.col("nth") <= limit + 1).withColumns({"again": again, "code": code})
+    ends = made.groupBy("call_id").agg(F.min(F.when(~F.col("again"), F.col("nth"))).alias("final"), F.max("nth").alias("most"), F.max_by(F.struct("code", "again"), "nth").alias("last"), F.min_by(F.when(~F.col("again"), F.col("code")), F.when(~F.col("again"), F.col("nth"))).alias("end_code"))
+    over = F.col("final").isNotNull()
+    open_ = ~over & (F.col("most") < limit + 1)
+    return ends.select(
+        "call_id", F.coalesce("final", "most").alias("attempts"), F.when(over, F.col("end_code")).otherwise(F.col("last.code")).alias("code"),
+        F.when(over, F.lit(False)).when(open_, F.lit(True)).otherwise(F.col("last.code") != "STRUCTURED_OUTPUT_INVALID").alias("retryable"),
+    )
+
+
 def retry_class(http: Column, timeout: Column) -> Column:
     """Timeouts, 408, 429 and server errors may be tried again."""
     return F.when(timeout | http.isin(408, 429) | (http >= 500), "RETRYABLE").when(http < 400, "OK").otherwise("FATAL")

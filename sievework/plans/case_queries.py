@@ -624,7 +624,7 @@ def findings_rollup(spark, folder):
     rows = FINDING_ROWS.frame(spark, folder).where("evaluated")
     first = rows.groupBy("id", "list", "finding").agg(F.min("pos").alias("pos"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding"))), lambda x: x["finding"])
-    return first.groupBy("id").pivot("list", LISTS).agg(F.nullif(F.array_join(items, "; "), F.lit("")))
+    return first.groupBy("id", "list").agg(F.array_join(items, "; ").alias("items")).groupBy("id").pivot("list", LISTS).agg(F.first("items"))
 
 
 FINDINGS_ROLLUP = "SELECT id, " + ", ".join(f"string_agg(finding, '; ' ORDER BY pos) FILTER (list = '{x}') AS {x}" for x in LISTS) + f" FROM (SELECT id, list, finding, min(pos) AS pos FROM {FINDING_ROWS.sql()} WHERE evaluated GROUP BY ALL) GROUP BY 1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import case_queries, evidence_queries, table_queries
+from sievework.plans import case_queries, contract_queries, evidence_queries, table_queries
 
-QUERIES = {**table_queries.QUERIES, **case_queries.QUERIES, **evidence_queries.QUERIES}
-ORACLES = {**table_queries.ORACLES, **case_queries.ORACLES, **evidence_queries.ORACLES}
+QUERIES = {**table_queries.QUERIES, **case_queries.QUERIES, **evidence_queries.QUERIES, **contract_queries.QUERIES}
+ORACLES = {**table_queries.ORACLES, **case_queries.ORACLES, **evidence_queries.ORACLES, **contract_queries.ORACLES}

@@ -53,6 +53,33 @@ class Pipeline:
         return results, log
 
 
+@dataclass(frozen=True)
+class Domain:
+    """A plug-in: its versions, its stages, what their results come to, and what of that is recommended.
+
+    finalize takes the session and the results by stage; its columns must be `result`. to_recommendation may be left out.
+    """
+
+    name: str
+    versions: dict[str, str]
+    stages: list[Stage]
+    result: list[str]
+    finalize: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
+    to_recommendation: Callable[[DataFrame], DataFrame] | None = None
+
+    def evaluate(self, spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None, list[dict]]:
+        """(result, recommendation, log); without a result where a stage is left."""
+        results, log = Pipeline(self.stages).run(spark, folder)
+        if outcome(log) != "COMPLETED":
+            return None, None, log
+        final = self.finalize(spark, results)
+        if final.columns != self.result:
+            raise ValueError(f"{self.name}: the result has the columns {final.columns}, not {self.result}")
+        final.write.mode("overwrite").parquet(f"{folder}/result")
+        final = spark.read.parquet(f"{folder}/result")
+        return final, self.to_recommendation(final) if self.to_recommendation else None, log
+
+
 def outcome(log: list[dict]) -> str:
     left = [r["stage_id"] for r in log if r["status"] != "COMPLETED"]
     return f"FAILED: {', '.join(left)}" if left else "COMPLETED"

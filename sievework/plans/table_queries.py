@@ -385,6 +385,39 @@ TASK_TRANSITION = f"""SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'COMPLETED'
 FROM {TASKS} WHERE status = 'RUNNING'"""
 
 
+def task_work(spark, folder):
+    """A worker's step over all tasks; every fifth order has no outcome yet, and every seventh failed in an unknown way."""
+    tasks = _tasks(spark, folder)
+    key = F.col("task_id")
+    outcomes = tasks.where("task_id % 5 <> 0").select("task_id", (key % 3 == 0).alias("succeeded"), F.when(key % 7 != 0, key % 2 == 0).alias("retryable"))
+    return history.worked(tasks, outcomes, 300)
+
+
+TASK_WORK = f"""
+WITH t AS (SELECT *, coalesce((attempt < max_attempts AND ((status = 'PENDING' AND available_at <= now) OR (status = 'RUNNING' AND lease_expires_at < now))), false) AS can FROM {TASKS}),
+u AS (SELECT *, attempt + CAST(can AS INTEGER) AS tries FROM t),
+s AS (SELECT *, CASE WHEN NOT can THEN status WHEN task_id % 5 = 0 THEN 'RUNNING' WHEN task_id % 3 = 0 THEN 'COMPLETED' WHEN task_id % 7 <> 0 AND task_id % 2 = 0 AND tries < max_attempts THEN 'PENDING' ELSE 'FAILED' END AS after FROM u)
+SELECT task_id, after AS status, tries AS attempt, CASE WHEN after = 'RUNNING' THEN CASE WHEN can THEN now + INTERVAL 300 SECOND ELSE lease_expires_at END END AS lease_expires_at FROM s"""
+
+
+def call_outcomes(spark, folder):
+    """A user's events of one kind as the attempts of a call, at most three."""
+    events = table(spark, folder, "events").select("user_id", "event_type", "event_id")
+    key = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ["PROVIDER_FAILURE", "VALIDATION_FAILURE", "TIMEOUT", "PROVIDER_FAILURE", "SUCCESS"])), (key % 5 + 1).cast("int"))
+    http = F.when(key % 5 == 0, F.element_at(F.array(*map(F.lit, [500, 404, 429])), (key % 3 + 1).cast("int")))
+    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    calls = events.select(F.concat_ws("-", "user_id", "event_type").alias("call_id"), nth.alias("nth"), status.alias("status"), http.alias("http"))
+    return history.call_outcomes(calls, 2)
+
+
+CALL_OUTCOMES = """
+WITH e AS (SELECT user_id || '-' || event_type AS call_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth, event_id % 5 AS k, CASE WHEN event_id % 5 = 0 THEN [500, 404, 429][event_id % 3 + 1] END AS http FROM events),
+m AS (SELECT *, (k IN (1, 2) OR (k IN (0, 3) AND coalesce(http IN (408, 429) OR http >= 500, false))) AS again, CASE k WHEN 1 THEN 'STRUCTURED_OUTPUT_INVALID' WHEN 2 THEN 'PROVIDER_TIMEOUT' WHEN 4 THEN NULL ELSE 'PROVIDER_REQUEST_FAILED' END AS code FROM e WHERE nth <= 3),
+c AS (SELECT call_id, min(nth) FILTER (NOT again) AS final, max(nth) AS most FROM m GROUP BY 1)
+SELECT c.call_id, CAST(coalesce(final, most) AS INTEGER) AS attempts, m.code, CASE WHEN final IS NOT NULL THEN false WHEN most < 3 THEN true ELSE m.code <> 'STRUCTURED_OUTPUT_INVALID' END AS retryable FROM c JOIN m ON m.call_id = c.call_id AND m.nth = coalesce(final, most)"""
+
+
 def retry_classes(spark, folder):
     http = F.element_at(F.array(*map(F.lit, [200, 400, 404, 408, 429, 500, 503])), (F.col("event_id") % 7 + 1).cast("int"))
     return table(spark, folder, "events").select("event_id", history.retry_class(http, F.col("event_id") % 11 == 0).alias("retry_class"))
@@ -396,7 +429,7 @@ FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS
 NAMES = (
     "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
-    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes"
+    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes task_work call_outcomes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import accounting
-from sievework.plans.stages import Pipeline, Stage, outcome
+from sievework.plans.stages import Domain, Pipeline, Stage, outcome
 from sievework.sources import tables
 from sievework.streaming.attempts import drain, priced_stream
 
@@ -79,3 +79,14 @@ def test_a_stage_sees_all_completed_stages_before_it(spark, tmp_path):
     found = {r.position: r for r in QUERIES["stage_context"](spark, str(tmp_path)).collect()}
     for _, i, *_ in rows:
         assert found[i].before == i and found[i].context == ">".join(t for _, j, t, v in rows if j < i and v >= 10)
+
+
+def test_a_domain_ends_in_a_result_and_a_recommendation(spark, tmp_path):
+    stages = [Stage("a", lambda s, d: s.range(3)), Stage("b", lambda s, d: d["a"].withColumn("x", F.col("id") * 2))]
+    domain = Domain("field", {"rules": "1"}, stages, ["id", "x"], lambda s, d: d["b"], lambda r: r.where("x > 2").select("id"))
+    result, recommended, log = domain.evaluate(spark, str(tmp_path / "one"))
+    assert result.count() == 3 and [r.id for r in recommended.collect()] == [2] and outcome(log) == "COMPLETED"
+    with pytest.raises(ValueError):
+        Domain("field", {}, stages, ["id"], lambda s, d: d["b"]).evaluate(spark, str(tmp_path / "one"))
+    broken = Domain("field", {}, [Stage("bad", lambda s, d: 1 / 0)], [], lambda s, d: None)
+    assert broken.evaluate(spark, str(tmp_path / "two"))[0] is None
