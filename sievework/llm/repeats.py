@@ -13,8 +13,10 @@ string that a third of all rows hold reaches its segment at most once from each
    Consecutive windows with one sample form a run. Segments name each sample by the text of its run. A name that an earlier
    document has too settles all windows of the run at once, however long the tie; a run needs a closer look only if an
    earlier document has its sample within another text.
-2. Windows that round 1 leaves open (words: estimated as repeated; bytes: of runs that need the closer look) are grouped
-   exactly by 128-bit hashes.
+2. Windows that round 1 leaves open are compared exactly. Words (estimated as repeated): grouped by 96 bits of a hash. Bytes
+   (runs that need the closer look): a run's text is sent to the segment of its sample, where the windows of one bucket, the
+   runs of a sample, are sorted after another's as byte strings. Only windows of a sample with more texts than one place
+   should sort are grouped by their hashes instead.
 
 Between the rounds a block is read twice, never in more than one task, and nothing is collected to the driver.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,11 @@ BLOCK_BYTES, SEGMENT_KEYS = 1 << 22, 1 << 19  # text in a block; keys in a segme
 #: A block is one row: so many of them at a time would fill an executor.
 LIGHT = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "8"}
 BASE = np.uint64(0x9E3779B97F4A7C15)
-POSITION = np.uint64((1 << 24) - 1)
+POSITION, LOW = np.uint64((1 << 24) - 1), np.uint64(0xFFFFFFFF)
+#: Texts that a sample may have to be sorted in one bucket; windows of the others are grouped by their hashes, just as exactly.
+BUCKET_TEXTS, BLOCK_WINDOWS, SEGMENT_TEXTS = 4096, 200_000, 1 << 16
+#: Segments of texts are numbered from here.
+TEXTS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -234,39 +241,46 @@ def emit(rows: list[tuple], schema: tuple = (("seg", pa.int32()), ("block", pa.i
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)], [n for n, _ in schema])
 
 
-def answered(questions: DataFrame, width: int, answer) -> DataFrame:
-    """(block, replies): for each block the answers of its segments, one byte a key; answer(columns) judges a whole segment."""
+def answered(questions: DataFrame, judge) -> DataFrame:
+    """(block, replies): for each block the answers of its segments; judge([(n, data), ...]) tells a whole segment's, a reply a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def flush():
-            columns = [np.concatenate(c) for c in zip(*(unpacked(data, *[n] * width) for _, n, data in held))]
-            out, at = answer(columns), 0
-            for block, n, _ in held:
-                yield block, now, out[at : at + n].tobytes()
-                at += n
-
-        def send(rows):
+        def flush() -> pa.RecordBatch:
+            rows = [(block, now, reply) for (block, *_), reply in zip(held, judge([x[1:] for x in held]))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "seg", "reply"])
 
         for batch in batches:
             for i, (seg, block, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
                 if seg != now and held:
-                    yield send(list(flush()))
+                    yield flush()
                     held = []
                 now = seg
                 held.append((block, n, batch.column(3)[i].as_py()))
         if held:
-            yield send(list(flush()))
+            yield flush()
 
     replies = questions.repartition("seg").sortWithinPartitions("seg").mapInArrow(run, "block long, seg int, reply binary")
     return replies.groupBy("block").agg(F.collect_list(F.struct("seg", "reply")).alias("replies"))  # at most a block's keys
 
 
-def joined_replies(replies) -> np.ndarray:
+def judged_keys(width: int, answer):
+    """A judge of keys in `width` columns; one byte a key."""
+
+    def judge(rows: list[tuple[int, bytes]]) -> Iterator[bytes]:
+        out = answer([np.concatenate(c) for c in zip(*(unpacked(data, *[n] * width) for n, data in rows))])
+        at = 0
+        for n, _ in rows:
+            yield out[at : at + n].tobytes()
+            at += n
+
+    return judge
+
+
+def joined_replies(replies, kind=np.uint8) -> np.ndarray:
     """A block's answers in the order of its keys."""
-    return np.concatenate([np.frombuffer(r["reply"], np.uint8) for r in sorted(replies or [], key=lambda r: r["seg"])] or [np.zeros(0, np.uint8)])
+    return np.concatenate([np.frombuffer(r["reply"], kind) for r in sorted(replies or [], key=lambda r: r["seg"])] or [np.zeros(0, kind)])
 
 
 @dataclass
@@ -303,14 +317,15 @@ class Cover:
         new = firsts(sample[order], name[order])
         self.runs, self.key = Runs(doc.astype(np.int64), at.astype(np.int64), count.astype(np.int64)), np.empty(len(order), np.int64)
         self.key[order] = np.cumsum(new) - 1
-        lead = order[new]
+        self.lead = lead = order[new]
         self.columns = [sample[lead], name[lead], first[lead].view(np.uint64)]
         self.segment = segment_of(self.columns[0], segments)
         self.later = first > first[lead][self.key] if len(order) else np.zeros(0, bool)
 
     @staticmethod
-    def answer(columns: list[np.ndarray]) -> np.ndarray:
-        """1: an earlier document has the sample in the same text; 2: the windows need comparing one by one."""
+    def answer(columns: list[np.ndarray], most: int) -> np.ndarray:
+        """1: an earlier document has the sample in the same text; 2: its windows need comparing with those of the sample's other
+        texts; 3: so do they, but the sample has more than `most` texts."""
         sample, name, first = columns[0], columns[1], columns[2].view(np.int64)
         order = np.lexsort((first, name, sample))
         s, f = sample[order], first[order]
@@ -319,15 +334,26 @@ class Cover:
         whole = f > f[by_text][np.cumsum(by_text) - 1]
         open_ = ~whole & (f > np.minimum.reduceat(f, begin)[of_sample])
         closer = np.logical_or.reduceat(open_, begin)[of_sample] & ~whole
+        many = (np.add.reduceat(by_text.astype(np.int64), begin) > most)[of_sample]
         out = np.empty(len(order), np.uint8)
-        out[order] = whole + 2 * closer
+        out[order] = whole + closer * np.where(many, 3, 2)
         return out
 
-    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run: whether all its windows repeat, whether they need comparing."""
+    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run: whether all its windows repeat, whether they are compared by hashes, whether within its sample's bucket."""
         own = told[self.key]
         whole = (own == 1) | self.later
-        return whole, (own == 2) & ~whole
+        return whole, (own == 3) & ~whole, (own == 2) & ~whole
+
+    def texts(self, told: np.ndarray, texts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(which keys, the texts of their runs, the place of a key among them)."""
+        which = np.flatnonzero(told == 2)
+        lead, runs, out = self.lead[which], self.runs, []
+        for row, at, count in zip(runs.doc[lead].tolist(), runs.at[lead].tolist(), runs.count[lead].tolist()):
+            out.append(texts[row].as_py()[at : at + count + self.kind.length - 1])
+        place = np.full(len(told), -1, np.int64)
+        place[which] = np.arange(len(which))
+        return which, out, place
 
 
 class Sketch:
@@ -353,22 +379,22 @@ class Sketch:
         self.tokens, self.place = np.concatenate(tokens or [np.zeros(0, np.uint64)]), begin
         self.runs = Runs(np.array(rows, np.int64)[owner], begin - starts(sizes)[owner] if rows else begin, np.ones(len(begin), np.int64))
         window = gram_hashes(self.tokens, length)[begin] if rows else self.tokens
-        cell = segment_of(window, segments).view(np.uint64) << np.uint64(32) | window & np.uint64(0xFFFFFFFF)
+        cell = segment_of(window, segments).view(np.uint64) << np.uint64(32) | window & LOW
         order = np.argsort(cell)
         new = firsts(cell[order])
         self.key = np.empty(len(order), np.int64)
         self.key[order] = np.cumsum(new) - 1
         cells = cell[order][new]
         self.segment = (cells >> np.uint64(32)).astype(np.int64)
-        self.columns = [cells & np.uint64(0xFFFFFFFF), np.minimum(np.bincount(self.key), 2).astype(np.uint64)]
+        self.columns = [cells & LOW, np.minimum(np.bincount(self.key), 2).astype(np.uint64)]
 
     @staticmethod
-    def answer(columns: list[np.ndarray]) -> np.ndarray:
+    def answer(columns: list[np.ndarray], most: int) -> np.ndarray:
         return repeated_keys(columns[:1], columns[1])
 
-    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def settle(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = told[self.key] > 0
-        return np.zeros(len(own), bool), own
+        return np.zeros(len(own), bool), own, np.zeros(len(own), bool)
 
 
 def repeated_keys(columns: list[np.ndarray], times: np.ndarray) -> np.ndarray:
@@ -390,18 +416,70 @@ def earlier_keys(columns: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     return out
 
 
+def judged_texts(length: int):
+    """A judge of texts with their samples: of each, a bit for every window that a text with a smaller `first` has too.
+
+    The bucket of a sample is sorted at a time (or some small ones together): all its windows as byte strings, so that equal
+    ones meet.
+    """
+
+    def bucket(sample, first, parts) -> np.ndarray:
+        sizes = np.array([len(p) - length + 1 for p in parts], np.int64)
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        off = np.arange(len(owner)) - starts(sizes)[owner]
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        at = starts(sizes + length - 1)[owner] + off
+        rows = np.zeros((len(owner), -(-length // 8) * 8), np.uint8)
+        rows[:, :length] = np.lib.stride_tricks.sliding_window_view(flat, length)[at]
+        columns = [sample[owner], *rows.view(">u8").astype(np.uint64).T]
+        order = np.lexsort(columns[::-1])
+        new = firsts(*(c[order] for c in columns))
+        own = first[owner][order]
+        hit = own > np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+        out = np.zeros(len(parts), np.uint64)
+        np.bitwise_or.at(out, owner[order][hit], np.uint64(1) << off[order][hit].astype(np.uint64))
+        return out
+
+    def judge(rows: list[tuple[int, bytes]]) -> Iterator[bytes]:
+        samples, starting, sizes, flat = [], [], [], []
+        for n, data in rows:
+            sample, first, size = unpacked(data, n, n, n)
+            samples.append(sample)
+            starting.append(first)
+            sizes.append(size.view(np.int64))
+            flat.append(data[24 * n :])
+        sample, first, size, flat = np.concatenate(samples), np.concatenate(starting).view(np.int64), np.concatenate(sizes), b"".join(flat)
+        begin, order = starts(size), np.argsort(sample, kind="stable")
+        out, at = np.zeros(len(order), np.uint64), 0
+        edges = np.append(np.flatnonzero(firsts(sample[order]))[1:], len(order))  # where buckets end
+        total = np.append(0, np.cumsum((size - length + 1)[order]))
+        while at < len(order):
+            to = int(edges[min(len(edges) - 1, np.searchsorted(total[edges], total[at] + BLOCK_WINDOWS))])
+            own = order[at:to]
+            out[own] = bucket(sample[own], first[own], [flat[b : b + n] for b, n in zip(begin[own].tolist(), size[own].tolist())])
+            at = to
+        at = 0
+        for n, _ in rows:
+            yield out[at : at + n].tobytes()
+            at += n
+
+    return judge
+
+
 def window_keys(reader: Cover | Sketch, texts, which: np.ndarray) -> list[np.ndarray]:
-    """128 bits, as two columns, of each window of the reader's runs `which`, one run after another."""
+    """96 bits of a hash, as two columns, of each window of the reader's runs `which`, one run after another."""
     kind, runs = reader.kind, reader.runs
     if kind.words:
         other = mix(reader.tokens ^ BASE)
-        return [gram_hashes(x, kind.length)[reader.place[which]] if len(which) else np.zeros(0, np.uint64) for x in (reader.tokens, other)]
+        found = [gram_hashes(x, kind.length)[reader.place[which]] if len(which) else np.zeros(0, np.uint64) for x in (reader.tokens, other)]
+        return [found[0], found[1] & LOW]
     out, text, last = [], b"", -1
     for row, at, count in zip(runs.doc[which].tolist(), runs.at[which].tolist(), runs.count[which].tolist()):
         if row != last:
             text, last = texts[row].as_py(), row
         out += [xxhash.xxh3_128_digest(text[i : i + kind.length]) for i in range(at, at + count)]
-    return list(np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2).T)
+    h = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return [h[:, 0].copy(), h[:, 1] & LOW]
 
 
 def merged(doc: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,7 +521,7 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                 if len(own.segment):
                     yield emit(list(asked(own.segment, batch.column(0)[i].as_py(), own.columns)))
 
-    first = materialise(answered(stored.select("block", "d", "t").mapInArrow(first_round, ASKED), reader.width, reader.answer), "first")
+    first = materialise(answered(stored.select("block", "d", "t").mapInArrow(first_round, ASKED), judged_keys(reader.width, partial(reader.answer, most=BUCKET_TEXTS))), "first")
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a segment ask about windows; the row without one, of segment -1, keeps what the block must remember."""
@@ -452,7 +530,21 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                 block, (d, k, off), texts = batch.column(0)[i].as_py(), (batch.column(c)[i].values.to_numpy() for c in (1, 2, 3)), batch.column(4)[i].values
                 own = reader(kind)
                 own.read(d, texts, segments)
-                whole, closer = own.settle(joined_replies(batch.column(5)[i].as_py()))
+                told = joined_replies(batch.column(5)[i].as_py())
+                whole, closer, bucketed = own.settle(told)
+                rows = []
+                if bucketed.any():
+                    asking, pieces, place = own.texts(told, texts)
+                    sample, _, first = (c[asking] for c in own.columns)
+                    segment = segment_of(sample, text_parts)
+                    cut = np.append(np.flatnonzero(firsts(segment)), len(segment)).tolist()
+                    for a, b in zip(cut[:-1], cut[1:]):
+                        size = np.array([len(x) for x in pieces[a:b]], np.int64)
+                        rows.append((TEXTS + int(segment[a]), block, b - a, packed(sample[a:b], first[a:b], size) + b"".join(pieces[a:b])))
+                    within = np.flatnonzero(bucketed)
+                    marked = own.runs.doc[within], own.runs.at[within], own.runs.count[within], place[own.key[within]]
+                else:
+                    marked = (np.zeros(0, np.int64),) * 4
                 which = np.flatnonzero(closer)
                 columns = window_keys(own, texts, which)
                 at, run = ranges(own.runs.at[which], own.runs.count[which])
@@ -467,27 +559,32 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                 value = value[lead] if earlier else np.minimum(np.bincount(key), 2)
                 done = merged(*(np.concatenate(x) for x in zip((own.runs.doc[whole], own.runs.at[whole], own.runs.count[whole]), (doc[later], at[later], np.ones(later.sum(), np.int64)))))
                 doc, at, key = doc[~later], at[~later], key[~later]
-                if len(done[0]) or len(doc):
+                if len(done[0]) or len(doc) or rows:
                     columns = [c[lead] for c in columns]
-                    state = packed(np.array([len(d), len(done[0]), len(doc)]), d, k, off, *done, doc, at, key)
-                    yield emit([(-1, block, 0, state), *asked(segment_of(columns[0], parts), block, [*columns, value])])
+                    state = packed(np.array([len(d), len(done[0]), len(doc), len(marked[0])]), d, k, off, *done, doc, at, key, *marked)
+                    yield emit([(-1, block, 0, state), *rows, *asked(segment_of(columns[0], parts), block, [*columns, value])])
 
-    # about half of what comes here at most repeats (measured); a segment more or less changes nothing else
-    parts = int(size / kind.bytes_per_token / (8 if earlier else 2) / SEGMENT_KEYS) + 1
+    # more or fewer segments only change how much a task holds
+    parts, text_parts = int(reader(kind).keys_of(size) / 2 / SEGMENT_KEYS) + 1, int(reader(kind).keys_of(size) / 16 / SEGMENT_TEXTS) + 1
     told = stored.join(first, "block", "left").select("block", "d", "k", "off", "t", "replies")
     second = materialise(told.mapInArrow(second_round, ASKED), "second")
     release(first)
     release(stored)
-    closer = answered(second.where("seg >= 0"), 3, lambda c: (earlier_keys if earlier else repeated_keys)(c[:2], c[2]))
+    closer = answered(second.where(f"seg >= 0 and seg < {TEXTS}"), judged_keys(3, lambda c: (earlier_keys if earlier else repeated_keys)(c[:2], c[2])))
+    buckets = answered(second.where(f"seg >= {TEXTS}"), judged_texts(kind.length)).withColumnRenamed("replies", "masks")
 
     def conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, replies in zip(batch.column(0), batch.column(1)):
+            for data, replies, masks in zip(*(batch.column(i) for i in range(3))):
                 data = data.as_py()
-                docs_, done, open_ = unpacked(data, 3)[0].view(np.int64).tolist()
-                d, k, off, *parts = (x.view(np.int64) for x in unpacked(data, 3, *[docs_] * 3, *[done] * 3, *[open_] * 3)[1:])
+                docs_, done, open_, runs_ = unpacked(data, 4)[0].view(np.int64).tolist()
+                d, k, off, *parts = (x.view(np.int64) for x in unpacked(data, 4, *[docs_] * 3, *[done] * 3, *[open_] * 3, *[runs_] * 4)[1:])
                 hit = joined_replies(replies.as_py())[parts[5]] > 0
-                doc, at, count = merged(*(np.concatenate(x) for x in zip(parts[:3], (parts[3][hit], parts[4][hit], np.ones(hit.sum(), np.int64)))))
+                at, run = ranges(parts[7], parts[8])
+                bits = joined_replies(masks.as_py(), np.uint64)[parts[9]][run] >> (at - parts[7][run]).astype(np.uint64) & np.uint64(1)
+                some = bits > 0
+                found = parts[:3], (parts[3][hit], parts[4][hit], np.ones(hit.sum(), np.int64)), (parts[6][run][some], at[some], np.ones(some.sum(), np.int64))
+                doc, at, count = merged(*(np.concatenate(x) for x in zip(*found)))
                 if len(doc):
                     lead = np.flatnonzero(firsts(doc))
                     own = doc[lead]
@@ -495,7 +592,7 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(doc)).astype(np.int32)), spans)
                     yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(k[own]), pa.array(off[own]), lists], ["d", "k", "off", "spans"])
 
-    kept = second.where("seg = -1").select("block", "data").join(closer, "block", "left").select("data", "replies")
+    kept = second.where("seg = -1").select("block", "data").join(closer, "block", "left").join(buckets, "block", "left").select("data", "replies", "masks")
     found = kept.mapInArrow(conclude, "d long, k long, off long, spans array<struct<start: long, windows: long>>")
     # rows that agree in doc_id and text have the same spans; pieces of one text are put together
     once = found.groupBy("d", "k", "off").agg(F.first("spans").alias("spans"))

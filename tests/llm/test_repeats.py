@@ -81,8 +81,16 @@ def test_small_blocks_and_segments_give_the_same_rows(spark, monkeypatch, block,
     test_bytes_match_brute_force(spark)
 
 
+@pytest.mark.parametrize("texts, windows", [(0, 200_000), (1, 10), (4096, 1)])
+def test_buckets_of_any_size_give_the_same_rows(spark, monkeypatch, texts, windows):
+    monkeypatch.setattr(repeats, "BUCKET_TEXTS", texts)  # 0: all windows are grouped by their hashes
+    monkeypatch.setattr(repeats, "BLOCK_WINDOWS", windows)
+    monkeypatch.setattr(repeats, "SEGMENT_TEXTS", 8)
+    test_bytes_match_brute_force(spark)
+
+
 def test_crowded_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(repeats.Sketch, "answer", staticmethod(lambda c: np.ones(len(c[0]), np.uint8)))  # all estimated as repeated
+    monkeypatch.setattr(repeats.Sketch, "answer", staticmethod(lambda c, most: np.ones(len(c[0]), np.uint8)))  # all estimated as repeated
     test_words_match_brute_force(spark)
 
 
