@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores after it until no column is called so (case doesn't tell columns apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(column: str) -> Column:
     """The column's text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")
@@ -31,10 +43,12 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     name = "spark.checkpoint.dir"
     found = spark.sparkContext.getConf().get(name) or spark.conf.get(name, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{name} must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set(name, found)
     return found.rstrip("/")

@@ -20,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialise, mix, ranges, starts, utf8
+from sievework.llm.common import materialise, mix, ranges, starts, unused, utf8
 from sievework.llm.components import components
 
 RADIUS, BUCKET_ROWS, FANOUT = 3, 4096, 8
+HELD_ROWS = 1 << 18  # rows of a partition that are held at a time; over BUCKET_ROWS, so that a part of a hot bucket is known to be one
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = np.uint64(0x0101010101010101)
 
@@ -202,13 +203,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
     """nodes (fp, rep; distinct fps) -> (a, b): enough links to join every two reps that a chain of near patterns joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [x for x in batches if x.num_rows]
-        if not batches:
+        """Rows come sorted by bucket; some whole buckets are searched at a time. Of a hot bucket not even all rows are held."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                bucket = table.column(2).to_numpy()
+                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                yield from some(table.slice(0, cut))
+                rest = table.slice(cut)
+                while rest.num_rows > 2 * HELD_ROWS:  # hot whatever follows: pass part of it on, and keep enough to know it by
+                    yield from some(rest.slice(0, HELD_ROWS))
+                    rest = rest.slice(HELD_ROWS)
+                held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield from some(pa.Table.from_batches(held))
+
+    def some(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
             return
-        table = pa.Table.from_batches(batches)
         fp, rep, bucket, fixed = (table.column(k).to_numpy() for k in range(4))
-        order = np.argsort(bucket, kind="stable")
-        fp, rep, bucket, fixed = fp[order].view(np.uint64), rep[order], bucket[order], fixed[order]
+        fp = fp.view(np.uint64)
         _, sizes = np.unique(bucket, return_counts=True)
         each = np.repeat(sizes, sizes)
         left = 64 - np.bitwise_count(fixed.view(np.uint64))
@@ -227,7 +244,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
     found = None
     rows = nodes.select("fp", "rep", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("fixed"))
     while True:
-        out = materialise(deal(rows, radius).repartition("bucket").mapInArrow(run, LINKS), "links")
+        out = materialise(deal(rows, radius).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINKS), "links")
         edges = out.where("kind = 0").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         rows = out.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "bucket", "fixed")
@@ -239,14 +256,16 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
     """(doc_id, fingerprint, component_id): the class of every document under chains of fingerprints at most radius bits apart.
 
     fingerprint is 16 lowercase hex digits, component_id the smallest doc_id of the class. A null, empty or blank text has
-    fingerprint zero and is linked like any other. Rows with a null doc_id have no identity and are left out; repeated
-    doc_ids keep their rows. Other columns of docs, whatever their names, are ignored; an empty table gives no rows.
+    fingerprint zero and is linked like any other. Rows with a null doc_id come back too and link their neighbours, but name no
+    class: component_id is null where a class has no other rows. Repeated doc_ids keep their rows. Other columns of docs,
+    whatever their names, are ignored; an empty table gives no rows.
     """
-    fps = materialise(fingerprints(docs.where(F.col("doc_id").isNotNull()), size), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = components(links(nodes, radius, bucket_rows))
-    classes = nodes.join(joined, nodes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select(
+    fps = materialise(fingerprints(docs, size), "fingerprints")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, bucket_rows))
+    classes = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    return fps.join(classes.join(named, "class").select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -375,16 +394,19 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIM
     """docs without all but one document, the one with the smallest doc_id, of each group of near-duplicates.
 
     Texts are near when their sets of `size`-word shingles (lower-cased) have at least this Jaccard similarity; chains of
-    near texts make a group. Texts without words make one group. A null doc_id comes after all others; rows that agree in
-    doc_id and text count as one document. All columns are returned.
+    near texts make a group. Texts without words (null, empty, blank) make one group. A null doc_id comes after all others; rows
+    that agree in doc_id and text count as one document. All columns are returned, whatever their names; an empty table gives
+    no rows.
     """
     id_ = F.col("doc_id").cast("long")
-    rows = docs.withColumn("rid", F.coalesce(id_, F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))))
-    found = materialise(signatures(rows, size), "signatures")
+    rid, nth = unused(docs.columns, "rid", "nth")
+    rows = docs.withColumn(rid, F.coalesce(id_, F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))))
+    texts = rows.select(F.col(rid).alias("rid"), "text")
+    found = materialise(signatures(texts, size), "signatures")
     nodes = materialise(found.groupBy("node").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.min("bands").alias("bands")), "nodes")
-    joined = components(similar_links(nodes, rows, size, similarity)).select("node", F.col("component").alias("joined"))
+    joined = components(similar_links(nodes, texts, size, similarity)).select("node", F.col("component").alias("joined"))
     classes = nodes.select("node", "rep").join(joined, "node", "left")
-    kept = classes.groupBy(F.coalesce("joined", "node")).agg(F.min("rep").alias("rid")).select("rid")
-    once = Window.partitionBy("rid").orderBy(F.xxhash64("text"))
-    stay = rows.join(kept, "rid", "left_semi").withColumn("nth_", F.row_number().over(once))
-    return stay.where("nth_ = 1").select(docs.columns)
+    kept = classes.groupBy(F.coalesce("joined", "node")).agg(F.min("rep").alias(rid)).select(rid)
+    once = Window.partitionBy(rid).orderBy(F.xxhash64("text"))
+    stay = rows.join(kept, rid, "left_semi").withColumn(nth, F.row_number().over(once))
+    return stay.where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

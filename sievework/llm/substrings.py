@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.common import unused
 from sievework.llm.repeats import Kind, covered, keys, marks, repeated, span_arrays
 
 WINDOW = 35
@@ -30,10 +31,12 @@ def cut(text: bytes, out: np.ndarray) -> bytes:
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words cut out of `text` that substring_dedup() removes, and n_chars set anew; all columns are returned.
 
-    No row goes: a text of which nothing is left comes back empty.
+    No row goes: a text of which nothing is left comes back empty, a null one null. Rows that are repeated repeat each other's
+    windows, so that all of them lose those. Columns of any name are kept; an empty table gives no rows.
     """
     place = docs.columns.index("text")
-    found = marks(docs, window_kind(window), earlier=False).withColumnsRenamed({"d": "d_", "k": "k_", "spans": "spans_"})
+    at, name, spans = unused(docs.columns, "d", "k", "spans")
+    found = marks(docs, window_kind(window), earlier=False).withColumnsRenamed({"d": at, "k": name, "spans": spans})
     d, k = keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +53,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = docs.columns
-    joined = docs.withColumns({"d_": d, "k_": k}).join(found, ["d_", "k_"], "left").select(*docs.columns, "spans_")
+    joined = docs.withColumns({at: d, name: k}).join(found, [at, name], "left").select(*(F.col(f"`{c}`") for c in docs.columns), spans)
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

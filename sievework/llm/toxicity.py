@@ -4,7 +4,8 @@ The lexicon is learned: whole words and word stems whose documents are marked to
 over all labelled documents that may be learned from. Its trie and the Levenshtein automata of its terms run as one
 deterministic automaton that is built as words need it: a state is the set of (trie node, edits so far) that a word's
 letters can have reached. Most words leave it after three or four letters; a word is looked up once as long as a task's
-memo lasts. Words around a hit tell abuse from quotation; a logistic regression weighs the counts of both.
+memo lasts. Words around a hit tell abuse from quotation: those that are learned to stand by terms in harmless documents far
+more often than in toxic ones, and quotation marks. A logistic regression weighs the counts of both.
 """
 
 from __future__ import annotations
@@ -19,18 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import held_out, materialise, utf8
+from sievework.llm.common import held_out, materialise, release, utf8
 
 STEMS = (4, 5, 6, 7)
-MIN_TOXIC_DOCS, MIN_LOG_ODDS, MAX_TERMS = 4, 2.5, 2000
+MIN_TOXIC_DOCS, MIN_LOG_ODDS = 4, 2.5
+REPORTING_LOG_ODDS = 1.0  # of words around terms in harmless documents
 SURE = 2.0  # a term's surprise must exceed the logarithm of the number of candidates by this
-FIT_ROWS = 20_000  # labelled documents that a model is learned from, about, at most; chosen by a hash of doc_id
+FIT_ROWS = 20_000  # labelled documents that weights and contexts are fitted on, about, at most; chosen by a hash of doc_id
+BROADCAST_LABELS = 2_000_000  # labels that are broadcast at most; more are joined by a shuffle
 THRESHOLD = 0.3
 REACH = 8  # words to either side of a hit that are read as its context
-REPORTING = frozenset(
-    "said says saying called calls quoted quote quotes wrote writes term word words slur insult "
-    "dijo dice llamó palabra insulto cita sagte sagt nannte wort zitat schrieb dit disait appelé mot insulte citation".split()
-)
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _PARTS = regex.compile(r"[\p{L}\p{M}\p{N}]+|[\"“”„«»‹›]")
 EXACT, STEM, FUZZY = 1, 2, 3
@@ -119,8 +118,11 @@ class Automaton:
         return min(found, end) if found and end else found or end
 
 
-def features(text: str, kinds: dict) -> list[float]:
-    """One document's numbers in the order of PRIOR (without the bias); kinds maps words to what the automaton says."""
+def features(text: str, kinds: dict, reporting: frozenset) -> list[float]:
+    """One document's numbers in the order of PRIOR (without the bias); kinds maps words to what the automaton says.
+
+    A hit between quotation marks, or with one of the words `reporting` around it, counts as quotation.
+    """
     text = text.lower()
     words = text.split()
     if not any(map(kinds.__getitem__, words)):
@@ -135,7 +137,7 @@ def features(text: str, kinds: dict) -> list[float]:
         if kind:
             around = parts[max(0, i - REACH) : i + REACH + 1]
             open_ = any(not p[0].isalnum() for p in parts[max(0, i - REACH) : i]) and any(not p[0].isalnum() for p in parts[i + 1 : i + REACH + 1])
-            quoted = (open_ and marks % 2 == 1) or not REPORTING.isdisjoint(around)
+            quoted = (open_ and marks % 2 == 1) or not reporting.isdisjoint(around)
             counts[kind - 1 + 3 * quoted] += 1
     hits = counts[0] + counts[1] + counts[2]
     return [*map(math.log1p, counts), math.log1p(100 * hits / max(1, len(words))), float(hits > 0)]
@@ -159,20 +161,23 @@ class Kinds(dict):
 @dataclass
 class Model:
     terms: dict[str, bool]
+    reporting: frozenset
     weights: np.ndarray
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of about fit_rows labelled documents at most; the chosen labels are broadcast, no text is shuffled."""
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """((doc_id, text, toxic) of all documents that may be learned from, how many labels there are)."""
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    share = int(1_000_000 * min(1.0, fit_rows / max(1, marked.count())))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    count = marked.count()
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(marked) if count <= BROADCAST_LABELS else marked, "doc_id"), count
 
 
 def learn_terms(rows: DataFrame) -> dict[str, bool]:
-    """The lexicon from (text, toxic); counts cover all these rows, MAX_TERMS bounds what is kept as the model."""
+    """The lexicon from (text, toxic): every term whose documents are toxic beyond chance, counted over all these rows.
+
+    What comes to the driver is the model itself: the significant terms, without those that a shorter stem covers.
+    """
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)")))).alias("word"))
     words = materialise(words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("docs")), "words")
     stems = [F.when(F.length("word") > n, F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("stem"))) for n in STEMS]
@@ -180,6 +185,7 @@ def learn_terms(rows: DataFrame) -> dict[str, bool]:
     terms = words.select("pos", "docs", F.explode(F.array(whole, *stems)).alias("t")).where("t is not null")
     terms = terms.groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("docs").alias("docs")).where(F.col("pos") >= MIN_TOXIC_DOCS)
     terms = materialise(terms, "terms")
+    release(words)
     all_pos, all_docs = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not all_pos or all_pos == all_docs:
         return {}
@@ -187,19 +193,52 @@ def learn_terms(rows: DataFrame) -> dict[str, bool]:
     chance = F.col("docs") * F.lit(all_pos / all_docs)  # of this many toxic documents by the base rate; Chernoff's bound on more
     surprise = F.col("pos") * F.log(F.col("pos") / chance) - F.col("pos") + chance
     sure = F.log(F.lit(float(max(1, terms.count())))) + SURE
-    found = terms.where((odds >= MIN_LOG_ODDS) & (surprise >= sure) & (F.length("t.term") >= 3)).orderBy(F.desc("pos"), "t.term", "t.stem").limit(8 * MAX_TERMS).collect()
+    found = terms.where((odds >= MIN_LOG_ODDS) & (surprise >= sure) & (F.length("t.term") >= 3)).collect()
     found = {(r.t.term, r.t.stem): r.pos for r in found}
     kept: dict[str, bool] = {}
+    longest: dict[str, int] = {}  # of a term without its last letter
+    for (term, _), pos in found.items():
+        longest[term[:-1]] = max(longest.get(term[:-1], 0), pos)
     for (term, stem), pos in sorted(found.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
-        longer = max((p for (t, _), p in found.items() if len(t) == len(term) + 1 and t.startswith(term)), default=0) if stem else 0
+        longer = longest.get(term, 0) if stem else 0
         same = found.get((term, False), 0) if stem else 0
         if any(kept.get(term[:n]) for n in STEMS if n < len(term) or n == len(term) and not stem):
             continue
         if stem and max(longer, same) >= 0.9 * pos:
             continue
         kept[term] = stem
-    best = sorted(kept, key=lambda t: (-found[t, kept[t]], t))[:MAX_TERMS]
-    return {t: kept[t] for t in sorted(best)}
+    return dict(sorted(kept.items()))
+
+
+def learn_reporting(rows: DataFrame, terms: dict[str, bool]) -> frozenset:
+    """Words that stand around terms in harmless documents far more often than in toxic ones, beyond chance."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = Kinds(Automaton(shared.value))
+        for batch in batches:
+            toxic, out = [], []
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = [p for p in _PARTS.findall((text.as_py() or b"").decode().lower()) if p[0].isalnum()]
+                hits = [i for i, w in enumerate(words) if kinds[w]]
+                if hits:
+                    near = {w for i in hits for w in words[max(0, i - REACH) : i + REACH + 1] if not kinds[w]} | {""}  # the empty word counts documents
+                    out += sorted(near)
+                    toxic += [label] * len(near)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
+
+    near = rows.select(utf8("text").alias("t"), "toxic").mapInArrow(run, "word string, toxic int")
+    near = near.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("neg"), F.count("*").alias("docs")).where(F.col("neg") >= MIN_TOXIC_DOCS)
+    near = materialise(near, "contexts")
+    whole = near.where("word = ''").first()
+    if not whole or whole.neg == whole.docs:
+        return frozenset()
+    odds = F.log((F.col("neg") + 0.5) / (whole.neg + 1)) - F.log((F.col("docs") - F.col("neg") + 0.5) / (whole.docs - whole.neg + 1))
+    chance = F.col("docs") * F.lit(whole.neg / whole.docs)
+    surprise = F.col("neg") * F.log(F.col("neg") / chance) - F.col("neg") + chance
+    sure = F.log(F.lit(float(max(1, near.count())))) + SURE
+    found = near.where((odds >= REPORTING_LOG_ODDS) & (surprise >= sure) & (F.length("word") >= 3)).select("word").collect()  # the model
+    return frozenset(r.word for r in found)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -223,16 +262,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _with_features(rows: DataFrame, terms: dict[str, bool], last: str, weights: np.ndarray | None) -> DataFrame:
+def _with_features(rows: DataFrame, terms: dict[str, bool], reporting: frozenset, last: str, weights: np.ndarray | None) -> DataFrame:
     """(doc_id, last) and the features, or the score where there are weights."""
-    shared = rows.sparkSession.sparkContext.broadcast((terms, weights))  # at most MAX_TERMS terms
+    shared = rows.sparkSession.sparkContext.broadcast((terms, reporting, weights))  # the model: what was learned beyond chance
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights = shared.value
+        terms, reporting, weights = shared.value
         kinds = Kinds(Automaton(terms))
         for batch in batches:
-            x = np.array([features((t.as_py() or b"").decode(), kinds) for t in batch.column(1)]).reshape(-1, len(PRIOR) - 1)
+            x = np.array([features((t.as_py() or b"").decode(), kinds, reporting) for t in batch.column(1)]).reshape(-1, len(PRIOR) - 1)
             if weights is None:
                 out = pa.array(x.tolist(), pa.list_(pa.float64()))
             else:
@@ -245,13 +284,20 @@ def _with_features(rows: DataFrame, terms: dict[str, bool], last: str, weights:
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from labelled documents that are not held out. Several labels of a document count as toxic if one is."""
-    rows = materialise(_labelled(docs, labels, fit_rows), "labelled")
+    """A model from labelled documents that are not held out. Several labels of a document count as toxic if one is.
+
+    Terms are counted over all of them; contexts and weights are fitted on about `fit_rows`.
+    """
+    rows, count = _labelled(docs, labels)
     terms = learn_terms(rows)
-    found = _with_features(rows, terms, "toxic", None).select("out", "toxic").collect()
+    share = int(1_000_000 * min(1.0, fit_rows / max(1, count)))
+    some = materialise(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), "labelled")
+    reporting = learn_reporting(some, terms)
+    found = _with_features(some, terms, reporting, "toxic", None).select("out", "toxic").collect()
+    release(some)
     if not found:
-        return Model(terms, PRIOR)
-    return Model(terms, fit(np.array([r.out for r in found]), np.array([float(r.toxic) for r in found])))
+        return Model(terms, reporting, PRIOR)
+    return Model(terms, reporting, fit(np.array([r.out for r in found]), np.array([float(r.toxic) for r in found])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -261,19 +307,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     doc_id is never held out. Where no label may be learned from, the weights are PRIOR. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    out = _with_features(rows, model.terms, "held_out", model.weights).withColumnRenamed("out", "score")
+    out = _with_features(rows, model.terms, model.reporting, "held_out", model.weights).withColumnRenamed("out", "score")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score() reaches threshold; all columns are returned and nothing is shuffled."""
+    """docs without the rows whose score() reaches threshold; all columns are returned and nothing is shuffled.
+
+    A null, empty or wordless text has no hits and is judged as such a text is; repeated rows are judged alike; column names
+    don't matter; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, weights = Kinds(Automaton(shared.value.terms)), shared.value.weights
+        kinds, reporting, weights = Kinds(Automaton(shared.value.terms)), shared.value.reporting, shared.value.weights
         for batch in batches:
-            x = np.array([features(t.as_py() or "", kinds) for t in batch.column(place)]).reshape(-1, len(PRIOR) - 1)
+            x = np.array([features(t.as_py() or "", kinds, reporting) for t in batch.column(place)]).reshape(-1, len(PRIOR) - 1)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

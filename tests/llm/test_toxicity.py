@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -53,7 +54,7 @@ def test_automaton_equals_edit_distance():
 
 def test_context_tells_quotation_from_abuse():
     kinds = toxicity.Kinds(Automaton({"idiot": False}))
-    plain, quoted, said = (toxicity.features(t, kinds) for t in ("you idiot go", 'a sign with "idiot" on it', "she said idiot is rude"))
+    plain, quoted, said = (toxicity.features(t, kinds, frozenset({"said"})) for t in ("you idiot go", 'a sign with "idiot" on it', "she said idiot is rude"))
     assert plain[0] > 0 and plain[3] == 0
     assert quoted[0] == 0 and quoted[3] > 0 and said[3] > 0
 
@@ -100,6 +101,48 @@ def test_held_out_labels_are_never_learned(tables):
     assert a.terms == b.terms and np.array_equal(a.weights, b.weights)
 
 
+def test_terms_and_scores_equal_brute_force(tables):
+    """The lexicon from plain counts over all labels that may be learned from; each score from its document alone."""
+    docs, labels = tables
+    model = toxicity.learn(docs, labels)
+    marked = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    texts = [(marked[r.doc_id], (r.text or "").lower().split()) for r in docs.where("text is not null").collect() if r.doc_id in marked]
+    counts = {}
+    for toxic, words in texts:
+        for w in set(words):  # stems count words: once for each word of a document that begins so
+            for key in [(w, False)] + [(w[:n], True) for n in toxicity.STEMS if len(w) > n]:
+                pos, n = counts.get(key, (0, 0))
+                counts[key] = pos + toxic, n + 1
+    counts = {k: v for k, v in counts.items() if v[0] >= toxicity.MIN_TOXIC_DOCS}
+    all_pos, all_docs = sum(t for t, _ in texts), len(texts)
+    sure = math.log(len(counts)) + toxicity.SURE
+    found = {}
+    for key, (pos, n) in counts.items():
+        odds = math.log((pos + 0.5) / (all_pos + 1)) - math.log((n - pos + 0.5) / (all_docs - all_pos + 1))
+        chance = n * all_pos / all_docs
+        if odds >= toxicity.MIN_LOG_ODDS and pos * math.log(pos / chance) - pos + chance >= sure and len(key[0]) >= 3:
+            found[key] = pos
+    assert set(model.terms) <= {term for term, _ in found} and all((t, s) in found for t, s in model.terms.items())
+    for term, stem in found:  # what isn't kept is covered: by a shorter stem, or by what a stem mostly stands for
+        covered = any(model.terms.get(term[:n]) for n in toxicity.STEMS if n <= len(term))
+        assert term in model.terms or covered or stem
+    for r in toxicity.score(docs, model).where("doc_id between 0 and 903").collect():
+        text = {x.doc_id: x.text for x in docs.where(docs.doc_id == r.doc_id).collect()}[r.doc_id] if r.doc_id % 90 == 0 or r.doc_id > 900 else None
+        if text is not None:
+            words, hits = text.lower().split(), [0, 0, 0]
+            for w in words:
+                kind = Automaton(model.terms).kind(w) if brute_kind(w, model.terms) else 0
+                hits[kind - 1] += kind > 0
+            x = [1, *map(math.log1p, hits), 0, 0, 0, math.log1p(100 * sum(hits) / max(1, len(words))), float(sum(hits) > 0)]
+            assert abs(r.score - 1 / (1 + math.exp(-float(np.dot(model.weights, x))))) < 1e-9
+
+
+def test_reporting_words_are_learned(spark):
+    rows = [(f"{'they reported that someone is a moron here' if i % 2 else 'you are a moron go away'} w{i % 7}", int(i % 2 == 0)) for i in range(200)]
+    words = toxicity.learn_reporting(spark.createDataFrame(rows, "text string, toxic int"), {"moron": False})
+    assert {"reported", "someone"} <= words and not words & {"you", "moron", "away"}
+
+
 def test_no_labels_and_no_documents(spark, tables):
     docs, labels = tables
     model = toxicity.learn(docs, labels.limit(0))
