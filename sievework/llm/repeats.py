@@ -312,7 +312,7 @@ class Cover:
             names += [xxhash.xxh3_64_intdigest(parse.payload(tokens, i, j)) for i, j in spans]
         doc, at, count, sample = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(4))
         name, first = np.array(names, np.uint64), d[doc.astype(np.int64)]
-        sample = sample.astype(np.uint64)
+        sample = mix(sample.astype(np.uint64))  # the smallest hashes of windows are small ones; segments are dealt by even ones
         order = np.lexsort((first, name, sample))
         new = firsts(sample[order], name[order])
         self.runs, self.key = Runs(doc.astype(np.int64), at.astype(np.int64), count.astype(np.int64)), np.empty(len(order), np.int64)
@@ -511,7 +511,8 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
     reader = Cover if earlier else Sketch
     stored = materialise(blocks(keyed(docs), kind), "blocks")
     size = stored.agg(F.sum("size")).first()[0] or 0
-    segments = int(reader(kind).keys_of(size) / SEGMENT_KEYS) + 1
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # segments, so that no task is without one
+    segments = max(least, int(reader(kind).keys_of(size) / SEGMENT_KEYS) + 1)
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -565,7 +566,7 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
                     yield emit([(-1, block, 0, state), *rows, *asked(segment_of(columns[0], parts), block, [*columns, value])])
 
     # more or fewer segments only change how much a task holds
-    parts, text_parts = int(reader(kind).keys_of(size) / 2 / SEGMENT_KEYS) + 1, int(reader(kind).keys_of(size) / 16 / SEGMENT_TEXTS) + 1
+    parts, text_parts = max(least, int(reader(kind).keys_of(size) / 2 / SEGMENT_KEYS) + 1), max(least, int(reader(kind).keys_of(size) / 16 / SEGMENT_TEXTS) + 1)
     told = stored.join(first, "block", "left").select("block", "d", "k", "off", "t", "replies")
     second = materialise(told.mapInArrow(second_round, ASKED), "second")
     release(first)
