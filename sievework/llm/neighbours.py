@@ -2,7 +2,9 @@
 
 Vectors are cut into two halves, each half is quantised to its own centroids, and the pair of centroids is a cell. A query
 walks the cells in the order of the summed inner products of its halves with the centroids, with a heap, until the cells
-hold enough vectors; these are reranked by their exact inner products.
+hold enough vectors; these are reranked by their exact inner products. How many are enough is measured: some queries are
+compared with all vectors, and the walk is as long as they need for the recall wanted. Vectors that lie in clusters need
+short walks; where all directions are alike, no index spares much.
 
 Vectors that are equal are indexed once: the smallest ids of each are all that an answer can need. Neighbouring cells make
 a unit of about UNIT_ROWS vectors, a cell with more is cut into several; a query goes once to each unit that it has cells
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import materialise
 
-SAMPLE, CENTROIDS, ROUNDS = 20_000, (4, 128), 12
-PROBED = 0.4, 2500  # of all vectors, and at least; the walk ends when its cells hold as many
-UNIT_ROWS = 4096
+SAMPLE, SAMPLE_VALUES, ROUNDS = 20_000, 1 << 22, 12  # vectors, and numbers in them, that centroids are fitted on at most
+CENTROIDS = 4, 1024  # a half; in between as the root of the number of vectors
+RECALL, MEASURED = 0.95, 64  # the recall wanted, and how many queries measure what it takes
+CHUNK = 16  # neighbouring columns that the walk takes at a time
+UNIT_ROWS, UNITS, TOGETHER = 4096, 1 << 16, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -49,9 +53,9 @@ def distinct(rows: DataFrame, keep: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(1)], ["id", "h1", "h2", "v"])
 
     rows = rows.mapInArrow(hashed, "id long, h1 long, h2 long, v array<double>")
-    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    nth = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))  # a repeated row counts once
     few = rows.withColumn("nth", nth).where(F.col("nth") <= keep)
-    return few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -67,25 +71,26 @@ def k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
-def near_cells(query: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-    """Non-empty cells by falling sum of the halves' inner products, until they hold `wanted` vectors."""
+def near_cells(query: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
+    """Non-empty cells by falling sum of the halves' inner products, CHUNK pairs at a time, until they hold `wanted` vectors."""
     half = left.shape[1]
     a, b = left @ query[:half], right @ query[half:]
     i_of, j_of = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    a, b = a[i_of].tolist(), b[j_of].tolist()
-    heap, reached, out, count = [(-(a[0] + b[0]), 0, 0)], [0] * len(a), [], 0
-    # row i is entered up to column reached[i]; the next pair of a row and the first of the next row follow a popped one
+    first, step = a[i_of].tolist(), b[j_of[::CHUNK]].tolist()
+    columns = [j_of[k : k + CHUNK] for k in range(0, len(j_of), CHUNK)]
+    heap, out, count = [(-(first[0] + step[0]), 0, 0)], [], 0
+    # of each row the next chunk is entered when one is popped, and with a row's first chunk the next row
     while heap and count < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(i_of[i]) * len(b) + int(j_of[j])
-        if sizes[cell]:
-            out.append(cell)
-            count += int(sizes[cell])
-        if j + 1 < len(b):
-            heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
-    return out
+        _, i, k = heapq.heappop(heap)
+        cells = i_of[i] * len(b) + columns[k]
+        held = sizes[cells]
+        out.append(cells[held > 0])
+        count += int(held.sum())
+        if k + 1 < len(columns):
+            heapq.heappush(heap, (-(first[i] + step[k + 1]), i, k + 1))
+        if k == 0 and i + 1 < len(first):
+            heapq.heappush(heap, (-(first[i + 1] + step[0]), i + 1, 0))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def top(query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -98,28 +103,64 @@ def top(query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return order[s >= last]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float, int] = PROBED, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def walk_length(placed: DataFrame, k: int, recall: float, left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> int:
+    """How many vectors a walk must pass so that some queries (about MEASURED) find this share of their k nearest; all for a recall of 1."""
+    count = int(sizes.sum())
+    if recall >= 1:
+        return count
+    some = placed.where(F.pmod("h2", F.lit(1_000_000)) < int(1_000_000 * min(1.0, MEASURED / max(1, count)))).select("v").limit(2 * MEASURED).toArrow()
+    if not some.num_rows:
+        return count
+    queries = some.column(0).combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1)
+    shared = placed.sparkSession.sparkContext.broadcast(queries)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = shared.value @ batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).T
+                at = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                own = np.repeat(np.arange(len(score)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(score[own, at.ravel()]), batch.column(1).take(pa.array(at.ravel()))], ["q", "score", "cell"])
+
+    found = placed.select("v", "cell").mapInArrow(best, "q int, score double, cell long")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cell"))
+    nearest = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("q", "cell").collect()  # at most 2 * MEASURED * (k + 1) rows
+    needed = []
+    by_query: dict[int, list[int]] = {}
+    for r in nearest:
+        by_query.setdefault(r.q, []).append(r.cell)
+    for q, cells in by_query.items():
+        order = near_cells(queries[q], left, right, sizes, count)
+        place = np.empty(len(sizes), np.int64)
+        place[order] = np.arange(len(order))
+        needed += np.cumsum(sizes[order])[place[cells]].tolist()
+    return int(np.quantile(needed, recall, method="higher"))
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors with the largest inner product found for each id divisible by `every`.
 
     Candidates are all other rows; ties go to the smaller vec_id; scores are exact, in double precision. Rows whose vector is
     null, zero, has a null or non-finite component or another length than most take no part. Equal vectors under several ids
-    are all found. A repeated vec_id with equal vectors counts once. No usable rows, or a single one, give no rows.
+    are all found. A repeated vec_id with equal vectors counts once. No usable rows, or a single one, give no rows. recall is
+    the share of the nearest that is aimed at; 1 compares each query with all.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).distinct()
+    rows = usable(vectors)
     index = materialise(distinct(rows, k + 1), "vectors")
     count = index.count()
-    chosen = [] if not count else index.where(F.pmod("h1", F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / count))).select("v").limit(2 * SAMPLE).collect()
-    if not chosen:
-        chosen = index.select("v").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    sample = np.array(sorted(r.v for r in chosen))
+    one = index.select(F.size("v").alias("n")).first()
+    if not one:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    most = max(1, min(SAMPLE, SAMPLE_VALUES // one.n))
+    chosen = index.where(F.pmod("h1", F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / count))).select("v").limit(2 * most).toArrow()
+    chosen = chosen if chosen.num_rows else index.select("v").limit(1).toArrow()
+    sample = chosen.column(0).combine_chunks().flatten().to_numpy().reshape(chosen.num_rows, -1)
+    sample = sample[np.lexsort(sample.T[::-1])]
     half = max(1, sample.shape[1] // 2)
-    cells = int(min(CENTROIDS[1], max(CENTROIDS[0], 1 << max(0, round(np.log2(max(1, count) ** 0.5 * 2))))))
+    cells = int(min(CENTROIDS[1], max(CENTROIDS[0], 1 << round(np.log2(max(1, count) ** 0.5)))))
     left, right = k_means(sample[:, :half], cells, 1), k_means(sample[:, half:], cells, 2)
-    shared = spark.sparkContext.broadcast((left, right))  # at most 2 x 128 half vectors
+    shared = spark.sparkContext.broadcast((left, right))  # at most 2 x CENTROIDS[1] half vectors
     across = len(right)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -135,9 +176,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
 
     placed = materialise(index.select("h1", "h2", "v").mapInArrow(assign, "h1 long, h2 long, v array<double>, cell long"), "placed")
     sizes = np.zeros(len(left) * across, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most 128 x 128 cells
+    for r in placed.groupBy("cell").count().collect():  # at most CENTROIDS[1] squared
         sizes[r["cell"]] = r["count"]
-    wanted = max(probed[1], int(probed[0] * count))
+    wanted = walk_length(placed, k, recall, left, right, sizes)
+    unit_rows = max(unit_rows, -(-count // UNITS))
     pieces = np.maximum(1, -(-sizes // unit_rows))
     big = pieces > 1
     unit_of = np.cumsum(np.where(big, 0, sizes)) // unit_rows
@@ -150,7 +192,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
         for batch in batches:
             owner, units, lists = [], [], []
             for k, q in enumerate(matrix(batch.column(2)) if batch.num_rows else []):
-                cells = np.sort(np.array(near_cells(q, left, right, sizes, wanted), np.int64))
+                cells = np.sort(near_cells(q, left, right, sizes, wanted))
                 cells = np.repeat(cells, pieces[cells])
                 nth = np.arange(len(cells)) - np.searchsorted(cells, cells)
                 unit = unit_of[cells] + nth
@@ -167,10 +209,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
                     owner, units, lists = [], [], []
 
     asked = materialise(distinct(rows.where(F.col("id") % every == 0), 1).select("h1", "h2", "v"), "queries")
-    asked = asked.repartition(max(1, min(1000, asked.count() // 64)))  # the walk is the work, not the reading
+    asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() // 4096))  # the walk is the work, not the reading
     probes = materialise(asked.mapInArrow(walk, "h1 long, h2 long, v array<double>, unit long, cells array<int>"), "probes")
     demand = np.ones(int((unit_of + pieces).max()), np.int64)
-    for r in probes.groupBy("unit").count().collect():
+    for r in probes.groupBy("unit").count().collect():  # about UNITS rows at most, and one more a large cell
         demand[r["unit"]] = r["count"]
     copies = spark.sparkContext.broadcast(-(-demand // (4 * unit_rows)))
 
@@ -228,14 +270,21 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
                     base = [np.concatenate([h[i] for h in held]) for i in range(3)]
                     order = np.argsort(base[2], kind="stable")
                     base = [x[order] for x in base]
-                for at in range(a, b):
-                    own = batch.column(6)[at].values.to_numpy()
-                    place = np.minimum(np.searchsorted(own, base[2]), len(own) - 1)
-                    inside = np.flatnonzero(own[place] == base[2])
-                    score = (base[1][inside] * v[at]).sum(axis=1)
-                    keep = top(np.zeros(len(score), np.int64), score, k + 1)
-                    out.append((np.concatenate([np.repeat(ids[at : at + 1], len(keep), 0), base[0][inside[keep]]], 1), score[keep]))
-                    size += len(keep)
+                for begin in range(a, b, TOGETHER):
+                    at = np.arange(begin, min(b, begin + TOGETHER))
+                    near = v[at] @ base[1].T
+                    for row, n in enumerate(at.tolist()):
+                        own = batch.column(6)[n].values.to_numpy()
+                        place = np.minimum(np.searchsorted(own, base[2]), len(own) - 1)
+                        inside = np.flatnonzero(own[place] == base[2])
+                        rough = near[row, inside]
+                        if len(rough) > k + 1:  # the order of sums may differ by rounding, so a little more is kept and summed anew
+                            least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                            inside = inside[rough >= least - 1e-9 * max(1.0, abs(least))]
+                        score = (base[1][inside] * v[n]).sum(axis=1)
+                        keep = top(np.zeros(len(score), np.int64), score, k + 1)
+                        out.append((np.concatenate([np.repeat(ids[n : n + 1], len(keep), 0), base[0][inside[keep]]], 1), score[keep]))
+                        size += len(keep)
             if size > 1_000_000:
                 out = [best()]
                 size = len(out[0][1])
@@ -252,7 +301,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probed: tuple[float
     named = found.join(index.select("h1", "h2", "ids"), ["h1", "h2"]).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
     nth = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
     few = materialise(named.withColumn("nth", nth).where(F.col("nth") <= k + 1), "found")
-    asking = distinct_ids(rows.where(F.col("id") % every == 0))
+    asking = distinct_ids(rows.where(F.col("id") % every == 0)).distinct()
     out = asking.join(few, (asking.h1 == few.q1) & (asking.h2 == few.q2)).where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

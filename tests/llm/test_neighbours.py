@@ -1,7 +1,13 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 
+from sievework.llm import neighbours
 from sievework.llm.neighbours import near_cells, search
 
+FOLDER = "/root/testdata/sf0.1"
+
 
 def brute(rows, every=20, k=20):
     usable = {i: np.array(v, float) for i, v in rows if v is not None and None not in v and len(v) == 8 and np.isfinite(v).all() and any(v)}
@@ -22,7 +28,7 @@ def make(spark, n=1500, copies=40):
 
 def test_recall_ranks_and_scores(spark):
     rows, frame = make(spark)
-    out = sorted(tuple(r) for r in search(frame, probed=(0.3, 200)).collect())
+    out = sorted(tuple(r) for r in search(frame, ).collect())
     truth = sorted(brute([r for r in rows if r[0] is not None]))
     assert len(out) == len(truth) and [r[:2] for r in out] == [r[:2] for r in truth]
     got, want = {(r[0], r[2]): r[3] for r in out}, {(r[0], r[2]): r[3] for r in truth}
@@ -34,7 +40,7 @@ def test_everything_probed_is_exact_however_cells_are_cut(spark):
     rows, frame = make(spark, 300)
     truth = [r[:3] for r in sorted(brute([r for r in rows if r[0] is not None]))]
     for unit in (4096, 7):
-        assert [tuple(r)[:3] for r in sorted(search(frame, probed=(1.0, 1), unit_rows=unit).collect())] == truth
+        assert [tuple(r)[:3] for r in sorted(search(frame, recall=1.0, unit_rows=unit).collect())] == truth
 
 
 def test_few_rows(spark):
@@ -45,7 +51,28 @@ def test_few_rows(spark):
     assert sorted(tuple(r) for r in out) == [(20, 1, 2, 1.0), (20, 2, 3, 1.0)]
 
 
-def test_cells_come_in_order():
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_recall_on_the_table(spark):
+    """Every query of the table with default settings, against brute force."""
+    frame = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect() if r.embedding is not None and None not in r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    found = {}
+    for r in search(frame).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[at]).sum(1)
+        order = [i for i in np.lexsort((ids, -score)) if i != at][:20]
+        own = sorted(found[ids[at]])
+        assert len(own) == 20 and [r for r, *_ in own] == list(range(1, 21))
+        assert all(abs(s - score[np.flatnonzero(ids == i)[0]]) < 1e-12 for _, i, s in own)
+        hits, total = hits + len({i for _, i, _ in own} & set(ids[order].tolist())), total + 20
+    assert hits >= 0.9 * total
+
+
+def test_cells_come_in_order(monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 1)
     rng = np.random.default_rng(1)
     left, right, q = rng.normal(size=(6, 4)), rng.normal(size=(5, 4)), rng.normal(size=8)
     sizes = np.ones(30, int)
