@@ -103,12 +103,13 @@ def top(query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return order[s >= last]
 
 
-def walk_length(placed: DataFrame, k: int, recall: float, left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> int:
+def walk_length(asked: DataFrame, placed: DataFrame, k: int, recall: float, left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> int:
     """How many vectors a walk must pass so that some queries (about MEASURED) find this share of their k nearest; all for a recall of 1."""
     count = int(sizes.sum())
     if recall >= 1:
         return count
-    some = placed.where(F.pmod("h2", F.lit(1_000_000)) < int(1_000_000 * min(1.0, MEASURED / max(1, count)))).select("v").limit(2 * MEASURED).toArrow()
+    drawn = F.pmod("h2", F.lit(1_000_000)) < int(1_000_000 * min(1.0, MEASURED / max(1, asked.count())))
+    some = asked.where(drawn).select("v").limit(2 * MEASURED).toArrow()
     if not some.num_rows:
         return count
     queries = some.column(0).combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1)
@@ -178,7 +179,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
     sizes = np.zeros(len(left) * across, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most CENTROIDS[1] squared
         sizes[r["cell"]] = r["count"]
-    wanted = walk_length(placed, k, recall, left, right, sizes)
+    asked = materialise(distinct(rows.where(F.col("id") % every == 0), 1).select("h1", "h2", "v"), "queries")
+    wanted = walk_length(asked, placed, k, recall, left, right, sizes)
     unit_rows = max(unit_rows, -(-count // UNITS))
     pieces = np.maximum(1, -(-sizes // unit_rows))
     big = pieces > 1
@@ -208,7 +210,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = REC
                     yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(units, pa.int64()), values], ["h1", "h2", "v", "unit", "cells"])
                     owner, units, lists = [], [], []
 
-    asked = materialise(distinct(rows.where(F.col("id") % every == 0), 1).select("h1", "h2", "v"), "queries")
     asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() // 4096))  # the walk is the work, not the reading
     probes = materialise(asked.mapInArrow(walk, "h1 long, h2 long, v array<double>, unit long, cells array<int>"), "probes")
     demand = np.ones(int((unit_of + pieces).max()), np.int64)
