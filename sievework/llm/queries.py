@@ -18,7 +18,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(read(spark, sf_dir, "documents"))
+    return tokens.count_tokens(read(spark, sf_dir, "documents"), merges=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
