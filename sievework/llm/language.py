@@ -4,10 +4,14 @@ One model per language over the characters of padded words, orders 1 to ORDER. A
 hashes; a row beside a hash has every language's log probability of that n-gram, and for contexts their back-off weights,
 so that one binary search serves all languages. A word is scored once as long as a task's memo lasts; a document takes the
 language with the lowest cross-entropy a character.
+
+Spark counts the n-grams of the highest order over all documents that may be learned from; the other orders follow from
+those, as every shorter n-gram ends one of them. What comes to the driver is a row for each distinct one, the model itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import held_out, mix, starts, utf8
 
 ORDER, PAD = 4, " "
-FIT_DOCS = 1500  # documents of each language that a model is fitted on, about; a tenth of them calibrates instead
+ASIDE, ASIDE_CHARS = 150, 4000  # documents of each language that calibrate instead of being counted, about, and characters of each at most
 UNKNOWN = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 POWERS = [np.uint64(pow(0x100000001B3, n, 1 << 64)) for n in range(ORDER)]
@@ -90,14 +94,30 @@ class Models:
         return np.add.reduceat(out, starts(sizes), axis=0, dtype=np.float64), sizes
 
 
-def train(texts: dict[str, list[str]]) -> Models:
-    """Interpolated Kneser-Ney: raw counts at the highest order, counts of distinct left neighbours below, one discount an order."""
-    models = Models(sorted(texts))
+def suffixes(codes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What grams() and contexts() give, for n-grams of the highest order as rows of characters' codes."""
+    by_order, before, total = [], [], np.zeros(len(codes), np.uint64)
+    for n in range(ORDER):
+        total = total + codes[:, ORDER - 1 - n] * POWERS[n]
+        by_order.append(mix(total ^ np.uint64(n + 1) << np.uint64(56)))
+    total = np.zeros(len(codes), np.uint64)
+    for n in range(1, ORDER):
+        total = total + codes[:, ORDER - 1 - n] * POWERS[n]
+        before.append(mix(total ^ np.uint64(n + 101) << np.uint64(56)))
+    return by_order, before
+
+
+def train(grams_of: dict[str, dict[str, int]]) -> Models:
+    """Interpolated Kneser-Ney: raw counts at the highest order, counts of distinct left neighbours below, one discount an order.
+
+    grams_of: of each language how often each n-gram of ORDER characters comes in its padded words.
+    """
+    models = Models(sorted(grams_of))
     counted = []
     for language in models.languages:
-        words, times = np.unique(np.array([w for t in texts[language] for w in words_of(t)] or [PAD]), return_counts=True)
-        by_order, sizes = grams(words.tolist())
-        counted.append((by_order, contexts(words.tolist()), np.repeat(times, sizes)))
+        own = grams_of[language] or {PAD * ORDER: 1}
+        codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER) + np.uint64(1)
+        counted.append((*suffixes(codes), np.fromiter(own.values(), np.float64, len(own))))
     below = below_keys = None
     for n in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([c[0][n - 1] for c in counted]))
@@ -204,20 +224,54 @@ def calibrate(models: Models, texts: dict[str, list[str]]) -> Models:
     return models
 
 
-def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Models | None:
-    """Models of the languages in `lang`, from about fit_docs documents of each that are not held out, chosen by a hash."""
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(lang, gram, times) of the n-grams of ORDER characters in the padded words of (lang, t: text as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for language, words in held.items():
+                found: Counter = Counter()
+                for word, times in words.items():
+                    padded = PAD * (ORDER - 1) + word + PAD
+                    for i in range(len(word) + 1):
+                        found[padded[i : i + ORDER]] += times
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(found)), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "times"])
+            held.clear()
+
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(language, Counter()).update(words_of(text.as_py().decode()))
+            if sum(map(len, held.values())) > 300_000:
+                yield from flush()
+        yield from flush()
+
+    return texts.mapInArrow(run, "lang string, gram string, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+
+
+def learn(docs: DataFrame, aside: int = ASIDE) -> Models | None:
+    """Models of the languages in `lang`: n-grams of all documents that are not held out but some `aside`, which calibrate.
+
+    Those, about `aside` a language and a tenth of it at most, are chosen by a hash, and so is the place of the ASIDE_CHARS
+    characters that calibrate.
+    """
     rows = docs.where("lang is not null and text is not null").where(F.coalesce(~held_out(), F.lit(True)))
     counts = rows.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(1_000_000 * min(1.0, fit_docs / r["count"])))))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    chosen = rows.where(draw < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(10)) == 0).alias("aside"))
-    fitted: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    aside: dict[str, list[str]] = {}
-    for r in sorted(chosen.collect(), key=lambda r: r.text):
-        (aside.setdefault(r.lang, []) if r.aside else fitted[r.lang]).append(r.text)
-    return calibrate(train(fitted), aside)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(1_000_000 * min(0.1, aside / r["count"])))))
+    draw = F.xxhash64(F.lit(1), "doc_id", "text")
+    kept = F.pmod(draw, F.lit(1_000_000)) < share[F.col("lang")]
+    fitted: dict[str, dict[str, int]] = {r["lang"]: {} for r in counts}
+    found = count_grams(rows.where(~kept).select("lang", utf8("text").alias("t"))).toArrow()  # a row a distinct n-gram
+    for language, gram, times in zip(*(found.column(i).to_pylist() for i in range(3))):
+        fitted[language][gram] = times
+    start = F.pmod(F.shiftrightunsigned(draw, 20), F.greatest(F.lit(1), F.length("text") - ASIDE_CHARS + 1)).cast("int") + 1
+    own: dict[str, list[str]] = {}
+    for r in sorted(rows.where(kept).select("lang", F.substr("text", start, F.lit(ASIDE_CHARS)).alias("text")).collect(), key=lambda r: r.text):
+        own.setdefault(r.lang, []).append(r.text)
+    return calibrate(train({k: dict(sorted(v.items())) for k, v in fitted.items()}), own)
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
@@ -228,7 +282,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     get equal results; a null doc_id is not held out. Other columns are ignored.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # about FIT_DOCS documents a language bound it
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # a row a distinct n-gram, which alphabets bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,32 +49,65 @@ def test_held_out_languages_are_never_learned(spark, docs):
     assert a.languages == b.languages and all(np.array_equal(x, y) for x, y in zip(a.logs, b.logs)) and a.calibration == b.calibration
 
 
-def test_probabilities_sum_to_one():
-    models = language.train({"a": ["abab abba baab cab", "abc"], "b": ["bcd dcb ccc"]})
-    letters = sorted(set("abcd "))
-    for before in ("", "a", "ab", "ca"):
-        words = [before + x for x in letters if x != " "]
-        logs, sizes = models.score(words)
-        # p(next) = p(before + next + end) / p(before ...): take the n-gram rows themselves instead
-        by_order, sizes = language.grams(words)
-        contexts = language.contexts(words)
-        place = np.cumsum(sizes) - 2  # the last letter of every word
-        total = np.zeros(2)
-        for k in range(len(words)):
-            row = np.zeros(2)
-            for n in range(language.ORDER, 0, -1):
-                at, hit = language.find(models.keys[n - 1], by_order[n - 1][place[k] : place[k] + 1])
-                if hit[0]:
-                    row += models.logs[n - 1][at[0]]
-                    break
-                if n > 1:
-                    at, hit = language.find(models.context_keys[n - 2], contexts[n - 2][place[k] : place[k] + 1])
-                    row += models.weights[n - 2][at[0]] if hit[0] else 0
-            else:
-                row += models.floor
-            total += np.exp(row)
-        end, _ = language.grams([before] if before else [" "])
-        assert (total < 1.0).all() and (total > 0.2).all()  # the end of the word and unseen characters have the rest
+def grams_of(texts):
+    found = Counter()
+    for text in texts:
+        for w in text.split():
+            padded = " " * 3 + w + " "
+            found.update(padded[i : i + 4] for i in range(len(w) + 1))
+    return dict(found)
+
+
+class Brute:
+    """Interpolated Kneser-Ney from plain dictionaries."""
+
+    def __init__(self, grams, letters):
+        self.letters, self.counts = letters, {4: dict(grams)}
+        for n in (3, 2, 1):
+            self.counts[n] = dict(Counter(g[1:] for g in {x[-(n + 1) :] for x in grams}))
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for n, own in self.counts.items():
+            ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+            self.discount[n] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+            for g, c in own.items():
+                key = n, g[:-1]
+                self.total[key] = self.total.get(key, 0) + c
+                self.kinds[key] = self.kinds.get(key, 0) + 1
+
+    def __call__(self, context, letter):
+        p = 1 / (len(self.letters) + 1)
+        for n in range(1, 5):
+            key = n, context[len(context) - n + 1 :] if n > 1 else ""
+            if self.total.get(key):
+                d = self.discount[n]
+                p = max(self.counts[n].get(key[1] + letter, 0) - d, 0) / self.total[key] + d * self.kinds[key] / self.total[key] * p
+        return p
+
+
+def test_models_equal_plain_dictionaries():
+    texts = {"a": ["abab abba baab cab", "abc abab", "ba"], "b": ["bcd dcb ccc", "bcd bcdd"]}
+    grams = {k: grams_of(v) for k, v in texts.items()}
+    models, letters = language.train(grams), {g[-1] for own in grams.values() for g in own}
+    brutes = [Brute(grams[k], letters) for k in models.languages]
+    for word in ["abab", "abc", "bcd", "dad", "xyz", "cabbage", "b"]:
+        logs, sizes = models.score([word])
+        padded = " " * 3 + word + " "
+        want = [sum(math.log(p(padded[i : i + 3], padded[i + 3])) for i in range(len(word) + 1)) for p in brutes]
+        assert sizes.tolist() == [len(word) + 1] and np.allclose(logs[0], want, atol=1e-4), word
+    for context in ("   ", " ab", "bab", "zzz", "abc"):
+        for p in brutes:
+            assert abs(sum(p(context, x) for x in letters) + p(context, "?") - 1) < 1e-12
+
+
+def test_all_documents_are_counted(spark, docs):
+    """The counts are those of every document that may be learned from and doesn't calibrate."""
+    models = language.learn(docs, aside=0)
+    texts = {}
+    for r in docs.where("lang is not null and text is not null").collect():
+        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            texts.setdefault(r.lang, []).append(" ".join(language.words_of(r.text)))
+    want = language.train({k: grams_of(v) for k, v in texts.items()})
+    assert models.languages == want.languages and all(np.array_equal(x, y) for x, y in zip(models.logs, want.logs))
 
 
 def test_no_languages_and_no_documents(docs):
