@@ -3,14 +3,15 @@
 Numbers, units and names become typed placeholders, so that a question asked again with other values has the same template.
 Windows of templates are hashed and joined: the benchmark's window hashes are a sorted array that every task holds (its size
 is bounded: a larger benchmark is searched for block by block), the documents' windows are looked up where they are read, and
-no document is shuffled. A match must also fit: along one alignment every slot value of the item must stand for one value
-of the document, and for no other item value.
+no document is shuffled. A window of too few literal words for its template to tell anything is looked up with its values as
+they are. A match must also fit: along one alignment every slot value of the item must stand for one value of the document,
+and for no other item value; of pairings that contradict each other the one that more windows have holds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import utf8
+from sievework.llm.common import mix, utf8
 from sievework.llm.repeats import gram_hashes
 
 WINDOW, LITERALS, LEAST = 8, 4, 4
 COVERAGE = 0.5
+RUN = 20  # words in a row that fit are enough, whatever part of the item they are
 BLOCK_CHARS = 8_000_000  # of benchmark text that a task holds at a time
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t oz lb lbs pound pounds ton tons ml cl l litre litres liter liters "
@@ -71,7 +73,8 @@ class Templates:
         return found
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(words, tokens, slot, sizes): the words' places in bare, template tokens and slot kinds (0: none) of all texts."""
+        """(words, tokens, plain, slot, sizes): the words' places in bare, template tokens, the words' own hashes and slot kinds
+        (0: none) of all texts."""
         if len(self.memo) > 400_000:
             self.__init__()
         memo, parts = self.memo, []
@@ -96,17 +99,20 @@ class Templates:
         unit = (flags & UNIT > 0) & after_number
         name = (flags & CAPITAL > 0) & ~opens & ~number & ~unit
         slot = number * 1 + unit * 2 + name * 3
-        tokens = hashes[words]
+        plain = hashes[words]
+        tokens = plain.copy()
         for k in (1, 2, 3):
             tokens[slot == k] = SLOTS[k - 1]
-        return used[words], tokens, slot, np.bincount(doc, minlength=len(parts))
+        return used[words], tokens, plain, slot, np.bincount(doc, minlength=len(parts))
 
 
-def window_hashes(tokens: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every window of `size` tokens that has enough literal ones; 0 for others."""
+def window_hashes(tokens: np.ndarray, plain: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of `size` tokens: of its template if that has enough literal ones, else of the words (plain)."""
     hashes = gram_hashes(tokens, size)
     literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    hashes[literal[size:] - literal[:-size] < min(LITERALS, (size + 1) // 2)] = 0
+    poor = literal[size:] - literal[:-size] < min(LITERALS, (size + 1) // 2)
+    if poor.any():
+        hashes[poor] = mix(gram_hashes(plain, size)[poor])
     return hashes
 
 
@@ -115,37 +121,36 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         parse = Templates()
-        words, tokens, slot, sizes = parse([t.encode() for _, t in items])
+        words, tokens, plain, slot, sizes = parse([t.encode() for _, t in items])
         at, entries = 0, defaultdict(list)
         self.ids, self.values, self.count = [i for i, _ in items], [], []
         for n, size in enumerate(sizes.tolist()):
-            own, kinds = tokens[at : at + size], slot[at : at + size]
+            own, bare, kinds = (x[at : at + size] for x in (tokens, plain, slot))
             self.values.append([(int(k), parse.bare[w]) if k else None for k, w in zip(kinds, words[at : at + size])])
             at += size
             width, windows = min(WINDOW, size), 0
             if size >= LEAST:
-                for q, h in enumerate(window_hashes(own, kinds, width).tolist()):
-                    if h:
-                        entries[width, h].append((n, q))
-                        windows += 1
+                for q, h in enumerate(window_hashes(own, bare, kinds, width).tolist()):
+                    entries[width, h].append((n, q))
+                    windows += 1
             self.count.append(windows)
         self.keys, self.entries = {}, {}
         for width in sorted({w for w, _ in entries}):
             self.keys[width] = np.array(sorted(h for w, h in entries if w == width), np.uint64)
             self.entries[width] = [entries[width, h] for h in self.keys[width].tolist()]
 
-    def hits(self, tokens: np.ndarray, slot: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def hits(self, tokens: np.ndarray, plain: np.ndarray, slot: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, place in it, item, place in it, width) of every window that the documents and the items share."""
         begin = np.concatenate([[0], np.cumsum(sizes)])
         for width, keys in self.keys.items():
             if len(tokens) < width:
                 continue
-            hashes = window_hashes(tokens, slot, width)
+            hashes = window_hashes(tokens, plain, slot, width)
             may = np.zeros(1 << 20, bool)
             may[keys & np.uint64((1 << 20) - 1)] = True
             at = np.flatnonzero(may[hashes & np.uint64((1 << 20) - 1)])
             k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-            found = (keys[k] == hashes[at]) & (hashes[at] != 0)
+            found = keys[k] == hashes[at]
             at, k = at[found], k[found]
             doc = np.searchsorted(begin, at, "right") - 1
             inside = at + width <= begin[doc + 1]
@@ -157,31 +162,41 @@ class Benchmark:
 def consistent(item: list, doc: list[str], hits: list[tuple[int, int, int]]) -> tuple[set[int], bool]:
     """(item windows that fit, whether all values are the item's own) along one alignment; hits: (place in doc, in item, width).
 
-    The first pairing of a slot's values holds; a window with a pairing against it doesn't fit.
+    Pairings of values hold in the order of how many windows have them (then in the order of the text), unless one that holds
+    already has either value; a window with a pairing that doesn't hold doesn't fit.
     """
+    pairs = {q: [(item[q + k], doc[p + k]) for k in range(width) if item[q + k] is not None] for p, q, width in hits}
+    support: Counter = Counter(pair for q in sorted(pairs) for pair in set(pairs[q]))
+    first = {pair: q for q in sorted(pairs, reverse=True) for pair in pairs[q]}
     to: dict = {}
     back: dict = {}
-    fits, same = set(), True
-    for p, q, width in sorted(hits):
-        pairs = [(item[q + k], doc[p + k]) for k in range(width) if item[q + k] is not None]
-        if all(to.get(a, b) == b and back.get((a[0], b), a) == a for a, b in pairs):
-            for a, b in pairs:
-                to[a], back[a[0], b] = b, a
-                same &= a[1] == b
-            fits.add(q)
-    return fits, same
+    for a, b in sorted(support, key=lambda x: (-support[x], first[x], x)):
+        if a not in to and (a[0], b) not in back:
+            to[a], back[a[0], b] = b, a
+    fits = {q for q, own in pairs.items() if all(to.get(a) == b for a, b in own)}
+    return fits, all(a[1] == b for q in fits for a, b in pairs[q])
+
+
+def longest_run(fits: set[int], width: int) -> int:
+    """Words in the longest run of windows (by their place in the item) that follow each other."""
+    best = run = 0
+    for q in sorted(fits):
+        run = run + 1 if q - 1 in fits else 1
+        best = max(best, run)
+    return best + width - 1 if best else 0
 
 
 def _found(texts, benchmark: Benchmark, parse: Templates, coverage: float) -> Iterator[tuple[int, int, int, int, bool]]:
     """(row, item, windows found, item windows, verbatim) of every text that holds at least this part of an item."""
     step = 64
     for first in range(0, len(texts), step):
-        words, tokens, slot, sizes = parse([t.as_py() or b"" for t in texts[first : first + step]])
+        words, tokens, plain, slot, sizes = parse([t.as_py() or b"" for t in texts[first : first + step]])
         begin = np.concatenate([[0], np.cumsum(sizes)])
         lines = defaultdict(list)
-        for d, p, n, q, width in benchmark.hits(tokens, slot, sizes):
+        for d, p, n, q, width in benchmark.hits(tokens, plain, slot, sizes):
             lines[d, n, p - q].append((p, q, width))
         covered: dict = defaultdict(set)
+        runs: dict = defaultdict(int)
         own: dict = defaultdict(lambda: True)
         bare: dict = {}
         for (d, n, _), hits in lines.items():
@@ -189,9 +204,10 @@ def _found(texts, benchmark: Benchmark, parse: Templates, coverage: float) -> It
                 bare[d] = [parse.bare[w] for w in words[begin[d] : begin[d + 1]]]
             fits, same = consistent(benchmark.values[n], bare[d], hits)
             covered[d, n] |= fits
+            runs[d, n] = max(runs[d, n], longest_run(fits, hits[0][2]))
             own[d, n] &= same
         for (d, n), fits in sorted(covered.items()):
-            if len(fits) >= coverage * benchmark.count[n]:
+            if fits and (len(fits) >= coverage * benchmark.count[n] or runs[d, n] >= RUN):
                 yield first + d, n, len(fits), benchmark.count[n], own[d, n]
 
 
@@ -207,12 +223,13 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, verbatim): the documents that hold benchmark items, and which.
 
-    A document holds an item if at least `coverage` of the item's template windows occur in it and fit; verbatim is false
-    where numbers, units or names differ. Items shorter than a window are one window; shorter than four words, or without
-    enough literal words, they can't be told from chance and are never found. Null and empty texts hold nothing, repeated
+    A document holds an item if at least `coverage` of the item's template windows occur in it and fit, or RUN words in a row
+    do; verbatim is false where numbers, units or names differ. Windows of mostly numbers, units and names must occur as they
+    are. Items shorter than a window are one window; items of fewer than LEAST words are in too many texts to tell anything and
+    are never found. Null and empty texts hold nothing, repeated
     rows each count, a null doc_id is returned as null. Other columns are ignored. No items or no documents: no rows.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     out = None
     for items in blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
@@ -223,18 +240,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 rows = list(_found(batch.column(1), bench, parse, coverage))
                 if rows:
                     row, item, windows, of, verbatim = zip(*rows)
-                    columns = [batch.column(0).take(pa.array(row)), pa.array([bench.ids[n] for n in item], pa.int64()), pa.array(windows, pa.int64()), pa.array(of, pa.int64())]
+                    columns = [batch.column(0).take(pa.array(row)), pa.array([bench.ids[n] for n in item]), pa.array(windows, pa.int64()), pa.array(of, pa.int64())]
                     columns += [pa.array([w / o for w, o in zip(windows, of)]), pa.array(verbatim)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "windows", "item_windows", "coverage", "verbatim"])
 
-        schema = f"doc_id {id_type}, item_id long, windows long, item_windows long, coverage double, verbatim boolean"
+        schema = f"doc_id {id_type}, item_id {item_type}, windows long, item_windows long, coverage double, verbatim boolean"
         found = docs.select("doc_id", utf8("text").alias("t")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows that contaminated() would report; all columns are returned and nothing is shuffled."""
+    """docs without the rows that contaminated() would report; all columns are returned and nothing is shuffled.
+
+    Null and empty texts stay, repeated rows go or stay together; no items drop nothing, and no documents give no rows.
+    """
     for items in blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
         place = docs.columns.index("text")

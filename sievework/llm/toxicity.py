@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,8 +194,13 @@ def learn_terms(rows: DataFrame) -> dict[str, bool]:
     chance = F.col("docs") * F.lit(all_pos / all_docs)  # of this many toxic documents by the base rate; Chernoff's bound on more
     surprise = F.col("pos") * F.log(F.col("pos") / chance) - F.col("pos") + chance
     sure = F.log(F.lit(float(max(1, terms.count())))) + SURE
-    found = terms.where((odds >= MIN_LOG_ODDS) & (surprise >= sure) & (F.length("t.term") >= 3)).collect()
-    found = {(r.t.term, r.t.stem): r.pos for r in found}
+    beyond = (F.col("pos") >= MIN_TOXIC_DOCS) & (odds >= MIN_LOG_ODDS) & (surprise >= sure)
+    likely = [(r.t.term, r.t.stem) for r in terms.where(beyond & (F.length("t.term") >= 3)).select("t").collect()]
+    release(terms)
+    if not likely:
+        return {}
+    # copies of a document are no independent signs: what counts in the end are different places, by the words on either side
+    found = {(r.term, r.stem): r.pos for r in _places(rows, likely).where(beyond).collect()}
     kept: dict[str, bool] = {}
     longest: dict[str, int] = {}  # of a term without its last letter
     for (term, _), pos in found.items():
@@ -210,25 +216,52 @@ def learn_terms(rows: DataFrame) -> dict[str, bool]:
     return dict(sorted(kept.items()))
 
 
+def _places(rows: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
+    """(term, stem, pos, docs): in how many different surroundings each term stands, and in how many that no harmless document has."""
+    shared = rows.sparkSession.sparkContext.broadcast(({t for t, stem in terms if not stem}, {t for t, stem in terms if stem}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, begun = shared.value
+        sizes = sorted({len(t) for t in begun})
+        for batch in batches:
+            found = set()
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = _WORDS.findall((text.as_py() or b"").decode().lower())
+                for i, word in enumerate(words):
+                    own = [(word, False)] if word in whole else []
+                    own += [(word[:n], True) for n in sizes if len(word) > n and word[:n] in begun]
+                    if own:
+                        place = xxhash.xxh64_intdigest(" ".join(words[max(0, i - 1) : i] + ["|"] + words[i + 1 : i + 2])) >> 1
+                        found.update((term, stem, place, label) for term, stem in own)
+            if found:
+                columns = zip(zip(*found), (pa.string(), pa.bool_(), pa.int64(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["term", "stem", "place", "toxic"])
+
+    places = rows.select(utf8("text").alias("t"), "toxic").mapInArrow(run, "term string, stem boolean, place long, toxic int")
+    places = places.groupBy("term", "stem", "place").agg(F.min("toxic").alias("toxic"))
+    return places.groupBy("term", "stem").agg(F.sum("toxic").alias("pos"), F.count("*").alias("docs"))
+
+
 def learn_reporting(rows: DataFrame, terms: dict[str, bool]) -> frozenset:
-    """Words that stand around terms in harmless documents far more often than in toxic ones, beyond chance."""
+    """Words that stand around terms in harmless documents far more often than in toxic ones, beyond chance; copies count once."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = Kinds(Automaton(shared.value))
         for batch in batches:
-            toxic, out = [], []
+            found = set()
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = [p for p in _PARTS.findall((text.as_py() or b"").decode().lower()) if p[0].isalnum()]
                 hits = [i for i, w in enumerate(words) if kinds[w]]
-                if hits:
-                    near = {w for i in hits for w in words[max(0, i - REACH) : i + REACH + 1] if not kinds[w]} | {""}  # the empty word counts documents
-                    out += sorted(near)
-                    toxic += [label] * len(near)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())], ["word", "toxic"])
-
-    near = rows.select(utf8("text").alias("t"), "toxic").mapInArrow(run, "word string, toxic int")
-    near = near.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("neg"), F.count("*").alias("docs")).where(F.col("neg") >= MIN_TOXIC_DOCS)
+                for i in hits:
+                    around = words[max(0, i - REACH) : i + REACH + 1]
+                    place = xxhash.xxh64_intdigest(" ".join(around)) >> 1
+                    found.update((w, place, label) for w in {"", *around} if not kinds[w])  # the empty word counts places
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int32()))], ["word", "place", "toxic"])
+
+    near = rows.select(utf8("text").alias("t"), "toxic").mapInArrow(run, "word string, place long, toxic int")
+    near = near.groupBy("word", "place").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("neg"), F.count("*").alias("docs")).where(F.col("neg") >= MIN_TOXIC_DOCS)
     near = materialise(near, "contexts")
     whole = near.where("word = ''").first()
     if not whole or whole.neg == whole.docs:

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import pytest
 
-from sievework.llm.decontaminate import Templates, contaminated, drop_contaminated
+from sievework.llm import decontaminate as d
+from sievework.llm.decontaminate import Templates, contaminated, describe, drop_contaminated
 
 ITEM = "A baker in Lyon sells 12 loaves each for 3 euros while Marie buys 12 rolls and pays with a 50 euros note how much is left"
 OTHER = "The slow green turtle walked along the narrow river bank until the sun went down behind the hills"
@@ -30,10 +33,84 @@ def tables(spark):
 
 def test_finds_items_and_their_variants(tables):
     out = {(r.doc_id, r.item_id): r for r in contaminated(*tables).collect()}
-    assert set(out) == {(1, 1), (2, 1), (5, 2), (9, 2), (None, 2)} or set(out) == {(1, 1), (2, 1), (3, 1), (5, 2), (9, 2), (None, 2)}
+    assert set(out) == {(1, 1), (2, 1), (3, 1), (5, 2), (9, 2), (None, 2)}
     assert out[1, 1].verbatim and not out[2, 1].verbatim and out[1, 1].coverage == out[2, 1].coverage == 1.0
-    if (3, 1) in out:  # 12 can't be both 30 and 31: the windows that say so don't count
-        assert out[3, 1].coverage < 1.0
+    assert out[3, 1].coverage < 1.0  # 12 can't be both 30 and 31: the windows that say so don't count
+
+
+def tokens_of(text):
+    """(bare word, kind of slot or 0) of each word, one after another."""
+    out, opens, number = [], True, False
+    for word in (text or "").split():
+        _, flags, bare = describe(word)
+        if not flags & d.EMPTY:
+            unit = bool(flags & d.UNIT) and number
+            kind = 1 if flags & d.NUMBER else 2 if unit else 3 if flags & d.CAPITAL and not opens else 0
+            out.append((bare, kind))
+            opens, number = bool(flags & d.ENDS), bool(flags & d.NUMBER)
+        else:
+            pass  # a word without letters neither opens a sentence nor is told about
+    return out
+
+
+def brute(docs, bench):
+    for doc_id, text in docs:
+        doc = tokens_of(text)
+        for item_id, wanted in bench:
+            item = tokens_of(wanted)
+            if item_id is None or wanted is None or len(item) < d.LEAST:
+                continue
+            width = min(d.WINDOW, len(item))
+
+            def key(window):
+                literal = sum(kind == 0 for _, kind in window)
+                return tuple((kind or bare) if literal >= min(d.LITERALS, (width + 1) // 2) else (bare,) for bare, kind in window)
+
+            lines = {}
+            for q in range(len(item) - width + 1):
+                for p in range(len(doc) - width + 1):
+                    if key(item[q : q + width]) == key(doc[p : p + width]):
+                        lines.setdefault(p - q, []).append(q)
+            covered, run, same = set(), 0, True
+            for shift, own in lines.items():
+                pairs = {q: [((item[i][1], item[i][0]), doc[i + shift][0]) for i in range(q, q + width) if item[i][1]] for q in own}
+                times = Counter(pair for q in own for pair in set(pairs[q]))
+                first = {pair: min(q for q in own if pair in pairs[q]) for pair in times}
+                to = {}
+                for a, b in sorted(times, key=lambda x: (-times[x], first[x], x)):
+                    if a not in to and not any(k[0] == a[0] and v == b for k, v in to.items()):
+                        to[a] = b
+                fits = [q for q in own if all(to.get(a) == b for a, b in pairs[q])]
+                covered |= set(fits)
+                same &= all(a[1] == b for q in fits for a, b in pairs[q])
+                for q in fits:
+                    n = 1
+                    while q + n in fits:
+                        n += 1
+                    run = max(run, n + width - 1)
+            of = len(item) - width + 1
+            if covered and (len(covered) >= d.COVERAGE * of or run >= d.RUN):
+                yield doc_id, item_id, len(covered), of, same
+
+
+def test_rows_equal_brute_force(tables, spark):
+    words = ITEM.split()
+    more = [
+        (20, "before it " + " ".join((OTHER + " " + ITEM).split()[3:30]) + " after"), (21, "7 8 9 10 11 12 13 14 15"), (22, "7 8 9 10 11 12 13 14 16"), (23, "50 12 30 " + ITEM.replace("12", "44")), (24, "12 rolls " + ITEM.replace("50", "12")),
+        (25, " ".join(words[:12] + ["never"] + words[12:])), (26, ITEM.replace("Marie", "12")), (27, "sells 12 loaves each for 4 euros. " + ITEM.replace("12 loaves each for 3", "40 loaves each for 9").replace("12", "40")),
+    ]
+    rows = [r for r in DOCS if r[0] != 9] + more
+    out = contaminated(spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA), tables[1])
+    got = sorted((r.doc_id or -1, r.item_id, r.windows, r.item_windows, r.verbatim) for r in out.collect())
+    want = sorted((i or -1, *rest) for i, *rest in brute(rows, BENCH))
+    assert got == want
+    found = {r[:2] for r in got}
+    assert {(20, 2), (21, 6), (25, 1)} <= found and (22, 6) not in found and (23, 1) in found
+
+
+def test_text_ids(tables, spark):
+    bench = spark.createDataFrame([("a", OTHER)], "item_id string, text string")
+    assert {r.item_id for r in contaminated(tables[0], bench).collect()} == {"a"}
 
 
 def test_blocks_give_the_same_rows(tables):
@@ -55,7 +132,7 @@ def test_empty_tables(tables):
 
 def test_placeholders():
     parse = Templates()
-    words, tokens, slot, sizes = parse(["Ann met Bob at 5 km and 7kg ... Then 3% of it".encode(), b"", b"In May"])
+    words, tokens, plain, slot, sizes = parse(["Ann met Bob at 5 km and 7kg ... Then 3% of it".encode(), b"", b"In May"])
     kinds = dict(zip([parse.bare[w] for w in words], slot.tolist()))
     assert kinds["ann"] == 0 and kinds["bob"] == 3 and kinds["5"] == 1 and kinds["km"] == 2 and kinds["7kg"] == 1 and kinds["3%"] == 1
     assert kinds["may"] == 3 and sizes.tolist() == [12, 0, 2]

@@ -138,9 +138,10 @@ def test_terms_and_scores_equal_brute_force(tables):
 
 
 def test_reporting_words_are_learned(spark):
-    rows = [(f"{'they reported that someone is a moron here' if i % 2 else 'you are a moron go away'} w{i % 7}", int(i % 2 == 0)) for i in range(200)]
+    rows = [(f"they reported that x{i} someone is a moron here" if i % 2 else f"you x{i} are a moron go away", int(i % 2 == 0)) for i in range(200)]
+    rows += [("copied words before a moron in one place", 0)] * 300  # copies count once
     words = toxicity.learn_reporting(spark.createDataFrame(rows, "text string, toxic int"), {"moron": False})
-    assert {"reported", "someone"} <= words and not words & {"you", "moron", "away"}
+    assert {"reported", "someone"} <= words and not words & {"you", "moron", "away", "copied"}
 
 
 def test_no_labels_and_no_documents(spark, tables):
