@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialise, mix, ranges, release, settings, starts, utf8
@@ -159,10 +159,10 @@ def keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(d, k, t): doc_id, null after all others; a hash that tells rows of one doc_id apart; the text's bytes."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """(d, k, t): doc_id, null after all others; a hash that tells rows of one doc_id apart; the text's bytes. Then more columns."""
     d, k = keys()
-    return docs.select(d.alias("d"), k.alias("k"), utf8("text").alias("t"))
+    return docs.select(d.alias("d"), k.alias("k"), utf8("text").alias("t"), *more)
 
 
 def blocks(rows: DataFrame, kind: Kind) -> DataFrame:
@@ -603,8 +603,8 @@ def _marks(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
 
 
 def repeated(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
-    """keyed(docs) with spans: its windows that repeat, or null."""
-    return keyed(docs).join(marks(docs, kind, earlier), ["d", "k"], "left")
+    """keyed(docs) with spans: its windows that repeat, or null; and id: the doc_id as it is."""
+    return keyed(docs, F.col("doc_id").cast("long").alias("id")).join(marks(docs, kind, earlier), ["d", "k"], "left")
 
 
 def span_arrays(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:

@@ -86,9 +86,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())],
-                ["d", "n_words", "n_removed", "text", "kept_sha256"],
+                ["doc_id", "n_words", "n_removed", "text", "kept_sha256"],
             )
 
-    out = repeated(docs, window_kind(window), earlier=False).select("d", "t", "spans")
-    out = out.mapInArrow(run, "d long, n_words long, n_removed long, text string, kept_sha256 string")
-    return out.select(F.nullif("d", F.lit(2**63 - 1)).alias("doc_id"), "n_words", "n_removed", "text", "kept_sha256")
+    out = repeated(docs, window_kind(window), earlier=False).select("id", "t", "spans")
+    return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
