@@ -71,8 +71,10 @@ def test_empty_table(spark):
 
 
 def test_null_id_and_repeated_rows(spark):
-    docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, "a b c")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()) == [(5, 5), (5, 5), (7, 5)]
+    """A row without doc_id comes back with the class of its neighbours, or with none where it has no others."""
+    rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, "a b c"), (None, "entirely other words stand here alone")]
+    out = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in out) == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 5)]
 
 
 def test_tree_search_equals_pairs():
