@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, language, licenses, mixing, neighbours, oracles, simhash, substrings, suffixes, tokens, toxicity
+from sievework.llm import decontaminate, infill, language, licenses, mixing, neighbours, oracles, simhash, substrings, suffixes, tokens, toxicity
 from sievework.llm.common import read
 
 
@@ -50,6 +51,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(read(spark, sf_dir, "documents")).drop("text")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(read(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
@@ -61,7 +68,8 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_licenses": op9_licenses,
     "op10_substrings": op10_substrings,
+    "op11_infill": op11_infill,
 }
 
 #: The others hash, learn, draw or search; SQL has no equal of them, so their tests compare with brute force instead.
-ORACLES: dict[str, str] = {"op8_suffixes": oracles.OP8, "op10_substrings": oracles.OP10}
+ORACLES: dict[str, str] = {"op8_suffixes": oracles.OP8, "op10_substrings": oracles.OP10, "op11_infill": oracles.OP11}
