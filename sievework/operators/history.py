@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.ordinals import ordinals
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key; Spark plans the rank as a group limit before the shuffle."""
@@ -19,7 +20,7 @@ def flagged_latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFram
 def versions(arrivals: DataFrame) -> DataFrame:
     """(label, content_hash, first_arrival, version): content that comes again keeps its version."""
     first = arrivals.groupBy("label", "content_hash").agg(F.min("arrival").alias("first_arrival"), F.count("*").alias("imports"))
-    return first.withColumn("version", F.row_number().over(Window.partitionBy("label").orderBy("first_arrival", "content_hash")))
+    return ordinals(first, ["label"], ["first_arrival", "content_hash"], "version")
 
 
 def next_versions(versioned: DataFrame) -> DataFrame:
@@ -63,6 +64,16 @@ def queue_head(tasks: DataFrame) -> DataFrame:
     return tasks.where(CLAIMABLE).orderBy("created_at", "task_id").limit(1)
 
 
+def claim_batches(tasks: DataFrame, workers: int, each: int) -> DataFrame:
+    """(task_id, worker, nth): up to `each` claimable tasks for each worker, numbered from 0, the oldest first and dealt in turn.
+
+    No task goes to two workers, as each has one rank among all; the ranks are counted range by range.
+    """
+    ranked = ordinals(tasks.where(CLAIMABLE).select("task_id", "created_at"), [], ["created_at", "task_id"], "rank").where(F.col("rank") <= workers * each)
+    rank = F.col("rank") - 1
+    return ranked.select("task_id", (rank % workers).cast("int").alias("worker"), F.floor(rank / workers).cast("int").alias("nth"))
+
+
 def finished(tasks: DataFrame) -> DataFrame:
     """After an outcome: COMPLETED, PENDING again while it may be retried and attempts are left, else FAILED."""
     again = F.col("retryable") & (F.col("attempt") < F.col("max_attempts"))

@@ -627,7 +627,7 @@ def findings_rollup(spark, folder):
     return first.groupBy("id", "list").agg(F.array_join(items, "; ").alias("items")).groupBy("id").pivot("list", LISTS).agg(F.first("items"))
 
 
-FINDINGS_ROLLUP = "SELECT id, " + ", ".join(f"string_agg(finding, '; ' ORDER BY pos) FILTER (list = '{x}') AS {x}" for x in LISTS) + f" FROM (SELECT id, list, finding, min(pos) AS pos FROM {FINDING_ROWS.sql()} WHERE evaluated GROUP BY ALL) GROUP BY 1"
+FINDINGS_ROLLUP = "SELECT id, " + ", ".join(f"string_agg(finding, '; ' ORDER BY pos, finding) FILTER (list = '{x}') AS {x}" for x in LISTS) + f" FROM (SELECT id, list, finding, min(pos) AS pos FROM {FINDING_ROWS.sql()} WHERE evaluated GROUP BY ALL) GROUP BY 1"
 
 LEVELS = "(VALUES (1, 'CONFIRMED', false), (1, 'WEAK', false), (2, 'WEAK', false), (3, 'STRONG_EVIDENCE', true), (4, NULL, false), (5, 'POSSIBLE', false), (5, 'WEAK', false)) AS t(id, level, conflicting)"
 LEVEL_ROWS = Rows(LEVELS, "lineitem", {"id": "1000 + l_orderkey", "level": pick("l_partkey", "WEAK", "POSSIBLE", "UNKNOWN", "CONFIRMED", "WEAK", "STRONG_EVIDENCE", None, "UNKNOWN", "WEAK"), "conflicting": "l_suppkey % 23 = 0"})

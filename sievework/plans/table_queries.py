@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sievework.functions.columns import BANDS, age_class, band, posting_age
 from sievework.functions.facts import first_matching_sentence, sentences
 from sievework.operators import accounting, history
+from sievework.operators.ordinals import ordinals
 from sievework.sources.tables import table
 
 PRICES = """(VALUES
@@ -188,10 +189,8 @@ SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY pos, l_pa
 
 
 def evidence_catalog(spark, folder):
-    docs = table(spark, folder, "documents")
-    profile = F.col("lang") == "en"
-    nth = F.row_number().over(Window.partitionBy("source", profile).orderBy("doc_id")) - 1
-    return docs.select("doc_id", "source", F.concat(F.when(profile, "profile-").otherwise("jd-"), nth).alias("catalog_id"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", "profile-").otherwise("jd-").alias("kind"))
+    return ordinals(docs, ["source", "kind"], ["doc_id"]).select("doc_id", "source", F.concat("kind", F.col("nth") - 1).alias("catalog_id"))
 
 
 EVIDENCE_CATALOG = """SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'profile-' ELSE 'jd-' END ||
@@ -200,8 +199,8 @@ EVIDENCE_CATALOG = """SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'profile
 
 def reference_restore(spark, folder):
     """Indexes (turn of a conversation) back to the evidence with that ordinal in a source's catalog; others are out of bounds."""
-    docs = table(spark, folder, "documents").where("lang = 'en'")
-    catalog = docs.select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
+    docs = table(spark, folder, "documents").where("lang = 'en'").select("source", "doc_id")
+    catalog = ordinals(docs, ["source"], ["doc_id"]).select("source", "doc_id", (F.col("nth") - 1).alias("idx"))
     asked = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(F.lit("src"), F.col("conv_id") % 20).alias("source"), F.col("turn").alias("idx"))
     out = asked.join(catalog, ["source", "idx"], "left")
     return out.select("conv_id", "turn", "doc_id", F.when(F.col("doc_id").isNull(), "out_of_bounds").alias("violation"))
@@ -364,7 +363,8 @@ def task_claim(spark, folder):
     return history.claimed(_tasks(spark, folder), 300)
 
 
-_CAN = f"coalesce({history.CLAIMABLE}, false)"
+_OPEN = "attempt < max_attempts AND ((status = 'PENDING' AND available_at <= now) OR (status = 'RUNNING' AND lease_expires_at < now))"
+_CAN = f"coalesce({_OPEN}, false)"
 TASK_CLAIM = f"""SELECT task_id, {_CAN} AS claimable, CASE WHEN {_CAN} THEN 'RUNNING' ELSE status END AS status_after, attempt + CAST({_CAN} AS INTEGER) AS attempt_after,
   CASE WHEN {_CAN} THEN now + INTERVAL 300 SECOND ELSE lease_expires_at END AS lease_after FROM {TASKS}"""
 
@@ -373,7 +373,17 @@ def task_queue_head(spark, folder):
     return history.queue_head(_tasks(spark, folder)).select("task_id", "status", "attempt")
 
 
-TASK_QUEUE_HEAD = f"SELECT task_id, status, attempt FROM {TASKS} WHERE {history.CLAIMABLE} ORDER BY created_at, task_id LIMIT 1"
+TASK_QUEUE_HEAD = f"SELECT task_id, status, attempt FROM {TASKS} WHERE {_OPEN} ORDER BY created_at, task_id LIMIT 1"
+
+
+def task_batches(spark, folder):
+    """Eight workers claim up to fifty tasks each."""
+    return history.claim_batches(_tasks(spark, folder), 8, 50)
+
+
+TASK_BATCHES = f"""
+WITH r AS (SELECT task_id, row_number() OVER (ORDER BY created_at, task_id) - 1 AS k FROM {TASKS} WHERE {_OPEN})
+SELECT task_id, CAST(k % 8 AS INTEGER) AS worker, CAST(k // 8 AS INTEGER) AS nth FROM r WHERE k < 400"""
 
 
 def task_transition(spark, folder):
@@ -429,7 +439,7 @@ FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS
 NAMES = (
     "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
-    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_transition retry_classes task_work call_outcomes"
+    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_batches task_transition retry_classes task_work call_outcomes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
