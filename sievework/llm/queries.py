@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, infill, language, licenses, mixing, neighbours, oracles, simhash, substrings, suffixes, tokens, toxicity
+from sievework.llm import decontaminate, infill, language, licenses, mixing, neighbours, oracles, sharding, simhash, substrings, suffixes, tokens, toxicity
 from sievework.llm.common import read
 
 
@@ -57,6 +57,11 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +74,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_substrings": op10_substrings,
     "op11_infill": op11_infill,
+    "op12_sharding": op12_sharding,
 }
 
 #: The others hash, learn, draw or search; SQL has no equal of them, so their tests compare with brute force instead.
