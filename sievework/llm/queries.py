@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, infill, language, licenses, mixing, neighbours, oracles, sharding, simhash, substrings, suffixes, tokens, toxicity
+from sievework.llm import decontaminate, infill, language, licenses, mixing, negatives, neighbours, oracles, sharding, simhash, substrings, suffixes, tokens, toxicity
 from sievework.llm.common import read
 
 
@@ -62,6 +62,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
@@ -75,7 +80,8 @@ QUERIES = {
     "op10_substrings": op10_substrings,
     "op11_infill": op11_infill,
     "op12_sharding": op12_sharding,
+    "op13_negatives": op13_negatives,
 }
 
 #: The others hash, learn, draw or search; SQL has no equal of them, so their tests compare with brute force instead.
-ORACLES: dict[str, str] = {"op8_suffixes": oracles.OP8, "op10_substrings": oracles.OP10, "op11_infill": oracles.OP11}
+ORACLES: dict[str, str] = {"op8_suffixes": oracles.OP8, "op10_substrings": oracles.OP10, "op11_infill": oracles.OP11, "op13_negatives": oracles.OP13}
