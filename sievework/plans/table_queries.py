@@ -10,6 +10,7 @@ from sievework.functions.columns import BANDS, age_class, band, posting_age
 from sievework.functions.facts import first_matching_sentence, sentences
 from sievework.operators import accounting, history
 from sievework.operators.ordinals import ordinals
+from sievework.operators.similarity import LOWER, UPPER, duplicate_decisions
 from sievework.sources.tables import table
 
 PRICES = """(VALUES
@@ -157,6 +158,28 @@ def exact_duplicates(spark, folder):
 EXACT_DUPLICATES = "SELECT sha256(text) AS content_hash, min(doc_id) AS kept, count(*) AS copies, 'DUPLICATE' AS decision FROM documents GROUP BY 1 HAVING count(*) > 1"
 
 
+def duplicate_decision(spark, folder):
+    """Whether each document repeats an earlier one, word for word or nearly."""
+    return duplicate_decisions(table(spark, folder, "documents"), "doc_id", "text")
+
+
+DUPLICATE_DECISION = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+own AS (SELECT doc_id, nullif(array_to_string(w, ' '), '') AS content, w FROM d),
+t AS (SELECT content, min(doc_id) AS first_id, any_value(w) AS w FROM own WHERE content IS NOT NULL GROUP BY 1),
+s AS (SELECT first_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [content] END AS g FROM t),
+e AS (SELECT first_id AS id, unnest(g) AS k, len(g) AS n FROM s),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, root) AS (SELECT first_id, first_id FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id AS first_id, min(root) AS class_id FROM r GROUP BY 1),
+q AS (SELECT c.first_id, count(*) AS common FROM c JOIN e x ON x.id = c.first_id JOIN e y ON y.id = class_id AND y.k = x.k WHERE c.first_id <> class_id GROUP BY 1),
+j AS (SELECT c.*, common, len(x.g) + len(y.g) - common AS every FROM c JOIN s x ON x.first_id = c.first_id JOIN s y ON y.first_id = class_id LEFT JOIN q ON q.first_id = c.first_id),
+o AS (SELECT own.doc_id, j.*, CASE WHEN j.first_id < doc_id THEN 'MATCH' WHEN class_id < doc_id THEN 'PROBABLE_MATCH' ELSE 'NO_MATCH' END AS decision FROM own LEFT JOIN t ON t.content = own.content LEFT JOIN j ON j.first_id = t.first_id)
+SELECT doc_id, decision, CAST(CASE decision WHEN 'MATCH' THEN 1 WHEN 'PROBABLE_MATCH' THEN floor((20000 * common + every) / (2 * every)) / 10000 END AS DECIMAL(5,4)) AS confidence,
+  CASE decision WHEN 'MATCH' THEN first_id WHEN 'PROBABLE_MATCH' THEN class_id END AS related_id, coalesce(class_id, doc_id) AS class_id FROM o"""
+
+
 def reference_integrity(spark, folder):
     """References (labels) whose evidence (an English document) is not there."""
     evidence = table(spark, folder, "documents").where("lang = 'en'").select("doc_id")
@@ -437,7 +460,7 @@ RETRY_CLASSES = """SELECT event_id, CASE WHEN event_id % 11 = 0 OR http IN (408,
 FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS http FROM events)"""
 
 NAMES = (
-    "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates "
+    "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates duplicate_decision "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
     "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_batches task_transition retry_classes task_work call_outcomes"
 ).split()
