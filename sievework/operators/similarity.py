@@ -11,6 +11,11 @@ holds all sets of a token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +25,41 @@ from sievework.sources.shared import materialise, release
 SHINGLE, SIMILARITY = 5, 0.8
 #: Longs in a set's bitmap; sets of a token in one block; rounds with a leader, and the pairs a row that make another worth it.
 MAP, BLOCK_SETS, ROUNDS, PAIRS_A_ROW = 8, 512, 3, 20
-#: Upper case to lower case, A to Z only, so that every engine agrees.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """The lower-cased words of a text, an empty list if there is none; only ASCII's white space parts them."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def contents(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, content): the lower-cased words (A to Z only; ASCII's white space parts them) joined by a space, null if there are none."""
+    kind = rows.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [b" ".join((t.as_py() or b"").lower().split()) or None for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], ["id", "content"])
+
+    own = rows.select(F.col(id_).alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
+    return own.mapInArrow(run, f"id {kind}, content binary").select("id", F.col("content").cast("string").alias("content"))
+
+
+def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """texts (node, content as contents() has it) -> (node, tokens): the set of 64-bit hashes of all runs of `size` words.
+
+    Of the whole text if it has fewer words; none if it is null.
+    """
+
+    def hashes(content: bytes | None) -> np.ndarray:
+        words = content.split(b" ") if content else []
+        runs = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [content] if words else []
+        return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64)).view(np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [hashes(t.as_py()) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "tokens"])
 
-def shingles(words: Column, size: int = SHINGLE) -> Column:
-    """The set of 64-bit hashes of all runs of `size` words; of the whole list if it is shorter, none if it is empty."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
-    whole = F.array(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.xxhash64(a, h)))
-    return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<long>"))
+    return texts.select("node", F.col("content").cast("binary").alias("t")).mapInArrow(run, "node long, tokens array<long>")
 
 
 def _least(n: Column, similarity: float) -> Column:
@@ -148,11 +173,10 @@ def duplicate_decisions(rows: DataFrame, id_: str, text: str, similarity: float
     nothing. Rows with a null id come back with what they match, but are related to nothing else; rows that share an id are
     judged each by its text. Other columns are ignored; an empty table gives no rows.
     """
-    content = F.array_join(words(F.col(text)), " ")
-    own = rows.select(F.col(id_).alias("id"), F.nullif(content, F.lit("")).alias("content"))
-    texts = own.where("content is not null").groupBy("content").agg(F.min("id").alias("first_id"))
-    texts = materialise(texts.select(F.xxhash64("content").alias("node"), "first_id", "content"), "contents")
-    sets = texts.select("node", shingles(F.split("content", " "), size).alias("tokens"))
+    own = contents(rows, id_, text)
+    texts = own.groupBy("content").agg(F.min("id").alias("first_id"))
+    texts = materialise(texts.select(F.xxhash64("content").alias("node"), "first_id", "content"), "contents").where("content is not null")
+    sets = shingle_sets(texts, size)
     joined = components(similar_links(sets, similarity)).select("node", "component")
     classes = materialise(texts.select("node", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", "first_id").alias("rep"), F.count("*").alias("texts")).where("texts > 1")

@@ -231,40 +231,60 @@ SELECT id, normal, CASE WHEN x IS NOT DISTINCT FROM normal THEN 'DIRECT' ELSE 'D
 
 FIELDS = "(VALUES (1, ' Lead ', 'Acme', CAST(NULL AS VARCHAR(9))), (2, 'Manager', ' ', 'Lisbon')) AS t(id, title, company, location)"
 
+FIELD_ROWS = Rows(FIELDS, "customer", {
+    "id": "1000 + c_custkey", "title": "CASE c_custkey % 4 WHEN 0 THEN concat('  ', c_name, ' ') WHEN 1 THEN c_name WHEN 2 THEN '   ' END", "company": "CASE WHEN c_nationkey % 3 = 0 THEN concat(c_mktsegment, ' ') ELSE c_mktsegment END",
+    "location": "CASE WHEN c_nationkey > 12 THEN concat('nation ', c_nationkey) END",
+})
+
 
 def provenance_rows(spark, folder):
     """A row for every field that was given, with how its normal value came about."""
-    rows = cases(spark, FIELDS).select("id", F.expr("stack(3, 'title', title, 'company', company, 'location', location) AS (field, source)")).where("source is not null")
+    rows = FIELD_ROWS.frame(spark, folder).select("id", F.expr("stack(3, 'title', title, 'company', company, 'location', location) AS (field, source)")).where("source is not null")
     return rows.select("id", "field", "source", c.normal_text(F.col("source")).alias("normal"), c.provenance_kind(F.col("source"), c.normal_text(F.col("source"))).alias("kind"))
 
 
 PROVENANCE_ROWS = f"""SELECT id, field, source, nullif(trim(source), '') AS normal, CASE WHEN source IS NOT DISTINCT FROM nullif(trim(source), '') THEN 'DIRECT' ELSE 'DETERMINISTIC' END AS kind
-FROM (SELECT id, unnest(['title', 'company', 'location']) AS field, unnest([title, company, location]) AS source FROM {FIELDS}) WHERE source IS NOT NULL"""
+FROM (SELECT id, unnest(['title', 'company', 'location']) AS field, unnest([title, company, location]) AS source FROM {FIELD_ROWS.sql()}) WHERE source IS NOT NULL"""
 
-CONFIGS = "(VALUES ('a', 1, 1.5, NULL), ('b', 2, NULL, 'x'), ('c', 3, 2.5, 'y')) AS t(model, version, price, note)"
-STORED = "(VALUES ('a', 1, 1.5, NULL), ('b', 2, 3.5, 'x'), ('d', 9, 1.0, 'z')) AS t(model, version, price, note)"
+PRICE_COLUMNS = ["price_input", "price_cached", "price_output", "threshold", "input_factor", "output_factor", "currency"]
+CONFIGS = f"(VALUES ('a', 1, 1.5, 0.1, 6.0, 50, 2.0, 1.5, NULL), ('b', 2, NULL, 0.1, 6.0, 50, 2.0, 1.5, 'USD'), ('c', 3, 2.5, 0.1, 6.0, 50, 2.0, 1.5, 'EUR')) AS t(model, version, {', '.join(PRICE_COLUMNS)})"
+STORED = f"(VALUES ('a', 1, 1.5, 0.1, 6.0, 50, 2.0, 1.5, NULL), ('b', 2, 3.5, 0.1, 6.0, 50, 2.0, 1.5, 'USD'), ('d', 9, 1.0, 0.1, 6.0, 50, 2.0, 1.5, 'USD')) AS t(model, version, {', '.join(PRICE_COLUMNS)})"
+_PRICED = {
+    "model": "p_brand", "version": "p_partkey", "price_input": "p_retailprice", "price_cached": "CASE WHEN p_size > 10 THEN p_retailprice / 10 END", "price_output": "p_retailprice * 4", "threshold": "p_size",
+    "input_factor": "2.0", "output_factor": "CASE WHEN p_size % 2 = 0 THEN 1.5 END", "currency": "CASE WHEN p_partkey % 2 = 0 THEN 'USD' END",
+}
+CONFIG_ROWS = Rows(CONFIGS, "part", _PRICED)
+#: Every fifth part isn't stored; of the others some differ in one column, which one by the key.
+STORED_ROWS = Rows(STORED, "part", {k: e if k in ("model", "version") else f"CASE WHEN p_partkey % 11 = {n} THEN NULL ELSE {e} END" for n, (k, e) in enumerate(_PRICED.items())}, "p_partkey % 5 <> 0")
 
 
 def pricing_conflict(spark, folder):
-    """Configurations against what is stored: equal in every column (nulls too), different, or new."""
-    new, old = cases(spark, CONFIGS).alias("n"), cases(spark, STORED).alias("o")
-    same = F.col("n.price").eqNullSafe(F.col("o.price")) & F.col("n.note").eqNullSafe(F.col("o.note"))
-    state = F.when(F.col("o.model").isNull(), "INSERT").when(same, "SAME").otherwise("CONFLICT")
-    return new.join(old, (F.col("n.model") == F.col("o.model")) & (F.col("n.version") == F.col("o.version")), "left").select("n.model", "n.version", state.alias("state"))
+    """Configurations against what is stored: equal in all nine columns (nulls too), different, or new."""
+    new, old = CONFIG_ROWS.frame(spark, folder).alias("n"), STORED_ROWS.frame(spark, folder).alias("o")
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")), k) for k in PRICE_COLUMNS)))
+    state = F.when(F.col("o.model").isNull(), "INSERT").when(F.size(differ) == 0, "SAME").otherwise("CONFLICT")
+    joined = new.join(old, (F.col("n.model") == F.col("o.model")) & (F.col("n.version") == F.col("o.version")), "left")
+    return joined.select("n.model", "n.version", state.alias("state"), F.when(F.col("o.model").isNotNull(), F.array_join(differ, ",")).alias("differ"))
 
 
-PRICING_CONFLICT = f"""SELECT n.model, n.version, CASE WHEN o.model IS NULL THEN 'INSERT' WHEN n.price IS NOT DISTINCT FROM o.price AND n.note IS NOT DISTINCT FROM o.note THEN 'SAME' ELSE 'CONFLICT' END AS state
-FROM {CONFIGS.replace('AS t', 'AS n')} LEFT JOIN {STORED.replace('AS t', 'AS o')} ON n.model = o.model AND n.version = o.version"""
+PRICING_CONFLICT = f"""SELECT model, version, CASE WHEN differ IS NULL THEN 'INSERT' WHEN differ = '' THEN 'SAME' ELSE 'CONFLICT' END AS state, differ FROM (
+SELECT n.model, n.version, CASE WHEN o.model IS NOT NULL THEN concat_ws(',', {', '.join(f"CASE WHEN n.{k} IS DISTINCT FROM o.{k} THEN '{k}' END" for k in PRICE_COLUMNS)}) END AS differ
+FROM {CONFIG_ROWS.sql('n')} LEFT JOIN {STORED_ROWS.sql('o')} ON n.model = o.model AND n.version = o.version)"""
 
 LAYERS = "(VALUES ('op1', 'd1', 'a1', 'e1'), ('op2', 'd2', 'a2', NULL), ('op3', 'd3', NULL, NULL), ('opX', NULL, NULL, 'e9')) AS t(operation, fallback, approved, environment)"
 
+LAYER_ROWS = Rows(LAYERS, "customer", {
+    "operation": "concat('operation-', c_custkey)", "fallback": "CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END", "approved": "CASE WHEN c_nationkey % 2 = 0 THEN concat('approved ', c_nationkey) END",
+    "environment": "CASE WHEN c_custkey % 7 = 0 THEN c_name END",
+})
+
 
 def override_merge(spark, folder):
     known = F.col("fallback").isNotNull()
-    return cases(spark, LAYERS).select("operation", F.when(known, F.coalesce("environment", "approved", "fallback")).alias("model"), F.when(~known, "unknown_operation").alias("violation"))
+    return LAYER_ROWS.frame(spark, folder).select("operation", F.when(known, F.coalesce("environment", "approved", "fallback")).alias("model"), F.when(~known, "unknown_operation").alias("violation"))
 
 
-OVERRIDE_MERGE = f"SELECT operation, CASE WHEN fallback IS NOT NULL THEN coalesce(environment, approved, fallback) END AS model, CASE WHEN fallback IS NULL THEN 'unknown_operation' END AS violation FROM {LAYERS}"
+OVERRIDE_MERGE = f"SELECT operation, CASE WHEN fallback IS NOT NULL THEN coalesce(environment, approved, fallback) END AS model, CASE WHEN fallback IS NULL THEN 'unknown_operation' END AS violation FROM {LAYER_ROWS.sql()}"
 
 REQUESTS = "(VALUES (1, true, 'NORMALIZED', true, 'cs', 'cs', true), (2, false, NULL, NULL, 'cs', NULL, NULL), (3, true, 'DISCOVERED', true, 'cs', 'cs', true), (4, true, 'NORMALIZED', false, 'cs', 'cs', true), (5, true, 'NORMALIZED', true, 'zz', 'cs', true), (6, true, 'NORMALIZED', true, 'cs', 'ops', true), (7, true, 'NORMALIZED', true, 'cs', 'cs', false)) AS t(id, found, status, has_text, domain, own_domain, profile_ok)"
 GATE = [("not_found", "NOT found"), ("not_normalized", "status <> 'NORMALIZED'"), ("no_content", "NOT has_text"), ("unsupported_domain", "domain NOT IN ('cs', 'ops')"), ("domain_mismatch", "domain <> own_domain"), ("invalid_profile", "NOT profile_ok")]
@@ -284,16 +304,24 @@ REQUEST_GATE = f"""SELECT id, CASE WHEN NOT found THEN 'not_found' WHEN status <
   WHEN domain <> own_domain THEN 'domain_mismatch' WHEN NOT profile_ok THEN 'invalid_profile' END AS error_code FROM {REQUEST_ROWS.sql()}"""
 
 
+LINE_ASSESSMENTS = {
+    "kind": pick("l_partkey", *matching.CLASSES), "specificity": pick("l_suppkey", *matching.SPECIFICITIES), "basis": pick("l_orderkey", *matching.BASES), "requirement": pick("l_partkey + l_suppkey", *matching.CATEGORIES),
+    "says_direct": "l_linenumber % 2 = 0",
+}
+
+
 def compatibility_matrix(spark, folder):
-    """All combinations; the relations have at most ten rows."""
+    """All combinations as a rule table (2,940 rows at most: ten of an axis or fewer), and how many assessments (lines) fall under each."""
     axes = [("kind", matching.CLASSES), ("specificity", matching.SPECIFICITIES), ("basis", matching.BASES), ("requirement", matching.CATEGORIES), ("says_direct", [False, True])]
-    out = spark.range(1).drop("id")
+    rules_ = spark.range(1).drop("id")
     for name, values in axes:
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return out.withColumn("allowed", matching.allowed_evidence(*(F.col(n) for n, _ in axes)))
+        rules_ = rules_.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    rules_ = rules_.withColumn("allowed", matching.allowed_evidence(*(F.col(n) for n, _ in axes)))
+    found = table(spark, folder, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in LINE_ASSESSMENTS.items())).groupBy(*LINE_ASSESSMENTS).agg(F.count("*").alias("assessments"))
+    return rules_.join(found, list(LINE_ASSESSMENTS), "left").withColumn("assessments", F.coalesce("assessments", F.lit(0)))
 
 
-COMPATIBILITY_MATRIX = """SELECT *, CASE WHEN kind = 'STRONG_MATCH' AND specificity IN ('TRANSFERABLE', 'UNSUPPORTED', 'UNKNOWN') THEN ''
+_MATRIX = """SELECT *, CASE WHEN kind = 'STRONG_MATCH' AND specificity IN ('TRANSFERABLE', 'UNSUPPORTED', 'UNKNOWN') THEN ''
   WHEN kind = 'TRANSFERABLE_MATCH' AND NOT (specificity = 'TRANSFERABLE' AND basis = 'BROADER_OR_TRANSFERABLE_WORK_EXPERIENCE') THEN ''
   WHEN requirement = 'EXPERIENCE' AND basis = 'REQUIREMENT_RELEVANT_SKILL_OR_KNOWLEDGE' THEN ''
   WHEN specificity IN ('DIRECT_SAAS_CUSTOMER_SUCCESS', 'DIRECT_CUSTOMER_SUCCESS') OR requirement = 'INDUSTRY' OR (requirement = 'EXPERIENCE' AND says_direct)
@@ -305,6 +333,8 @@ CROSS JOIN (VALUES ('DIRECT_SAAS_CUSTOMER_SUCCESS'), ('DIRECT_CUSTOMER_SUCCESS')
 CROSS JOIN (VALUES ('DIRECT_OR_RELATED_WORK_EXPERIENCE'), ('BROADER_OR_TRANSFERABLE_WORK_EXPERIENCE'), ('REQUIREMENT_RELEVANT_SKILL_OR_KNOWLEDGE')) AS c(basis)
 CROSS JOIN (VALUES ('EXPERIENCE'), ('CAPABILITY'), ('TOOL'), ('INDUSTRY'), ('EDUCATION'), ('CERTIFICATION'), ('TECHNICAL_KNOWLEDGE'), ('LANGUAGE'), ('LOCATION'), ('TRAVEL')) AS d(requirement)
 CROSS JOIN (VALUES (true), (false)) AS e(says_direct)"""
+COMPATIBILITY_MATRIX = f"""WITH l AS (SELECT {', '.join(f'{e} AS {n}' for n, e in LINE_ASSESSMENTS.items())} FROM lineitem), c AS (SELECT kind, specificity, basis, requirement, says_direct, count(*) AS n FROM l GROUP BY ALL)
+SELECT m.*, coalesce(n, 0) AS assessments FROM ({_MATRIX}) AS m LEFT JOIN c USING (kind, specificity, basis, requirement, says_direct)"""
 
 NEEDS = "(VALUES (1, 0, 'a', false), (1, 1, 'b', false), (1, 2, 'c', true), (2, 0, 'd', false), (2, 1, 'e', true)) AS t(opportunity_id, idx, text, ambiguous)"
 GIVEN = "(VALUES (1, 0, 'STRONG_MATCH'), (1, 1, 'PARTIAL_MATCH'), (1, 1, 'GENUINE_GAP'), (2, 1, 'STRONG_MATCH'), (2, 7, 'GENUINE_GAP')) AS t(opportunity_id, idx, classification)"

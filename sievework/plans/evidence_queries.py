@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import columns as c
 from sievework.functions import rules
 from sievework.operators import evidence, history
-from sievework.plans.case_queries import cases
+from sievework.plans.case_queries import Rows, pick
 from sievework.sources.tables import table
 
 STAGES = ["hard_filters", "company", "resume_match", "fit", "burnout", "maturity", "priority", "history", "recommendation"]
@@ -76,34 +76,43 @@ RECOMMENDATION_UPSERT = "SELECT user_id, event_type, value, event_id FROM events
 EVIDENCE = """(VALUES (1, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Pays well', 'Pays well'), (1, 1, 'DERIVED', 'CONFIRMED', 'JOB', 'x', 'y'), (1, 2, 'EXPLICIT', 'WEAK', 'JOB', 'x', 'y'), (1, 3, 'EXPLICIT', 'STRONG_EVIDENCE', 'USER_PROFILE', 'x', 'y'),
   (1, 4, 'EXPLICIT', 'STRONG_EVIDENCE', 'JOB', 'Remote', 'Fully remote'), (2, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', '  ', 'y'), (2, 1, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Team', NULL)) AS t(evaluation_id, pos, origin, level, kind, claim, excerpt)"""
 
+EVIDENCE_ROWS = Rows(EVIDENCE, "events", {
+    "evaluation_id": "1000 + user_id", "pos": "event_id", "origin": pick("event_id", "EXPLICIT", "EXPLICIT", "EXPLICIT", "DERIVED"), "level": pick("event_id", "CONFIRMED", "STRONG_EVIDENCE", "WEAK", "CONFIRMED", None),
+    "kind": pick("event_id", "JOB", "JOB", "USER_PROFILE"), "claim": "CASE WHEN event_id % 17 = 0 THEN '  ' ELSE concat(event_type, ' ', event_id % 13) END", "excerpt": "CASE WHEN event_id % 4 = 1 THEN concat(event_type, ' ', event_id % 13) WHEN event_id % 4 = 2 THEN props END",
+})
+
 
 def affirmative_facts(spark, folder):
-    return evidence.compact(evidence.affirmative(cases(spark, EVIDENCE))).select("evaluation_id", "idx", "claim", "excerpt")
+    return evidence.compact(evidence.affirmative(EVIDENCE_ROWS.frame(spark, folder))).select("evaluation_id", "idx", "claim", "excerpt")
 
 
 AFFIRMATIVE_FACTS = f"""SELECT evaluation_id, CAST(row_number() OVER (PARTITION BY evaluation_id ORDER BY pos) - 1 AS INTEGER) AS idx, claim, nullif(excerpt, claim) AS excerpt
-FROM {EVIDENCE} WHERE origin = 'EXPLICIT' AND level IN ('CONFIRMED', 'STRONG_EVIDENCE') AND kind <> 'USER_PROFILE' AND trim(claim) <> ''"""
+FROM {EVIDENCE_ROWS.sql()} WHERE origin = 'EXPLICIT' AND level IN ('CONFIRMED', 'STRONG_EVIDENCE') AND kind <> 'USER_PROFILE' AND trim(claim) <> ''"""
 
 REFS = "(VALUES (1, 'a,b', 'b,c;x'), (2, 'c', 'a'), (3, 'a,a', ''), (4, '', 'a')) AS t(id, refs, others)"
 
+REF_ROWS = Rows(REFS, "events", {
+    "id": "1000 + event_id", "refs": pick("event_id", "a", "a,b", "", "c,a,b", "b,b", "a,a,c"), "others": pick("user_id", "", "c", "b;c,d", "a,b;x", "d,d", "x;y;z", "b,a;a"),
+})
+
 
-def _refs(spark):
+def _refs(spark, folder):
     words = lambda x: F.filter(F.split(x, ","), lambda s: s != "")
-    return cases(spark, REFS).select("id", words(F.col("refs")).alias("refs"), words(F.regexp_replace("others", ";", ",")).alias("flat"), F.transform(F.split("others", ";"), words).alias("groups"))
+    return REF_ROWS.frame(spark, folder).select("id", words(F.col("refs")).alias("refs"), words(F.regexp_replace("others", ";", ",")).alias("flat"), F.transform(F.split("others", ";"), words).alias("groups"))
 
 
 def reference_checks(spark, folder):
     """Stored ids, overlap with contradictions, single-sided support and disjointness of reference lists."""
     ids = F.create_map(*(F.lit(x) for k, v in (("a", "id-1"), ("b", "id-2")) for x in (k, v)))
     refs = F.col("refs")
-    return _refs(spark).select(
+    return _refs(spark, folder).select(
         "id", F.array_join(evidence.resolved(refs, ids), ",", "?").alias("ids"), evidence.overlaps(refs, F.col("groups")).alias("contradicted"),
         evidence.only_from(refs, F.array(F.lit("a"))).alias("only_a"), evidence.partition_problem(refs, F.col("flat")).alias("problem"),
     )
 
 
 REFERENCE_CHECKS = f"""
-WITH t AS (SELECT id, list_filter(string_split(refs, ','), lambda s: s <> '') AS r, list_filter(string_split(replace(others, ';', ','), ','), lambda s: s <> '') AS f FROM {REFS})
+WITH t AS (SELECT id, list_filter(string_split(refs, ','), lambda s: s <> '') AS r, list_filter(string_split(replace(others, ';', ','), ','), lambda s: s <> '') AS f FROM {REF_ROWS.sql()})
 SELECT id, coalesce(array_to_string(list_transform(r, lambda x: CASE x WHEN 'a' THEN 'id-1' WHEN 'b' THEN 'id-2' ELSE '?' END), ','), '') AS ids, list_has_any(r, f) AS contradicted,
   len(r) > 0 AND len(list_filter(r, lambda x: x <> 'a')) = 0 AS only_a,
   CASE WHEN len(list_distinct(r)) <> len(r) THEN 'duplicate_in_first' WHEN len(list_distinct(f)) <> len(f) THEN 'duplicate_in_second' WHEN list_has_any(r, f) THEN 'in_both' END AS problem FROM t"""
@@ -121,14 +130,19 @@ SELECT user_id, string_agg(v, '; ' ORDER BY n) FILTER (n <= 8) || CASE WHEN coun
 
 USAGES = """(VALUES (1, '{"usage":{"input":10,"details":{"cached":2}}}'), (2, '{"usage":{"input":-1}}'), (3, '{"usage":{"input":1.5}}'), (4, '{"usage":{"input":"x"}}'), (5, '{}'), (6, '{"usage":{"input":0,"details":{"cached":0}}}')) AS t(id, body)"""
 
+USAGE_ROWS = Rows(USAGES, "events", {
+    "id": "1000 + event_id", "body": """CASE event_id % 5 WHEN 0 THEN concat('{"usage":{"input":', event_id, ',"details":{"cached":', event_id % 7, '}}}') WHEN 1 THEN concat('{"usage":{"input":-', event_id, '}}')
+      WHEN 2 THEN concat('{"usage":{"input":', event_id, '.5,"details":{"cached":"', event_type, '"}}}') WHEN 3 THEN concat('{"usage":{"details":{"cached":', user_id, '}}}') ELSE props END""",
+})
+
 
 def token_validity(spark, folder):
     part = lambda path: c.token_count(F.get_json_object("body", path))
-    return cases(spark, USAGES).select("id", part("$.usage.input").alias("tokens_in"), part("$.usage.details.cached").alias("cached"))
+    return USAGE_ROWS.frame(spark, folder).select("id", part("$.usage.input").alias("tokens_in"), part("$.usage.details.cached").alias("cached"))
 
 
 _VALID = lambda path: f"CASE WHEN TRY_CAST(json_extract_string(body, '{path}') AS DOUBLE) >= 0 AND TRY_CAST(json_extract_string(body, '{path}') AS DOUBLE) = floor(TRY_CAST(json_extract_string(body, '{path}') AS DOUBLE)) THEN CAST(TRY_CAST(json_extract_string(body, '{path}') AS DOUBLE) AS BIGINT) END"
-TOKEN_VALIDITY = f"SELECT id, {_VALID('$.usage.input')} AS tokens_in, {_VALID('$.usage.details.cached')} AS cached FROM {USAGES}"
+TOKEN_VALIDITY = f"SELECT id, {_VALID('$.usage.input')} AS tokens_in, {_VALID('$.usage.details.cached')} AS cached FROM {USAGE_ROWS.sql()}"
 
 
 def canonical_hash(spark, folder):
@@ -148,62 +162,88 @@ FROM (SELECT *, CASE WHEN p_size > 25 THEN p_size END AS large FROM part)"""
 AREAS = "(VALUES (1, 'RENEWAL', 'PRIMARY', 2), (1, 'SUPPORT', 'NONE', 0), (2, 'RENEWAL', 'SUBSTANTIAL', 0), (3, 'RENEWAL', 'MINOR', 3)) AS t(id, area, share, n_refs)"
 
 
+#: A user's events of one kind are an area of work: its share and evidence by how many there are.
+_AREA = {"id": "1000 + user_id", "area": "CASE event_type WHEN 'click' THEN 'RENEWAL' WHEN 'view' THEN 'SUPPORT' ELSE upper(event_type) END", "share": pick("n", "PRIMARY", "NONE", "SUBSTANTIAL", "MINOR"), "n_refs": "n % 3"}
+
+
 def renewal_support(spark, folder):
     """A list of entries as a map; renewal work counts with a large enough share and evidence for it."""
-    maps = cases(spark, AREAS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("area", F.struct("share", "n_refs")))).alias("areas"))
+    events = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).selectExpr(*(f"{e} AS {k}" for k, e in _AREA.items()))
+    rows = spark.sql(f"SELECT * FROM {AREAS}").unionByName(events)
+    maps = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("area", F.struct("share", "n_refs")))).alias("areas"))
     renewal = F.col("areas")["RENEWAL"]
     return maps.select("id", F.size("areas").alias("n_areas"), (renewal["share"].isin("PRIMARY", "SUBSTANTIAL") & (renewal["n_refs"] > 0)).alias("supported"))
 
 
-RENEWAL_SUPPORT = f"SELECT id, CAST(count(*) AS INTEGER) AS n_areas, bool_or(area = 'RENEWAL' AND share IN ('PRIMARY', 'SUBSTANTIAL') AND n_refs > 0) AS supported FROM {AREAS} GROUP BY 1"
+RENEWAL_SUPPORT = f"""WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), a AS (SELECT * FROM {AREAS} UNION ALL BY NAME SELECT {', '.join(f'{e} AS {k}' for k, e in _AREA.items())} FROM e)
+SELECT id, CAST(count(*) AS INTEGER) AS n_areas, CASE WHEN count(*) FILTER (area = 'RENEWAL') > 0 THEN bool_or(area = 'RENEWAL' AND share IN ('PRIMARY', 'SUBSTANTIAL') AND n_refs > 0) END AS supported FROM a GROUP BY 1"""
 
 ERRORS = "(VALUES (1, 'P2002', 'weird id!/x'), (2, 'P1001', 'ok_id'), (3, 'P2034', ''), (4, 'other', 'é'), (5, 'P2003', 'a'), (6, 'P2011', 'b'), (7, 'P2000', 'c'), (8, 'P2028', 'd'), (9, 'P2002x', 'e'), (10, CAST(NULL AS VARCHAR(9)), 'f')) AS t(id, code, name)"
 # Exact codes, then a prefix.
 ERROR_CLASSES = [("P2002", "UNIQUE_CONSTRAINT"), ("P2003", "FOREIGN_KEY_CONSTRAINT"), ("P2011", "NULL_CONSTRAINT"), ("P2000", "VALUE_CONSTRAINT"), ("P2028", "TRANSACTION_FAILURE")]
 
+ERROR_ROWS = Rows(ERRORS, "orders", {
+    "id": "1000 + o_orderkey", "code": pick("o_orderkey", "P2002", "P2003", "P1017", "P2011", "P20", "p1001", "P2028", None, "P2000", "P2024", "E1"), "name": "concat(o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN ' /é.' ELSE '' END, o_custkey)",
+})
+
 
 def error_classes(spark, folder):
     code = F.col("code")
     named = rules.first_error([*((name, code == own) for own, name in ERROR_CLASSES), ("DATABASE_UNAVAILABLE", code.startswith("P1"))])
-    return cases(spark, ERRORS).select("id", F.coalesce(named, F.lit("UNKNOWN_DATABASE_ERROR")).alias("category"), c.identifier(F.col("name")).alias("name"))
+    return ERROR_ROWS.frame(spark, folder).select("id", F.coalesce(named, F.lit("UNKNOWN_DATABASE_ERROR")).alias("category"), c.identifier(F.col("name")).alias("name"))
 
 
-ERROR_CLASSES_SQL = f"SELECT id, CASE code WHEN 'P2002' THEN 'UNIQUE_CONSTRAINT' WHEN 'P2003' THEN 'FOREIGN_KEY_CONSTRAINT' WHEN 'P2011' THEN 'NULL_CONSTRAINT' WHEN 'P2000' THEN 'VALUE_CONSTRAINT' WHEN 'P2028' THEN 'TRANSACTION_FAILURE' ELSE CASE WHEN starts_with(code, 'P1') THEN 'DATABASE_UNAVAILABLE' ELSE 'UNKNOWN_DATABASE_ERROR' END END AS category, substring(regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g'), 1, 64) AS name FROM {ERRORS}"
+ERROR_CLASSES_SQL = f"SELECT id, CASE code WHEN 'P2002' THEN 'UNIQUE_CONSTRAINT' WHEN 'P2003' THEN 'FOREIGN_KEY_CONSTRAINT' WHEN 'P2011' THEN 'NULL_CONSTRAINT' WHEN 'P2000' THEN 'VALUE_CONSTRAINT' WHEN 'P2028' THEN 'TRANSACTION_FAILURE' ELSE CASE WHEN starts_with(code, 'P1') THEN 'DATABASE_UNAVAILABLE' ELSE 'UNKNOWN_DATABASE_ERROR' END END AS category, substring(regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g'), 1, 64) AS name FROM {ERROR_ROWS.sql()}"
 
 STAGE_ROWS = "(VALUES (1, 'RUNNING', 1, 3, true), (2, 'FAILED', 1, 3, true), (3, 'FAILED', 3, 3, true), (4, 'FAILED', 1, 3, false), (5, 'COMPLETED', 1, 3, true), (6, 'PENDING', 0, 3, true)) AS t(id, status, attempt, max_attempts, retryable)"
 
+STAGE_TABLE = Rows(STAGE_ROWS, "orders", {
+    "id": "1000 + o_orderkey", "status": pick("o_orderkey", "RUNNING", "FAILED", "COMPLETED", "PENDING", "FAILED"), "attempt": "CAST(o_custkey % 4 AS INTEGER)", "max_attempts": "3", "retryable": "o_custkey % 5 <> 0",
+})
+
 
 def stage_transition(spark, folder):
     """Interrupted stages fail; a stage begins when it is pending, or failed with a retry left."""
     repaired = F.when(F.col("status") == "RUNNING", "FAILED").otherwise(F.col("status"))
     begins = (repaired == "PENDING") | ((repaired == "FAILED") & F.col("retryable") & (F.col("attempt") < F.col("max_attempts")))
-    return cases(spark, STAGE_ROWS).select("id", F.when(begins, "RUNNING").otherwise(repaired).alias("status"), (F.col("attempt") + begins.cast("int")).alias("attempt"), (repaired == "COMPLETED").alias("skipped"))
+    return STAGE_TABLE.frame(spark, folder).select("id", F.when(begins, "RUNNING").otherwise(repaired).alias("status"), (F.col("attempt") + begins.cast("int")).alias("attempt"), (repaired == "COMPLETED").alias("skipped"))
 
 
 STAGE_TRANSITION = f"""
-WITH t AS (SELECT *, CASE WHEN status = 'RUNNING' THEN 'FAILED' ELSE status END AS now FROM {STAGE_ROWS}), b AS (SELECT *, now = 'PENDING' OR (now = 'FAILED' AND retryable AND attempt < max_attempts) AS begins FROM t)
+WITH t AS (SELECT *, CASE WHEN status = 'RUNNING' THEN 'FAILED' ELSE status END AS now FROM {STAGE_TABLE.sql()}), b AS (SELECT *, now = 'PENDING' OR (now = 'FAILED' AND retryable AND attempt < max_attempts) AS begins FROM t)
 SELECT id, CASE WHEN begins THEN 'RUNNING' ELSE now END AS status, attempt + CAST(begins AS INTEGER) AS attempt, now = 'COMPLETED' AS skipped FROM b"""
 
-COPIES = "(VALUES (1, 'text', 3.0, NULL, 'text', 3.0, NULL), (2, 'text', 3.0, NULL, 'text', 3.0, 5.0), (3, 'text', NULL, 1.0, 'Text', NULL, 1.0)) AS t(id, text, years, most, text_copy, years_copy, most_copy)"
+#: The nine fields of a requirement that an assessment copies, each with a value that differs.
+COPIED = {
+    "requirement": ("concat('requirement ', l_partkey)", "'altered'"), "category": (pick("l_suppkey", "EXPERIENCE", "TOOL", "INDUSTRY"), "'LANGUAGE'"), "strength": (pick("l_partkey", "REQUIRED", "PREFERRED"), "'UNKNOWN'"),
+    "years": ("CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 12 END", "-1"), "most": ("CASE WHEN l_partkey % 4 = 0 THEN 15 END", "16"), "open_ended": ("l_linenumber > 3", "NOT (l_linenumber > 3)"),
+    "specificity": (pick("l_orderkey", "DIRECT", "RELATED", None), "'OTHER'"), "is_ambiguous": ("l_partkey % 6 = 0", "NOT (l_partkey % 6 = 0)"), "ambiguity": ("CASE WHEN l_partkey % 6 = 0 THEN 'unclear' END", "'altered'"),
+}
+_SAME = "'text', 'TOOL', 'REQUIRED', 3, NULL, true, 'DIRECT', false, CAST(NULL AS VARCHAR(9))"
+COPIES = f"(VALUES (1, {_SAME}, {_SAME}), (2, {_SAME}, {_SAME.replace('NULL, true', '5, true')}), (3, {_SAME}, {_SAME.replace('text', 'Text').replace('3', 'NULL')})) AS t(id, {', '.join(COPIED)}, {', '.join(f'{k}_copy' for k in COPIED)})"
+#: Of every twenty lines nine have one field altered, one two.
+COPY_ROWS = Rows(COPIES, "lineitem", {"id": "1000 + l_orderkey", **{k: e for k, (e, _) in COPIED.items()}, **{f"{k}_copy": f"CASE WHEN l_partkey % 20 = {n} OR (l_partkey % 20 = 9 AND {n} IN (2, 6)) THEN {other} ELSE {e} END" for n, (k, (e, other)) in enumerate(COPIED.items())}})
 
 
 def requirement_fidelity(spark, folder):
-    """Copied fields must equal the source, nulls included."""
-    same = F.col("text").eqNullSafe(F.col("text_copy")) & F.col("years").eqNullSafe(F.col("years_copy")) & F.col("most").eqNullSafe(F.col("most_copy"))
-    return cases(spark, COPIES).select("id", same.alias("faithful"))
+    """All nine copied fields must equal the source, nulls included; which don't."""
+    altered = F.array_compact(F.array(*(F.when(~F.col(k).eqNullSafe(F.col(f"{k}_copy")), k) for k in COPIED)))
+    return COPY_ROWS.frame(spark, folder).select("id", "requirement", (F.size(altered) == 0).alias("faithful"), F.array_join(altered, ",").alias("altered"))
 
 
-REQUIREMENT_FIDELITY = f"SELECT id, text IS NOT DISTINCT FROM text_copy AND years IS NOT DISTINCT FROM years_copy AND most IS NOT DISTINCT FROM most_copy AS faithful FROM {COPIES}"
+REQUIREMENT_FIDELITY = f"""SELECT id, requirement, altered = '' AS faithful, altered FROM (SELECT id, requirement, concat_ws(',', {', '.join(f"CASE WHEN {k} IS DISTINCT FROM {k}_copy THEN '{k}' END" for k in COPIED)}) AS altered FROM {COPY_ROWS.sql()})"""
 
 TIMINGS = "(VALUES (1, 'UNKNOWN', NULL, 0), (2, 'FRESH', 5, 1), (3, 'FRESH', NULL, 1), (4, 'UNKNOWN', 3, 0), (5, 'FRESH', 5, 0)) AS t(id, class, age, n_refs)"
 
+TIMING_ROWS = Rows(TIMINGS, "orders", {"id": "1000 + o_orderkey", "class": pick("o_orderkey", "UNKNOWN", "FRESH", "STALE"), "age": "CASE WHEN o_custkey % 4 > 0 AND o_orderkey % 3 > 0 OR o_custkey % 9 = 0 THEN o_custkey % 60 END", "n_refs": "o_custkey % 3"})
+
 
 def timing_rules(spark, folder):
     checks = rules.reasons([("unknown_means_no_age", (F.col("class") == "UNKNOWN") != F.col("age").isNull()), ("known_needs_evidence", (F.col("class") != "UNKNOWN") & (F.col("n_refs") == 0))])
-    return cases(spark, TIMINGS).select("id", F.array_join(checks, ",").alias("violations"))
+    return TIMING_ROWS.frame(spark, folder).select("id", F.array_join(checks, ",").alias("violations"))
 
 
-TIMING_RULES = f"SELECT id, concat_ws(',', CASE WHEN (class = 'UNKNOWN') <> (age IS NULL) THEN 'unknown_means_no_age' END, CASE WHEN class <> 'UNKNOWN' AND n_refs = 0 THEN 'known_needs_evidence' END) AS violations FROM {TIMINGS}"
+TIMING_RULES = f"SELECT id, concat_ws(',', CASE WHEN (class = 'UNKNOWN') <> (age IS NULL) THEN 'unknown_means_no_age' END, CASE WHEN class <> 'UNKNOWN' AND n_refs = 0 THEN 'known_needs_evidence' END) AS violations FROM {TIMING_ROWS.sql()}"
 
 NAMES = (
     "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "

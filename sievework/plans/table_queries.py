@@ -10,7 +10,7 @@ from sievework.functions.columns import BANDS, age_class, band, posting_age
 from sievework.functions.facts import first_matching_sentence, sentences
 from sievework.operators import accounting, history
 from sievework.operators.ordinals import ordinals
-from sievework.operators.similarity import LOWER, UPPER, duplicate_decisions
+from sievework.operators.similarity import duplicate_decisions
 from sievework.sources.tables import table
 
 PRICES = """(VALUES
@@ -163,8 +163,8 @@ def duplicate_decision(spark, folder):
     return duplicate_decisions(table(spark, folder, "documents"), "doc_id", "text")
 
 
-DUPLICATE_DECISION = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+DUPLICATE_DECISION = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 own AS (SELECT doc_id, nullif(array_to_string(w, ' '), '') AS content, w FROM d),
 t AS (SELECT content, min(doc_id) AS first_id, any_value(w) AS w FROM own WHERE content IS NOT NULL GROUP BY 1),
 s AS (SELECT first_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [content] END AS g FROM t),

@@ -4,6 +4,8 @@ from pathlib import Path
 
 import pytest
 
+import __spark_entry__
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -17,3 +19,15 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_query_reads_a_table(spark, tmp_path):
+    """On a folder that has no tables none may return: each reads what it is given."""
+    read = []
+    for name, query in __spark_entry__.queries().items():
+        try:
+            query(spark, str(tmp_path / "none")).schema  # noqa: B018
+            read.append(name)
+        except Exception as e:
+            assert "PATH_NOT_FOUND" in str(e) or "No such file" in str(e), (name, str(e)[:300])
+    assert read == []

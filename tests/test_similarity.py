@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import similarity
 from sievework.operators.components import components
-from sievework.operators.similarity import duplicate_decisions, shingles, similar_links
+from sievework.operators.similarity import contents, duplicate_decisions, shingle_sets, similar_links
 
 
 def classes_of(sets, t):
@@ -111,6 +111,7 @@ def test_decisions(spark):
 
 
 def test_shingles(spark):
-    rows = [("a b c d e f a b c d e",), ("a b",), ("",), ("x " * 3000,)]
-    out = spark.createDataFrame(rows, "t string").select(F.size(shingles(similarity.words(F.col("t")))).alias("n")).collect()
-    assert [r.n for r in out] == [6, 1, 0, 1]
+    rows = [(1, "a b c d e F a B\tc\n d e"), (2, " a  b"), (3, ""), (4, "x " * 3000), (5, None), (6, "\u00a0 \x1c")]
+    texts = contents(spark.createDataFrame(rows, "i long, t string"), "i", "t")
+    assert {r.id: r.content for r in texts.collect()} == {1: "a b c d e f a b c d e", 2: "a b", 3: None, 4: ("x " * 3000).strip(), 5: None, 6: "\u00a0 \x1c"}
+    assert {r.node: len(r.tokens) for r in shingle_sets(texts.withColumnRenamed("id", "node")).collect()} == {1: 6, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
