@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.sources.shared import materialise, release, shared_folder, unused  # noqa: F401  for the operators here
+
 #: A word, as every contract here counts it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,17 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def unused(columns: list[str], *names: str) -> list[str]:
-    """The names, each with underscores after it until no column is called so (case doesn't tell columns apart)."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def utf8(column: str) -> Column:
     """The column's text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")
@@ -42,18 +29,6 @@ def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % 4 == 2
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
-    name = "spark.checkpoint.dir"
-    found = spark.sparkContext.getConf().get(name) or spark.conf.get(name, None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError(f"{name} must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set(name, found)
-    return found.rstrip("/")
-
-
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     """These session settings for what runs meanwhile."""
@@ -67,25 +42,6 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later steps survive a lost executor and don't redo the work."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark deletes shuffle files of finished steps when their plans are collected as garbage
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete what materialise() wrote for this frame; only for frames that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/sievework/" in str(path.toString()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialise, mix, ranges, starts, unused, utf8
-from sievework.llm.components import components
+from sievework.llm.common import materialise, mix, ranges, release, starts, unused, utf8
+from sievework.operators import similarity as joins
+from sievework.operators.components import components
 
 RADIUS, BUCKET_ROWS, FANOUT = 3, 4096, 8
 HELD_ROWS = 1 << 18  # rows of a partition that are held at a time; over BUCKET_ROWS, so that a part of a hot bucket is known to be one
@@ -273,8 +274,6 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
 #: Candidates agree in one of BANDS bands of BAND_ROWS minimum hashes each: at similarity s a pair is missed with the chance
 #: (1 - s ** BAND_ROWS) ** BANDS, 7e-5 at 0.8, however the texts were edited.
 BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
-#: Rounds of leaders before the remaining pairs of a bucket are all compared, and how many pairs a row make another round worth it.
-ROUNDS, PAIRS_A_ROW = 3, 100
 
 
 def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,58 +335,26 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least this Jaccard similarity, exactly."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
-
-
 def similar_links(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """nodes (node, rep, n, bands) -> (a, b): enough links to join every two nodes of a bucket that chains of near sets join.
+    """nodes (node, rep, n, bands) -> (a, b): enough links to join every two nodes that chains of near sets join.
 
-    The members of a bucket (those that agree in a band) are compared with a leader first; only members that are in
-    different components afterwards need comparing, after some rounds each with each. All of it are joins and grouped
-    minima on plain tables, so that no task holds a bucket.
+    Only the sets of nodes that agree with another in a band are made; they are joined exactly, by their rarest shingles.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(owner), batch.column(1).take(owner)], ["bucket", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(owner)], ["bucket", "node"])
 
-    dealt = nodes.where("n > 0").select("node", "n", "bands").mapInArrow(deal, "bucket long, node long, n long")
+    dealt = nodes.where("n > 0").select("node", "bands").mapInArrow(deal, "bucket long, node long")
     shared = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket"), "buckets")
-    rest = members = materialise(dealt.join(shared, "bucket", "left_semi").withColumn("component", F.col("node")), "members")
-    of = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    sets = materialise(sets_of(docs, of, size), "sets")
-    near = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    found, k, last = None, 0, False
-    while True:
-        if last:
-            leads = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-        else:
-            lead = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c")))
-            leads = materialise(rest.groupBy("bucket").agg(lead.alias("lead")).select("bucket", "lead.b", "lead.m", "lead.c"), "leads")
-        pairs = rest.join(leads, "bucket").where(F.col("component") < F.col("c") if last else F.col("component") != F.col("c"))
-        pairs = pairs.where(near(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        edges = materialise(similar_pairs(materialise(pairs, "pairs"), sets, similarity), "links")
-        found = edges if found is None else found.unionByName(edges)
-        if last:
-            return found
-        joined = components(found).select("node", F.col("component").alias("joined"))
-        now = rest.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("joined", "node").alias("component"))
-        now = materialise(now, "labelled")
-        parts = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("part"))
-        mixed = parts.groupBy("bucket").agg(F.sum("part").alias("rows"), F.sum(F.col("part") * F.col("part")).alias("within"), F.count("*").alias("parts"))
-        mixed = materialise(mixed.where("parts > 1"), "mixed")
-        rows, cross = mixed.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("rows") - F.col("within")) / 2).first()
-        if not rows:
-            return found
-        rest = materialise(now.join(mixed.select("bucket"), "bucket", "left_semi"), "rest")
-        k += 1
-        last = k == ROUNDS or cross <= PAIRS_A_ROW * rows
+    members = materialise(dealt.join(shared, "bucket", "left_semi").select("node").distinct(), "members")
+    sets = materialise(sets_of(docs, nodes.join(members, "node", "left_semi").select("node", "rep"), size), "sets")
+    links = joins.similar_links(sets.withColumnRenamed("shingles", "tokens"), similarity)
+    for table in (shared, members, sets):
+        release(table)
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
