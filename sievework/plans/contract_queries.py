@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import facts
+from sievework.operators import json_trees
 from sievework.operators import opportunities as op
 from sievework.plans.case_queries import Rows, pick
 from sievework.sources.tables import table
@@ -201,6 +202,32 @@ def derived_evidence(spark, folder):
 
 DERIVED_EVIDENCE = "SELECT l_orderkey, l_linenumber, l_partkey, 'DERIVED' AS origin FROM lineitem WHERE l_suppkey % 3 = 1"
 
-NAMES = "normalized_opportunity normalized_provenance normalized_sink subject_load evaluation_snapshot stage_complete output_contract fact_evidence reference_rewrite derived_evidence".split()
+def canonical_json_hash(spark, folder):
+    """Events as nested documents whose keys come in one of two orders, with one hash for both."""
+    one = """concat('{"user":', user_id, ', "props":', props, ', "Kinds":["', event_type, '",{"z":null,"b":[],"a":{}}], "event":', event_id, '}')"""
+    two = """concat('{"Kinds":["', event_type, '",{"a":{},"b":[],"z":null}],"event":', event_id, ',"props":', props, ',"user":', user_id, '}')"""
+    docs = table(spark, folder, "events").selectExpr("event_id AS id", f"CASE WHEN event_id % 2 = 0 THEN {one} ELSE {two} END AS json")
+    return json_trees.canonical_json(docs)
+
+
+CANONICAL_JSON_HASH = """SELECT id, json, sha256(json) AS content_hash FROM (SELECT event_id AS id,
+  concat('{"event":', event_id, ',"Kinds":["', event_type, '",{"a":{},"b":[],"z":null}],"props":{"k":', json_extract_string(props, '$.k'), '},"user":', user_id, '}') AS json FROM events)"""
+
+
+def reference_walk(spark, folder):
+    """References anywhere in nested results, by their stored names; some lists are malformed, some references unknown."""
+    wrong = """CASE WHEN event_id % 50 = 0 THEN '"jd-1"' WHEN event_id % 50 = 1 THEN '["jd-0",[7]]' ELSE concat('["profile-', user_id % 3, '","jd-', event_id % 4, '"]') END"""
+    body = f"""concat('{{"summary":"', event_type, ' \\\\"evidenceReferences\\\\":[\\\\"x\\\\"]","items":[{{"note":"[jd-1]","jdEvidenceReferences":["jd-', event_id % 4, '"]}},{{"deep":{{"evidenceReferences":', {wrong}, '}}}}]}}')"""
+    docs = table(spark, folder, "events").selectExpr("event_id AS id", f"{body} AS json")
+    names = spark.sql("SELECT * FROM VALUES ('jd-0', 'stored-a'), ('jd-1', 'stored-b'), ('jd-2', 'stored-c'), ('profile-0', 'own-a'), ('profile-1', 'own-b') AS t(reference, stored)")
+    return json_trees.rewrite_references(docs, names, op.REFERENCE_KEYS)
+
+
+REFERENCE_WALK = """
+WITH t AS (SELECT event_id AS id, event_type, CASE event_id % 4 WHEN 0 THEN 'stored-a' WHEN 1 THEN 'stored-b' WHEN 2 THEN 'stored-c' END AS jd, CASE user_id % 3 WHEN 0 THEN 'own-a' WHEN 1 THEN 'own-b' END AS own, event_id % 50 < 2 AS malformed FROM events),
+v AS (SELECT *, CASE WHEN malformed THEN 'malformed_references' WHEN jd IS NULL OR own IS NULL THEN 'unknown_reference' END AS violation FROM t)
+SELECT id, CASE WHEN violation IS NULL THEN concat('{"items":[{"jdEvidenceReferences":["', jd, '"],"note":"[jd-1]"},{"deep":{"evidenceReferences":["', own, '","', jd, '"]}}],"summary":"', event_type, ' \\"evidenceReferences\\":[\\"x\\"]"}') END AS json, violation FROM v"""
+
+NAMES = "normalized_opportunity normalized_provenance normalized_sink subject_load evaluation_snapshot stage_complete output_contract fact_evidence reference_rewrite derived_evidence canonical_json_hash reference_walk".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
