@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as c
 from sievework.functions import rules
 from sievework.operators import evidence, history
 from sievework.plans.case_queries import Rows, pick
+from sievework.sources.shared import shared_folder
 from sievework.sources.tables import table
+from sievework.streaming.upserts import StoredTable
 
 STAGES = ["hard_filters", "company", "resume_match", "fit", "burnout", "maturity", "priority", "history", "recommendation"]
 
@@ -73,6 +77,22 @@ def recommendation_upsert(spark, folder):
 
 RECOMMENDATION_UPSERT = "SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 
+
+
+def stored_upsert(spark, folder):
+    """Three batches of events into a stored table with a row a user, the second once more at the end; what came first stays as it was."""
+    events = table(spark, folder, "events").select("user_id", "event_type", "value", "event_id", F.col("event_id").alias("first_event"), "ts")
+    stored = StoredTable(spark, f"{shared_folder(spark)}/sievework/stored-{uuid.uuid4().hex}/table", events.drop("ts").schema, ["user_id"], once=("first_event",))
+    for batch in (0, 1, 2, 1):
+        stored.merge(events.where(F.col("event_id") % 3 == batch), batch, "ts", "event_id")
+    return stored.read()
+
+
+STORED_UPSERT = """
+WITH l AS (SELECT *, event_id % 3 AS batch FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, arg_max(event_type, batch) AS event_type, arg_max(value, batch) AS value, max(event_id) FILTER (last) AS event_id, min(event_id) FILTER (first) AS first_event
+FROM (SELECT *, batch = max(batch) OVER (PARTITION BY user_id) AS last, batch = min(batch) OVER (PARTITION BY user_id) AS first FROM l) GROUP BY 1"""
+
 EVIDENCE = """(VALUES (1, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Pays well', 'Pays well'), (1, 1, 'DERIVED', 'CONFIRMED', 'JOB', 'x', 'y'), (1, 2, 'EXPLICIT', 'WEAK', 'JOB', 'x', 'y'), (1, 3, 'EXPLICIT', 'STRONG_EVIDENCE', 'USER_PROFILE', 'x', 'y'),
   (1, 4, 'EXPLICIT', 'STRONG_EVIDENCE', 'JOB', 'Remote', 'Fully remote'), (2, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', '  ', 'y'), (2, 1, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Team', NULL)) AS t(evaluation_id, pos, origin, level, kind, claim, excerpt)"""
 
@@ -246,7 +266,7 @@ def timing_rules(spark, folder):
 TIMING_RULES = f"SELECT id, concat_ws(',', CASE WHEN (class = 'UNKNOWN') <> (age IS NULL) THEN 'unknown_means_no_age' END, CASE WHEN class <> 'UNKNOWN' AND n_refs = 0 THEN 'known_needs_evidence' END) AS violations FROM {TIMING_ROWS.sql()}"
 
 NAMES = (
-    "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "
+    "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert stored_upsert affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "
     "stage_transition requirement_fidelity timing_rules"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES} | {"error_classes": error_classes}
