@@ -3,9 +3,12 @@
 Numbers, units and names become typed placeholders, so that a question asked again with other values has the same template.
 Windows of templates are hashed and joined: the benchmark's window hashes are a sorted array that every task holds (its size
 is bounded: a larger benchmark is searched for block by block), the documents' windows are looked up where they are read, and
-no document is shuffled. A window of too few literal words for its template to tell anything is looked up with its values as
-they are. A match must also fit: along one alignment every slot value of the item must stand for one value of the document,
-and for no other item value; of pairings that contradict each other the one that more windows have holds.
+no document is shuffled. A capitalised word that opens a sentence may be a name or not, so windows with one are looked up both
+ways. A window of too few literal words for its template to tell anything is looked up with its values as they are; if it has
+any literal word its template is looked up too, but then the whole item must be there, word for word but for the values. A
+match must also fit: every slot value of an item must stand for one value of the document, and for no other value of the
+item, wherever in the document its windows are; of pairings that contradict each other the one that more windows have holds,
+and windows that contradict it don't count.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,31 @@ def describe(word: str) -> tuple[int, int, str]:
     return xxhash.xxh64_intdigest(low), flags, low
 
 
+@dataclass
+class Parsed:
+    """Texts as words, one after another: places in `names`, template tokens, the words' own hashes, slot kinds (0: none), sizes of
+    the texts, whether a word opens a sentence, and tokens and kinds if capitalised openers were names."""
+
+    words: np.ndarray
+    tokens: np.ndarray
+    plain: np.ndarray
+    slot: np.ndarray
+    sizes: np.ndarray
+    opens: np.ndarray
+    loose: np.ndarray
+    loose_slot: np.ndarray
+    names: list[str] | None = None
+
+    @property
+    def bare(self) -> list[str]:
+        return [self.names[w] for w in self.words]
+
+    def part(self, a: int, b: int) -> Parsed:
+        """The words from a to b as one text."""
+        cut = (v[a:b] for v in (self.words, self.tokens, self.plain, self.slot))
+        return Parsed(*cut, np.array([b - a]), *(v[a:b] for v in (self.opens, self.loose, self.loose_slot)), self.names)
+
+
 class Templates:
     """Template tokens of texts; what a word is, is worked out once as long as the memo lasts."""
 
@@ -63,6 +92,13 @@ class Templates:
         self.memo: dict[str, int] = {}
         self.hash, self.flags, self.bare = [], [], []
 
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Parsed:
+        parse = cls()
+        out = parse(texts)
+        out.names = parse.bare
+        return out
+
     def number(self, word: str) -> int:
         if (found := self.memo.get(word)) is None:
             h, f, low = describe(word)
@@ -72,9 +108,7 @@ class Templates:
             self.bare.append(low)
         return found
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(words, tokens, plain, slot, sizes): the words' places in bare, template tokens, the words' own hashes and slot kinds
-        (0: none) of all texts."""
+    def __call__(self, texts: list[bytes]) -> Parsed:
         if len(self.memo) > 400_000:
             self.__init__()
         memo, parts = self.memo, []
@@ -103,78 +137,116 @@ class Templates:
         tokens = plain.copy()
         for k in (1, 2, 3):
             tokens[slot == k] = SLOTS[k - 1]
-        return used[words], tokens, plain, slot, np.bincount(doc, minlength=len(parts))
+        may = (flags & CAPITAL > 0) & opens & ~number & ~unit
+        loose = tokens.copy()
+        loose[may] = SLOTS[2]
+        return Parsed(used[words], tokens, plain, slot, np.bincount(doc, minlength=len(parts)), opens, loose, np.where(may, 3, slot))
 
 
-def window_hashes(tokens: np.ndarray, plain: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every window of `size` tokens: of its template if that has enough literal ones, else of the words (plain)."""
-    hashes = gram_hashes(tokens, size)
-    literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    poor = literal[size:] - literal[:-size] < min(LITERALS, (size + 1) // 2)
+def window_hashes(x: Parsed, size: int) -> list[tuple[np.ndarray, np.ndarray | None, bool]]:
+    """(hashes, which of them count or None for all, whether the whole item must follow) of every window of `size` tokens.
+
+    First the template if it has enough literal words, else the words as they are; then the template with sentence openers as
+    names, where there are any; then, apart from the others, that template where it has a few literal words.
+    """
+    least = min(LITERALS, (size + 1) // 2)
+    literal = lambda slot: (c := np.concatenate([[0], np.cumsum(slot == 0)]))[size:] - c[:-size]
+    hashes = gram_hashes(x.tokens, size)
+    poor = literal(x.slot) < least
     if poor.any():
-        hashes[poor] = mix(gram_hashes(plain, size)[poor])
-    return hashes
+        hashes[poor] = mix(gram_hashes(x.plain, size)[poor])
+    loose, left = gram_hashes(x.loose, size), literal(x.loose_slot)
+    opener = np.concatenate([[0], np.cumsum(x.loose_slot != x.slot)])
+    return [(hashes, None, False), (loose, (opener[size:] > opener[:-size]) & (left >= least), False), (mix(mix(loose)), (left > 0) & (left < least), True)]
+
+
+def short_hashes(x: Parsed, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which count): `size` words as they are that make a sentence of their own; one word must be the whole text."""
+    closes = np.append(x.opens[1:], True)
+    sizes = np.repeat(x.sizes, x.sizes)
+    alone = x.opens[: len(x.opens) - size + 1] & closes[size - 1 :]
+    return mix(mix(mix(gram_hashes(x.plain, size)))), alone & ((sizes[: len(alone)] == 1) if size == 1 else True)
 
 
 class Benchmark:
     """The template windows of a bounded block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        parse = Templates()
-        words, tokens, plain, slot, sizes = parse([t.encode() for _, t in items])
+        x = Templates.of([t.encode() for _, t in items])
         at, entries = 0, defaultdict(list)
-        self.ids, self.values, self.count = [i for i, _ in items], [], []
-        for n, size in enumerate(sizes.tolist()):
-            own, bare, kinds = (x[at : at + size] for x in (tokens, plain, slot))
-            self.values.append([(int(k), parse.bare[w]) if k else None for k, w in zip(kinds, words[at : at + size])])
+        self.ids, self.values, self.loose, self.count = [i for i, _ in items], [], [], []
+        for n, size in enumerate(x.sizes.tolist()):
+            own = x.part(at, at + size)
             at += size
-            width, windows = min(WINDOW, size), 0
+            self.values.append([(int(k), w) if k else None for k, w in zip(own.loose_slot, own.bare)])
+            self.loose.append(own.loose)
+            self.count.append(max(size - WINDOW, 0) + 1 if size else 0)
             if size >= LEAST:
-                for q, h in enumerate(window_hashes(own, bare, kinds, width).tolist()):
-                    entries[width, h].append((n, q))
-                    windows += 1
-            self.count.append(windows)
+                for hashes, counts, whole in window_hashes(own, min(WINDOW, size)):
+                    for q in range(len(hashes)) if counts is None else np.flatnonzero(counts).tolist():
+                        entries[min(WINDOW, size), int(hashes[q])].append((n, q, whole))
+            elif size:
+                entries[size, int(short_hashes(own, size)[0][0])].append((n, 0, False))
         self.keys, self.entries = {}, {}
         for width in sorted({w for w, _ in entries}):
             self.keys[width] = np.array(sorted(h for w, h in entries if w == width), np.uint64)
             self.entries[width] = [entries[width, h] for h in self.keys[width].tolist()]
 
-    def hits(self, tokens: np.ndarray, plain: np.ndarray, slot: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, place in it, item, place in it, width) of every window that the documents and the items share."""
-        begin = np.concatenate([[0], np.cumsum(sizes)])
+    def hits(self, x: Parsed) -> dict[tuple[int, int], set[tuple[int, int, int]]]:
+        """By (document, item): (place in the document, place in the item, width) of every window that both have."""
+        begin = np.concatenate([[0], np.cumsum(x.sizes)])
+        out: dict = defaultdict(set)
+        tried: set = set()
         for width, keys in self.keys.items():
-            if len(tokens) < width:
+            if len(x.tokens) < width:
                 continue
-            hashes = window_hashes(tokens, plain, slot, width)
             may = np.zeros(1 << 20, bool)
             may[keys & np.uint64((1 << 20) - 1)] = True
-            at = np.flatnonzero(may[hashes & np.uint64((1 << 20) - 1)])
-            k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-            found = keys[k] == hashes[at]
-            at, k = at[found], k[found]
-            doc = np.searchsorted(begin, at, "right") - 1
-            inside = at + width <= begin[doc + 1]
-            for p, d, e in zip(at[inside].tolist(), doc[inside].tolist(), k[inside].tolist()):
-                for n, q in self.entries[width][e]:
-                    yield d, p - int(begin[d]), n, q, width
-
-
-def consistent(item: list, doc: list[str], hits: list[tuple[int, int, int]]) -> tuple[set[int], bool]:
-    """(item windows that fit, whether all values are the item's own) along one alignment; hits: (place in doc, in item, width).
-
-    Pairings of values hold in the order of how many windows have them (then in the order of the text), unless one that holds
-    already has either value; a window with a pairing that doesn't hold doesn't fit.
+            for hashes, counts in [h[:2] for h in window_hashes(x, width)] if width >= LEAST else [short_hashes(x, width)]:
+                maybe = may[hashes & np.uint64((1 << 20) - 1)]
+                at = np.flatnonzero(maybe if counts is None else maybe & counts)
+                k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+                found = keys[k] == hashes[at]
+                at, k = at[found], k[found]
+                doc = np.searchsorted(begin, at, "right") - 1
+                inside = at + width <= begin[doc + 1]
+                for p, d, e in zip(at[inside].tolist(), doc[inside].tolist(), k[inside].tolist()):
+                    p -= int(begin[d])
+                    for n, q, whole in self.entries[width][e]:
+                        if not whole:
+                            out[d, n].add((p, q, width))
+                        elif (d, n, p - q) not in tried:
+                            tried.add((d, n, p - q))
+                            out[d, n] |= self._whole(x, int(begin[d]), int(begin[d + 1]), n, p - q, width)
+        return out
+
+    def _whole(self, x: Parsed, begin: int, end: int, n: int, shift: int, width: int) -> set[tuple[int, int, int]]:
+        """All windows of item n if it is there as a whole, `shift` words into the document, and its values fit; else none."""
+        size = len(self.loose[n])
+        if shift < 0 or begin + shift + size > end or not np.array_equal(x.loose[begin + shift : begin + shift + size], self.loose[n]):
+            return set()
+        every = {(q + shift, q, width) for q in range(self.count[n])}
+        fits, _ = consistent(self.values[n], x.part(begin, end).bare, every)
+        return every if len(fits) == len(every) else set()
+
+
+def consistent(item: list, doc: list[str], hits: set[tuple[int, int, int]]) -> tuple[set[tuple[int, int]], bool]:
+    """(windows that fit as (place in doc, in item), whether all values are the item's own) of all hits: (place in doc, in item, width).
+
+    One map holds for document and item. Pairings of values hold in the order of how many windows have them (then in the order of
+    the item, then of the document), unless one that holds already has either value; a window with a pairing that doesn't hold
+    doesn't fit.
     """
-    pairs = {q: [(item[q + k], doc[p + k]) for k in range(width) if item[q + k] is not None] for p, q, width in hits}
-    support: Counter = Counter(pair for q in sorted(pairs) for pair in set(pairs[q]))
-    first = {pair: q for q in sorted(pairs, reverse=True) for pair in pairs[q]}
+    pairs = {(q, p): [(item[q + k], doc[p + k]) for k in range(width) if item[q + k] is not None] for p, q, width in hits}
+    support: Counter = Counter(pair for at in sorted(pairs) for pair in set(pairs[at]))
+    first = {pair: at for at in sorted(pairs, reverse=True) for pair in pairs[at]}
     to: dict = {}
     back: dict = {}
     for a, b in sorted(support, key=lambda x: (-support[x], first[x], x)):
         if a not in to and (a[0], b) not in back:
             to[a], back[a[0], b] = b, a
-    fits = {q for q, own in pairs.items() if all(to.get(a) == b for a, b in own)}
-    return fits, all(a[1] == b for q in fits for a, b in pairs[q])
+    fits = {(p, q) for (q, p), own in pairs.items() if all(to.get(a) == b for a, b in own)}
+    return fits, all(a[1] == b for p, q in fits for a, b in pairs[q, p])
 
 
 def longest_run(fits: set[int], width: int) -> int:
@@ -190,25 +262,23 @@ def _found(texts, benchmark: Benchmark, parse: Templates, coverage: float) -> It
     """(row, item, windows found, item windows, verbatim) of every text that holds at least this part of an item."""
     step = 64
     for first in range(0, len(texts), step):
-        words, tokens, plain, slot, sizes = parse([t.as_py() or b"" for t in texts[first : first + step]])
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        lines = defaultdict(list)
-        for d, p, n, q, width in benchmark.hits(tokens, plain, slot, sizes):
-            lines[d, n, p - q].append((p, q, width))
-        covered: dict = defaultdict(set)
-        runs: dict = defaultdict(int)
-        own: dict = defaultdict(lambda: True)
+        x = parse([t.as_py() or b"" for t in texts[first : first + step]])
+        x.names = parse.bare
+        begin = np.concatenate([[0], np.cumsum(x.sizes)])
         bare: dict = {}
-        for (d, n, _), hits in lines.items():
+        for (d, n), hits in sorted(benchmark.hits(x).items()):
+            if not hits:
+                continue
             if d not in bare:
-                bare[d] = [parse.bare[w] for w in words[begin[d] : begin[d + 1]]]
+                bare[d] = x.part(begin[d], begin[d + 1]).bare
             fits, same = consistent(benchmark.values[n], bare[d], hits)
-            covered[d, n] |= fits
-            runs[d, n] = max(runs[d, n], longest_run(fits, hits[0][2]))
-            own[d, n] &= same
-        for (d, n), fits in sorted(covered.items()):
-            if fits and (len(fits) >= coverage * benchmark.count[n] or runs[d, n] >= RUN):
-                yield first + d, n, len(fits), benchmark.count[n], own[d, n]
+            covered = {q for _, q in fits}
+            lines = defaultdict(set)
+            for p, q in fits:
+                lines[p - q].add(q)
+            run = max((longest_run(own, next(iter(hits))[2]) for own in lines.values()), default=0)
+            if covered and (len(covered) >= coverage * benchmark.count[n] or run >= RUN):
+                yield first + d, n, len(covered), benchmark.count[n], same
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -224,9 +294,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(doc_id, item_id, windows, item_windows, coverage, verbatim): the documents that hold benchmark items, and which.
 
     A document holds an item if at least `coverage` of the item's template windows occur in it and fit, or RUN words in a row
-    do; verbatim is false where numbers, units or names differ. Windows of mostly numbers, units and names must occur as they
-    are. Items shorter than a window are one window; items of fewer than LEAST words are in too many texts to tell anything and
-    are never found. Null and empty texts hold nothing, repeated
+    do; verbatim is false where numbers, units or names differ. One map from the item's values to the document's holds for the
+    whole document, so an item asked twice with different values is found by the one that more windows have. Windows of mostly
+    numbers, units and names must occur as they are, or the whole item with other values; items of nothing else only as they are.
+    Items shorter than a window are one window. Items of fewer than LEAST words must be a sentence of their own, word for word, and
+    those of one word the whole text, as such words are in too many texts to tell anything. Null and empty texts hold nothing, repeated
     rows each count, a null doc_id is returned as null. Other columns are ignored. No items or no documents: no rows.
     """
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
