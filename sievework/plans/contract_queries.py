@@ -3,12 +3,16 @@ and evaluations, lines for sources, stages and evidence, customers for companies
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sievework.functions import facts
 from sievework.operators import json_trees
 from sievework.operators import opportunities as op
 from sievework.plans.case_queries import Rows, pick
+from sievework.plans.gates import Gate
+from sievework.sources.shared import shared_folder
 from sievework.sources.tables import table
 
 RAW = """(VALUES (1, ' Lead ', 'Acme', NULL, '$60k', 'cs', 'Text  kept ', '2026-02-28', 'https://a.b/c', NULL, 'MANUAL', 'Full-time '), (2, 'x', ' ', 'Lisbon', NULL, NULL, NULL, NULL, NULL, NULL, 'MANUAL', NULL),
@@ -228,6 +232,16 @@ WITH t AS (SELECT event_id AS id, event_type, CASE event_id % 4 WHEN 0 THEN 'sto
 v AS (SELECT *, CASE WHEN malformed THEN 'malformed_references' WHEN jd IS NULL OR own IS NULL THEN 'unknown_reference' END AS violation FROM t)
 SELECT id, CASE WHEN violation IS NULL THEN concat('{"items":[{"jdEvidenceReferences":["', jd, '"],"note":"[jd-1]"},{"deep":{"evidenceReferences":["', own, '","', jd, '"]}}],"summary":"', event_type, ' \\"evidenceReferences\\":[\\"x\\"]"}') END AS json, violation FROM v"""
 
-NAMES = "normalized_opportunity normalized_provenance normalized_sink subject_load evaluation_snapshot stage_complete output_contract fact_evidence reference_rewrite derived_evidence canonical_json_hash reference_walk".split()
+def contract_gate(spark, folder):
+    """Lines behind a gate, in one scan: those set aside, each with the first rule it breaks."""
+    rules = {"quantity": F.col("l_quantity") > 45, "returned_early": (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "discount": F.col("l_discount") >= 0.09}
+    gate, path = Gate("lines", rules), f"{shared_folder(spark)}/sievework/gate-{uuid.uuid4().hex}"
+    gate.passed(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_discount"), path)
+    return gate.set_aside(spark, path).select("l_orderkey", "l_linenumber", "l_partkey", "violation")
+
+
+CONTRACT_GATE = """SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 45 THEN 'quantity' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'returned_early' WHEN l_discount >= 0.09 THEN 'discount' END AS violation FROM lineitem) WHERE violation IS NOT NULL"""
+
+NAMES = "normalized_opportunity normalized_provenance normalized_sink subject_load evaluation_snapshot stage_complete output_contract fact_evidence reference_rewrite derived_evidence canonical_json_hash reference_walk contract_gate".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.columns import BANDS, age_class, band, posting_age
 from sievework.functions.facts import first_matching_sentence, sentences
-from sievework.operators import accounting, history
+from sievework.operators import accounting, contexts, history
 from sievework.operators.ordinals import ordinals
 from sievework.operators.similarity import duplicate_decisions
 from sievework.sources.tables import table
@@ -348,6 +348,28 @@ SELECT user_id AS evaluation_id, event_id AS position, count(*) OVER before AS b
 FROM events WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
+def stage_chain(spark, folder):
+    """The same as pointers: a row a stage, however many come before it."""
+    return contexts.chained(_stages(spark, folder))
+
+
+STAGE_CHAIN = """
+SELECT user_id AS evaluation_id, event_id AS position, max(CASE WHEN value >= 10 THEN event_id END) OVER before AS parent, CASE WHEN value >= 10 THEN event_type END AS delta,
+  count(CASE WHEN value >= 10 THEN 1 END) OVER before AS nth
+FROM events WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+def stage_context_asked(spark, folder):
+    """The contexts of failed stages, put together from the pointers."""
+    stages = _stages(spark, folder)
+    return contexts.expanded(contexts.chained(stages), stages.where("not completed"))
+
+
+STAGE_CONTEXT_ASKED = """
+SELECT evaluation_id, position, context FROM (SELECT user_id AS evaluation_id, event_id AS position, value, coalesce(string_agg(CASE WHEN value >= 10 THEN event_type END, '>') OVER before, '') AS context
+FROM events WINDOW before AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE value < 10"""
+
+
 def stage_pivot(spark, folder):
     ids = ["click", "error", "purchase", "signup", "view"]
     return _stages(spark, folder).groupBy("evaluation_id").pivot("stage_id", ids).agg(F.max("position"))
@@ -462,7 +484,7 @@ FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS
 NAMES = (
     "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates duplicate_decision "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
-    "posting_ages score_bands sentence_split first_sentence stage_context stage_pivot pipeline_outcome task_claim task_queue_head task_batches task_transition retry_classes task_work call_outcomes"
+    "posting_ages score_bands sentence_split first_sentence stage_context stage_chain stage_context_asked stage_pivot pipeline_outcome task_claim task_queue_head task_batches task_transition retry_classes task_work call_outcomes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

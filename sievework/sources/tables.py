@@ -17,7 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def submissions(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of submissions with a column `violation`: null for a valid row, else the first rule it breaks."""
-    rows = spark.read.text(path).withColumnRenamed("value", "payload")
+    return validated(spark.read.text(path).withColumnRenamed("value", "payload"))
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """The fields of submissions (payload: JSON text), batch or stream, with `violation`; other columns are left out."""
     fields = [c.split()[0] for c in SUBMISSION.split(", ")]
     rows = rows.withColumn("s", F.from_json("payload", SUBMISSION))
     extra = F.size(F.array_except(F.json_object_keys("payload"), F.array(*map(F.lit, fields)))) > 0
