@@ -24,7 +24,7 @@ from sievework.sources.shared import materialise, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Longs in a set's bitmap; sets of a token in one block; rounds with a leader, and the pairs a row that make another worth it.
-MAP, BLOCK_SETS, ROUNDS, PAIRS_A_ROW = 8, 512, 3, 20
+MAP, BLOCK_SETS, ROUNDS, PAIRS_A_ROW = 8, 512, 3, 200
 
 
 def contents(rows: DataFrame, id_: str, text: str) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The driver's garbage is collected after a step at most so often; short steps leave little behind.
+GC_SECONDS = 3
+_collected = 0.0
+
 
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores after it until no column is called so (case doesn't tell columns apart)."""
@@ -38,8 +43,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sievework/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark deletes shuffle files of finished steps when their plans are collected as garbage
+    global _collected
+    if time.monotonic() - _collected > GC_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()  # Spark deletes shuffle files of finished steps when their plans are collected as garbage
+        _collected = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
