@@ -95,3 +95,23 @@ def band(score: Column, kind: str) -> Column:
 def identifier(x: Column) -> Column:
     """At most 64 characters, with _ for what isn't a word character."""
     return F.substring(F.regexp_replace(x, r"[^A-Za-z0-9_]", "_"), 1, 64)
+
+
+def issue_path(segments: Column) -> Column:
+    """Where an issue is, from structs of name and index: `$.field[2].other`; what isn't a word character is masked, names are cut."""
+    part = lambda s: F.when(s["index"].isNotNull(), F.concat(F.lit("["), s["index"], F.lit("]"))).otherwise(F.concat(F.lit("."), F.coalesce(F.nullif(masked(s["name"]), F.lit("")), F.lit("field"))))
+    return F.concat(F.lit("$"), F.array_join(F.transform(segments, part), ""))
+
+
+def masked(name: Column) -> Column:
+    """A name as identifiers allow it, 64 characters at most."""
+    return F.substring(F.regexp_replace(name, "[^a-zA-Z0-9_-]", "_"), 1, 64)
+
+
+def provider_message(status: Column, code: Column, param: Column, kind: Column) -> Column:
+    """What may be told of a provider's error: a sentence by its status, and those of three fields that look harmless."""
+    # The sentences and what a field may look like
+    said = F.when(status == 429, "The semantic provider rate limit was reached").when(status >= 500, "The semantic provider is temporarily unavailable").otherwise("The semantic provider rejected the request")
+    told = lambda name, x, most, extra: F.when((F.length(x) <= most) & x.rlike(f"^[a-zA-Z0-9][a-zA-Z0-9_.{extra}-]*$"), F.concat(F.lit(f"{name}="), x))
+    fields = F.concat_ws(", ", told("code", code, 64, ""), told("param", param, 128, r"\[\]"), told("type", kind, 64, ""))
+    return F.when(fields == "", said).otherwise(F.concat(said, F.lit(" (provider "), fields, F.lit(")")))

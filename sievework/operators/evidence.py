@@ -44,6 +44,24 @@ def partition_problem(first: Column, second: Column) -> Column:
     )
 
 
+def selected(references: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """references (key, pos, reference) -> each once where it first comes, with nth (from 0) and the catalog's columns; `missing` where there is none.
+
+    catalog (reference, ...) has each reference once.
+    """
+    first = references.groupBy(key, "reference").agg(F.min("pos").alias("pos"))
+    found = first.join(catalog.withColumn("known_", F.lit(True)), "reference", "left")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("pos", "reference")) - 1
+    return found.withColumns({"nth": nth, "missing": F.col("known_").isNull()}).drop("pos", "known_")
+
+
+def one_sided(references: DataFrame, keys: list[str], profile: str) -> DataFrame:
+    """(keys, missing): claims whose references (keys, side) come from one side only; `side` is null for a reference that isn't known."""
+    sides = references.groupBy(*keys).agg(F.bool_or(F.col("side") == profile).alias("own"), F.bool_or(~F.col("side").eqNullSafe(F.lit(profile))).alias("other"))
+    missing = F.when(~F.coalesce("own", F.lit(False)), "profile").when(~F.col("other"), "job")
+    return sides.select(*keys, missing.alias("missing")).where("missing is not null")
+
+
 def issues(found: Column, most: int = 8) -> Column:
     """The first `most` issues, and how many more there are."""
     more = F.size(found) - most

@@ -11,7 +11,7 @@ from sievework.functions import columns as c
 from sievework.functions import facts, rules
 from sievework.functions import patterns as p
 from sievework.operators import matching
-from sievework.plans.table_queries import cost_sql
+from sievework.plans.table_queries import _SPLIT, cost_sql
 from sievework.sources.tables import table
 
 
@@ -134,12 +134,14 @@ TRAVEL_ROWS = Rows(TRAVELS, "documents", {"id": "1000 + doc_id", "sentence": "te
 
 
 def travel_facts(spark, folder):
-    return TRAVEL_ROWS.frame(spark, folder).select("id", facts.travel(F.col("sentence")).alias("s")).select("id", "s.*")
+    """From the first sentence of a text that is about travel."""
+    told = facts.first_matching_sentence(F.col("sentence"), p.TRAVEL)
+    return TRAVEL_ROWS.frame(spark, folder).select("id", told.alias("told")).select("id", facts.travel(F.col("told")).alias("s")).select("id", "s.*")
 
 
 TRAVEL_FACTS = f"""SELECT id, CASE WHEN x IS NULL THEN 'UNKNOWN' ELSE {_case('x', facts.PURPOSES, 'OTHER')} END AS purpose, CAST({_group('x', p.PERCENT, 1)} AS INTEGER) AS percentage,
   {_group('x', p.FREQUENCY, 1)} AS frequency, CASE WHEN x IS NULL THEN NULL WHEN {_has('x', p.NO_TRAVEL)} THEN false WHEN {_has('x', p.MANDATORY)} THEN true WHEN {_has('x', p.OPTIONAL)} THEN false END AS mandatory,
-  CASE WHEN x IS NULL THEN 'UNKNOWN' ELSE {_case('x', facts.SCOPES, 'UNKNOWN')} END AS scope FROM (SELECT id, sentence AS x FROM {TRAVEL_ROWS.sql()})"""
+  CASE WHEN x IS NULL THEN 'UNKNOWN' ELSE {_case('x', facts.SCOPES, 'UNKNOWN')} END AS scope FROM (SELECT id, list_filter({_SPLIT.replace('regexp_replace(text,', 'regexp_replace(sentence,')}, lambda z: {_has('z', p.TRAVEL)})[1] AS x FROM {TRAVEL_ROWS.sql()})"""
 
 POSTINGS = """(VALUES (1, '- 3-5+ years of experience required. Degree preferred. Short.'), (2, 'Salesforce is nice to have. You must have fluent German. 7+ years of experience in SaaS.'), (3, 'Nothing asked here at all.'),
   (4, 'Ideally you know data analytics. Travel required monthly.'), (5, 'First line here.

@@ -215,6 +215,52 @@ def error_classes(spark, folder):
 
 ERROR_CLASSES_SQL = f"SELECT id, CASE code WHEN 'P2002' THEN 'UNIQUE_CONSTRAINT' WHEN 'P2003' THEN 'FOREIGN_KEY_CONSTRAINT' WHEN 'P2011' THEN 'NULL_CONSTRAINT' WHEN 'P2000' THEN 'VALUE_CONSTRAINT' WHEN 'P2028' THEN 'TRANSACTION_FAILURE' ELSE CASE WHEN starts_with(code, 'P1') THEN 'DATABASE_UNAVAILABLE' ELSE 'UNKNOWN_DATABASE_ERROR' END END AS category, substring(regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g'), 1, 64) AS name FROM {ERROR_ROWS.sql()}"
 
+
+
+def provider_errors(spark, folder):
+    """What is told of events as a provider's errors, and where in a result an issue is."""
+    status = F.element_at(F.array(*map(F.lit, [400, 429, 503])), (F.col("event_id") % 3 + 1).cast("int"))
+    code = F.when(F.col("event_id") % 4 > 0, F.col("event_type")).otherwise(F.concat(F.col("event_type"), F.lit(" !")))
+    param = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("items["), F.col("event_id") % 7, F.lit("]"))).when(F.col("event_id") % 5 == 1, F.col("props"))
+    kind = F.when(F.col("event_id") % 6 == 0, F.repeat(F.lit("x"), F.lit(65))).when(F.col("event_id") % 6 == 1, F.lit("type.a"))
+    segment = lambda name, index: F.struct(name.cast("string").alias("name"), index.cast("int").alias("index"))
+    path = F.array(segment(F.when(F.col("event_id") % 8 > 0, F.concat(F.col("event_type"), F.lit(" é"))).otherwise(""), F.lit(None)), segment(F.lit(None), F.col("event_id") % 3), segment(F.lit("ok-name"), F.lit(None)))
+    return table(spark, folder, "events").select("event_id", c.provider_message(status, code, param, kind).alias("message"), c.issue_path(path).alias("path"))
+
+
+PROVIDER_ERRORS = """
+WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'The semantic provider rejected the request' WHEN 1 THEN 'The semantic provider rate limit was reached' ELSE 'The semantic provider is temporarily unavailable' END AS said,
+  concat_ws(', ', CASE WHEN event_id % 4 > 0 THEN 'code=' || event_type END, CASE WHEN event_id % 5 = 0 THEN 'param=items[' || (event_id % 7) || ']' END, CASE WHEN event_id % 6 = 1 THEN 'type=type.a' END) AS fields,
+  '$.' || CASE WHEN event_id % 8 > 0 THEN event_type || '__' ELSE 'field' END || '[' || (event_id % 3) || '].ok-name' AS path FROM events)
+SELECT event_id, CASE WHEN fields = '' THEN said ELSE said || ' (provider ' || fields || ')' END AS message, path FROM e"""
+
+
+def selected_evidence(spark, folder):
+    """The evidence (parts up to size 25) that each order's lines cite, once each in the order of the lines, and what is missing."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("reference"))
+    parts = table(spark, folder, "part").where("p_size <= 25").select(F.col("p_partkey").alias("reference"), "p_name", "p_brand")
+    return evidence.selected(lines, parts, "l_orderkey")
+
+
+SELECTED_EVIDENCE = """
+WITH f AS (SELECT l_orderkey, l_partkey AS reference, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
+SELECT reference, l_orderkey, p_name, p_brand, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY pos, reference) - 1 AS INTEGER) AS nth, p_partkey IS NULL AS missing
+FROM f LEFT JOIN part ON p_partkey = reference AND p_size <= 25"""
+
+
+def both_sides(spark, folder):
+    """Scores, seniority and advice on positioning need evidence from the job and from the profile: which side a claim lacks."""
+    claim = F.element_at(F.array(*map(F.lit, ["score", "seniority", "positioning"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", claim.alias("claim"), F.col("l_partkey").alias("p_partkey"))
+    side = F.when(F.col("p_size") % 2 == 0, "USER_PROFILE").otherwise("JOB_DESCRIPTION")
+    parts = table(spark, folder, "part").where("p_size > 5").select("p_partkey", side.alias("side"))
+    return evidence.one_sided(lines.join(parts, "p_partkey", "left"), ["l_orderkey", "claim"], "USER_PROFILE")
+
+
+BOTH_SIDES = """
+WITH r AS (SELECT l_orderkey, ['score', 'seniority', 'positioning'][l_linenumber % 3 + 1] AS claim, coalesce(p_size % 2 = 0, false) AS own FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5)
+SELECT l_orderkey, claim, CASE WHEN NOT bool_or(own) THEN 'profile' ELSE 'job' END AS missing FROM r GROUP BY 1, 2 HAVING NOT bool_or(own) OR bool_and(own)"""
+
 STAGE_ROWS = "(VALUES (1, 'RUNNING', 1, 3, true), (2, 'FAILED', 1, 3, true), (3, 'FAILED', 3, 3, true), (4, 'FAILED', 1, 3, false), (5, 'COMPLETED', 1, 3, true), (6, 'PENDING', 0, 3, true)) AS t(id, status, attempt, max_attempts, retryable)"
 
 STAGE_TABLE = Rows(STAGE_ROWS, "orders", {
@@ -267,7 +313,7 @@ TIMING_RULES = f"SELECT id, concat_ws(',', CASE WHEN (class = 'UNKNOWN') <> (age
 
 NAMES = (
     "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert stored_upsert affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "
-    "stage_transition requirement_fidelity timing_rules"
+    "stage_transition requirement_fidelity timing_rules provider_errors selected_evidence both_sides"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES} | {"error_classes": error_classes}
 ORACLES = {n: globals()[n.upper()] for n in NAMES} | {"error_classes": ERROR_CLASSES_SQL}

@@ -110,6 +110,38 @@ SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY
   coalesce(task_status, o_orderstatus) AS status FROM orders LEFT JOIN task ON l_orderkey = o_orderkey"""
 
 
+def evaluation_history(spark, folder):
+    """All evaluations of each opportunity with their task's status and what was recommended, the newest marked; unknown parts stay null."""
+    decided = table(spark, folder, "events").select(F.col("event_id").alias("o_orderkey"), F.col("event_type").alias("decision"))
+    task = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("task_status"))
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    flagged = history.flagged_latest(orders, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return flagged.join(task, "o_orderkey", "left").join(decided, "o_orderkey", "left").select("o_custkey", "o_orderkey", "o_orderstatus", "is_latest", "task_status", "decision")
+
+
+EVALUATION_HISTORY = """
+WITH task AS (SELECT l_orderkey, max(l_linestatus) AS task_status FROM lineitem GROUP BY 1)
+SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_latest, task_status, event_type AS decision
+FROM orders LEFT JOIN task ON l_orderkey = o_orderkey LEFT JOIN events ON event_id = o_orderkey"""
+
+
+def source_of_evaluation(spark, folder):
+    """Each order with the source that its provenance names, else the customer's own, else the nation's first source (a supplier)."""
+    provenance = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("named"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    known = suppliers.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("named"), F.lit(True).alias("known"))
+    first = suppliers.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("first_source"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("own_source"))
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(provenance, "o_orderkey", "left").join(known, "named", "left").join(customers, "o_custkey", "left").join(first, "c_nationkey", "left")
+    return rows.select("o_orderkey", F.coalesce(F.when(F.col("known"), F.col("named")), "own_source", "first_source").alias("source"))
+
+
+SOURCE_OF_EVALUATION = """
+WITH n AS (SELECT l_orderkey, arg_min(l_suppkey, {'a': l_linenumber, 'b': l_suppkey}) AS named FROM lineitem GROUP BY 1), f AS (SELECT s_nationkey, min(s_suppkey) AS first_source FROM supplier GROUP BY 1)
+SELECT o_orderkey, coalesce(s_suppkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END, first_source) AS source FROM orders LEFT JOIN n ON l_orderkey = o_orderkey
+LEFT JOIN supplier ON s_suppkey = named AND s_suppkey % 3 <> 0 LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN f ON f.s_nationkey = c_nationkey"""
+
+
 def first_per_key(spark, folder):
     """Every customer with the first order's priority, or the segment where there is no order."""
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
@@ -482,7 +514,7 @@ RETRY_CLASSES = """SELECT event_id, CASE WHEN event_id % 11 = 0 OR http IN (408,
 FROM (SELECT event_id, [200, 400, 404, 408, 429, 500, 503][event_id % 7 + 1] AS http FROM events)"""
 
 NAMES = (
-    "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags first_per_key latest_profile version_assignment next_version exact_duplicates duplicate_decision "
+    "usage_summary price_check attempt_ordinal next_attempt latest_per_key history_flags evaluation_history source_of_evaluation first_per_key latest_profile version_assignment next_version exact_duplicates duplicate_decision "
     "reference_integrity ownership_check resolvable_links evidence_catalog reference_restore first_wins last_wins_union ordered_union append_absent coverage_gap uniqueness_violations "
     "posting_ages score_bands sentence_split first_sentence stage_context stage_chain stage_context_asked stage_pivot pipeline_outcome task_claim task_queue_head task_batches task_transition retry_classes task_work call_outcomes"
 ).split()
