@@ -82,6 +82,7 @@ def preference_findings(business: Column, product: Column, customer: Column, seg
             out = out.when(x.isin(values), F.concat(x, F.lit(text)))
         return out.otherwise(F.concat(x, F.lit(default)))
 
+    # The sentences, here and below
     here, out = " is represented in the configured customer-{} preferences.", " is outside the configured customer-{} preferences."
     return F.array(
         told(

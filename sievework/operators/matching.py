@@ -19,6 +19,7 @@ EVIDENCE_OF = {
 }
 DIRECT_WORK, WORK, SKILL = BASES
 STARTUP = r"\b(?:startup|start-up|startups|start-ups)\b"
+#: Wording that says information is missing.
 MISSING_INFORMATION = (
     r"\b(?:missing|not (?:described|stated|specified|provided|available|established|evidenced)|no (?:evidence|information|details?|description|mention)|"
     r"absence of (?:evidence|information|details?|description)|insufficient (?:evidence|information)|unclear|unknown|cannot (?:determine|establish)|could not (?:determine|establish))\b"

@@ -592,6 +592,7 @@ GAP_ROWS = Rows(GAPS, "lineitem", {
 })
 CONTRADICTIONS = "(VALUES (6, 'jd-9', 'jd-2'), (6, 'jd-9', 'jd-8')) AS t(id, refs_a, refs_b)"
 CONTRADICTION_ROWS = Rows(CONTRADICTIONS, "lineitem", {"id": "1000 + l_orderkey", "refs_a": "'jd-' || l_linenumber", "refs_b": "'jd-' || (l_linenumber + 1)"}, where="l_partkey % 7 = 0")
+#: The sentences of a decision, each with the rule that gives it.
 SKIP = [
     ("A deterministic hard filter failed.", "overall = 'FAIL'"), ("The reconstructed actual work is unrelated to Customer Success.", "role = 'UNRELATED'"), ("Effective Seniority is Above Level.", "level = 'ABOVE_LEVEL'"),
     ("A required, genuinely unsupported qualification is established by evidence as a decisive disqualifier.", "decisive"), ("The combined role design has Very High burnout risk.", "burnout = 'VERY_HIGH'"),
