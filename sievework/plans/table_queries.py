@@ -344,7 +344,8 @@ SCORE_BANDS = "SELECT event_id, " + ", ".join(
 
 
 def sentence_split(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.transform(sentences(F.col("text")), F.length).alias("sizes")).where(F.size("sizes") > 0)
+    # exploded from a list of one, as a filter on a plain column would be pushed below and split every text once more
+    docs = table(spark, folder, "documents").select("doc_id", F.explode(F.array(F.transform(sentences(F.col("text")), F.length))).alias("sizes")).where(F.size("sizes") > 0)
     chars = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.select("doc_id", F.size("sizes").cast("long").alias("n_sentences"), F.array_max("sizes").alias("longest"), chars.alias("chars"))
 
