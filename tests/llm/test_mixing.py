@@ -70,3 +70,12 @@ def test_empty_and_repeated_rows(spark):
     assert mix_sources(spark.createDataFrame([], schema)).count() == 0
     out = mix_sources(spark.createDataFrame([(1, "a b", None)] * 4 + [(None, "c", None)], schema)).collect()
     assert len(out) == 5 and {r.source_size for r in out} == {9}
+
+
+def test_a_very_long_text_and_other_columns(spark):
+    """A text with most of its source's words is taken whole or not at all; other columns, whatever their names, are ignored."""
+    docs = [(1, "w " * 500_000, "x"), (2, "a b c", "x"), (3, "d", "y")]
+    plain = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    more = mix_sources(spark.createDataFrame([(*d, 7, 8, "z", 9.0) for d in docs], "doc_id long, text string, source string, times int, taken int, draw string, TARGET double")).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, more)) and {r.doc_id: r.size for r in plain} == {1: 500_000, 2: 3, 3: 1}
+    assert all(r.taken in (r.size, 2 * r.size) for r in plain if r.doc_id == 1)

@@ -116,3 +116,11 @@ def test_empty_table_and_repeated_ids(spark, operator):
     size = len(text) if operator is suffix_dedup else 60
     kept = 0 if operator is suffix_dedup else size
     assert sorted((r.doc_id or -1, r.n_removed) for r in out) == [(-1, size), (1, kept), (1, kept), (2, 0)]
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_columns_called_like_the_operators_own_are_ignored(spark, operator):
+    rows = corpus()[:20]
+    more = "doc_id long, text string, block int, n_removed int, KEPT string, segment int, key binary, t string"
+    out = operator(spark.createDataFrame([(i, t, 1, 2, "x", 3, b"y", "z") for i, t in rows], more))
+    assert sorted(map(str, out.collect())) == sorted(map(str, operator(frame(spark, rows)).collect()))
