@@ -93,6 +93,20 @@ WITH l AS (SELECT *, event_id % 3 AS batch FROM events QUALIFY row_number() OVER
 SELECT user_id, arg_max(event_type, batch) AS event_type, arg_max(value, batch) AS value, max(event_id) FILTER (last) AS event_id, min(event_id) FILTER (first) AS first_event
 FROM (SELECT *, batch = max(batch) OVER (PARTITION BY user_id) AS last, batch = min(batch) OVER (PARTITION BY user_id) AS first FROM l) GROUP BY 1"""
 
+
+def stored_versions(spark, folder):
+    """Documents imported in three batches: a source's texts get versions in the order they first come, batch by batch; the first batch comes twice."""
+    docs = table(spark, folder, "documents").select(F.col("source").alias("label"), F.sha2("text", 256).alias("content_hash"), "doc_id", F.lit(None).cast("long").alias("version"))
+    stored = StoredTable(spark, f"{shared_folder(spark)}/sievework/stored-{uuid.uuid4().hex}/table", docs.schema, ["label", "content_hash"], update=False, together=["label"])
+    for batch in (0, 1, 2, 0):
+        stored.import_versions(docs.where(F.col("doc_id") % 3 == batch), batch, "label", "version", "doc_id", "content_hash")
+    return stored.read()
+
+
+STORED_VERSIONS = """
+WITH f AS (SELECT source AS label, sha256(text) AS content_hash, doc_id, doc_id % 3 AS batch FROM documents QUALIFY row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id % 3, doc_id) = 1)
+SELECT label, content_hash, doc_id, row_number() OVER (PARTITION BY label ORDER BY batch, doc_id, content_hash) AS version FROM f"""
+
 EVIDENCE = """(VALUES (1, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Pays well', 'Pays well'), (1, 1, 'DERIVED', 'CONFIRMED', 'JOB', 'x', 'y'), (1, 2, 'EXPLICIT', 'WEAK', 'JOB', 'x', 'y'), (1, 3, 'EXPLICIT', 'STRONG_EVIDENCE', 'USER_PROFILE', 'x', 'y'),
   (1, 4, 'EXPLICIT', 'STRONG_EVIDENCE', 'JOB', 'Remote', 'Fully remote'), (2, 0, 'EXPLICIT', 'CONFIRMED', 'JOB', '  ', 'y'), (2, 1, 'EXPLICIT', 'CONFIRMED', 'JOB', 'Team', NULL)) AS t(evaluation_id, pos, origin, level, kind, claim, excerpt)"""
 
@@ -312,7 +326,7 @@ def timing_rules(spark, folder):
 TIMING_RULES = f"SELECT id, concat_ws(',', CASE WHEN (class = 'UNKNOWN') <> (age IS NULL) THEN 'unknown_means_no_age' END, CASE WHEN class <> 'UNKNOWN' AND n_refs = 0 THEN 'known_needs_evidence' END) AS violations FROM {TIMING_ROWS.sql()}"
 
 NAMES = (
-    "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert stored_upsert affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "
+    "detail_children evaluation_create lifecycle_change pruned_lookup backfill recommendation_upsert stored_upsert stored_versions affirmative_facts reference_checks issue_list token_validity canonical_hash renewal_support "
     "stage_transition requirement_fidelity timing_rules provider_errors selected_evidence both_sides"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES} | {"error_classes": error_classes}

@@ -68,3 +68,25 @@ def test_a_stream_that_breaks_within_a_batch_ends_as_if_it_had_not(spark, tmp_pa
         t.drain(stream(), str(tmp_path / "c1"), "at")
     t.drain(stream(), str(tmp_path / "c1"), "at")
     assert calls == [0, 1, 1, 2] and rows(t) == rows(whole) and len(rows(t)) == 40
+
+
+def test_versions_go_on_from_the_last_and_replays_change_nothing(spark, tmp_path):
+    schema = "label string, hash string, at int, version long"
+    make = lambda name: StoredTable(spark, str(tmp_path / name), spark.createDataFrame([], schema).schema, ["label", "hash"], update=False, buckets=3, together=["label"])
+    batch = lambda *r: spark.createDataFrame([(*x, None) for x in r], schema)
+    one = batch(("a", "h1", 1), ("a", "h2", 2), ("b", "h1", 3), ("a", "h1", 4))
+    two = batch(("a", "h2", 5), ("a", "h3", 6), ("c", "h9", 7), ("a", "h0", 8), ("b", "h1", 9))
+    t = make("t")
+    t.import_versions(one, 0, "label", "version", "at", "hash")
+    t.import_versions(two, 1, "label", "version", "at", "hash")
+    expected = [("a", "h0", 8, 4), ("a", "h1", 1, 1), ("a", "h2", 2, 2), ("a", "h3", 6, 3), ("b", "h1", 3, 1), ("c", "h9", 7, 1)]
+    assert rows(t) == expected
+    t.import_versions(two, 1, "label", "version", "at", "hash")
+    assert rows(t) == expected
+    broken = make("broken")  # of the second batch only some labels got in place
+    broken.import_versions(one, 0, "label", "version", "at", "hash")
+    broken.import_versions(two.where("label = 'a'"), 1, "label", "version", "at", "hash")
+    broken.import_versions(two, 1, "label", "version", "at", "hash")
+    assert rows(broken) == expected
+    with pytest.raises(ValueError):
+        stored(spark, tmp_path / "x").import_versions(one, 0, "label", "version", "at")
