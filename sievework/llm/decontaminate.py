@@ -114,10 +114,9 @@ class Templates:
         memo, parts = self.memo, []
         for text in texts:
             words = text.decode().split()
-            try:
-                parts.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                parts.append(np.fromiter(map(self.number, words), np.int64, len(words)))
+            for word in set(words).difference(memo):
+                self.number(word)
+            parts.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
         words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         used, words = np.unique(words, return_inverse=True) if len(words) < len(self.hash) else (np.arange(len(self.hash)), words)
         hashes = np.array([self.hash[i] for i in used] or [0], np.uint64)
@@ -143,11 +142,11 @@ class Templates:
         return Parsed(used[words], tokens, plain, slot, np.bincount(doc, minlength=len(parts)), opens, loose, np.where(may, 3, slot))
 
 
-def window_hashes(x: Parsed, size: int) -> list[tuple[np.ndarray, np.ndarray | None, bool]]:
-    """(hashes, which of them count or None for all, whether the whole item must follow) of every window of `size` tokens.
+def window_hashes(x: Parsed, size: int, few: bool = True) -> list[tuple[np.ndarray | None, np.ndarray, bool]]:
+    """(places or None for all, their hashes, whether the whole item must follow) of the windows of `size` tokens.
 
     First the template if it has enough literal words, else the words as they are; then the template with sentence openers as
-    names, where there are any; then, apart from the others, that template where it has a few literal words.
+    names, where there are any; then, apart from the others and only if wanted, that template where it has a few literal words.
     """
     least = min(LITERALS, (size + 1) // 2)
     literal = lambda slot: (c := np.concatenate([[0], np.cumsum(slot == 0)]))[size:] - c[:-size]
@@ -157,15 +156,21 @@ def window_hashes(x: Parsed, size: int) -> list[tuple[np.ndarray, np.ndarray | N
         hashes[poor] = mix(gram_hashes(x.plain, size)[poor])
     loose, left = gram_hashes(x.loose, size), literal(x.loose_slot)
     opener = np.concatenate([[0], np.cumsum(x.loose_slot != x.slot)])
-    return [(hashes, None, False), (loose, (opener[size:] > opener[:-size]) & (left >= least), False), (mix(mix(loose)), (left > 0) & (left < least), True)]
+    both = np.flatnonzero((opener[size:] > opener[:-size]) & (left >= least))
+    out = [(None, hashes, False), (both, loose[both], False)]
+    if few:
+        poor = np.flatnonzero((left > 0) & (left < least))
+        out.append((poor, mix(mix(loose[poor])), True))
+    return out
 
 
 def short_hashes(x: Parsed, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, which count): `size` words as they are that make a sentence of their own; one word must be the whole text."""
+    """(places, hashes) of `size` words as they are that make a sentence of their own; one word must be the whole text."""
     closes = np.append(x.opens[1:], True)
     sizes = np.repeat(x.sizes, x.sizes)
     alone = x.opens[: len(x.opens) - size + 1] & closes[size - 1 :]
-    return mix(mix(mix(gram_hashes(x.plain, size)))), alone & ((sizes[: len(alone)] == 1) if size == 1 else True)
+    at = np.flatnonzero(alone & ((sizes[: len(alone)] == 1) if size == 1 else True))
+    return at, mix(mix(mix(gram_hashes(x.plain, size)[at])))
 
 
 class Benchmark:
@@ -182,15 +187,16 @@ class Benchmark:
             self.loose.append(own.loose)
             self.count.append(max(size - WINDOW, 0) + 1 if size else 0)
             if size >= LEAST:
-                for hashes, counts, whole in window_hashes(own, min(WINDOW, size)):
-                    for q in range(len(hashes)) if counts is None else np.flatnonzero(counts).tolist():
-                        entries[min(WINDOW, size), int(hashes[q])].append((n, q, whole))
+                for places, hashes, whole in window_hashes(own, min(WINDOW, size)):
+                    for q, h in enumerate(hashes.tolist()) if places is None else zip(places.tolist(), hashes.tolist()):
+                        entries[min(WINDOW, size), h].append((n, q, whole))
             elif size:
-                entries[size, int(short_hashes(own, size)[0][0])].append((n, 0, False))
+                entries[size, int(short_hashes(own, size)[1][0])].append((n, 0, False))
         self.keys, self.entries = {}, {}
         for width in sorted({w for w, _ in entries}):
             self.keys[width] = np.array(sorted(h for w, h in entries if w == width), np.uint64)
             self.entries[width] = [entries[width, h] for h in self.keys[width].tolist()]
+        self.few = {width for (width, _), own in entries.items() if any(whole for *_, whole in own)}
 
     def hits(self, x: Parsed) -> dict[tuple[int, int], set[tuple[int, int, int]]]:
         """By (document, item): (place in the document, place in the item, width) of every window that both have."""
@@ -202,12 +208,12 @@ class Benchmark:
                 continue
             may = np.zeros(1 << 20, bool)
             may[keys & np.uint64((1 << 20) - 1)] = True
-            for hashes, counts in [h[:2] for h in window_hashes(x, width)] if width >= LEAST else [short_hashes(x, width)]:
-                maybe = may[hashes & np.uint64((1 << 20) - 1)]
-                at = np.flatnonzero(maybe if counts is None else maybe & counts)
+            for places, hashes, *_ in window_hashes(x, width, width in self.few) if width >= LEAST else [short_hashes(x, width)]:
+                at = np.flatnonzero(may[hashes & np.uint64((1 << 20) - 1)])
                 k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
                 found = keys[k] == hashes[at]
                 at, k = at[found], k[found]
+                at = at if places is None else places[at]
                 doc = np.searchsorted(begin, at, "right") - 1
                 inside = at + width <= begin[doc + 1]
                 for p, d, e in zip(at[inside].tolist(), doc[inside].tolist(), k[inside].tolist()):
