@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The driver's garbage is collected after a step at most so often; short steps leave little behind.
+#: The driver's garbage is collected before a step at most so often; short steps leave little behind.
 GC_SECONDS = 3
 _collected = 0.0
 
@@ -40,14 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: later steps survive a lost executor and don't redo the work."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     global _collected
+    spark = df.sparkSession
     if time.monotonic() - _collected > GC_SECONDS:
         gc.collect()
-        spark._jvm.System.gc()  # Spark deletes shuffle files of finished steps when their plans are collected as garbage
+        spark._jvm.System.gc()  # Spark deletes shuffle files of earlier steps when their plans are collected as garbage
         _collected = time.monotonic()
+    path = f"{shared_folder(spark)}/sievework/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
