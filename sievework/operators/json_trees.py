@@ -2,7 +2,8 @@
 
 A document is a tree of rows (id, path, parent, pos, key, kind, text). Each level comes from the one above by
 variant_explode and is written to the shared folder; texts are put together again from the deepest level upwards, a grouping
-and a join on (id, path) a level. So depth costs steps, and a large document's nodes are spread like any other rows.
+by (id, path) a level. So depth costs steps, and a large document's nodes are spread like any other rows. Tables with a row a
+document or node are never broadcast, however small their files: nodes compress well, and the driver would hold them whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def levels(docs: DataFrame) -> list[DataFrame]:
         "id", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("under"),
         F.to_json(F.try_parse_json("json")).alias("text"),
     )
-    out = [materialise(_described(root.where("id is not null and text is not null")), "level")]
+    # dealt anew, as few files may hold many documents; each level keeps the files of the one above
+    out = [materialise(_described(root.repartition("id").where("id is not null and text is not null")), "level")]
     while True:
         inner = out[-1].where("kind in ('object', 'array')")
         if inner.isEmpty():
@@ -54,11 +56,14 @@ def rebuilt(nodes: list[DataFrame]) -> DataFrame:
     for level in reversed(nodes):
         own = level.select("id", "path", "parent", "pos", "key", "kind", "text")
         if below is not None:
-            rows = below.withColumn("quoted", quoted).select("id", F.col("parent").alias("path"), F.struct(F.collate("key", COLLATION).alias("k"), "pos", F.when(F.col("key").isNotNull(), member).otherwise(F.col("text")).alias("text")).alias("item"))
-            joined = rows.groupBy("id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"]), ",").alias("inside"))
-            inside = F.coalesce("inside", F.lit(""))
-            text = F.when(F.col("kind") == "object", F.concat(F.lit("{"), inside, F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), inside, F.lit("]"))).otherwise(F.col("text"))
-            own = own.join(joined, ["id", "path"], "left").withColumn("text", text).drop("inside")
+            inner = F.col("kind").isin("object", "array")
+            item = F.struct(F.collate("key", COLLATION).alias("k"), "pos", F.when(F.col("key").isNotNull(), member).otherwise(F.col("text")).alias("text"))
+            items = below.withColumn("quoted", quoted).select("id", F.col("parent").alias("path"), item.alias("item"), F.lit(None).alias("own"))
+            outer = own.where(inner).select("id", "path", F.lit(None).alias("item"), F.struct("parent", "pos", "key", "kind").alias("own"))
+            inside = F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["text"]), ",")
+            joined = items.unionByName(outer).groupBy("id", "path").agg(inside.alias("inside"), F.first("own", ignorenulls=True).alias("own"))
+            text = F.when(F.col("own.kind") == "object", F.concat(F.lit("{"), "inside", F.lit("}"))).otherwise(F.concat(F.lit("["), "inside", F.lit("]")))
+            own = own.where(~inner).unionByName(joined.select("id", "path", "own.*", text.alias("text")))
         below = own
     return below.select("id", F.col("text").alias("json"))
 
@@ -70,7 +75,7 @@ def canonical_json(docs: DataFrame) -> DataFrame:
     comes back with null in both. content_hash is the sha256 of the text.
     """
     found = rebuilt(levels(docs))
-    out = docs.select("id").join(found, "id", "left")
+    out = docs.select("id").join(found.hint("merge"), "id", "left")
     return out.select("id", "json", F.sha2("json", 256).alias("content_hash"))
 
 
@@ -97,7 +102,9 @@ def rewrite_references(docs: DataFrame, names: DataFrame, keys: list[str]) -> Da
         wrong.append(told[-1].where("lost").select("id", F.lit("unknown_reference").alias("violation")))
     first = reduce(DataFrame.unionByName, wrong).groupBy("id").agg(F.min("violation").alias("found"))
     roots = nodes[0].select("id", F.lit(True).alias("is_json"))
-    out = docs.select("id").join(rebuilt(told), "id", "left").join(first, "id", "left").join(roots, "id", "left")
+    out = docs.select("id")
+    for told_of in (rebuilt(told), first, roots):
+        out = out.join(told_of.hint("merge"), "id", "left")
     violation = F.when(F.col("is_json").isNull(), "not_json").otherwise(F.col("found"))
     result = materialise(out.select("id", F.when(violation.isNull(), F.col("json")).alias("json"), violation.alias("violation")), "rewritten")
     for level in [*nodes, *told]:

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sievework.operators import json_trees
 from sievework.operators.json_trees import canonical_json, levels, rewrite_references
 from sievework.operators.opportunities import REFERENCE_KEYS
 
@@ -93,3 +94,22 @@ def test_names_of_each_document_and_depth(spark):
     out = {r.id: (r.json, r.violation) for r in rewrite_references(frame, names, ["evidenceReferences"]).collect()}
     assert out == {1: (deep.replace('"r"', '"one"'), None), 2: (deep.replace('"r"', '"two"'), None), 3: (None, "unknown_reference")}
     assert len(levels(frame.where(F.col("id") == 1))) == 13
+
+
+def test_no_table_of_documents_or_nodes_is_broadcast(spark, monkeypatch):
+    """Small files may hold very many rows, which the driver would have to hold."""
+    plans, write = {}, json_trees.materialise
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(json_trees, "materialise", noted)
+    docs = spark.createDataFrame([(1, '{"b":[1,{"evidenceReferences":["x"]}],"a":{}}'), (2, "no"), (None, "{}")], "id long, json string")
+    out = canonical_json(docs)
+    plans["canonical"] = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.json for r in out.collect()} == {1: '{"a":{},"b":[1,{"evidenceReferences":["x"]}]}', 2: None, None: None}
+    names = spark.createDataFrame([("x", "y")], "reference string, stored string")
+    found = {r.id: (r.json, r.violation) for r in rewrite_references(docs, names, REFERENCE_KEYS).collect()}
+    assert found == {1: ('{"a":{},"b":[1,{"evidenceReferences":["y"]}]}', None), 2: (None, "not_json"), None: (None, "not_json")}
+    assert not [n for n in ("level", "canonical", "rewritten") if "Broadcast" in plans[n]]
