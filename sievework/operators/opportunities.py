@@ -146,5 +146,7 @@ def rewritten(json: Column, names: Column) -> Column:
     told = lambda x: F.array_join(F.transform(parts(x), lambda s, i: F.when(is_ref(i), F.concat(F.lit('"'), names[bare(s)], F.lit('"'))).otherwise(s)), "", "\u0003")
     out = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, told(x)).otherwise(x)), "")
     malformed = F.regexp_count(json, F.lit(KEY)) != F.regexp_count(json, F.lit(LIST))
-    wrong = F.when(malformed, "malformed_references").when(F.contains(out, F.lit("\u0003")), "unknown_reference")
-    return F.struct(F.when(wrong.isNull(), out).alias("json"), wrong.alias("violation"))
+    wrong = lambda x: F.when(x["malformed"], "malformed_references").when(F.contains(x["text"], F.lit("\u0003")), "unknown_reference")
+    # bound by a lambda, so that text and counts are made once a row and not wherever they are named
+    once = F.array(F.struct(malformed.alias("malformed"), F.when(~malformed, out).alias("text")))
+    return F.transform(once, lambda x: F.struct(F.when(wrong(x).isNull(), x["text"]).alias("json"), wrong(x).alias("violation")))[0]

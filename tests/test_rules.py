@@ -68,3 +68,13 @@ def test_citations(spark):
 def test_an_indented_bullet_stays(spark):
     text = F.lit("First.\n  - Indented is required\n- Bare is required")
     assert value(spark, facts.requirements(text)) == ["- Indented is required", "Bare is required"]
+
+
+def test_references_of_a_row_are_rewritten_once(spark):
+    from sievework.operators import opportunities as op
+
+    rows = [(1, '{"evidenceReferences":["a"]}'), (2, '{"evidenceReferences":["b"]}'), (3, '{"evidenceReferences":"a"}'), (4, None)]
+    names = F.create_map(F.lit("a"), F.lit("stored"))
+    out = spark.createDataFrame(rows, "id int, body string").select("id", op.rewritten(F.col("body"), names).alias("r")).select("id", "r.*")
+    assert [(r.json, r.violation) for r in out.orderBy("id").collect()] == [('{"evidenceReferences":["stored"]}', None), (None, "unknown_reference"), (None, "malformed_references"), (None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(body#") == 1
