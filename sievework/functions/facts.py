@@ -33,7 +33,8 @@ def sentences(text: Column) -> Column:
 
 
 def first_matching_sentence(text: Column, pattern: str) -> Column:
-    return F.get(F.filter(sentences(text), lambda s: has(s, pattern)), F.lit(0))
+    """Null if there is none. Only a text that matches as a whole has a sentence that does, so others aren't split."""
+    return F.when(has(text, pattern), F.get(F.filter(sentences(text), lambda s: has(s, pattern)), F.lit(0)))
 
 
 def _amount(digits: Column, thousands: Column) -> Column:
@@ -92,10 +93,14 @@ def travel(sentence: Column) -> Column:
 
 
 def requirements(text: Column) -> Column:
-    """Candidate sentences; a bullet goes only where it begins the line, before white space is trimmed."""
+    """Candidate sentences; a bullet goes only where it begins the line, before white space is trimmed.
+
+    None in a text that doesn't match as a whole, which isn't split; null for a null text.
+    """
     parts = F.split(text, r"\r?\n|(?<=[.!?])\s+")
     bare = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, f"^[-*•][{SPACES}]*", ""), f"^[{SPACES}]+|[{SPACES}]+$", ""))
-    return F.filter(bare, lambda s: (F.length(s) >= 8) & has(s, p.REQUIREMENT))
+    found = F.filter(bare, lambda s: (F.length(s) >= 8) & has(s, p.REQUIREMENT))
+    return F.when(~has(text, p.REQUIREMENT), F.array().cast("array<string>")).otherwise(found)
 
 
 def requirement(x: Column) -> list[Column]:

@@ -78,3 +78,14 @@ def test_references_of_a_row_are_rewritten_once(spark):
     out = spark.createDataFrame(rows, "id int, body string").select("id", op.rewritten(F.col("body"), names).alias("r")).select("id", "r.*")
     assert [(r.json, r.violation) for r in out.orderBy("id").collect()] == [('{"evidenceReferences":["stored"]}', None), (None, "unknown_reference"), (None, "malformed_references"), (None, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(body#") == 1
+
+
+def test_texts_without_a_match_are_not_split(spark):
+    from sievework.functions import facts, patterns
+
+    rows = [(1, "Nothing. At all."), (2, "One.\nFully remote. Degree required."), (3, None), (4, "time\nzone")]
+    frame = spark.createDataFrame(rows, "id int, t string")
+    out = frame.select("id", facts.first_matching_sentence(F.col("t"), patterns.PLACE).alias("s"), facts.requirements(F.col("t")).alias("r"))
+    assert [(r.s, r.r) for r in out.orderBy("id").collect()] == [(None, []), ("Fully remote.", ["Degree required."]), (None, None), (None, [])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(t#") == 2 and "CASE WHEN RLIKE(t#" in plan
