@@ -1,17 +1,18 @@
 """Near texts: an exact join of sets by Jaccard similarity, and the duplicate decision that rests on it.
 
 Sets that are near enough share most of their tokens, so each set need only be looked up by a few of them, its prefix:
-tokens in one order for all sets, rarest first, as many as it can lack and one more. A pair that meets at a token is a
+tokens in one order for all sets, as many as it can lack and one more. Only prefixes are shuffled, a fifth of all tokens at
+0.8. Any order gives the same pairs; the one taken puts tokens that many sets share last. A pair that meets at a token is a
 candidate if the sizes, the token's places in both sets and bitmaps of the sets leave room for the overlap that is
 needed; the overlap itself decides. Who is near whom is asked only as far as the classes need it: the sets of a token are
-first compared with one of them, the one with the fewest rarer tokens, and then only those still in different classes with
+first compared with one of them, the one with the fewest tokens before it, and then only those still in different classes with
 each other, block by block. So a token that very many sets share costs a pair a set as long as they are near, and no task
 holds all sets of a token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from sievework.sources.shared import materialise, release
 SHINGLE, SIMILARITY = 5, 0.8
 #: Longs in a set's bitmap; sets of a token in one block; rounds with a leader, and the pairs a row that make another worth it.
 MAP, BLOCK_SETS, ROUNDS, PAIRS_A_ROW = 8, 512, 3, 200
+#: Tokens that are counted at a time, how often one must come among them to be told of, and how many the order knows of.
+COUNTED, OFTEN, COMMON = 1 << 21, 4, 1 << 18
 
 
 def contents(rows: DataFrame, id_: str, text: str) -> DataFrame:
@@ -46,10 +49,24 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     Of the whole text if it has fewer words; none if it is null.
     """
 
+    memo: dict[bytes, int] = {}
+    factors = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(size)], np.uint64)
+
     def hashes(content: bytes | None) -> np.ndarray:
         words = content.split(b" ") if content else []
-        runs = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [content] if words else []
-        return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64)).view(np.int64)
+        if len(words) < size:
+            return np.array([xxhash.xxh3_64_intdigest(content)] if words else [], np.uint64).view(np.int64)
+        if len(memo) > 400_000:
+            memo.clear()
+        try:
+            word = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(memo))
+            word = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        n = len(words) - size + 1
+        runs = sum((word[k : k + n] * factors[k] for k in range(1, size)), word[:n] * factors[0])
+        runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return np.unique(runs ^ (runs >> np.uint64(32))).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,25 +79,110 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return texts.select("node", F.col("content").cast("binary").alias("t")).mapInArrow(run, "node long, tokens array<long>")
 
 
-def _least(n: Column, similarity: float) -> Column:
-    """The fewest tokens that a set of n shares with one near it."""
-    return F.ceil(n * similarity - 1e-9).cast("int")
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the sets of a batch, and of which set each is."""
+    ends = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[ends[0] : ends[-1]], np.repeat(np.arange(len(lists)), np.diff(ends))
 
 
-def shared_tokens(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, tokens, map0..): the sets that share enough tokens with any others to be near one; their shared tokens only, rarest first.
+def common_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many sets share, sorted, and how often each was told of; COMMON of them at most.
 
-    sets (node: long, each once; tokens: distinct longs). n counts all tokens; those of no other set come first in the order.
+    They only make an order: which tokens are missing, or how exact the counts are, changes how many candidates there are, never
+    which sets are found near.
     """
-    rows = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = materialise(rows.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "often")
-    own = rows.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("own"))
-    tokens = F.transform("own", lambda t: t["token"])
-    own = own.where(F.size("own") >= _least(F.col("n"), similarity)).select("node", "n", tokens.alias("tokens"))
-    bits = lambda k: F.aggregate(F.filter("tokens", lambda t: F.pmod(t, F.lit(MAP)) == k), F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 3), F.lit(64)).cast("int"))))
-    out = materialise(own.select("*", *(bits(k).alias(f"map{k}") for k in range(MAP))), "sets")
-    release(often)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(count[many])], ["token", "sets"])
+
+        for batch in batches:
+            held.append(_flat(batch.column(0))[0])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield told()
+                held, size = [], 0
+        if held:
+            yield told()
+
+    counts = sets.select("tokens").mapInArrow(run, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
+    rows = counts.orderBy(F.desc("sets"), "token").limit(COMMON).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, n, pos) of the tokens by which a set is looked up: pos is the token's place, n the size of the set."""
+    common, often = common_tokens(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, owner = _flat(batch.column(1))
+            count = np.zeros(len(token), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, token), len(common) - 1)
+                count = np.where(common[at] == token, often[at], 0)
+            token = token[np.lexsort((token, count, owner))]
+            n = np.bincount(owner, minlength=batch.num_rows)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            keep = pos <= (n - np.ceil(n * similarity - 1e-9).astype(np.int64))[owner]
+            of = owner[keep]
+            columns = pa.array(token[keep]), batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(list(columns), ["token", "node", "n", "pos"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, n int, pos int")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """prefixes() rows without those of tokens that only one node has, each token of a node once.
+
+    A task goes through its rows in the order of their tokens and holds one batch and a row; so rows are dealt only once.
+    """
+    names = ["token", "node", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shared = None, False  # the row before this batch, and whether another node's row of its token came before it
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(k).to_numpy() for k in range(4)]
+            if last is not None:
+                c = [np.append(x, y) for x, y in zip(last, c)]
+            token, node = c[0], c[1]
+            same = token[1:] == token[:-1]
+            differ = ~(same & (node[1:] == node[:-1]))
+            fresh = np.append(True, differ)
+            c = [x[fresh] for x in c]
+            same = c[0][1:] == c[0][:-1]
+            keep = np.append(False, same)
+            keep[:-1] |= same
+            if last is not None and shared:
+                keep[0] = False  # it went out with the batch before
+            shared = bool(len(same) and same[-1]) or (len(c[0]) == 1 and shared)
+            last = [x[-1:] for x in c]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], names)
+
+    return rows.select(names).repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int")
+
+
+def described(sets: DataFrame) -> DataFrame:
+    """(node, n, tokens, map0..): the sets with their sizes and bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, owner = _flat(batch.column(1))
+            maps, bits = np.zeros(batch.num_rows * MAP, np.uint64), token.view(np.uint64)
+            np.bitwise_or.at(maps, owner * MAP + (bits % np.uint64(MAP)).astype(np.int64), np.uint64(1) << (bits // np.uint64(MAP) % np.uint64(64)))
+            n = np.bincount(owner, minlength=batch.num_rows).astype(np.int32)
+            columns = [batch.column(0), pa.array(n), batch.column(1), *map(pa.array, np.ascontiguousarray(maps.view(np.int64).reshape(-1, MAP).T))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "tokens", *(f"map{k}" for k in range(MAP))])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, n int, tokens array<long>, " + ", ".join(f"map{k} long" for k in range(MAP)))
 
 
 def _may_be_near(x: str, y: str, similarity: float) -> Column:
@@ -89,13 +191,13 @@ def _may_be_near(x: str, y: str, similarity: float) -> Column:
     both = c(x, "n") + c(y, "n")
     enough = lambda overlap: overlap * (1 + similarity) >= both * similarity - 1e-9
     differ = sum((F.bit_count(c(x, f"map{k}").bitwiseXOR(c(y, f"map{k}"))) for k in range(1, MAP)), F.bit_count(c(x, "map0").bitwiseXOR(c(y, "map0"))))
-    # maps hold shared tokens only; a differing bit is a token that one of the two lacks
-    overlap = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"), (c(x, "shared") + c(y, "shared") - differ) / 2)
+    # of a near pair's meetings the first counts, before which the sets share nothing; a differing bit is a token that one of the two lacks
+    overlap = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"), (both - differ) / 2)
     return (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * similarity - 1e-9) & enough(overlap)
 
 
 def _near(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written; sets as shared_tokens() has them."""
+    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written; sets as described() has them."""
     x, y = F.col("x.node"), F.col("y.node")
     pairs = materialise(candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
     side = lambda node, tokens, n: sets.select(F.col("node").alias(node), F.col("tokens").alias(tokens), F.col("n").alias(n))
@@ -109,7 +211,7 @@ def _within_blocks(rows: DataFrame, similarity: float, block_sets: int) -> DataF
     """Candidates x, y of different classes at the same token; a token's sets are dealt to blocks, and each pair of blocks is a key."""
     count = rows.groupBy("token").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
     dealt = rows.join(count, "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    keep = ["token", "node", "n", "pos", "shared", "component", *(f"map{k}" for k in range(MAP))]
+    keep = ["token", "node", "n", "pos", "component", *(f"map{k}" for k in range(MAP))]
     left = dealt.select(*keep, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = dealt.select(*keep, F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
     one = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
@@ -120,19 +222,35 @@ def _within_blocks(rows: DataFrame, similarity: float, block_sets: int) -> DataF
 def similar_links(sets: DataFrame, similarity: float = SIMILARITY, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b): links between near sets, enough to join every two nodes that a chain of near sets joins.
 
-    sets (node: long, tokens: array of distinct longs), a node each once. Near are sets of a Jaccard similarity of at least
-    `similarity`, exactly. Empty and null sets are near none.
+    sets (node: long, tokens: array of distinct longs); rows of one node have the same tokens. Near are sets of a Jaccard
+    similarity of at least `similarity`, exactly. Empty and null sets are near none.
+    """
+    return joined_sets(sets, similarity, block_sets=block_sets)[0]
+
+
+def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None, block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame]:
+    """similar_links() and the sets that may be near others, as described() has them.
+
+    some: nodes (node) -> their sets, where that is cheaper than taking them from all. known: links (a, b) that are known
+    already; they come back too, and nobody is compared within their classes.
     """
-    sets = shared_tokens(sets.where(F.size("tokens") > 0), similarity)
-    spare = F.col("n") - F.size("tokens")  # tokens of no other set, which come first
-    prefix = F.slice("tokens", F.lit(1), F.col("n") - _least(F.col("n"), similarity) + 1 - spare)
+    sets = sets.where(F.size("tokens") > 0)
+    rows = materialise(met(prefixes(sets, similarity)), "lookups")
+    members = rows.select("node").distinct()
+    sets = some(members) if some else sets.join(members, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialise(described(sets), "sets")
     maps = [f"map{k}" for k in range(MAP)]
-    rows = sets.select("node", "n", F.size("tokens").alias("shared"), *maps, F.posexplode(prefix).alias("at", "token"), spare.alias("spare"))
-    rows = materialise(rows.withColumn("pos", F.col("at") + F.col("spare")).drop("at", "spare").withColumn("component", F.col("node")), "prefixes")
-    found, k, last = None, 0, False
+    first = rows.join(sets.select("node", *maps), "node")
+    if known is None:
+        first = first.withColumn("component", F.col("node"))
+    else:
+        first = first.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lookups, rows = rows, materialise(first, "prefixes")
+    release(lookups)
+    found, k, last = known, 0, False
     while True:
         # who comes first in the order has the fewest tokens that few others have; later rounds try others
-        order = F.struct((F.lit(0) if k else F.col("pos")).alias("first"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "shared", "component", "pos", *maps)
+        order = F.struct((F.lit(0) if k else F.col("pos")).alias("first"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "component", "pos", *maps)
         if not last:
             lead = rows.groupBy("token").agg(F.min(order).alias("lead")).select("token", "lead.*")
             same = [F.col("x.token") == F.col("y.token"), F.col("x.component") != F.col("y.component"), _may_be_near("x", "y", similarity)]
@@ -143,7 +261,7 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, block_sets: i
             links = _near(_within_blocks(rows, similarity, block_sets), sets, similarity)
         found = links if found is None else found.unionByName(links)
         if last:
-            return found
+            return found, sets
         joined = components(found)
         now = rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         now = materialise(now, "labelled")
@@ -158,7 +276,7 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, block_sets: i
         release(mixed)
         rows = rest
         if not count:
-            return found
+            return found, sets
         k += 1
         last = k == ROUNDS or cross <= PAIRS_A_ROW * count
 
@@ -173,20 +291,25 @@ def duplicate_decisions(rows: DataFrame, id_: str, text: str, similarity: float
     nothing. Rows with a null id come back with what they match, but are related to nothing else; rows that share an id are
     judged each by its text. Other columns are ignored; an empty table gives no rows.
     """
-    own = contents(rows, id_, text)
-    texts = own.groupBy("content").agg(F.min("id").alias("first_id"))
-    texts = materialise(texts.select(F.xxhash64("content").alias("node"), "first_id", "content"), "contents").where("content is not null")
-    sets = shingle_sets(texts, size)
-    joined = components(similar_links(sets, similarity)).select("node", "component")
-    classes = materialise(texts.select("node", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    own = contents(rows, id_, text).select("id", "content", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("node"))
+    own = materialise(own, "contents")
+    texts = own.where("content is not null").select("node", "content")
+    some = lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), size)
+    links, sets = joined_sets(shingle_sets(texts, size), similarity, some)
+    joined = components(links).select("node", "component")
+    firsts = own.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"))
+    classes = materialise(firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", "first_id").alias("rep"), F.count("*").alias("texts")).where("texts > 1")
-    members = classes.join(least, "component").select("node", "class_id", "rep")
+    members = materialise(classes.join(least, "component").select("node", "class_id", "rep"), "members")
     # one comparison a text of a class, with the class's first
-    compared = members.where("node != rep").join(sets, "node").join(sets.select(F.col("node").alias("rep"), F.col("tokens").alias("others")), "rep")
+    compared = members.where("node != rep").join(sets.select("node", "tokens"), "node").join(sets.select(F.col("node").alias("rep"), F.col("tokens").alias("others")), "rep")
     compared = compared.withColumn("common", F.size(F.array_intersect("tokens", "others"))).withColumn("all", F.size("tokens") + F.size("others") - F.col("common"))
     score = F.floor((20_000 * F.col("common") + F.col("all")) / (2 * F.col("all"))) / 10_000  # four digits, halves up
     known = classes.select("node", "first_id").join(members.drop("rep"), "node", "left").join(compared.select("node", score.alias("score")), "node", "left")
-    out = own.select("id", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("node")).join(materialise(known, "known"), "node", "left")
+    known = materialise(known, "known")
+    for table in (sets, members, classes):
+        release(table)
+    out = own.select("id", "node").join(known, "node", "left")
     later = lambda c: F.col(c).isNotNull() & (F.col("id").isNull() | (F.col(c) < F.col("id")))
     match, probable = later("first_id"), later("class_id")
     return out.select(

@@ -95,6 +95,43 @@ def test_a_large_group_of_near_sets_makes_pairs_in_proportion(spark, monkeypatch
     assert set(found.values()) == {0} and sum(seen) < 60 * len(sets)  # a pair with each leader of a token in the prefix, not 4.5 million
 
 
+def test_only_prefixes_are_dealt(spark, monkeypatch):
+    """Of 400 unlike sets that share 70 of 100 tokens, 21 tokens each are dealt, and those that all share are not among them."""
+    sets = spark.range(400).select(F.col("id").alias("node"), F.expr("concat(sequence(1L, 70L), transform(sequence(1L, 30L), k -> id * 100 + k + 1000))").alias("tokens"))
+    rows = similarity.prefixes(sets, 0.8)
+    assert rows.count() == 400 * 21 and rows.where("token <= 70").count() == 0
+    written, write = {}, similarity.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", counted)
+    assert similar_links(sets).count() == 0 and written["lookups"] == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_met_tokens(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.randrange(60), rng.randrange(6) if rng.random() < 0.8 else 0) for _ in range(200)]
+    nodes = {}
+    for token, node in rows:
+        nodes.setdefault(token, set()).add(node)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        out = [(r.token, r.node) for r in similarity.met(spark.createDataFrame([(t, v, 1, 0) for t, v in rows], "token long, node long, n int, pos int")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(out) == sorted((t, v) for t, own in nodes.items() if len(own) > 1 for v in own)
+
+
+def test_classes_do_not_depend_on_the_order(spark, monkeypatch):
+    sets = mess(200, 3)
+    monkeypatch.setattr(similarity, "COMMON", 3)
+    assert joined(spark, sets)[0] == classes_of(sets, 0.8)
+
+
 def test_decisions(spark):
     long_ = " ".join(f"w{i}" for i in range(60))
     near = long_.replace("w59", "other")
