@@ -7,12 +7,14 @@ factor what their children share, and a search adds up differences on the way do
 they exceed the radius. A bucket with more than `bucket_rows` fingerprints isn't searched: its rows are dealt anew by
 four blocks of the bits that aren't fixed yet (the same argument holds for those), so no bucket grows with the input.
 Each bucket returns a spanning star per local component, never its pairs; components() joins the stars.
+
+The pipeline's near-duplicates take their first links from the same index, over fingerprints of five-word shingles.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,90 +273,39 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket_row
     )
 
 
-#: Candidates agree in one of BANDS bands of BAND_ROWS minimum hashes each: at similarity s a pair is missed with the chance
-#: (1 - s ** BAND_ROWS) ** BANDS, 7e-5 at 0.8, however the texts were edited.
-BANDS, BAND_ROWS, SIMILARITY = 24, 5, 0.8
-
-
-def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted sets of the texts' shingle hashes, one after another, and their sizes."""
-    sets = [np.unique(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in texts]
-    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.fromiter(map(len, sets), np.int64, len(sets))
-
-
-def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each set; equal sets have equal ones."""
-    first = starts(sizes)
-    return np.array([xxhash.xxh3_64_intdigest(flat[f : f + n].tobytes()) for f, n in zip(first.tolist(), sizes.tolist())], np.uint64)
-
+SIMILARITY = 0.8
 
-def band_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """BANDS keys a set; two sets agree in each with the chance similarity ** BAND_ROWS. All zero for an empty set."""
-    out = np.zeros((len(sizes), BANDS), np.uint64)
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    first = starts(sizes[full])
-    seeds = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(-1, 2)
-    for band in range(BANDS):
-        key = np.full(len(full), band + 1, np.uint64)
-        for flip, factor in seeds[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-            key = mix(key ^ np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), first))
-        out[full, band] = key
-    return out
 
+def sets_of(texts: DataFrame, size: int) -> Callable[[DataFrame], DataFrame]:
+    """texts (node, content) -> what makes the shingle sets of some nodes (node), each once."""
+    return lambda nodes: joins.shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), size)
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(rid, node, n, bands): a hash of the set of `size`-word shingles, its size and its band keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, sizes = shingle_sets(part.column(1), size)
-                bands = pa.array([r.tobytes() for r in band_keys(flat, sizes)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_keys(flat, sizes).view(np.int64)), pa.array(sizes), bands], ["rid", "node", "n", "bands"])
+def index_links(texts: DataFrame, size: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """texts (node, content) -> (a, b): links between near sets whose fingerprints the Gray-order index joins, each decided exactly.
 
-    return docs.select("rid", utf8("text").alias("t")).mapInArrow(run, "rid long, node long, n long, bands binary")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles: array of their hashes) of the given nodes (node, rep), computed again from the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat, sizes = shingle_sets(part.column(1), size)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(flat, sizes).view(np.int64)), lists], ["node", "shingles"])
-
-    own = docs.join(nodes.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
-    found = own.select(utf8("text").alias("t")).select(F.lit(0), "t").mapInArrow(run, "node long, shingles array<long>")
-    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    The index gives stars, not pairs: a node is compared with the first node of its fingerprint, and that one with the smallest
+    of its component in each bucket. So there are at most radius + 2 comparisons a node, however large a group is, unless hot
+    buckets are dealt anew. What a star misses, two near ends of a chain or sets whose fingerprints lie further apart, isn't here.
+    """
+    fps = materialise(fingerprints(texts, size, "content", "node"), "fingerprints").withColumnRenamed("doc_id", "node")
+    firsts = materialise(fps.groupBy("fp").agg(F.min("node").alias("rep")), "firsts")
+    equal = fps.join(firsts, "fp").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    pairs = materialise(links(firsts, radius).unionByName(equal).distinct(), "candidates")
+    near = joins.near_links(pairs, sets_of(texts, size), similarity)
+    for table in (fps, firsts, pairs):
+        release(table)
+    return near
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """nodes (node, rep, n, bands) -> (a, b): enough links to join every two nodes that chains of near sets join.
+def near_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """texts (node, content) -> (a, b): enough links to join every two nodes that chains of near sets join.
 
-    Only the sets of nodes that agree with another in a band are made; they are joined exactly, by their rarest shingles.
+    First those of the Gray-order index. At a similarity of 0.8 fingerprints differ in about ten bits, more than an index of
+    radius three reaches, so an exact join of the sets adds the links between the classes that these make; none is lost.
     """
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(owner)], ["bucket", "node"])
-
-    dealt = nodes.where("n > 0").select("node", "bands").mapInArrow(deal, "bucket long, node long")
-    shared = materialise(dealt.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket"), "buckets")
-    members = materialise(dealt.join(shared, "bucket", "left_semi").select("node").distinct(), "members")
-    sets = materialise(sets_of(docs, nodes.join(members, "node", "left_semi").select("node", "rep"), size), "sets")
-    links = joins.similar_links(sets.withColumnRenamed("shingles", "tokens"), similarity)
-    for table in (shared, members, sets):
-        release(table)
-    return links
+    known = index_links(texts, size, similarity)
+    return joins.joined_sets(joins.shingle_sets(texts, size), similarity, sets_of(texts, size), known)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -368,12 +319,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIM
     id_ = F.col("doc_id").cast("long")
     rid, nth = unused(docs.columns, "rid", "nth")
     rows = docs.withColumn(rid, F.coalesce(id_, F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1))))
-    texts = rows.select(F.col(rid).alias("rid"), "text")
-    found = materialise(signatures(texts, size), "signatures")
-    nodes = materialise(found.groupBy("node").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.min("bands").alias("bands")), "nodes")
-    joined = components(similar_links(nodes, texts, size, similarity)).select("node", F.col("component").alias("joined"))
-    classes = nodes.select("node", "rep").join(joined, "node", "left")
-    kept = classes.groupBy(F.coalesce("joined", "node")).agg(F.min("rep").alias(rid)).select(rid)
+    own = joins.contents(rows, rid, "text").select("id", "content", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("node"))
+    own = materialise(own, "contents")
+    nodes = materialise(own.groupBy("node").agg(F.min("id").alias("rep")), "nodes")
+    joined = components(near_links(own.where("content is not null").select("node", "content"), size, similarity))
+    classes = nodes.join(joined, "node", "left")
+    kept = classes.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(rid)).select(rid)
     once = Window.partitionBy(rid).orderBy(F.xxhash64("text"))
     stay = rows.join(kept, rid, "left_semi").withColumn(nth, F.row_number().over(once))
     return stay.where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -171,18 +171,17 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def described(sets: DataFrame) -> DataFrame:
-    """(node, n, tokens, map0..): the sets with their sizes and bitmaps."""
+    """(node, map0..): the bitmaps of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, owner = _flat(batch.column(1))
             maps, bits = np.zeros(batch.num_rows * MAP, np.uint64), token.view(np.uint64)
             np.bitwise_or.at(maps, owner * MAP + (bits % np.uint64(MAP)).astype(np.int64), np.uint64(1) << (bits // np.uint64(MAP) % np.uint64(64)))
-            n = np.bincount(owner, minlength=batch.num_rows).astype(np.int32)
-            columns = [batch.column(0), pa.array(n), batch.column(1), *map(pa.array, np.ascontiguousarray(maps.view(np.int64).reshape(-1, MAP).T))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "tokens", *(f"map{k}" for k in range(MAP))])
+            columns = [batch.column(0), *map(pa.array, np.ascontiguousarray(maps.view(np.int64).reshape(-1, MAP).T))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", *(f"map{k}" for k in range(MAP))])
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, n int, tokens array<long>, " + ", ".join(f"map{k} long" for k in range(MAP)))
+    return sets.select("node", "tokens").mapInArrow(run, "node long, " + ", ".join(f"map{k} long" for k in range(MAP)))
 
 
 def _may_be_near(x: str, y: str, similarity: float) -> Column:
@@ -196,17 +195,25 @@ def _may_be_near(x: str, y: str, similarity: float) -> Column:
     return (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * similarity - 1e-9) & enough(overlap)
 
 
-def _near(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written; sets as described() has them."""
+def _near(candidates: DataFrame, some: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written; only the sets of candidates are made."""
     x, y = F.col("x.node"), F.col("y.node")
     pairs = materialise(candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
-    side = lambda node, tokens, n: sets.select(F.col("node").alias(node), F.col("tokens").alias(tokens), F.col("n").alias(n))
+    sets = materialise(some(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    side = lambda node, tokens, n: sets.select(F.col("node").alias(node), F.col("tokens").alias(tokens), F.size("tokens").alias(n))
     both = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     links = materialise(both.where(F.col("common") >= similarity * (F.col("nx") + F.col("ny") - F.col("common")) - 1e-9).select("a", "b"), "links")
     release(pairs)
+    release(sets)
     return links
 
 
+def near_links(pairs: DataFrame, some: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets are near, each once with the smaller node first; some: nodes (node) -> their sets, each once."""
+    side = lambda c: F.struct(F.col(c).alias("node"))
+    return _near(pairs.select(side("a").alias("x"), side("b").alias("y")), some, similarity)
+
+
 def _within_blocks(rows: DataFrame, similarity: float, block_sets: int) -> DataFrame:
     """Candidates x, y of different classes at the same token; a token's sets are dealt to blocks, and each pair of blocks is a key."""
     count = rows.groupBy("token").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
@@ -225,28 +232,29 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, block_sets: i
     sets (node: long, tokens: array of distinct longs); rows of one node have the same tokens. Near are sets of a Jaccard
     similarity of at least `similarity`, exactly. Empty and null sets are near none.
     """
-    return joined_sets(sets, similarity, block_sets=block_sets)[0]
+    return joined_sets(sets, similarity, block_sets=block_sets)
 
 
-def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None, block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame]:
-    """similar_links() and the sets that may be near others, as described() has them.
+def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """similar_links().
 
-    some: nodes (node) -> their sets, where that is cheaper than taking them from all. known: links (a, b) that are known
-    already; they come back too, and nobody is compared within their classes.
+    some: nodes (node) -> their sets, each once, where that is cheaper than taking them from all. known: links (a, b) that are
+    known already; they come back too, and nobody is compared within their classes.
     """
     sets = sets.where(F.size("tokens") > 0)
+    some = some or (lambda nodes: sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
     rows = materialise(met(prefixes(sets, similarity)), "lookups")
-    members = rows.select("node").distinct()
-    sets = some(members) if some else sets.join(members, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(described(sets), "sets")
     maps = [f"map{k}" for k in range(MAP)]
-    first = rows.join(sets.select("node", *maps), "node")
+    # bitmaps only, and of all sets: they are small, and nothing is dealt to make them
+    told = materialise(described(sets), "maps")
+    first = rows.join(told.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
     if known is None:
         first = first.withColumn("component", F.col("node"))
     else:
         first = first.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lookups, rows = rows, materialise(first, "prefixes")
     release(lookups)
+    release(told)
     found, k, last = known, 0, False
     while True:
         # who comes first in the order has the fewest tokens that few others have; later rounds try others
@@ -255,13 +263,13 @@ def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame],
             lead = rows.groupBy("token").agg(F.min(order).alias("lead")).select("token", "lead.*")
             same = [F.col("x.token") == F.col("y.token"), F.col("x.component") != F.col("y.component"), _may_be_near("x", "y", similarity)]
             leads = materialise(lead.drop("first", "h"), "leads")
-            links = _near(rows.alias("x").join(leads.alias("y"), same), sets, similarity)
+            links = _near(rows.alias("x").join(leads.alias("y"), same), some, similarity)
             release(leads)
         else:
-            links = _near(_within_blocks(rows, similarity, block_sets), sets, similarity)
+            links = _near(_within_blocks(rows, similarity, block_sets), some, similarity)
         found = links if found is None else found.unionByName(links)
         if last:
-            return found, sets
+            return found
         joined = components(found)
         now = rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         now = materialise(now, "labelled")
@@ -276,7 +284,7 @@ def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame],
         release(mixed)
         rows = rest
         if not count:
-            return found, sets
+            return found
         k += 1
         last = k == ROUNDS or cross <= PAIRS_A_ROW * count
 
@@ -295,13 +303,14 @@ def duplicate_decisions(rows: DataFrame, id_: str, text: str, similarity: float
     own = materialise(own, "contents")
     texts = own.where("content is not null").select("node", "content")
     some = lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), size)
-    links, sets = joined_sets(shingle_sets(texts, size), similarity, some)
+    links = joined_sets(shingle_sets(texts, size), similarity, some)
     joined = components(links).select("node", "component")
     firsts = own.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"))
     classes = materialise(firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", "first_id").alias("rep"), F.count("*").alias("texts")).where("texts > 1")
     members = materialise(classes.join(least, "component").select("node", "class_id", "rep"), "members")
     # one comparison a text of a class, with the class's first
+    sets = materialise(some(members.select("node")), "sets")
     compared = members.where("node != rep").join(sets.select("node", "tokens"), "node").join(sets.select(F.col("node").alias("rep"), F.col("tokens").alias("others")), "rep")
     compared = compared.withColumn("common", F.size(F.array_intersect("tokens", "others"))).withColumn("all", F.size("tokens") + F.size("others") - F.col("common"))
     score = F.floor((20_000 * F.col("common") + F.col("all")) / (2 * F.col("all"))) / 10_000  # four digits, halves up

@@ -165,3 +165,29 @@ def test_one_large_group_of_variants_and_a_chain(spark):
     docs += [(500 + i, " ".join(slide[10 * i : 10 * i + 150])) for i in range(20)]
     kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert kept == [0, 500]
+
+
+def test_near_duplicates_come_from_the_index_and_sets_decide(spark, monkeypatch):
+    """The Gray-order index's links reach the exact join as known ones; equal fingerprints of unlike sets make no link."""
+    rng = np.random.default_rng(23)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    docs = []
+    for _ in range(12):
+        base = list(rng.choice(vocabulary, 2000))
+        docs += [" ".join(base), " ".join([*base, "tail"])]
+    cycle = "a b c d e " * 300
+    docs += [cycle + " ".join(rng.choice(vocabulary, 30)) for _ in range(2)]
+    assert len({brute_fingerprint(t, 5) for t in docs[-2:]}) == 1 and jaccard(docs[-2].split(), docs[-1].split()) < 0.8
+    seen, join = [], simhash.joins.joined_sets
+
+    def watched(sets, similarity, some, known):
+        seen.append({(r.a, r.b) for r in known.collect()})
+        return join(sets, similarity, some, known)
+
+    monkeypatch.setattr(simhash.joins, "joined_sets", watched)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert kept == {*range(0, 24, 2), 24, 25}
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    node = {r.doc_id: r.node for r in frame.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    near = [k for k in range(0, 24, 2) if (brute_fingerprint(docs[k], 5) ^ brute_fingerprint(docs[k + 1], 5)).bit_count() <= 3]
+    assert len(near) > 6 and seen == [{tuple(sorted((node[k], node[k + 1]))) for k in near}]
