@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sievework.llm import repeats
+from sievework.llm import repeats, substrings
 from sievework.llm.substrings import substring_dedup
 from sievework.llm.suffixes import suffix_dedup
 
@@ -124,3 +124,18 @@ def test_columns_called_like_the_operators_own_are_ignored(spark, operator):
     more = "doc_id long, text string, block int, n_removed int, KEPT string, segment int, key binary, t string"
     out = operator(spark.createDataFrame([(i, t, 1, 2, "x", 3, b"y", "z") for i, t in rows], more))
     assert sorted(map(str, out.collect())) == sorted(map(str, operator(frame(spark, rows)).collect()))
+
+
+def test_texts_are_not_dealt(spark):
+    """Joins on the number of a block leave the stored texts where they are, and no table stays behind."""
+    frame = spark.range(40).selectExpr("id AS block", "cast(id AS string) AS t")
+    told = spark.createDataFrame([(i, 2 * i) for i in range(0, 40, 3)], "block long, n long").repartition(3)
+    stored = repeats.in_buckets(frame, "block", 4, "blocks")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks")]
+    with repeats.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        out = stored.join(told, "block", "left")
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {r.block: (r.t, r.n) for r in out.collect()} == {i: (str(i), None if i % 3 else 2 * i) for i in range(40)}
+    docs = spark.createDataFrame([(i, "some words here " * 20) for i in range(5)], "doc_id long, text string")
+    plan = repeats.repeated(docs, substrings.window_kind(35), earlier=False)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
