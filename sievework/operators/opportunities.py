@@ -96,12 +96,18 @@ def derived(evidence: DataFrame) -> DataFrame:
     return evidence.where("origin = 'DERIVED'")
 
 
-def contract_violations(evidence: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """(stage_id, rule, reference_id): references that a stage gives twice, and those its contradictions cite but it doesn't give."""
-    twice = evidence.groupBy("stage_id", "reference_id").count().where("count > 1").select("stage_id", F.lit("duplicate_reference").alias("rule"), "reference_id")
-    cited = contradictions.select("stage_id", F.explode(F.concat("refs_a", "refs_b")).alias("reference_id")).distinct()
-    unknown = cited.join(evidence.select("stage_id", "reference_id").distinct(), ["stage_id", "reference_id"], "left_anti")
-    return twice.unionByName(unknown.select("stage_id", F.lit("unknown_reference").alias("rule"), "reference_id"))
+def contract_violations(evidence: DataFrame, contradictions: DataFrame, parts: int | None = None) -> DataFrame:
+    """(stage_id, rule, reference_id): references that a stage gives twice, and those its contradictions cite but it doesn't give.
+
+    Both are told by one grouping of all references, in `parts` partitions if given, so that a task's memory can be bounded.
+    """
+    cited = contradictions.select("stage_id", F.explode(F.concat("refs_a", "refs_b")).alias("reference_id"), F.lit(0).alias("given"))
+    rows = evidence.select("stage_id", "reference_id", F.lit(1).alias("given")).unionByName(cited)
+    rows = rows.repartition(parts, "stage_id", "reference_id") if parts else rows
+    told = rows.groupBy("stage_id", "reference_id").agg(F.sum("given").alias("given"), F.min("given").alias("least"))
+    unnamed = F.col("stage_id").isNull() | F.col("reference_id").isNull()  # equal to nothing that is given
+    rules = F.when(F.col("given") > 1, "duplicate_reference"), F.when((F.col("least") == 0) & ((F.col("given") == 0) | unnamed), "unknown_reference")
+    return told.select("stage_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"), "reference_id")
 
 
 def completed(stages: DataFrame, drafts: DataFrame, sources: DataFrame, contradictions: DataFrame) -> DataFrame:

@@ -105,9 +105,18 @@ WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_linestatus, ',
 SELECT o_orderkey AS evaluation_id, stages, evidence, CASE WHEN o_orderstatus = 'F' THEN 'REVIEW' END AS recommendation FROM orders LEFT JOIN l ON l_orderkey = o_orderkey"""
 
 
+#: Lines that a task groups at a time, about; more lines make more tasks.
+LINES = 1 << 18
+
+
+def _parts(spark, folder):
+    return table(spark, folder, "lineitem").count() // LINES + 1
+
+
 def _outputs(spark, folder):
     """Stage outputs: a line is a piece of evidence, its part the source; a line with many pieces contradicts the next."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("stage_id"), "l_linenumber", "l_partkey", "l_quantity")
+    lines = lines.repartition(_parts(spark, folder), "stage_id")
     drafts = lines.select("stage_id", F.concat(F.lit("ref-"), "l_linenumber").alias("reference_id"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey")).alias("source_id")).distinct()
     ref = lambda n: F.array(F.concat(F.lit("ref-"), F.col("l_linenumber") + n))
     against = lines.where("l_quantity > 40").select("stage_id", F.col("l_linenumber").alias("position"), ref(0).alias("refs_a"), ref(1).alias("refs_b")).distinct()
@@ -138,7 +147,7 @@ SELECT id AS stage_id, CASE WHEN violation IS NULL THEN 'COMPLETED' ELSE status
 
 def output_contract(spark, folder):
     drafts, against = _outputs(spark, folder)
-    return op.contract_violations(drafts.select("stage_id", "reference_id").unionByName(drafts.where("source_id % 9 = 0").select("stage_id", "reference_id")), against)
+    return op.contract_violations(drafts.select("stage_id", "reference_id").unionByName(drafts.where("source_id % 9 = 0").select("stage_id", "reference_id")), against, _parts(spark, folder))
 
 
 OUTPUT_CONTRACT = """
