@@ -278,7 +278,7 @@ SIMILARITY = 0.8
 
 def sets_of(texts: DataFrame, size: int) -> Callable[[DataFrame], DataFrame]:
     """texts (node, content) -> what makes the shingle sets of some nodes (node), each once."""
-    return lambda nodes: joins.shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), size)
+    return lambda nodes: joins.shingle_sets(joins.wanted(texts, nodes), size)
 
 
 def index_links(texts: DataFrame, size: int, similarity: float, radius: int = RADIUS) -> DataFrame:
@@ -305,7 +305,7 @@ def near_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     radius three reaches, so an exact join of the sets adds the links between the classes that these make; none is lost.
     """
     known = index_links(texts, size, similarity)
-    return joins.joined_sets(joins.shingle_sets(texts, size), similarity, sets_of(texts, size), known)
+    return joins.joined_sets(joins.shingles(texts, size), similarity, sets_of(texts, size), known)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -322,9 +322,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIM
     own = joins.contents(rows, rid, "text").select("id", "content", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("node"))
     own = materialise(own, "contents")
     nodes = materialise(own.groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    joined = components(near_links(own.where("content is not null").select("node", "content"), size, similarity))
+    links_ = near_links(own.where("content is not null").select("node", "content"), size, similarity)
+    joined = components(links_)
     classes = nodes.join(joined, "node", "left")
-    kept = classes.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(rid)).select(rid)
+    kept = materialise(classes.groupBy(F.coalesce("component", "node")).agg(F.min("rep").alias(rid)).select(rid), "kept")
+    for table in (own, nodes, links_, joined):
+        release(table)
     once = Window.partitionBy(rid).orderBy(F.xxhash64("text"))
     stay = rows.join(kept, rid, "left_semi").withColumn(nth, F.row_number().over(once))
     return stay.where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,8 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import unused
-from sievework.llm.repeats import Kind, covered, keys, marks, repeated, span_arrays
+from sievework.llm.repeats import Kind, covered, repeated, rewritten, span_arrays
 
 WINDOW = 35
 #: A word and the white space after it.
@@ -34,27 +33,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     No row goes: a text of which nothing is left comes back empty, a null one null. Rows that are repeated repeat each other's
     windows, so that all of them lose those. Columns of any name are kept; an empty table gives no rows.
     """
-    place = docs.columns.index("text")
-    at, name, spans = unused(docs.columns, "d", "k", "spans")
-    found = marks(docs, window_kind(window), earlier=False).withColumnsRenamed({"d": at, "k": name, "spans": spans})
-    d, k = keys()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(place), span_arrays(batch.column(batch.num_columns - 1))):
-                text = text.as_py()
-                if spans is not None:
-                    raw = text.encode()
-                    text = cut(raw, covered(spans, len(raw.split()), window)).decode()
-                texts.append(text)
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs_names)
-
-    docs_names = docs.columns
-    joined = docs.withColumns({at: d, name: k}).join(found, [at, name], "left").select(*(F.col(f"`{c}`") for c in docs.columns), spans)
-    out = joined.mapInArrow(run, docs.schema)
+    out = rewritten(docs, window_kind(window), False, lambda text, spans: cut(text, covered(spans, len(text.split()), window)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

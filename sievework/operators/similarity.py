@@ -4,7 +4,9 @@ Sets that are near enough share most of their tokens, so each set need only be l
 tokens in one order for all sets, as many as it can lack and one more. Only prefixes are shuffled, a fifth of all tokens at
 0.8. Any order gives the same pairs; the one taken puts tokens that many sets share last. A pair that meets at a token is a
 candidate if the sizes, the token's places in both sets and bitmaps of the sets leave room for the overlap that is
-needed; the overlap itself decides. Who is near whom is asked only as far as the classes need it: the sets of a token are
+needed, and the numbers of tokens in each of some bins do; the overlap itself decides. A set whose token meets only sets that sizes
+and places rule out isn't looked up by it, so that chance meetings, which grow with the square of the rows, end where they
+are found. Who is near whom is asked only as far as the classes need it: the sets of a token are
 first compared with one of them, the one with the fewest tokens before it, and then only those still in different classes with
 each other, block by block. So a token that very many sets share costs a pair a set as long as they are near, and no task
 holds all sets of a token.
@@ -13,6 +15,7 @@ holds all sets of a token.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,10 @@ from sievework.sources.shared import materialise, release
 SHINGLE, SIMILARITY = 5, 0.8
 #: Longs in a set's bitmap; sets of a token in one block; rounds with a leader, and the pairs a row that make another worth it.
 MAP, BLOCK_SETS, ROUNDS, PAIRS_A_ROW = 8, 512, 3, 200
+#: Sets of a token up to which all pairs of them are tried where they meet; the fewest and the most bins of a set, as powers of two.
+MEETING, BINS = 48, (3, 12)
+#: Bits of the map that tells which texts may be wanted, a power of two.
+WANTED = 1 << 24
 #: Tokens that are counted at a time, how often one must come among them to be told of, and how many the order knows of.
 COUNTED, OFTEN, COMMON = 1 << 21, 4, 1 << 18
 
@@ -43,11 +50,53 @@ def contents(rows: DataFrame, id_: str, text: str) -> DataFrame:
     return own.mapInArrow(run, f"id {kind}, content binary").select("id", F.col("content").cast("string").alias("content"))
 
 
+@dataclass(frozen=True)
+class Made:
+    """Sets that a task makes of its rows as it needs them: they don't pass through Spark, nor take a second Python worker."""
+
+    rows: DataFrame
+    make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _mapped(sets: DataFrame | Made, run: Callable, schema: str) -> DataFrame:
+    """What run makes of batches (node, tokens)."""
+    if isinstance(sets, DataFrame):
+        return sets.select("node", "tokens").mapInArrow(run, schema)
+    make = sets.make
+    return sets.rows.mapInArrow(lambda batches: run(make(batches)), schema)
+
+
+def wanted(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of texts (node, content) whose node is one of nodes (node), each node once.
+
+    A bitmap of one size for any input leaves out most of the others where they lie, so that few texts are dealt; a join decides.
+    """
+    bit = nodes.select(F.pmod("node", F.lit(WANTED)).alias("bit"))
+    parts = bit.groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()  # WANTED bits at most
+    bits = np.zeros(WANTED // 8, np.uint8)
+    for part, own in parts:
+        bits[part * 4096 : (part + 1) * 4096] = np.frombuffer(own, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (WANTED - 1)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    some = texts.select("node", "content").mapInArrow(run, "node long, content string")
+    return some.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """texts (node, content as contents() has it) -> (node, tokens): the set of 64-bit hashes of all runs of `size` words.
 
     Of the whole text if it has fewer words; none if it is null.
     """
+    return _mapped(shingles(texts, size), lambda batches: batches, "node long, tokens array<long>")
+
+
+def shingles(texts: DataFrame, size: int = SHINGLE) -> Made:
+    """shingle_sets(), made as they are needed."""
 
     memo: dict[bytes, int] = {}
     factors = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(size)], np.uint64)
@@ -76,7 +125,7 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "tokens"])
 
-    return texts.select("node", F.col("content").cast("binary").alias("t")).mapInArrow(run, "node long, tokens array<long>")
+    return Made(texts.select("node", F.col("content").cast("binary").alias("t")), run)
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +134,7 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[ends[0] : ends[-1]], np.repeat(np.arange(len(lists)), np.diff(ends))
 
 
-def common_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_tokens(sets: DataFrame | Made) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many sets share, sorted, and how often each was told of; COMMON of them at most.
 
     They only make an order: which tokens are missing, or how exact the counts are, changes how many candidates there are, never
@@ -101,7 +150,7 @@ def common_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(token[many]), pa.array(count[many])], ["token", "sets"])
 
         for batch in batches:
-            held.append(_flat(batch.column(0))[0])
+            held.append(_flat(batch.column(1))[0])
             size += len(held[-1])
             if size >= COUNTED:
                 yield told()
@@ -109,12 +158,12 @@ def common_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield told()
 
-    counts = sets.select("tokens").mapInArrow(run, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
+    counts = _mapped(sets, run, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
     rows = counts.orderBy(F.desc("sets"), "token").limit(COMMON).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(np.int64)
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+def prefixes(sets: DataFrame | Made, similarity: float) -> DataFrame:
     """(token, node, n, pos) of the tokens by which a set is looked up: pos is the token's place, n the size of the set."""
     common, often = common_tokens(sets)
 
@@ -133,55 +182,111 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             columns = pa.array(token[keep]), batch.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32))
             yield pa.RecordBatch.from_arrays(list(columns), ["token", "node", "n", "pos"])
 
-    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, n int, pos int")
+    return _mapped(sets, run, "token long, node long, n int, pos int")
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """prefixes() rows without those of tokens that only one node has, each token of a node once.
+def met(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """prefixes() rows without those that meet no other node's set at their token to which it may be near, each token of a node once.
 
-    A task goes through its rows in the order of their tokens and holds one batch and a row; so rows are dealt only once.
+    A task goes through its rows in the order of their tokens, so that rows are dealt only once. It tries all pairs of a token
+    with up to MEETING nodes by sizes and places; the rows of a token with more all stay, and are passed on as they come.
     """
     names = ["token", "node", "n", "pos"]
 
+    def may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """_may_be_near(), without bitmaps."""
+        room = np.minimum(n[i] - pos[i], n[j] - pos[j]) * (1 + similarity) >= (n[i] + n[j]) * similarity - 1e-9
+        return room & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9)
+
+    def kept(c: list[np.ndarray], large: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        token, _, n, pos = c
+        keep, at, k = large.copy(), np.flatnonzero(~large), 1
+        while len(at := at[sizes[at] > k]):
+            i = at[at + k < len(token)]
+            i = i[token[i + k] == token[i]]
+            i = i[may(n, pos, i, i + k)]
+            keep[i] = keep[i + k] = True
+            k += 1
+        return keep
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shared = None, False  # the row before this batch, and whether another node's row of its token came before it
+        held, hot = None, None  # rows of the last token, which may go on; or if they are many, and went out: the last row, and the token
+
+        def out(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(c[0]):
+                begin = np.flatnonzero(np.append(True, c[0][1:] != c[0][:-1]))
+                size = np.diff(np.append(begin, len(c[0])))
+                sizes = np.repeat(size, size)
+                large = sizes > MEETING
+                if hot is not None:
+                    large |= c[0] == hot
+                if (keep := kept(c, large, sizes)).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = [batch.column(k).to_numpy() for k in range(4)]
-            if last is not None:
-                c = [np.append(x, y) for x, y in zip(last, c)]
-            token, node = c[0], c[1]
-            same = token[1:] == token[:-1]
-            differ = ~(same & (node[1:] == node[:-1]))
-            fresh = np.append(True, differ)
+            if held is not None:
+                c = [np.append(x, y) for x, y in zip(held, c)]
+            fresh = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))
+            if hot is not None:
+                fresh[0] = False
             c = [x[fresh] for x in c]
-            same = c[0][1:] == c[0][:-1]
-            keep = np.append(False, same)
-            keep[:-1] |= same
-            if last is not None and shared:
-                keep[0] = False  # it went out with the batch before
-            shared = bool(len(same) and same[-1]) or (len(c[0]) == 1 and shared)
-            last = [x[-1:] for x in c]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c], names)
+            if not len(c[0]):
+                continue
+            cut = int(np.searchsorted(c[0], c[0][-1]))
+            if len(c[0]) - cut > MEETING or c[0][-1] == hot:
+                yield from out(c)
+                held, hot = [x[-1:] for x in c], c[0][-1]
+            else:
+                yield from out([x[:cut] for x in c])
+                held, hot = [x[cut:] for x in c], None
+        if held is not None and hot is None:
+            yield from out(held)
 
     return rows.select(names).repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def described(sets: DataFrame) -> DataFrame:
-    """(node, map0..): the bitmaps of the sets."""
+def described(sets: DataFrame | Made) -> DataFrame:
+    """(node, map0.., tokens, bins): the bitmaps of the sets, their sizes, and how many tokens lie in each bin, 255 at most.
+
+    The bins of a set, a byte each, grow in number with its size; those of half as many come by adding up both halves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, owner = _flat(batch.column(1))
             maps, bits = np.zeros(batch.num_rows * MAP, np.uint64), token.view(np.uint64)
             np.bitwise_or.at(maps, owner * MAP + (bits % np.uint64(MAP)).astype(np.int64), np.uint64(1) << (bits // np.uint64(MAP) % np.uint64(64)))
-            columns = [batch.column(0), *map(pa.array, np.ascontiguousarray(maps.view(np.int64).reshape(-1, MAP).T))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", *(f"map{k}" for k in range(MAP))])
+            n = np.bincount(owner, minlength=batch.num_rows)
+            bins = 1 << np.clip(np.log2(np.maximum(n, 1) / 4).astype(np.int64), *BINS)
+            ends = np.cumsum(np.append(0, bins))
+            place = (bits * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & (bins - 1)[owner]
+            counts = np.minimum(np.bincount(ends[owner] + place, minlength=ends[-1]), 255).astype(np.uint8)
+            binary = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(counts)])
+            columns = [batch.column(0), *map(pa.array, np.ascontiguousarray(maps.view(np.int64).reshape(-1, MAP).T)), pa.array(n.astype(np.int32)), binary]
+            yield pa.RecordBatch.from_arrays(columns, ["node", *(f"map{k}" for k in range(MAP)), "tokens", "bins"])
+
+    return _mapped(sets, run, "node long, " + ", ".join(f"map{k} long" for k in range(MAP)) + ", tokens int, bins binary")
 
-    return sets.select("node", "tokens").mapInArrow(run, "node long, " + ", ".join(f"map{k} long" for k in range(MAP)))
+
+def room_in_bins(pairs: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets' bins leave room for enough overlap: what the counts of two bins differ by is tokens that one lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint8).astype(np.int32) for c in (x, y))
+                least = min(len(x), len(y))
+                differ = int(np.abs(x.reshape(-1, least).sum(0) - y.reshape(-1, least).sum(0)).sum())
+                keep.append((n + m - differ) / 2 * (1 + similarity) >= (n + m) * similarity - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda node, n, bins: told.select(F.col("node").alias(node), F.col("tokens").alias(n), F.col("bins").alias(bins))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _may_be_near(x: str, y: str, similarity: float) -> Column:
@@ -195,10 +300,16 @@ def _may_be_near(x: str, y: str, similarity: float) -> Column:
     return (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * similarity - 1e-9) & enough(overlap)
 
 
-def _near(candidates: DataFrame, some: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written; only the sets of candidates are made."""
+def _near(candidates: DataFrame, some: Callable[[DataFrame], DataFrame], similarity: float, told: DataFrame | None = None) -> DataFrame:
+    """(a, b): the candidates (x.node, y.node) whose sets are near, each once, written.
+
+    Only the sets of candidates are made; with told, which has each node's bins, only of those whose bins leave room.
+    """
     x, y = F.col("x.node"), F.col("y.node")
     pairs = materialise(candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "pairs")
+    if told is not None:
+        every, pairs = pairs, materialise(room_in_bins(pairs, told, similarity), "roomy")
+        release(every)
     sets = materialise(some(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     side = lambda node, tokens, n: sets.select(F.col("node").alias(node), F.col("tokens").alias(tokens), F.size("tokens").alias(n))
     both = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -235,26 +346,28 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, block_sets: i
     return joined_sets(sets, similarity, block_sets=block_sets)
 
 
-def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None, block_sets: int = BLOCK_SETS) -> DataFrame:
+def joined_sets(sets: DataFrame | Made, similarity: float, some: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None, block_sets: int = BLOCK_SETS) -> DataFrame:
     """similar_links().
 
-    some: nodes (node) -> their sets, each once, where that is cheaper than taking them from all. known: links (a, b) that are
+    some: nodes (node) -> their sets, each once, where that is cheaper than taking them from all, or these are made. known: links (a, b) that are
     known already; they come back too, and nobody is compared within their classes.
     """
-    sets = sets.where(F.size("tokens") > 0)
-    some = some or (lambda nodes: sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    rows = materialise(met(prefixes(sets, similarity)), "lookups")
+    if isinstance(sets, DataFrame):
+        sets = sets.where(F.size("tokens") > 0)
+        some = some or (lambda nodes: sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    rows = materialise(met(prefixes(sets, similarity), similarity), "lookups")
     maps = [f"map{k}" for k in range(MAP)]
-    # bitmaps only, and of all sets: they are small, and nothing is dealt to make them
-    told = materialise(described(sets), "maps")
-    first = rows.join(told.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
+    # bitmaps and bins only, and of all sets: they are small, and nothing is dealt to make them
+    every = materialise(described(sets), "maps")
+    told = materialise(every.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "described")
+    release(every)
+    first = rows.join(told.select("node", *maps), "node")
     if known is None:
         first = first.withColumn("component", F.col("node"))
     else:
         first = first.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lookups, rows = rows, materialise(first, "prefixes")
     release(lookups)
-    release(told)
     found, k, last = known, 0, False
     while True:
         # who comes first in the order has the fewest tokens that few others have; later rounds try others
@@ -263,12 +376,14 @@ def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame],
             lead = rows.groupBy("token").agg(F.min(order).alias("lead")).select("token", "lead.*")
             same = [F.col("x.token") == F.col("y.token"), F.col("x.component") != F.col("y.component"), _may_be_near("x", "y", similarity)]
             leads = materialise(lead.drop("first", "h"), "leads")
-            links = _near(rows.alias("x").join(leads.alias("y"), same), some, similarity)
+            links = _near(rows.alias("x").join(leads.alias("y"), same), some, similarity, told)
             release(leads)
         else:
-            links = _near(_within_blocks(rows, similarity, block_sets), some, similarity)
+            links = _near(_within_blocks(rows, similarity, block_sets), some, similarity, told)
         found = links if found is None else found.unionByName(links)
         if last:
+            release(rows)
+            release(told)
             return found
         joined = components(found)
         now = rows.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -284,6 +399,8 @@ def joined_sets(sets: DataFrame, similarity: float, some: Callable[[DataFrame],
         release(mixed)
         rows = rest
         if not count:
+            release(rows)
+            release(told)
             return found
         k += 1
         last = k == ROUNDS or cross <= PAIRS_A_ROW * count
@@ -302,8 +419,8 @@ def duplicate_decisions(rows: DataFrame, id_: str, text: str, similarity: float
     own = contents(rows, id_, text).select("id", "content", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("node"))
     own = materialise(own, "contents")
     texts = own.where("content is not null").select("node", "content")
-    some = lambda nodes: shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), size)
-    links = joined_sets(shingle_sets(texts, size), similarity, some)
+    some = lambda nodes: shingle_sets(wanted(texts, nodes), size)
+    links = joined_sets(shingles(texts, size), similarity, some)
     joined = components(links).select("node", "component")
     firsts = own.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"))
     classes = materialise(firsts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")

@@ -139,3 +139,15 @@ def test_texts_are_not_dealt(spark):
     docs = spark.createDataFrame([(i, "some words here " * 20) for i in range(5)], "doc_id long, text string")
     plan = repeats.repeated(docs, substrings.window_kind(35), earlier=False)._jdf.queryExecution().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_rewritten_texts_come_from_their_blocks(spark):
+    """What comes back with its repeats cut was read from blocks, with all columns; a long text comes back too, a null one null."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(1, f"a {passage} b", "x", [1]), (2, f"c {passage}", None, None), (3, None, "y", [2, 3]), (None, "", "z", []), (2, f"c {passage}", "w", [4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string, rest array<int>")
+    with repeats.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        out = substrings.drop_repeated_words(docs)
+        plan = out._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Exchange" not in plan and out.columns == docs.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(1, "a b", "x", [1]), (2, "", None, None), (3, None, "y", [2, 3]), (None, "", "z", []), (2, "", "w", [4])], docs.schema).collect()))

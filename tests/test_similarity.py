@@ -152,3 +152,48 @@ def test_shingles(spark):
     texts = contents(spark.createDataFrame(rows, "i long, t string"), "i", "t")
     assert {r.id: r.content for r in texts.collect()} == {1: "a b c d e f a b c d e", 2: "a b", 3: None, 4: ("x " * 3000).strip(), 5: None, 6: "\u00a0 \x1c"}
     assert {r.node: len(r.tokens) for r in shingle_sets(texts.withColumnRenamed("id", "node")).collect()} == {1: 6, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}
+
+
+def test_meetings_that_sizes_and_places_rule_out_are_no_lookups(spark):
+    """Rows of a token: sets of 100 and 70 tokens, and two of 100 that meet too late; a pair that may be near stays, a hot token too."""
+    rows = [(1, 1, 100, 0), (1, 2, 70, 0), (2, 3, 100, 15), (2, 4, 100, 0), (3, 5, 100, 3), (3, 6, 90, 0), (3, 7, 60, 0), (-4, 8, 100, 0)]
+    rows += [(5, k, 4**k, 0) for k in range(9)] + [(6, k, 100 + k, 0) for k in range(3 * similarity.MEETING)]
+    for size in (1, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = sorted((r.token, r.node) for r in similarity.met(spark.createDataFrame(rows, "token long, node long, n int, pos int")).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert out == [(3, 5), (3, 6)] + [(6, k) for k in range(3 * similarity.MEETING)]
+
+
+def test_only_sets_whose_bins_leave_room_are_made(spark):
+    """Long sets that share one early token are candidates, but their sets aren't asked for; near ones are."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(62) for _ in range(3000)]
+    sets = {0: base, 1: base[:2900] + [rng.getrandbits(62) for _ in range(90)]}
+    for node in range(2, 8):
+        sets[node] = [7, *(rng.getrandbits(62) for _ in range(2500 + node))]
+    frame, asked = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, tokens array<long>"), set()
+
+    def some(nodes):
+        asked.update(r.node for r in nodes.collect())
+        return frame.join(nodes, "node", "left_semi")
+
+    links = similarity.joined_sets(frame, 0.8, some)
+    assert {(r.a, r.b) for r in links.collect()} == {(0, 1)} and asked == {0, 1}
+
+
+def test_only_wanted_texts_are_dealt(spark, monkeypatch):
+    """Of 5,000 texts the join that decides gets those that are wanted, and few more."""
+    texts = spark.range(-2500, 2500).select(F.xxhash64("id").alias("node"), F.concat(F.lit("t"), "id").alias("content"))
+    nodes = spark.range(-5, 5).select(F.xxhash64("id").alias("node"))
+    seen, join = [], type(texts).join
+
+    def counted(self, other, *more):
+        seen.append(self.count())
+        return join(self, other, *more)
+
+    monkeypatch.setattr(type(texts), "join", counted)
+    found = similarity.wanted(texts.unionByName(texts), nodes)
+    assert sorted(r.content for r in found.collect()) == sorted(f"t{k}" for k in range(-5, 5)) and 20 <= seen[0] < 40
