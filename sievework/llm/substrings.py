@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,27 +45,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other. Other columns of docs, whatever their names, are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, gone, texts, shas = [], [], [], []
-            for text, spans in zip(batch.column(1), span_arrays(batch.column(2))):
-                text = text.as_py() or b""
-                words = text.split()
-                out = covered(spans, len(words), window)
-                if out.any():
-                    keep = (~out).tolist()
-                    kept = [w for w, k in zip(words, keep) if k]
-                    text = cut(text, out)
-                else:
-                    kept = words
-                counts.append(len(words))
-                gone.append(int(out.sum()))
-                texts.append(text.decode())
-                shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())],
-                ["doc_id", "n_words", "n_removed", "text", "kept_sha256"],
-            )
-
-    out = repeated(docs, window_kind(window), earlier=False).select("id", "t", "spans")
-    return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, gone, texts, shas = [], [], [], []
+        for text, spans in zip(batch.column(1), span_arrays(batch.column(2))):
+            text = text.as_py() or b""
+            words = text.split()
+            out = covered(spans, len(words), window)
+            if out.any():
+                keep = (~out).tolist()
+                kept = [w for w, k in zip(words, keep) if k]
+                text = cut(text, out)
+            else:
+                kept = words
+            counts.append(len(words))
+            gone.append(int(out.sum()))
+            texts.append(text.decode())
+            shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()), pa.array(shas, pa.string())],
+            ["doc_id", "n_words", "n_removed", "text", "kept_sha256"],
+        )
+
+    return repeated(docs, window_kind(window), False, finish, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

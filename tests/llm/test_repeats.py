@@ -151,3 +151,15 @@ def test_rewritten_texts_come_from_their_blocks(spark):
         plan = out._jdf.queryExecution().toString()
         assert "Join" not in plan and "Exchange" not in plan and out.columns == docs.columns
         assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(1, "a b", "x", [1]), (2, "", None, None), (3, None, "y", [2, 3]), (None, "", "z", []), (2, "", "w", [4])], docs.schema).collect()))
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+@pytest.mark.parametrize("block", [64, 1 << 22])
+def test_texts_are_finished_where_they_are_stored(spark, monkeypatch, operator, block):
+    """No Python runs after the operator's own steps, in which batches are small, whether texts come in pieces or whole."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    text = " ".join(f"w{i}" for i in range(60))
+    out = operator(frame(spark, [(1, text), (2, text + " end"), (3, None), (None, "short")]))
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.doc_id or -1, r.n_removed > 0) for r in out.collect()) == [(-1, False), (1, operator is substring_dedup), (2, True), (3, False)]
