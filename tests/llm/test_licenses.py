@@ -111,3 +111,14 @@ def test_counts_and_examples_are_of_all_windows(spark):
     bare = [r for r in found if r.own]
     assert len(bare) == 100 and {r.label for r in bare} == {0.0} and {r.part for r in bare} == {0, 9}
     assert len(found) == 200 and {r.label for r in found if not r.own} == {1.0, 2.0}
+
+
+def test_windows_without_a_cue_are_classified(spark, monkeypatch):
+    """A notice is named whatever the cues are; a word of a notice that is common in the documents names none."""
+    texts = [f"wir gehen mit nummer {i} in die stadt und mit freunden nach hause" for i in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (9000, "Released under the MIT License."), (9001, "Distributed under GPLv3.")], "doc_id long, text string")
+    model, threshold, families, cues = licenses.train(docs)
+    assert "mit" not in cues
+    for kept in (cues, ["gplv3"]):
+        monkeypatch.setattr(licenses, "train", lambda _, kept=kept: (model, threshold, families, kept))
+        assert sorted((r.doc_id, r.family, r.confirmed) for r in scan(docs).collect()) == [(9000, "mit", True), (9001, "gpl", True)]
