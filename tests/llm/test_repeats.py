@@ -163,3 +163,12 @@ def test_texts_are_finished_where_they_are_stored(spark, monkeypatch, operator,
     plan = out._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Exchange" not in plan and "Join" not in plan
     assert sorted((r.doc_id or -1, r.n_removed > 0) for r in out.collect()) == [(-1, False), (1, operator is substring_dedup), (2, True), (3, False)]
+
+
+def test_each_segment_has_a_task_of_its_own(spark):
+    """None shares a task with another, whatever their numbers hash to, and none is lost."""
+    rows = spark.createDataFrame([(100 + seg, block, 1, bytes([seg])) for seg in range(16) for block in range(3)], repeats.ASKED)
+    out = repeats.answered(rows, lambda own: [data + bytes([repeats.TaskContext.get().partitionId()]) for _, data in own], 16, 100)
+    replies = {r.block: sorted((x.seg, bytes(x.reply)) for x in r.replies) for r in out.collect()}
+    assert all([(s, d[0]) for s, d in own] == [(100 + k, k) for k in range(16)] for own in replies.values()) and len(replies) == 3
+    assert len({d[1] for own in replies.values() for _, d in own}) == 16
